@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from meshframe.llm import pieces, repair, separators
+from meshframe.llm import neardup, pieces, repair, separators, suffixes
 
-MODULES = [separators, pieces, repair]
+MODULES = [separators, pieces, suffixes, neardup, repair]
 
 
 def queries() -> dict[str, Callable]:
