@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from meshframe.llm import neardup, pieces, repair, separators, suffixes
+from meshframe.llm import hilbert, neardup, pieces, quality, repair, separators, suffixes, syncmers
 
-MODULES = [separators, pieces, suffixes, neardup, repair]
+MODULES = [separators, pieces, hilbert, syncmers, suffixes, neardup, quality, repair]
 
 
 def queries() -> dict[str, Callable]:
