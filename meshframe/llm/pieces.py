@@ -136,27 +136,32 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
     return map_batches(source, run, schema)
 
 
-def _digest_fn(model: bytes):  # noqa: ANN202
+def encoded(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` of each whole text.
+
+    Encoding, decoding and digests are one pass, so that without ``with_ids`` no ids leave the task.
+    Null and empty texts are the end id alone.
+    """
+    model = model_bytes(model_path)
+    fields = [docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))][: 4 + with_ids])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         encoder = ChunkEncoder(model)
         end = encoder.sp.eos_id()
         for batch in batches:
-            n, ids_sha, decoded_sha = [], [], []
+            n, ids_sha, decoded_sha, all_ids = [], [], [], []
             for x in batch.column(1):
                 ids = encoder.encode(x.as_py() or "")
                 ids.append(end)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(encoder.sp.decode(ids).encode()).hexdigest())
-            yield {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha}
-
-    return run
-
+                if with_ids:
+                    all_ids.append(np.array(ids, np.int32))
+            yield {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha} | ({"ids": all_ids} if with_ids else {})
 
-def encoded_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """Encoding, decoding and their digests in one pass, so that ids need not leave the task."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return map_batches(needed(docs, "doc_id", "text"), _digest_fn(model_bytes(model_path)), schema)
+    return map_batches(needed(docs, "doc_id", "text"), run, schema)
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +171,7 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    return encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
 QUERIES = {"op2_pieces": op2_pieces}

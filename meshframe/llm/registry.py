@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from meshframe.llm import hilbert, neardup, pieces, quality, repair, separators, suffixes, syncmers
+import corpus_pipeline
+from meshframe.llm import fixity, hilbert, neardup, pieces, pseudolik, quality, repair, separators, suffixes, syncmers
 
-MODULES = [separators, pieces, hilbert, syncmers, suffixes, neardup, quality, repair]
+MODULES = [separators, pieces, hilbert, syncmers, suffixes, neardup, pseudolik, quality, fixity, repair]
 
 
 def queries() -> dict[str, Callable]:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.SQL.items()}
+    out = {k: s for m in MODULES for k, s in m.SQL.items()}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
