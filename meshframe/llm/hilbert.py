@@ -30,37 +30,49 @@ def text_rank(c: Column) -> Column:
     return F.conv(F.rpad(F.substring(F.hex(F.encode(c, "utf-8")), 1, 12), 12, "0"), 16, 10).cast("double")
 
 
-def with_hilbert_index(df: DataFrame, coordinates: list[str], bits: int, out: str) -> DataFrame:
-    """``df`` with the place on a Hilbert curve (bigint) of cells with coordinates 0 to ``2 ** bits - 1``.
+def _let(value: Column, use) -> Column:  # noqa: ANN001
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def hilbert_index(coordinates: list[Column], bits: int) -> Column:
+    """The place on a Hilbert curve (bigint) of a cell with coordinates 0 to ``2 ** bits - 1``.
 
     The steps are those of the transpose form of the curve: turn the axes from the highest bit down,
-    take the Gray code across the axes, undo its carries, and interleave the bits.  Each step is a
-    column of its own, so that no expression is written out twice.
+    take the Gray code across the axes, undo its carries, and interleave the bits.
     """
     n = len(coordinates)
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    x, fix = free_name([*df.columns, out], "axes"), free_name([*df.columns, out], "carry")
     power = [F.lit(1 << b).cast("bigint") for b in range(bits - 1, 0, -1)]
 
     def turn(a: Column, s: Column) -> Column:
-        low, own = s["q"] - one, F.get(a, s["i"])
-        swap = F.get(a, F.lit(0)).bitwiseXOR(own).bitwiseAND(low)
-        inverted = F.transform(a, lambda v, j: F.when(j == 0, v.bitwiseXOR(low)).otherwise(v))
-        swapped = F.transform(a, lambda v, j: F.when((j == 0) | (j == s["i"]), v.bitwiseXOR(swap)).otherwise(v))
-        return F.when(own.bitwiseAND(s["q"]) != 0, inverted).otherwise(swapped)
+        low = s["q"] - one
+        own = F.get(a, s["i"])
 
-    df = df.withColumn(x, F.array(*[F.col(c).cast("bigint") for c in coordinates]))
-    if bits > 1:
-        steps = F.array(*[F.struct(q.alias("q"), F.lit(i).alias("i")) for q in power for i in range(n)])
-        df = df.withColumn(x, F.aggregate(steps, F.col(x), turn))
-    df = df.withColumn(x, F.aggregate(F.slice(x, 2, max(1, n - 1)), F.slice(x, 1, 1), lambda a, v: F.concat(a, F.array(v.bitwiseXOR(F.element_at(a, -1))))))
-    carry = zero
+        def turned(own: Column) -> Column:
+            inverted = F.transform(a, lambda v, j: F.when(j == 0, v.bitwiseXOR(low)).otherwise(v))
+            swap = F.get(a, F.lit(0)).bitwiseXOR(own).bitwiseAND(low)
+            swapped = F.transform(a, lambda v, j: F.when((j == 0) | (j == s["i"]), v.bitwiseXOR(swap)).otherwise(v))
+            return F.when(own.bitwiseAND(s["q"]) != 0, inverted).otherwise(swapped)
+
+        return _let(own, turned)
+
+    axes = F.array(*[c.cast("bigint") for c in coordinates])
     if bits > 1:
-        carry = F.aggregate(F.array(*power), zero, lambda t, q: F.when(F.element_at(x, -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - one)).otherwise(t))
-    df = df.withColumn(fix, carry)
-    places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
-    bit = lambda p: F.call_function("shiftright", F.get(F.col(x), p["i"]).bitwiseXOR(F.col(fix)), p["b"]).bitwiseAND(one)
-    return df.withColumn(out, F.aggregate(places, zero, lambda t, p: t * 2 + bit(p))).drop(x, fix)
+        axes = F.aggregate(F.array(*[F.struct(q.alias("q"), F.lit(i).alias("i")) for q in power for i in range(n)]), axes, turn)
+
+    def gray(x: Column) -> Column:
+        return F.aggregate(F.slice(x, 2, max(1, n - 1)), F.slice(x, 1, 1), lambda a, v: F.concat(a, F.array(v.bitwiseXOR(F.element_at(a, -1)))))
+
+    def merged(x: Column) -> Column:
+        carry = zero
+        if bits > 1:
+            carry = F.aggregate(F.array(*power), zero, lambda t, q: F.when(F.element_at(x, -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - one)).otherwise(t))
+        places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
+        bit = lambda p, c: F.call_function("shiftright", F.get(x, p["i"]).bitwiseXOR(c), p["b"]).bitwiseAND(one)
+        return _let(carry, lambda c: F.aggregate(places, zero, lambda t, p: t * 2 + bit(p, c)))
+
+    return _let(_let(axes, gray), merged)
 
 
 def shard(df: DataFrame, dimensions: dict[str, Column], keys: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -82,14 +94,12 @@ def shard(df: DataFrame, dimensions: dict[str, Column], keys: list[str], shards:
     for v in values:
         reached = [F.when(F.col(v) >= float(c), 1).otherwise(0) for c in sorted(set(found[v] or []))]
         cells = cells.withColumn(v, sum(reached, F.lit(0)))  # null reaches no cut
-    cells = with_hilbert_index(cells, values, bits, "hilbert").drop(*values)
-
     # at most 2 ** (bits * dimensions) rows, whatever the size of df
     per_salt = max(ROWS_PER_SALT, int(n**0.5))
-    counts = cells.groupBy("hilbert").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = cells.groupBy(*values).agg(F.count(F.lit(1)).alias("_rows")).withColumn("hilbert", hilbert_index([F.col(v) for v in values], bits))
     before = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
-    curve = counts.select("hilbert", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_cell_start"), F.ceil(F.col("_rows") / per_salt).alias("_salts"))
-    salted = cells.join(F.broadcast(curve), "hilbert").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.col("_salts")))
+    curve = counts.select(*values, "hilbert", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_cell_start"), F.ceil(F.col("_rows") / per_salt).alias("_salts"))
+    salted = cells.join(F.broadcast(curve), values).drop(*values).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.col("_salts")))
     parts = salted.groupBy("hilbert", "_salt").agg(F.count(F.lit(1)).alias("_rows"), F.first("_cell_start").alias("_cell_start"))
     earlier = Window.partitionBy("hilbert").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("hilbert", "_salt", (F.col("_cell_start") + F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).alias("_start"))
