@@ -1,0 +1 @@
+"""Iterative graph, grid, matrix, clustering and image kernels as DataFrame pipelines."""
