@@ -27,18 +27,28 @@ def wrapping_subtract(a: Column, b: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(d.bitwiseAND(low))
 
 
-def with_jenkins64(df: DataFrame, column: str, out: str, seed: int = SEED) -> DataFrame:
-    """``df`` with the mix of a bigint column, as a signed number (P20).
+def jenkins64(x: Column, seed: int = SEED) -> Column:
+    """The mix of a bigint column, as a signed number (P20).
 
-    Three words take turns: each loses the other two and is combined with a shift of the last one.  A
-    round is a projection of its own; nested in one expression the rounds would be written out many times.
+    Three words take turns: one loses the two others and is combined with a shift of the last one, and
+    becomes the last itself.  The rounds are a fold over the shifts, so the expression stays small
+    wherever the optimizer moves it; written out, it would double with every round.
     """
-    words = [wrapping_subtract(F.col(column), F.lit(signed(-seed))), F.lit(signed(seed)), F.lit(signed(GOLDEN))]
-    names = ["_ja", "_jb", "_jc"]
-    df = df.select("*", *[w.cast("bigint").alias(n) for w, n in zip(words, names, strict=True)])
-    for n, by in enumerate(SHIFTS):
-        own, first, last = names[n % 3], names[(n + 1) % 3], names[(n + 2) % 3]
-        left = wrapping_subtract(wrapping_subtract(F.col(own), F.col(first)), F.col(last))
-        moved = F.shiftleft(F.col(last), by) if n % 3 == 1 else F.shiftrightunsigned(F.col(last), by)
-        df = df.withColumn(own, left.bitwiseXOR(moved))
-    return df.withColumn(out, F.col(names[2])).drop(*names)
+    rounds = F.array(*[F.struct(F.lit(n % 3 == 1).alias("left"), F.lit(by).alias("by")) for n, by in enumerate(SHIFTS)])
+
+    def word(c: Column, name: str) -> Column:
+        return c.cast("bigint").alias(name)
+
+    start = F.struct(word(wrapping_subtract(x, F.lit(signed(-seed))), "own"), word(F.lit(signed(seed)), "first"), word(F.lit(signed(GOLDEN)), "last"))
+
+    def turn(w: Column, r: Column) -> Column:
+        rest = wrapping_subtract(wrapping_subtract(w["own"], w["first"]), w["last"])
+        moved = F.when(r["left"], F.call_function("shiftleft", w["last"], r["by"])).otherwise(F.call_function("shiftrightunsigned", w["last"], r["by"]))
+        return F.struct(word(w["first"], "own"), word(w["last"], "first"), word(rest.bitwiseXOR(moved), "last"))
+
+    return F.aggregate(rounds, start, turn)["last"]
+
+
+def with_jenkins64(df: DataFrame, column: str, out: str, seed: int = SEED) -> DataFrame:
+    """``df`` with :func:`jenkins64` of a column."""
+    return df.withColumn(out, jenkins64(F.col(column), seed))

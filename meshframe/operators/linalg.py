@@ -20,7 +20,7 @@ OFFSETS_Z = [0, 0, 0, 0, 0, 0, 0, 0, 0, -1, -1, -1, -1, -1, 1, 1, 1, 1, 1]
 
 def coefficient(row: Column, m: Column) -> Column:
     """A diagonally dominant stand-in for measured coefficients."""
-    return F.when(m == 0, F.lit(20.0)).otherwise(-(1.0 + F.pmod(row * 19 + m, F.lit(7)) / F.lit(10.0)))
+    return F.when(m == 0, F.lit(20.0)).otherwise(-(1.0 + F.pmod(row * 19 + m, F.lit(7))) / F.lit(10.0))
 
 
 def build(cells: DataFrame, shape: tuple[int, int, int], value=coefficient) -> DataFrame:  # noqa: ANN001

@@ -321,7 +321,7 @@ def halo_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 _OFFSETS = "offsets as (select * from (values " + ", ".join(f"({m}, {x}, {y}, {z})" for m, (x, y, z) in enumerate(zip(linalg.OFFSETS_X, linalg.OFFSETS_Y, linalg.OFFSETS_Z, strict=True))) + ") t(m, dx, dy, dz))"
 _COO = """near as (select cell r, i + dx + case when j + dy < 0 or j + dy >= ny then nx // 2 else 0 end x, greatest(0, least(ny - 1, j + dy)) y, k + dz z, m, nx, ny, nz from grid, shape, offsets),
-coo as (select r as "row", (((x % nx) + nx) % nx * ny + y) * nz + z as col, case when m = 0 then 20e0 else -(1e0 + ((r * 19 + m) % 7) / 10e0) end val from near where z between 0 and nz - 1),
+coo as (select r as "row", (((x % nx) + nx) % nx * ny + y) * nz + z as col, case when m = 0 then 20e0 else -(1e0 + (r * 19 + m) % 7) / 10e0 end val from near where z between 0 and nz - 1),
 vec as (select cell as "row", v val from grid)"""
 _MATRIX = ["grid", _SHAPE, _OFFSETS, _COO]
 _SPMV = '(select a."row", sum(a.val * b.val) val from coo a join {v} b on a.col = b."row" group by 1)'
@@ -560,7 +560,7 @@ def error_code_lookup(spark: SparkSession, d: str) -> DataFrame:
     return errors.with_name(orders, F.pmod("o_orderkey", F.lit(700)) + errors.BASE).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_with("grid", "m as (select unnest(range(19)) m)", "val as (select i, j, k, m, case when m = 0 then 20e0 else -(1e0 + ((cell * 19 + m) % 7) / 10e0) end val from grid, m)", select="select i, j, k, count(*)::int n, round(sum(val), 6) total, round(max(val) filter (m = 18), 6) last from val group by 1, 2, 3"))
+@query(_with("grid", "m as (select unnest(range(19)) m)", "val as (select i, j, k, m, case when m = 0 then 20e0 else -(1e0 + (cell * 19 + m) % 7) / 10e0 end val from grid, m)", select="select i, j, k, count(*)::int n, round(sum(val), 6) total, round(max(val) filter (m = 18), 6) last from val group by 1, 2, 3"))
 def text_to_grid_etl(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients of all cells written as text lines, read back and gathered by cell."""
     each = F.transform(F.sequence(F.lit(0), F.lit(18)), lambda m: linalg.coefficient(F.col("cell"), m.cast("bigint")))

@@ -30,8 +30,7 @@ def vector_text(spark: SparkSession, path: str) -> DataFrame:
 
 def _records(spark: SparkSession, path: str, form: str, schema: str, build) -> DataFrame:  # noqa: ANN001
     # Spark has no DataFrame reader for records without a header: fixed-length splits are an RDD source
-    reader = struct.Struct(form)
-    rows = spark.sparkContext.binaryRecords(path, reader.size).map(lambda b: build(reader.unpack(b)))
+    rows = spark.sparkContext.binaryRecords(path, struct.calcsize(form)).map(lambda b: build(struct.unpack(form, b)))
     return spark.createDataFrame(rows, schema)
 
 
