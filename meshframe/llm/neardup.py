@@ -17,7 +17,9 @@ known to be in one group already, or cannot be linked:
 3. Pairs of a class and another pivot of it are compared if they are still in different groups.
 4. In a bucket that still holds several groups, each class outside the pivot's group is compared
    with all classes of other groups, except where sizes or the triangle inequality of the Jaccard
-   distance exclude a link.
+   distance exclude a link, or where one-bit sketches of ``WIDE`` coordinates differ by more than
+   ``APART`` bits.  A pair at 0.8 differs by a tenth of them; ``APART`` is 4.75 standard deviations
+   above, which loses one such pair in a million.
 
 Comparison is of whole shingle sets (64-bit hashes of shingles).  Groups are connected components,
 found by label propagation with pointer jumping; each round is a few joins.
@@ -37,7 +39,9 @@ from meshframe.llm.common import free_name, map_batches, needed, store, table
 
 BINS, BANDS, ROWS = 256, 42, 6
 PERCENT = 80
-_FILL = 1.3 * BINS * np.log(BINS)  # shingles hashed so that a first pass fills nearly all sketches
+WIDE = 2048
+_DIFFER = (1 - PERCENT / 100) / 2
+APART = int(WIDE * _DIFFER + 4.75 * np.sqrt(WIDE * _DIFFER * (1 - _DIFFER)))
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
@@ -72,29 +76,38 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def sketch(a: np.ndarray) -> np.ndarray:
-    """The ``BINS`` coordinates of a set that is not empty."""
-    per = max(1, int(np.ceil(_FILL / len(a))))
-    out, open_, first = np.zeros(BINS, np.uint64), np.ones(BINS, bool), 0
-    low = np.uint64(8 + 10)
-    bins = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
+def sketch(a: np.ndarray, n_bins: int = BINS) -> np.ndarray:
+    """The ``n_bins`` (a power of two) coordinates of a set that is not empty."""
+    wide = n_bins.bit_length() - 1
+    shift, round_shift = np.uint64(64 - wide), np.uint64(64 - 2 * wide - 2)
+    low = np.uint64(2 * wide + 2)  # bits of a key that are not of the value
+    in_bin = np.uint64((n_bins - 1) << (64 - wide))
+    # so many rounds in a pass that it fills nearly all sketches
+    per = max(1, int(np.ceil(1.3 * n_bins * np.log(n_bins) / len(a))))
+    out, open_, first = np.zeros(n_bins, np.uint64), np.ones(n_bins, bool), 0
+    bins = np.arange(n_bins, dtype=np.uint64) << shift
     while open_.any():
-        rounds = np.arange(first, min(first + per, 2 * BINS), dtype=np.uint64)
+        rounds = np.arange(first, min(first + per, 2 * n_bins), dtype=np.uint64)
         h = _mix(a[None, :] + (_mix((rounds + np.uint64(1)) * np.uint64(_STEP)))[:, None])
-        bin_ = h & np.uint64(0xFF << 56)
-        late = rounds >= BINS
+        bin_ = h & in_bin
+        late = rounds >= n_bins
         if late.any():
-            bin_[late] = ((rounds[late] - np.uint64(BINS)) << np.uint64(56))[:, None]
-        key = (bin_ | rounds[:, None] << np.uint64(46) | (h << np.uint64(8)) >> low).ravel()
+            bin_[late] = ((rounds[late] - np.uint64(n_bins)) << shift)[:, None]
+        key = (bin_ | rounds[:, None] << round_shift | (h << np.uint64(wide)) >> low).ravel()
         key.sort()
         at = np.minimum(np.searchsorted(key, bins), len(key) - 1)
-        new = open_ & (key[at] & np.uint64(0xFF << 56) == bins)
-        out[new] = key[at[new]] & np.uint64((1 << 56) - 1)
+        new = open_ & (key[at] & in_bin == bins)
+        out[new] = key[at[new]] & ~in_bin
         open_ &= ~new
         first += per
     return out
 
 
+def one_bits(a: np.ndarray) -> np.ndarray:
+    """A bit of each of ``WIDE`` coordinates, packed in 64-bit numbers."""
+    return np.packbits((_mix(sketch(a, WIDE)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
 _BAND = _constants(ROWS + BANDS)
 
 
@@ -144,6 +157,19 @@ def _sets(candidates: DataFrame, docs: DataFrame, k: int, doc_id: str, text: str
     return map_batches(joined, run, schema)
 
 
+def _with_bits(sets: DataFrame) -> DataFrame:
+    """``cid, bits, bands`` of classes."""
+    numbers = T.ArrayType(T.LongType(), False)
+    schema = T.StructType([T.StructField("cid", T.LongType()), T.StructField("bits", numbers), T.StructField("bands", numbers)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            yield {"cid": batch.column(0), "bits": [one_bits(a) for a in sets_], "bands": [bands(sketch(a)) for a in sets_]}
+
+    return map_batches(sets.select("cid", "shingles"), run, schema)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, of_pivots: bool) -> DataFrame:
     """``a, b, common, joint``: sizes of intersection and union of the sets of each pair."""
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
@@ -239,10 +265,16 @@ def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
     mixed = outside.select("bucket").distinct()
     inside = grouped.join(mixed, "bucket").where("cid <> pivot").join(likeness, ["cid", "pivot"], "left")
     inside = store(inside.select("bucket", "cid", "n", "group", "pivot_group", "like"), "mixed")
-    x = inside.where("group <> pivot_group").select("bucket", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a"), F.col("like").alias("like_a"))
-    y = inside.select("bucket", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"), F.col("like").alias("like_b"), (F.col("group") != F.col("pivot_group")).alias("out_b"))
+    wide = store(_with_bits(sets.join(inside.select("cid").distinct(), "cid", "left_semi")), "bits")
+    inside = inside.join(wide, "cid")
+    x = inside.where("group <> pivot_group").select("bucket", F.col("bits").alias("bits_a"), F.col("bands").alias("bands_a"), F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a"), F.col("like").alias("like_a"))
+    y = inside.select("bucket", F.col("bits").alias("bits_b"), F.col("bands").alias("bands_b"), F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"), F.col("like").alias("like_b"), (F.col("group") != F.col("pivot_group")).alias("out_b"))
     near = F.abs(F.col("like_a") - F.col("like_b")) <= (100 - PERCENT) / 100 + 1e-9
-    left = x.join(y, "bucket").where("group_a <> group_b and (not out_b or a < b)").where(_sizes_allow("n_a", "n_b")).where(F.coalesce(near, F.lit(True)))
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(WIDE // 64)), F.lit(0))
+    # a pair is taken in the first of the buckets that it shares
+    shared = F.zip_with("bands_a", "bands_b", lambda p, q: p == q)
+    first_shared = F.array_position(shared, True) == F.array_position("bands_a", F.col("bucket"))
+    left = x.join(y, "bucket").where("group_a <> group_b and (not out_b or a < b)").where(_sizes_allow("n_a", "n_b")).where(F.coalesce(near, F.lit(True))).where(differ <= APART).where(first_shared)
     left = store(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     if not left.isEmpty():
         third = store(_verify(left, sets, False), "verified")
