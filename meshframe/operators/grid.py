@@ -7,7 +7,7 @@ by cell: one exchange a step, and where rows of a task are near in the grid most
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.plans.scratch import cut
@@ -16,6 +16,13 @@ SELF, SIDE = 0.4, 0.1
 SIDES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
 
 
+def generate(spark: SparkSession, shape: tuple[int, int, int]) -> DataFrame:
+    """A grid of a shape with values that follow from the place."""
+    nx, ny, nz = shape
+    cells = spark.range(nx * ny * nz).select(F.expr(f"id div {ny * nz}L").alias("i"), F.expr(f"id div {nz}L % {ny}L").alias("j"), F.expr(f"id % {nz}L").alias("k"))
+    return cells.withColumn("v", F.pmod(31 * F.col("i") + 7 * F.col("j") + F.col("k"), F.lit(100)).cast("double"))
+
+
 def _sides_missing(shape: tuple[int, int, int]):  # noqa: ANN202
     ends = [(F.col(a) == e).cast("int") for a, n in zip("ijk", shape, strict=True) for e in (0, n - 1)]
     return sum(ends[1:], ends[0])

@@ -99,3 +99,17 @@ def hyperanf(vertices: DataFrame, edges: DataFrame, rounds: int, rsd: float = 0.
         if n + 1 < rounds and (n + 1) % cut_every == 0:
             state = cut(state, "anf-state")
     return estimate(state, p)
+
+
+def neighbourhood_function(vertices: DataFrame, edges: DataFrame, rounds: int, rsd: float = 0.1) -> DataFrame:
+    """``t, pairs``: the estimated number of pairs within ``t`` steps, for ``t`` from 0 to ``rounds``; estimates count to four digits."""
+    p = Parameters(rsd)
+    edges = cut(edges.select("src", "dst").distinct(), "anf-edges")
+    state = cut(counters(vertices, p), "anf-state")
+    out = None
+    for t in range(rounds + 1):
+        row = estimate(state, p).agg(F.lit(t).alias("t"), F.sum(F.round("estimate", 4)).alias("pairs"))
+        out = row if out is None else out.unionByName(row)
+        if t < rounds:
+            state = cut(union(state, sent(edges, state)), "anf-state")
+    return out

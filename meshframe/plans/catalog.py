@@ -110,6 +110,19 @@ def graph_active_subset_sum(spark: SparkSession, d: str) -> DataFrame:
     return graph.propagate(graph.active_edges(edges, active), values, F.col("degree"), F.sum, "total")
 
 
+@query(_with("part_edges", "part_vertices", _DEGREE.format(v="part_vertices", e="part_edges", side="src"), select="select id, degree from degree where id in (select p_partkey from part where p_size >= 25)"))
+def graph_active_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """The vertex pass over an active set."""
+    active = derive.table(spark, d, "part").where("p_size >= 25").select(F.col("p_partkey").alias("id"))
+    return graph.degree(derive.part_vertices(spark, d), derive.part_edges(spark, d)).join(active, "id", "left_semi")
+
+
+@query(_with("part_edges", "part_vertices", _DEGREE.format(v="part_vertices", e="part_edges", side="src"), select="select id, degree from degree"))
+def vertex_persist(spark: SparkSession, d: str) -> DataFrame:
+    """A vertex vector written to the shared folder and loaded again."""
+    return cut(graph_out_degree(spark, d), "vertex-vector")
+
+
 # ---- sketches
 
 _M = 1 << 64
@@ -213,6 +226,13 @@ def hll_parameters(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(spark.createDataFrame(rows, "rsd double, m int, alpha_mm double, threshold double"), "alpha_mm", "threshold")
 
 
+@query(_with(*_anf_sql("user_vertices", "user_edges", 2), *[f"e{t} as ({_estimate_sql(f'r{t}')})" for t in range(3)], select=" union all ".join(f"select {t} t, round(sum(estimate), 2) pairs from e{t}" for t in range(3))))
+def neighbourhood_function(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs within 0, 1 and 2 steps."""
+    found = sketch.neighbourhood_function(derive.user_vertices(spark, d), derive.user_edges(spark, d), 2)
+    return _rounded(found, "pairs", digits=2)
+
+
 # ---- grids
 
 _SHAPE = "shape as (select max(i) + 1 nx, 5 ny, 5 nz from grid)"
@@ -233,6 +253,11 @@ def grid_build(spark: SparkSession, d: str) -> DataFrame:
     return derive.grid(spark, d).select("i", "j", "k", "v")
 
 
+@query("select i, j, k, ((31 * i + 7 * j + k) % 100)::double v from range(20) x(i), range(10) y(j), range(10) z(k)")
+def grid_generate(spark: SparkSession, d: str) -> DataFrame:
+    return grid.generate(spark, (20, 10, 10))
+
+
 def _stencil(name: str, steps: int) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return _rounded(grid.run(derive.grid(spark, d), derive.grid_shape(spark, d), steps), "v")
@@ -288,6 +313,14 @@ def layout_choose(spark: SparkSession, d: str) -> DataFrame:
     return layout.choose(_requests(spark, d))
 
 
+@query("select * from (values (1200, 60, 60, 8, 1, 1), (1200, 1200, 1200, 2, 2, 2), (1200, 1200, 100, 2, 4, 1)) t(nx, ny, nz, xp, yp, zp)")
+def layout_published(spark: SparkSession, d: str) -> DataFrame:
+    """The three layouts that are published for 8 nodes."""
+    rows = [(n, *shape, 8, 100) for n, shape in enumerate([(1200, 60, 60), (1200, 1200, 1200), (1200, 1200, 100)])]
+    asked = spark.createDataFrame(rows, "request int, nx int, ny int, nz int, nodes int, steps int")
+    return layout.choose(asked).join(asked, "request").select("nx", "ny", "nz", *[F.col(c).cast("int").alias(c) for c in ("xp", "yp", "zp")])
+
+
 LAYOUT = (4, 2, 1)
 _ASSIGNED = "assigned as (select i, j, k, v, (i * 4 // nx)::int bx, (j * 2 // ny)::int by_, (k * 1 // nz)::int bz from grid, shape)"
 _BLOCKS = 'blocks as (select bx, by_ "by", bz, min(i) x0, max(i) + 1 x1, min(j) y0, max(j) + 1 y1, min(k) z0, max(k) + 1 z1 from assigned group by 1, 2, 3)'
@@ -483,6 +516,13 @@ def kproto_iter3(spark: SparkSession, d: str) -> DataFrame:
     return cluster.assign(points, centres, _NUMBERS, _CATEGORIES, WEIGHT).select("id", "cluster")
 
 
+@query(_with("points", _SEEDS, _assign_sql("k0", "a0").replace("<>", "="), select="select id, cluster from a0"))
+def kproto_assign_printed(spark: SparkSession, d: str) -> DataFrame:
+    """Assignments where equal categories add to the distance, as the printed formula has it."""
+    points, centres = _points(spark, d)
+    return cluster.assign(points, centres, _NUMBERS, _CATEGORIES, WEIGHT, "printed").select("id", "cluster")
+
+
 @query("""with e as (select vec_id, embedding::double[] v from embeddings), s as (select (row_number() over (order by vec_id) - 1)::int cluster, v from e order by vec_id limit 10)
 select vec_id, cluster from (select e.vec_id, cluster, row_number() over (partition by e.vec_id order by list_distance(e.v, s.v), cluster) rn from e, s) where rn = 1""")
 def kmeans_embeddings_assign(spark: SparkSession, d: str) -> DataFrame:
@@ -549,6 +589,12 @@ def crop_region(spark: SparkSession, d: str) -> DataFrame:
     return image.crop(derive.pixels(spark, d), 10, 20, 60, 80)
 
 
+@query(_with("pixels", select="select x, y, argb from pixels"))
+def image_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The image written to the shared folder in rows of pixels, and read again."""
+    return cut(derive.pixels(spark, d).repartitionByRange("y").sortWithinPartitions("y", "x"), "image")
+
+
 # ---- sources and streams
 
 _NAMES = "names as (select * from (values " + ", ".join(f"({c}, '{n}')" for c, n in errors.codes()) + ") t(code, name))"
@@ -571,6 +617,14 @@ def text_to_grid_etl(spark: SparkSession, d: str) -> DataFrame:
     return coef.select("i", "j", "k", F.size("coef").alias("n"), F.round(total, 6).alias("total"), F.round(F.element_at("coef", -1), 6).alias("last"))
 
 
+@query(_with("grid", select="select i, j, k, v val from grid"))
+def vector_text_etl(spark: SparkSession, d: str) -> DataFrame:
+    """A vector written as text lines and read back."""
+    path = f"{folder(spark)}/vector-{uuid.uuid4().hex}"
+    records.write_vector_text(derive.grid(spark, d).select("i", "j", "k", F.col("v").alias("val")), path)
+    return records.vector_text(spark, path)
+
+
 @query("select user_id, count(*)::bigint events, round(sum(value), 4) total from events group by 1")
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts kept over a stream of the events table."""

@@ -28,6 +28,10 @@ def vector_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("i bigint, j bigint, k bigint, val double").option("sep", " ").csv(path)
 
 
+def write_vector_text(vector: DataFrame, path: str) -> None:
+    vector.select(F.concat_ws(" ", "i", "j", "k", "val")).write.text(path)
+
+
 def _records(spark: SparkSession, path: str, form: str, schema: str, build) -> DataFrame:  # noqa: ANN001
     # Spark has no DataFrame reader for records without a header: fixed-length splits are an RDD source
     rows = spark.sparkContext.binaryRecords(path, struct.calcsize(form)).map(lambda b: build(struct.unpack(form, b)))
