@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshframe.functions.hashing import GOLDEN, SEED, SHIFTS, with_jenkins64
 from meshframe.operators import cluster, graph, grid, image, layout, linalg, sketch, solver
-from meshframe.plans.scratch import cut, folder
+from meshframe.plans.scratch import cut, new_path
 from meshframe.sources import derive, errors, records
 from meshframe.streaming import degrees
 
@@ -610,7 +609,7 @@ def error_code_lookup(spark: SparkSession, d: str) -> DataFrame:
 def text_to_grid_etl(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients of all cells written as text lines, read back and gathered by cell."""
     each = F.transform(F.sequence(F.lit(0), F.lit(18)), lambda m: linalg.coefficient(F.col("cell"), m.cast("bigint")))
-    path = f"{folder(spark)}/coefficients-{uuid.uuid4().hex}"
+    path = new_path(spark, "coefficients")
     records.write_coefficient_text(derive.grid(spark, d).select("i", "j", "k", each.alias("coef")), path)
     coef = records.coefficient_text(spark, path)
     total = F.aggregate("coef", F.lit(0.0), lambda a, x: a + x)
@@ -620,7 +619,7 @@ def text_to_grid_etl(spark: SparkSession, d: str) -> DataFrame:
 @query(_with("grid", select="select i, j, k, v val from grid"))
 def vector_text_etl(spark: SparkSession, d: str) -> DataFrame:
     """A vector written as text lines and read back."""
-    path = f"{folder(spark)}/vector-{uuid.uuid4().hex}"
+    path = new_path(spark, "vector")
     records.write_vector_text(derive.grid(spark, d).select("i", "j", "k", F.col("v").alias("val")), path)
     return records.vector_text(spark, path)
 

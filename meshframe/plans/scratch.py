@@ -1,8 +1,9 @@
-"""Lineage cuts of iterative plans: a table in the folder that the driver and all executors share."""
+"""Lineage cuts: tables in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -18,13 +20,29 @@ def folder(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if not _own:
-        _own.append(tempfile.mkdtemp(prefix="meshframe-plans-"))
+        _own.append(tempfile.mkdtemp(prefix="meshframe-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return "file://" + _own[0]
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, deleted when this process ends."""
+    path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _delete() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            jvm = spark.sparkContext._jvm or spark._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
+def cut(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """``df`` written and read again: its plan is a scan from here on, and lost executors do not matter."""
-    path = f"{folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(df.sparkSession, what)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

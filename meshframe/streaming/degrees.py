@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.plans.scratch import folder
+from meshframe.plans.scratch import new_path
 
 
 def event_counts(stream: DataFrame) -> DataFrame:
@@ -21,7 +19,7 @@ def run_available(spark: SparkSession, directory: str, name: str) -> DataFrame:
     The table is a file of ``directory`` or a folder in it.
     """
     schema = spark.read.parquet(f"{directory}/{name}").schema
-    base = f"{folder(spark)}/event-counts-{uuid.uuid4().hex}"
+    base = new_path(spark, "event-counts")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{directory}/{name}")
     status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
     reader = spark.readStream.schema(schema)
