@@ -1,11 +1,7 @@
-"""What the operators of this subpackage share: the shared scratch folder, Arrow row mapping, names."""
+"""What the operators of this subpackage share: stored tables, Arrow row mapping, names."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,43 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_own_folder: list[str] = []
+from meshframe.plans.scratch import cut
 
+#: Write a frame to the shared folder and read it back: cuts lineage and survives lost executors.
+store = cut
 
-def scratch_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` where the session has it.  Where it is unset, as in tests on one
-    machine, a temporary folder is made and removed at exit.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="meshframe-"))
-        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
-    return "file://" + _own_folder[0]
+BATCH_BYTES = 8 << 20
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{scratch_folder(spark)}/{what}-{uuid.uuid4().hex}"
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of about ``BATCH_BYTES``; a row is never cut."""
+    for batch in batches:
+        n = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
 
 
-def store(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, what)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on for other tasks beside the executor's heap."""
+    import ctypes
+    import gc
 
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a frame that :func:`store` made and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: T.StructType) -> DataFrame:
@@ -58,9 +45,11 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in fn(batches):
+        for columns in fn(_small(batches)):
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for f, c in zip(arrow, columns.values(), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            del columns, arrays
+        _give_back()
 
     return df.mapInArrow(run, schema)
 

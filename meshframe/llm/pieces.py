@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from meshframe.llm.common import free_name, map_batches, needed, table
 
-TABLE_CHUNKS, TABLE_CHARS = 300_000, 12_000_000
+TABLE_CHUNKS, TABLE_CHARS = 200_000, 8_000_000
 MARK = "▁"
 _CHUNK = re.compile(r" +[^ ]*")
 
