@@ -190,23 +190,27 @@ def _verify(pairs: DataFrame, sets: DataFrame, of_pivots: bool) -> DataFrame:
     return map_batches(joined, run, schema)
 
 
+ROWS_PER_FILE = 1_000_000
+
+
 def components(links: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
-    """``node, component`` (the least node of it) for all nodes of undirected links.
+    """``node, component`` (the least node of it) for all nodes of undirected links, as a stored table.
 
     Each round takes the least label of the neighbours and then the label of that label; the number
-    of rounds grows with the logarithm of the longest path.
+    of rounds grows with the logarithm of the longest path.  A round is written as files of about
+    ``ROWS_PER_FILE`` rows, so that small graphs are not spread over as many files as tasks.
     """
     both = store(links.select(F.col(src).alias("x"), F.col(dst).alias("y")).unionByName(links.select(F.col(dst).alias("x"), F.col(src).alias("y"))), "links")
-    labels = store(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")), "labels")
+    files = -(-both.count() // ROWS_PER_FILE) or 1
+    labels = store(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")).coalesce(files), "labels")
     while True:
         near = both.join(labels, both.y == labels.node).groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
         stepped = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        stepped = store(stepped, "labels")
         up = stepped.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-        moved = store(stepped.join(up, "component").select("node", "old", F.least("component", "higher").alias("component")), "labels")
-        if moved.where("old <> component").isEmpty():
-            return moved.select("node", "component")
+        moved = store(stepped.join(up, "component").select("node", "old", F.least("component", "higher").alias("component")).coalesce(files), "labels")
         labels = moved.select("node", "component")
+        if moved.where("old <> component").isEmpty():
+            return labels
 
 
 def _linked(verified: DataFrame) -> DataFrame:
