@@ -14,6 +14,7 @@ none, and is like another such text only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,12 +75,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.size(both)).cast("double")
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``docs`` with ``next_<column>`` for ``columns``: those of the next document in descending ``doc_id``.
+def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PER_RANGE, derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``derive(docs)`` with ``next_<column>`` for ``columns``: those of the next document in descending ``doc_id``.
 
     The next of the last is the first.  Null ids come last; rows of one id are ordered by a hash of
     their text, and equal rows by nothing.  Ids are cut into ranges of nearly equal counts; the next
-    row lies in the same range, or is the first of the range below, which is joined to it.
+    row lies in the same range, or is the first of the range below, which is joined to it.  ``docs`` has
+    ``doc_id`` and ``text``; ``derive`` adds columns, for the few first rows anew.
     """
     n, top = docs.agg(F.count(F.lit(1)), F.max("doc_id")).first()
     ranges = min(MOST_RANGES, max(1, math.ceil(n / rows_per_range)))
@@ -101,20 +103,21 @@ def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PE
     last = first.agg(F.min("_range").alias("low")).first()["low"]
     bounds = bounds.select(F.coalesce("_for", F.lit(last)).alias("_for"), F.col("doc_id").alias("_first_id"), F.col("_tie").alias("_first_tie"))
     heads = ranged.join(F.broadcast(bounds), F.col("doc_id").eqNullSafe(F.col("_first_id")) & (F.col("_tie") == F.col("_first_tie")))
-    heads = heads.groupBy(F.col("_for").alias("_range")).agg(*[F.first(c).alias(f"_head_{c}") for c in columns])
+    heads = derive(heads.groupBy(F.col("_for").alias("_range")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")))
+    heads = heads.select("_range", *[F.col(c).alias(f"_head_{c}") for c in columns])
 
     window = Window.partitionBy("_range").orderBy(*order)
-    led = ranged.withColumn("_lead", F.lead(F.struct(*columns)).over(window))
+    derived = derive(ranged)
+    led = derived.withColumn("_lead", F.lead(F.struct(*columns)).over(window))
     joined = led.join(heads, "_range", "left")
     nexts = [F.when(F.col("_lead").isNotNull(), F.col("_lead")[c]).otherwise(F.col(f"_head_{c}")).alias(f"next_{c}") for c in columns]
-    return joined.select(*[F.col(c) for c in docs.columns], *nexts)
+    return joined.select(*[F.col(c) for c in derived.columns if c not in ("_range", "_tie")], *nexts)
 
 
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text of ``documents`` and of its edited text; null is the empty text."""
     docs = needed(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    own = with_sketch(docs, "text", "sketch")
-    both = with_next(own, ["text", "sketch"])
+    both = with_next(docs, ["text", "sketch"], derive=lambda df: with_sketch(df, "text", "sketch"))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     both = both.withColumn("n_chars", n.cast("bigint")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     both = with_sketch(both, "edited", "edited_sketch")
