@@ -21,7 +21,7 @@ from meshframe.llm.common import free_name, needed, store, table
 
 BITS = 4
 SHARDS = 24
-ROWS_PER_SALT = 500
+ROWS_PER_SALT = 200
 _CUT_ACCURACY = 10_000
 
 
