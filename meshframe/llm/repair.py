@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from meshframe.llm.common import free_name, map_batches, needed, store, table
 
 SHARD_IDS = 1 << 21
 ROUNDS, PAIRS, LEAST = 4, 1024, 16
-_BINS = 20
+_BINS = 18
 
 
 def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -43,17 +44,28 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIR
         top = np.flatnonzero(counts >= least)
         if len(top) > 2 * pairs:
             top = top[np.argpartition(counts[top], -2 * pairs)[-2 * pairs :]]
-        hot = np.zeros(1 << _BINS, bool)
-        hot[top] = True
-        places = np.flatnonzero(hot[hashed])
-        found, which, n = np.unique(key[places], return_inverse=True, return_counts=True)
-        best = np.lexsort((found, -n))[:pairs]
+        if not len(top):
+            break
+        slot = np.full(1 << _BINS, -1, np.int16)
+        slot[top] = np.arange(len(top))
+        of = slot[hashed]
+        places = np.flatnonzero(of >= 0)
+        of, key = of[places], key[places]
+        # a bin is one pair as a rule; where others fell into it, the more frequent of two is taken
+        pair = np.zeros((2, len(top)), np.uint64)
+        pair[0][of] = key
+        other = key != pair[0][of]
+        pair[1][of[other]] = key[other]
+        n = np.stack([np.bincount(of[~other], minlength=len(top)), np.bincount(of[other & (key == pair[1][of])], minlength=len(top))])
+        pair, n = np.where(n[1] > n[0], pair[1], pair[0]), n.max(0)
+        best = np.lexsort((pair, -n))[:pairs]
         best = best[n[best] >= least]
         if not len(best):
             break
+        found = pair
         number = np.full(len(found), -1, np.int32)
         number[best] = np.arange(len(best))
-        which = number[which]
+        which = np.where(key == pair[of], number[of], -1)
         places, which = places[which >= 0], which[which >= 0]
         opens = np.diff(places, prepend=-2) != 1  # the first place of each run of overlapping pairs
         run_start = places[opens][np.cumsum(opens) - 1]
@@ -92,15 +104,12 @@ class Grammar:
         self.seq, self.base = seq, base
         self.length = np.concatenate([np.ones(base, np.int64), expanded])
         self.ends = np.cumsum(self.length[seq])
+        expansions: list[list[int]] = []
+        for a, b in rules.tolist():
+            expansions.append((expansions[a - base] if a >= base else [a]) + (expansions[b - base] if b >= base else [b]))
         at = base + np.concatenate([[0], np.cumsum(expanded)]).astype(np.int64)
-        flat = np.empty(at[-1], np.int32)
-        flat[:base] = np.arange(base)
-        for i, (a, b) in enumerate(rules.tolist()):
-            left = flat[at[a - base] : at[a - base + 1]] if a >= base else a
-            n = expanded[a - base] if a >= base else 1
-            flat[at[i] : at[i] + n] = left
-            flat[at[i] + n : at[i + 1]] = flat[at[b - base] : at[b - base + 1]] if b >= base else b
-        self.flat, self.first = flat, np.concatenate([np.arange(base), at[:-1]])
+        self.flat = np.concatenate([np.arange(base, dtype=np.int32), np.fromiter(chain.from_iterable(expansions), np.int32, int(at[-1]) - base)])
+        self.first = np.concatenate([np.arange(base), at[:-1]])
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
         n = self.length[seq]
@@ -167,8 +176,8 @@ def shard_of(row) -> Grammar:  # noqa: ANN001
     return Grammar(rules, np.frombuffer(row["rule_lengths"], "<u4").astype(np.int64), np.frombuffer(row["sequence"], kind).astype(np.int32), row["base"])
 
 
-def read(files: DataFrame) -> DataFrame:
-    """Documents of the files: ``doc_id, start`` (ids of all documents before it), ``n_tokens, ids_crc32, ids``."""
+def read(files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Documents of the files: ``doc_id, start`` (ids of all documents before it), ``n_tokens, ids_crc32`` and, if asked for, ``ids``."""
     # one row for each part, and parts are partitions of the writing stage: few, and of fixed size
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -176,7 +185,7 @@ def read(files: DataFrame) -> DataFrame:
     placed = files.join(F.broadcast(sums), "part").withColumn("start", F.col("start") + F.col("before"))
     names = ["start", "doc_ids", "doc_lengths", "rules", "rule_lengths", "sequence", "base"]
     kind = files.schema["doc_ids"].dataType.elementType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType())][: 4 + with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -184,8 +193,9 @@ def read(files: DataFrame) -> DataFrame:
                 row = {n: batch.column(k)[i].as_py() for k, n in enumerate(names)}
                 ids = memoryview(shard_of(row).all().astype("<u4")).cast("B")
                 ends = np.cumsum(row["doc_lengths"])
-                slices = [bytes(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), row["doc_lengths"], strict=True)]
-                yield {"doc_id": row["doc_ids"], "start": row["start"] + ends - np.array(row["doc_lengths"]), "n_tokens": row["doc_lengths"], "ids_crc32": [zlib.crc32(x) for x in slices], "ids": slices}
+                slices = [ids[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), row["doc_lengths"], strict=True)]
+                out = {"doc_id": row["doc_ids"], "start": row["start"] + ends - np.array(row["doc_lengths"]), "n_tokens": row["doc_lengths"], "ids_crc32": [zlib.crc32(x) for x in slices]}
+                yield out | ({"ids": [bytes(x) for x in slices]} if with_ids else {})
 
     return map_batches(placed.select(*names), run, schema)
 
@@ -198,7 +208,7 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     files = write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
-    return read(files).drop("ids")
+    return read(files, with_ids=False)
 
 
 QUERIES = {"op10_repair": op10_repair}
