@@ -87,8 +87,11 @@ def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(before, ["id", "reg"], "left").groupBy("id").agg(F.bool_or(F.col("rank") > F.coalesce("_old", F.lit(0))).alias("changed"))
 
 
-def hyperanf(vertices: DataFrame, edges: DataFrame, rounds: int, rsd: float = 0.1, cut_every: int = 2) -> DataFrame:
-    """``id, estimate`` of how many vertices reach each in at most ``rounds`` steps, itself included."""
+def hyperanf(vertices: DataFrame, edges: DataFrame, rounds: int, rsd: float = 0.1, cut_every: int = 1) -> DataFrame:
+    """``id, estimate`` of how many vertices reach each in at most ``rounds`` steps, itself included.
+
+    A round reads the counters twice, for the vertices and for their edges, so each is written once.
+    """
     p = Parameters(rsd)
     state = counters(vertices, p)
     edges = edges.select("src", "dst").distinct()  # the union is idempotent: repeated edges add nothing
