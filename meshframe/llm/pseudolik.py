@@ -1,15 +1,17 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A bidirectional window network predicts each word of a text from the words around it: the vectors of
-``SPAN`` words on either side are added, passed through a tanh layer, and a two-level softmax gives
-the probability of the word's class and of the word in its class.  The sum of the conditional
-log-probabilities of all words is the score of a text.
-
-The vocabulary has an edge mark, the most frequent words of all documents, and buckets by checksum
-for the rest.  The network is written in numpy.  Each task goes over all words of its rows once, in
-batches, from the same start; the parameters of all tasks are averaged by their numbers of words.
-Every word of the corpus is counted and trained on, and every task sends its own parameters, so what
-is gathered grows with the input; what the driver holds is one set of parameters.
+``SPAN`` words on either side, each turned by the matrix of its place, are added and passed through a
+tanh layer.  Words are numbered from 1 by falling count; a softmax gives the bit length of the number,
+and a binary decision a bit gives the rest of it.  The sum of the conditional log-probabilities of all
+words is the score of a text.
+
+The vocabulary follows the corpus: an edge mark, every word that occurs ``LEAST`` times or more, and a
+bucket by checksum for each ``WORDS_PER_BUCKET`` of them (``BUCKETS`` at least) for the rarer words.
+The network is written in numpy.  Each task goes over all words of its rows once, in batches, from the
+same start.  It sends the vectors that it trained, in blocks, and a vector is averaged over the tasks
+that trained it, by how often each did.  The driver and each task hold the words and one set of
+parameters, so memory grows with the vocabulary.
 """
 
 from __future__ import annotations
@@ -20,18 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshframe.llm.common import map_batches, needed, table
 
-CLASSES = 32
-VOCABULARY = CLASSES * CLASSES
-BUCKETS = 256
-FREQUENT = VOCABULARY - 1 - BUCKETS
+LEAST, BUCKETS, WORDS_PER_BUCKET = 5, 256, 4
 SPAN, WIDTH, BATCH, RATE = 2, 16, 16384, 0.1
 CHUNK_WORDS, TABLE_WORDS = 1 << 17, 400_000
+BLOCK_ROWS = 256
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -58,32 +59,59 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_batches(needed(docs, text), run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> list[tuple[str, int]]:
-    """The ``FREQUENT`` most frequent words with their counts; ties in the order of words."""
-    return [tuple(r) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+def vocabulary(counts: DataFrame) -> tuple[bytes, np.ndarray]:
+    """All words with a count of ``LEAST`` or more, joined by blanks, and their counts, by falling count; ties in the order of words."""
+    found = counts.where(F.col("n") >= LEAST).toArrow()
+    found = found.take(pa.compute.sort_indices(found, [("n", "descending"), ("word", "ascending")]))
+    return b" ".join(x.as_py() for x in found.column("word").cast(pa.binary())), found.column("n").to_numpy()
 
 
 class WindowNetwork:
-    """The parameters and their training; ``order`` of arrays is fixed, so that they can be averaged."""
+    """The parameters and their training; the order of ``parts`` is fixed, so that they can be averaged.
 
-    def __init__(self, words: list[tuple[str, int]], values: np.ndarray | None = None) -> None:
-        self.ids = {w.encode(): i + 1 for i, (w, _) in enumerate(words)}
-        self.shapes = [(2 * SPAN, VOCABULARY, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,), (CLASSES, WIDTH, CLASSES), (CLASSES, CLASSES)]
+    The first two parts have a row a word and a row a decision; a step changes few of their rows.
+    """
+
+    def __init__(self, words: list[tuple[str, int]] | tuple[bytes, np.ndarray], values: np.ndarray | None = None) -> None:
+        if isinstance(words, list):
+            words = b" ".join(w.encode() for w, _ in words), np.array([c for _, c in words], np.int64)
+        joined, counts = words
+        self.ids = {w: i for i, w in enumerate(joined.split(), 1)}
+        self.first = 1 + len(self.ids)
+        self.buckets = max(BUCKETS, len(self.ids) // WORDS_PER_BUCKET)
+        self.size = self.first + self.buckets
+        kinds = (self.size - 1).bit_length()
+        # the decisions of a bit length k + 1 are a heap from 2 ** k on
+        decisions = (1 << kinds - 1) + (self.size - 1 >> 1) + 1
+        self.shapes = [(self.size, WIDTH), (decisions, WIDTH + 1), (2 * SPAN, WIDTH, WIDTH), (WIDTH,), (WIDTH, kinds), (kinds,)]
+        self.kind = (np.frexp(np.arange(self.size, dtype=np.float64))[1] - 1).astype(np.int8)
+        self.set(np.zeros(sum(int(np.prod(s)) for s in self.shapes), np.float32) if values is None else values)
         if values is None:
             rng = np.random.default_rng(7)
-            start = [rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s) for s in self.shapes]
-            # the biases start at the frequencies of classes and of words in them
-            n = np.full(VOCABULARY, 1.0)
-            n[1 : 1 + len(words)] += [c for _, c in words]
-            n[1 + FREQUENT :] = n[1 : 1 + FREQUENT].mean()
-            n = n.reshape(CLASSES, CLASSES)
-            start[3] = np.log(n.sum(1) / n.sum())
-            start[5] = np.log(n / n.sum(1, keepdims=True))
-            values = np.concatenate([x.ravel() for x in start])
-        self.set(values)
+            for part, scale in zip(self.parts, (0.3, 0.1, 0.1, 0, 0.1, 0), strict=True):
+                if scale:
+                    rng.random(out=part, dtype=np.float32)
+                    part -= np.float32(0.5)
+                    part *= np.float32(scale * 12**0.5)
+            self.parts[1][:, WIDTH] = 0
+            self.parts[2] += np.eye(WIDTH, dtype=np.float32)
+            # the biases start at the frequencies of bit lengths and of words in them
+            n = np.full(self.size, 1.0)
+            n[1 : self.first] += counts
+            n[self.first :] = n[1 : self.first].mean() if len(counts) else 1.0
+            total = np.concatenate([[0.0, 0.0], np.cumsum(n[1:])])  # of numbers below a number
+            upto = lambda x: total[np.minimum(x, self.size)]
+            ends = upto(1 << np.arange(kinds + 1))
+            self.parts[5][:] = np.log(np.diff(ends) / ends[-1])
+            for k in range(1, kinds):
+                for i in range(1, k + 1):
+                    p = np.arange(1 << k - i, min(1 << k - i + 1, (self.size - 1 >> i) + 1))
+                    left, right = (upto(c + 1 << i - 1) - upto(c << i - 1) for c in (2 * p, 2 * p + 1))
+                    self.parts[1][(1 << k) + p, WIDTH] = np.log(np.maximum(right, 1e-9) / np.maximum(left, 1e-9))
 
     def set(self, values: np.ndarray) -> None:
-        self.values = np.array(values, np.float32)
+        """Take ``values``; an array of 32-bit floats that can be written is used as it is."""
+        self.values = np.require(values, np.float32, ["W"])
         self.parts, at = [], 0
         for s in self.shapes:
             n = int(np.prod(s))
@@ -92,8 +120,8 @@ class WindowNetwork:
 
     def numbers(self, text: str | None) -> np.ndarray:
         """The word numbers of a text."""
-        get, first = self.ids.get, 1 + FREQUENT
-        return np.array([get(w) or first + zlib.crc32(w) % BUCKETS for w in (text or "").encode().split()], np.int32)
+        get, first, buckets = self.ids.get, self.first, self.buckets
+        return np.array([get(w) or first + zlib.crc32(w) % buckets for w in (text or "").encode().split()], np.int32)
 
     def contexts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Words of several texts in a row, and the words around each; beyond a text stands the edge mark 0."""
@@ -105,10 +133,21 @@ class WindowNetwork:
         return row[at], around
 
     def _hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.parts[0][0][around[0]]
-        for table_, a in zip(self.parts[0][1:], around[1:], strict=True):
-            total += table_[a]
-        return np.tanh(total + self.parts[1])
+        """The hidden layer, with a last column of ones for the biases of decisions."""
+        out = np.ones((around.shape[1], WIDTH + 1), np.float32)
+        total = self.parts[0][around[0]] @ self.parts[2][0]
+        for turn, a in zip(self.parts[2][1:], around[1:], strict=True):
+            total += self.parts[0][a] @ turn
+        np.tanh(total + self.parts[3], out=out[:, :WIDTH])
+        return out
+
+    def _decisions(self, word: np.ndarray, kind: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit below the first of ``word`` (ascending by ``kind``): the first word that has it, the
+        decisions, the bits, and where both bits have words."""
+        for i in range(1, int(kind[-1]) + 1 if len(kind) else 1):
+            lo = int(np.searchsorted(kind, i))
+            prefix = word[lo:] >> i
+            yield lo, (1 << kind[lo:].astype(np.int64)) + prefix, word[lo:] >> i - 1 & 1, (2 * prefix.astype(np.int64) + 1 << i - 1) < self.size
 
     @staticmethod
     def _softmax(x: np.ndarray) -> np.ndarray:
@@ -127,68 +166,103 @@ class WindowNetwork:
 
     def log_probabilities(self, word: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Of each word given those around it."""
-        by = np.argsort((word // CLASSES).astype(np.int8), kind="stable")  # words of a class lie together
+        by = np.argsort(self.kind[word], kind="stable")  # words of a bit length lie together
         word, around = word[by], around[:, by]
-        h = self._hidden(around)
-        kind, inner = word // CLASSES, word % CLASSES
-        found = self._log_softmax(self.parts[2].T @ h.T + self.parts[3][:, None])[kind, np.arange(len(word))].astype(np.float64)
-        ends = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
-        for c, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
-            if lo < hi:
-                logs = self._log_softmax(self.parts[4][c].T @ h[lo:hi].T + self.parts[5][c][:, None])
-                found[lo:hi] += logs[inner[lo:hi], np.arange(hi - lo)]
+        h, kind = self._hidden(around), self.kind[word]
+        found = self._log_softmax(self.parts[4].T @ h[:, :WIDTH].T + self.parts[5][:, None])[kind, np.arange(len(word))].astype(np.float64)
+        for lo, at, bit, free in self._decisions(word, kind):
+            x = np.einsum("ij,ij->i", self.parts[1][at], h[lo:])
+            found[lo:] -= np.where(free, np.logaddexp(0, np.where(bit == 1, -x, x)), 0)
         out = np.empty(len(word))
         out[by] = found
         return out
 
-    def train(self, word: np.ndarray, around: np.ndarray, memory: list[np.ndarray]) -> None:
-        """One step of adaptive gradient descent; ``memory`` holds sums of squared gradients."""
-        tables, bias, u, c0, v, c1 = self.parts
+    def train(self, word: np.ndarray, around: np.ndarray, memory: list[np.ndarray], counts: list[np.ndarray] | None = None) -> None:
+        """One step of adaptive gradient descent; ``memory`` holds sums of squared gradients.
+
+        ``counts`` of the rows of the first two parts are raised by how often each is trained.
+        """
+        table_, decisions, turns, bias, u, c0 = self.parts
         n = len(word)
-        by = np.argsort((word // CLASSES).astype(np.int8), kind="stable")  # words of a class lie together
+        if not n:
+            return
+        by = np.argsort(self.kind[word], kind="stable")  # words of a bit length lie together
         word, around = word[by], around[:, by]
-        kind, inner = word // CLASSES, word % CLASSES
-        h = self._hidden(around)
+        h1, kind = self._hidden(around), self.kind[word]
+        h = h1[:, :WIDTH]
         d = self._softmax(u.T @ h.T + c0[:, None])
         d[kind, np.arange(n)] -= 1
-        dh = (u @ d).T
-        grads = [None, None, h.T @ d.T, d.sum(1), np.zeros_like(v), np.zeros_like(c1)]
-        ends = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
-        for c, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
-            if lo < hi:
-                e = self._softmax(v[c].T @ h[lo:hi].T + c1[c][:, None])
-                e[inner[lo:hi], np.arange(hi - lo)] -= 1
-                grads[4][c], grads[5][c] = h[lo:hi].T @ e.T, e.sum(1)
-                dh[lo:hi] += (v[c] @ e).T
+        dh = np.ascontiguousarray((u @ d).T)
+        places, steps = [], []
+        for lo, at, bit, free in self._decisions(word, kind):
+            w = decisions[at]
+            x = np.einsum("ij,ij->i", w, h1[lo:])
+            e = np.where(free, 1 / (1 + np.exp(-np.clip(x, -60, 60))) - bit, 0).astype(np.float32)[:, None]
+            dh[lo:] += e * w[:, :WIDTH]
+            places.append(at)
+            steps.append(e * h1[lo:])
         dz = dh * (1 - h * h)
-        grads[1] = dz.sum(0)
-        grads[0] = np.empty_like(tables)
-        columns = dz.T.astype(np.float64)
-        for o, a in enumerate(around):
-            for j, column in enumerate(columns):
-                grads[0][o][:, j] = np.bincount(a, column, VOCABULARY)
-        for p, g, m in zip(self.parts, grads, memory, strict=True):
+        moved = [(around.ravel(), np.concatenate([dz @ t.T for t in turns]))]
+        if places:
+            moved.append((np.concatenate(places), np.concatenate(steps)))
+        shared = [np.stack([table_[a].T @ dz for a in around]), dz.sum(0), h.T @ d.T, d.sum(1)]
+        for k, (at, g) in enumerate(moved):
+            marks = np.zeros(self.shapes[k][0], bool)
+            marks[at] = True
+            rows = np.flatnonzero(marks)
+            slot = np.empty(len(marks), np.int32)
+            slot[rows] = np.arange(len(rows))
+            at = slot[at]
+            g = np.stack([np.bincount(at, column, len(rows)) for column in g.T], 1).astype(np.float32) / n
+            m = memory[k][rows] + (g * g).mean(1, keepdims=True) if memory[k].shape[1] == 1 else memory[k][rows] + g * g
+            memory[k][rows] = m
+            self.parts[k][rows] -= RATE * g / (np.sqrt(m) + 1e-8)
+            if counts is not None:
+                counts[k][rows] += np.bincount(at, minlength=len(rows))
+        for p, g, m in zip(self.parts[2:], shared, memory[2:], strict=True):
             g /= n
             m += g * g
-            p -= RATE * g / (np.sqrt(m) + 1e-6)
+            p -= RATE * g / (np.sqrt(m) + 1e-8)
 
     def memory(self) -> list[np.ndarray]:
-        return [np.full(s, 1e-8, np.float32) for s in self.shapes]
+        """For ``train``; the rows of the first two parts have one sum each."""
+        return [np.full((s[0], 1) if i < 2 else s, 1e-12, np.float32) for i, s in enumerate(self.shapes)]
+
+
+_BLOCK = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("rows", T.BinaryType()), T.StructField("weights", T.BinaryType()), T.StructField("vectors", T.BinaryType())])
+
+
+def _averaged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one block, averaged over tasks by their weights; one batch of one row."""
+    part, block = (k.as_py() for k in key)
+    weights, vectors = None, None
+    for batch in batches:
+        for r, w, v in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            rows, w = np.frombuffer(r, "<u2"), np.frombuffer(w, "<f4").astype(np.float64)
+            v = np.frombuffer(v, "<f4").reshape(len(rows), -1)
+            if weights is None:
+                weights, vectors = np.zeros(BLOCK_ROWS), np.zeros((BLOCK_ROWS, v.shape[1]))
+            weights[rows] += w
+            vectors[rows] += v * w[:, None]
+    rows = np.flatnonzero(weights)
+    out = (vectors[rows] / weights[rows, None]).astype("<f4")
+    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "rows": [rows.astype("<u2").tobytes()], "weights": [b""], "vectors": [out.tobytes()]})
 
 
 def fit(docs: DataFrame, text: str = "text") -> WindowNetwork:
     """The network trained on all whole texts of ``docs``; null texts are empty, and without words it stays at its start."""
     words = vocabulary(count_words(docs, text))
-    schema = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("value", T.DoubleType()), T.StructField("words", T.DoubleType())])
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        network = WindowNetwork(words)
+        network = WindowNetwork(sent.value)
         memory, total = network.memory(), 0
+        trained = [np.zeros(s[0], np.int64) for s in network.shapes[:2]]
 
         def learn(texts: list[np.ndarray]) -> int:
             word, around = network.contexts(texts)
             for i in range(0, len(word), BATCH):
-                network.train(word[i : i + BATCH], around[:, i : i + BATCH], memory)
+                network.train(word[i : i + BATCH], around[:, i : i + BATCH], memory, trained)
             return len(word)
 
         held, n = [], 0
@@ -201,28 +275,35 @@ def fit(docs: DataFrame, text: str = "text") -> WindowNetwork:
                     held, n = [], 0
         total += learn(held)
         if total:
-            size = len(network.values)
-            yield {"at": np.arange(size, dtype=np.int32), "value": network.values.astype(np.float64) * total, "words": np.full(size, float(total))}
-
-    # one row a parameter: the averages are sums over tasks, combined before and after the shuffle
-    sums = map_batches(needed(docs, text), run, schema).groupBy("at").agg((F.sum("value") / F.sum("words")).alias("value"))
+            for k, part in enumerate(network.parts):
+                part = part if k < 2 else part.reshape(-1, 1)
+                weight = trained[k] if k < 2 else np.full(len(part), total)
+                for at in range(0, len(part), BLOCK_ROWS):
+                    rows = np.flatnonzero(weight[at : at + BLOCK_ROWS])
+                    if len(rows):
+                        yield {"part": [k], "block": [at // BLOCK_ROWS], "rows": [rows.astype("<u2").tobytes()], "weights": [weight[at + rows].astype("<f4").tobytes()], "vectors": [part[at + rows].astype("<f4").tobytes()]}
+
+    # each task sends most vectors of its rows' words, so a task goes over four partitions where there are many
+    few = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 4)
+    sums = map_batches(needed(docs, text).coalesce(few), run, _BLOCK).groupBy("part", "block").applyInArrow(_averaged, _BLOCK)
     found = sums.toArrow()
     network = WindowNetwork(words)
-    values = network.values.copy()
-    values[found.column("at").to_numpy()] = found.column("value").to_numpy()
-    network.set(values)
+    for k, block, rows, vectors in zip(*(found.column(c).to_pylist() for c in ("part", "block", "rows", "vectors")), strict=True):
+        part = network.parts[k] if k < 2 else network.parts[k].reshape(-1, 1)
+        rows = block * BLOCK_ROWS + np.frombuffer(rows, "<u2").astype(np.int64)
+        part[rows] = np.frombuffer(vectors, "<f4").reshape(len(rows), -1)
     return network
 
 
 def score(docs: DataFrame, network: WindowNetwork, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, log_likelihood, per_word`` of every row; without words the sum is 0 and the mean is null."""
-    words = sorted(network.ids, key=network.ids.get)
-    sent = docs.sparkSession.sparkContext.broadcast((words, network.values))  # VOCABULARY words and a fixed number of parameters
+    words = b" ".join(network.ids), np.zeros(0)
+    sent = docs.sparkSession.sparkContext.broadcast((words, network.values))  # words and parameters, which grow with the vocabulary
     schema = T.StructType([docs.schema[doc_id], T.StructField("n_words", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("per_word", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         names, values = sent.value
-        model = WindowNetwork([(w.decode(), 1) for w in names], values)
+        model = WindowNetwork(names, values)
         for batch in batches:
             counts, sums = [], []
             held, n = [], 0

@@ -291,6 +291,17 @@ def test_scores_prefer_what_was_seen(spark, sf):
         assert r["log_likelihood"] == pytest.approx(model.log_probabilities(*model.contexts([model.numbers(text)])).sum(), rel=1e-5)
 
 
+def test_vocabulary_follows_the_corpus(spark):
+    names = [f"w{i}" for i in range(3000)]
+    docs = documents(spark, [(i, " ".join(names)) for i in range(pseudolik.LEAST)] + [(99, "rare")])
+    net = pseudolik.fit(docs)
+    assert set(net.ids) == {w.encode() for w in names} and net.buckets == 750
+    assert len(set(net.numbers(" ".join(names)).tolist())) == 3000 and net.numbers("rare")[0] > 3000
+    word = np.arange(1, net.size, dtype=np.int32)
+    around = np.repeat(net.numbers("w1 w2 w3 w4")[:, None], len(word), 1)
+    assert np.exp(net.log_probabilities(word, around)).sum() == pytest.approx(1, abs=1e-3)
+
+
 # ---- fixity
 
 
