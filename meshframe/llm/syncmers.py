@@ -7,8 +7,8 @@ anchors wherever it stands, and the half of a text that an edit leaves alone kee
 
 The fingerprint is the ``SIZE`` least distinct 32-bit hashes of the chosen runs, in order, as hex.  Two
 fingerprints are compared as bottom sketches: the share of common hashes among the least ``SIZE`` of
-both.  A text of fewer than ``K`` tokens has one hash, that of all its tokens; one without any has
-none, and is like another such text only.
+both.  A text where no run is chosen, as one of fewer than ``K`` tokens, has one hash, that of all its
+tokens; one without any has none, and is like another such text only.
 """
 
 from __future__ import annotations
@@ -60,7 +60,9 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
 
     long = F.array_compact(F.transform(F.sequence(F.lit(0), F.greatest(F.size(m) - K, F.lit(0))), hashed))
     whole = F.array(F.shiftright(F.xxhash64("_tokens"), 32).cast("int"))
-    every = F.when(F.size(m) >= K, long).when(F.size(m) > 0, whole).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    found = F.array(F.when(F.size(m) >= K, long).otherwise(none))  # an array of one, so that it is computed once
+    every = F.get(F.transform(found, lambda x: F.when(F.size(x) > 0, x).when(F.size(m) > 0, whole).otherwise(none)), F.lit(0))
     return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(every)), 1, SIZE)).drop("_tokens", "_inner")
 
 

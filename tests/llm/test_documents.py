@@ -229,6 +229,13 @@ def test_likeness(spark, sf):
     assert got[0] > 0.2 and got[1] < 0.2 and got[2] == 1
 
 
+def test_short_texts_have_fingerprints_of_their_own(spark):
+    texts = {i: prose(i, 5 + i % 6, 10**6) for i in range(300)} | {300: ""}
+    got = {r["doc_id"]: r["s"] for r in syncmers.with_sketch(documents(spark, list(texts.items())), "text", "s").select("doc_id", "s").collect()}
+    assert got.pop(300) == [] and all(got.values())
+    assert len({tuple(s) for s in got.values()}) == len(set(texts.values())) - 1
+
+
 # ---- scores
 
 
