@@ -8,13 +8,14 @@ cover it.
 
 The classic algorithm replaces one pair at a time.  Here a round takes ``PAIRS`` pairs at once, so
 that a round is a few passes of vector code; where two pairs of a round overlap, the left one wins.
+Pairs are counted exactly, and rounds go on until no pair stands ``LEAST`` times.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -27,46 +28,33 @@ from meshframe.llm.bytebpe import ByteBpe, definition
 from meshframe.llm.common import free_name, map_batches, needed, store, table
 
 SHARD_IDS = 1 << 21
-ROUNDS, PAIRS, LEAST = 4, 1024, 16
-_BINS = 18
+PAIRS, LEAST = 1024, 16
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """The rules (two symbols each, the first rule is symbol ``base``) and the sequence that is left."""
+def compress(ids: np.ndarray, base: int, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """The rules (two symbols each, the first rule is symbol ``base``) and the sequence that is left.
+
+    Without ``rounds``, no pair is left with a count of ``least``, which is 4 or more.
+    """
     seq = np.ascontiguousarray(ids, np.int32)
     rules = np.zeros((0, 2), np.int32)
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
+    at_once = pairs
+    for _ in count() if rounds is None else range(rounds):
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
-        hashed = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BINS)).astype(np.int32)
-        counts = np.bincount(hashed, minlength=1 << _BINS)
-        top = np.flatnonzero(counts >= least)
-        if len(top) > 2 * pairs:
-            top = top[np.argpartition(counts[top], -2 * pairs)[-2 * pairs :]]
-        if not len(top):
-            break
-        slot = np.full(1 << _BINS, -1, np.int16)
-        slot[top] = np.arange(len(top))
-        of = slot[hashed]
-        places = np.flatnonzero(of >= 0)
-        of, key = of[places], key[places]
-        # a bin is one pair as a rule; where others fell into it, the more frequent of two is taken
-        pair = np.zeros((2, len(top)), np.uint64)
-        pair[0][of] = key
-        other = key != pair[0][of]
-        pair[1][of[other]] = key[other]
-        n = np.stack([np.bincount(of[~other], minlength=len(top)), np.bincount(of[other & (key == pair[1][of])], minlength=len(top))])
-        pair, n = np.where(n[1] > n[0], pair[1], pair[0]), n.max(0)
-        best = np.lexsort((pair, -n))[:pairs]
-        best = best[n[best] >= least]
+        ordered = np.sort(key)
+        begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(begins, append=len(key))
+        frequent = np.flatnonzero(n >= least)
+        found, n = ordered[begins[frequent]], n[frequent]
+        best = np.lexsort((found, -n))[:at_once]
         if not len(best):
             break
-        found = pair
-        number = np.full(len(found), -1, np.int32)
-        number[best] = np.arange(len(best))
-        which = np.where(key == pair[of], number[of], -1)
-        places, which = places[which >= 0], which[which >= 0]
+        best = np.sort(best)
+        found = found[best]
+        which = np.searchsorted(found, key)
+        which = np.where(found[np.minimum(which, len(found) - 1)] == key, which, -1)
+        places = np.flatnonzero(which >= 0)
+        which = which[places]
         opens = np.diff(places, prepend=-2) != 1  # the first place of each run of overlapping pairs
         run_start = places[opens][np.cumsum(opens) - 1]
         taken = (places - run_start) % 2 == 0
@@ -77,9 +65,13 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIR
         renumber[kept] = np.arange(len(kept))
         which = renumber[which]
         places, which = places[which >= 0], which[which >= 0]
-        if not len(places):
-            break
-        pair = found[best[kept]]
+        if not len(places):  # each pair lost its places to others
+            if at_once == 1:
+                break
+            at_once = 1
+            continue
+        at_once = pairs
+        pair = found[kept]
         new = np.stack([(pair >> np.uint64(32)).astype(np.int32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int32)], 1)
         seq = seq.copy()
         seq[places] = base + len(rules) + which

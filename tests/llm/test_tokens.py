@@ -109,6 +109,16 @@ def test_grammar_round_trip(seed):
         assert (g.range(int(a), int(n)) == ids[a : a + n]).all()
 
 
+def test_no_frequent_pair_is_left():
+    r = np.random.default_rng(1)
+    passage = r.integers(0, 5000, 700)
+    ids = np.concatenate([x for _ in range(60) for x in (passage, r.integers(0, 5000, 50))]).astype(np.int32)
+    rules, seq = repair.compress(ids, 5000)
+    assert (repair.Grammar(rules, repair.lengths(rules, 5000), seq, 5000).all() == ids).all()
+    assert np.unique(np.stack([seq[:-1], seq[1:]]), axis=1, return_counts=True)[1].max() < repair.LEAST
+    assert repair.lengths(rules, 5000).max() > 500 and len(seq) < 5000
+
+
 def test_files_equal_the_library(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     library = Tokenizer.from_file(BPE)
