@@ -3,7 +3,7 @@
 The words of the training texts are cut into shards of a bounded size.  A shard gets a suffix array
 as deep as the longest benchmark item, and every suffix of every item is binary-searched in it, a
 word at a time, for all suffixes at once.  The search gives the longest verbatim match of each
-suffix, and all places where the first ``window`` words of it stand.
+suffix and at each place, and all places where the first ``window`` words of a suffix stand.
 
 A shard is a run of rows of one task.  A text longer than a shard is cut into pieces that overlap by
 the depth, so no match is lost and no row needs more memory than a shard.  Nothing is shuffled.
@@ -108,8 +108,11 @@ class Benchmark:
         short = size[self.item] < window if items else np.zeros(0, bool)
         self.window = np.where(short & (offset == 0), self.left, np.where(self.left >= window, window, 0))
 
-    def search(self, x: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For every suffix: words of its longest match, one place of it, and the range of ``order`` where its window stands."""
+    def search(self, x: np.ndarray, order: np.ndarray, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For every suffix: words of its longest match, one place of it, and the range of ``order`` where its window stands.
+
+        ``reach`` is filled with the words of the longest match of any suffix at each place of ``order``.
+        """
         n = len(self.flat)
         lo, hi = np.zeros(n, np.int64), np.full(n, len(order), np.int64)
         longest, place = np.zeros(n, np.int64), np.full(n, -1, np.int64)
@@ -123,14 +126,18 @@ class Benchmark:
             lo[live], hi[live] = a, b
             at += 1
             longest[live], place[live] = at, order[a]
+            if reach is not None:
+                begins, own = np.unique(a, return_index=True)  # ranges of different words are disjoint
+                sizes = b[own] - begins
+                reach[np.arange(sizes.sum()) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)] = at
             whole = self.window[live] == at
             wlo[live[whole]], whi[live[whole]] = a[whole], b[whole]
             live = live[self.left[live] > at]
         return longest, place, wlo, whi
 
 
-def _search_shard(bench: Benchmark, pieces: list[tuple[int, int, list[bytes]]], hits: dict[int, list], items: dict[int, set], longest: dict[int, int]) -> None:
-    """Search the shard of ``pieces`` (row, first word, words); adds intervals, items and longest matches by row."""
+def _search_shard(bench: Benchmark, pieces: list[tuple[int, int, list[bytes]]], hits: dict[int, list], items: dict[int, set], longest: dict[int, tuple[int, int]]) -> None:
+    """Search the shard of ``pieces`` (row, first word, words); adds intervals, items and longest matches (words, first of them) by row."""
     of = bench.vocabulary.get
     # a word of no item cuts matches as the end of a text does; both are the largest id
     cut = len(bench.vocabulary)
@@ -141,12 +148,16 @@ def _search_shard(bench: Benchmark, pieces: list[tuple[int, int, list[bytes]]],
     if not len(starts):
         return
     order = suffix_array(x, bench.depth, starts)
-    match, place, wlo, whi = bench.search(x, order)
-    some = np.flatnonzero(match > 0)
-    at = np.searchsorted(begins, place[some], "right") - 1
-    for i, m in zip(at.tolist(), match[some].tolist(), strict=True):
-        row = pieces[i][0]
-        longest[row] = max(longest.get(row, 0), m)
+    reach = np.zeros(len(order), np.int64)
+    _, _, wlo, whi = bench.search(x, order, reach)
+    length = np.zeros(len(x), np.int64)
+    length[order] = reach
+    best = np.maximum.reduceat(length, begins[:-1])
+    ends = np.flatnonzero((length > 0) & (length == np.repeat(best, sizes)))
+    at, own = np.unique(np.searchsorted(begins, ends, "right") - 1, return_index=True)
+    for i, m, p in zip(at.tolist(), best[at].tolist(), (ends[own] - begins[at]).tolist(), strict=True):
+        row, first, _ = pieces[i]
+        longest[row] = max(longest.get(row, (0, 0)), (m, first + p), key=lambda x: (x[0], -x[1]))
     n = whi - wlo
     which = np.repeat(np.arange(len(n)), n)
     if not len(which):
@@ -189,7 +200,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     Its fields: ``n_words``; ``hits``, the disjoint word ranges ``[from, to)`` inside occurrences of
     item windows, ascending; ``items``, the ``item_id`` of the items that occur, as distinct sorted
     strings; ``n_items``, their count over rows of the benchmark; ``longest``, words of the longest
-    match that a search reported in the text (0 without any).
+    passage of the text that stands in an item (0 without any), and ``longest_from``, the first word
+    of the first such passage (null without any).
 
     A window is ``window`` words; an item of fewer words is one window, an item without words none.
     Null and empty texts have no words.  Repeated rows are found each; an item without id counts in
@@ -201,7 +213,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     spare = free_name([*keep, out], "searched_text")
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(spare))
     span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
-    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_items", T.LongType()), T.StructField("longest", T.LongType())])
+    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_items", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("longest_from", T.LongType())])
     base = frame.withColumn(out, F.lit(None).cast(kind))
     schema, names = base.schema, base.columns
     found = base
@@ -218,7 +230,7 @@ def _find_fn(sent, window: int, shard_words: int, names: list[str], spare: str,
         counts: list[int] = []
         hits: dict[int, list] = {}
         items: dict[int, set] = {}
-        longest: dict[int, int] = {}
+        longest: dict[int, tuple[int, int]] = {}
         n_held = n_bytes = 0
         overlap = bench.depth - 1
         step = max(shard_words, 2 * overlap + 1)
@@ -235,12 +247,13 @@ def _find_fn(sent, window: int, shard_words: int, names: list[str], spare: str,
                 columns = {n: batch.column(i) for i, n in enumerate(names)}
                 values = []
                 for old in batch.column(names.index(out)).to_pylist():
-                    new = {"n_words": counts[row], "hits": _merged(hits.get(row, [])), "items": {str(bench.names[i]) for i in items.get(row, ()) if bench.names[i] is not None}, "n_items": len(items.get(row, ())), "longest": longest.get(row, 0)}
+                    new = {"n_words": counts[row], "hits": _merged(hits.get(row, [])), "items": {str(bench.names[i]) for i in items.get(row, ()) if bench.names[i] is not None}, "n_items": len(items.get(row, ())), "longest": longest.get(row, (0, None))[0], "longest_from": longest.get(row, (0, None))[1]}
                     if old:
                         new["hits"] = _merged([*new["hits"], *[(h["from"], h["to"]) for h in old["hits"]]])
                         new["items"] |= set(old["items"])
                         new["n_items"] += old["n_items"]
-                        new["longest"] = max(new["longest"], old["longest"])
+                        if old["longest"] and (-old["longest"], old["longest_from"]) < (-new["longest"], new["longest_from"] or 0):
+                            new["longest"], new["longest_from"] = old["longest"], old["longest_from"]
                     new["items"] = sorted(new["items"])
                     new["hits"] = [{"from": a, "to": b} for a, b in new["hits"]]
                     values.append(new)

@@ -65,6 +65,24 @@ def test_matches(spark, shard_words, slice_bytes):
         assert m["n_items"] == len(found)
 
 
+@pytest.mark.parametrize(("shard_words", "slice_bytes"), [(1 << 20, 1 << 24), (60, 40), (9, 1)])
+def test_longest_match_of_every_copy(spark, shard_words, slice_bytes):
+    items = [prose(1, 9), prose(2, 6) + " " + prose(1, 4), prose(3, 2)]
+    texts = ["x " + prose(1, 9) + " y"] * 4 + [prose(1, 7), prose(1, 7), "z " + prose(3, 2), prose(9, 8), ""] + [prose(1, 4) + " q " + prose(2, 6)] * 3
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = suffixes.find(documents(spark, list(enumerate(texts))).coalesce(1), bench, 4, shard_words, slice_bytes).select("doc_id", "matches").collect()
+
+    def brute(text):
+        w, found = text.split(), [(0, 0)]
+        for i in map(str.split, items):
+            found += [(n, -p) for p in range(len(w)) for a in range(len(i)) for n in range(1, len(i) - a + 1) if w[p : p + n] == i[a : a + n]]
+        return max(found)
+
+    for r in got:
+        n, p = brute(texts[r["doc_id"]])
+        assert (r["matches"]["longest"], r["matches"]["longest_from"]) == (n, -p if n else None)
+
+
 def test_longest_match_and_order():
     x = np.array([3, 1, 2, 1, 2, 4, 1, 2, 1, 5])
     order = suffixes.suffix_array(x, 10, np.arange(len(x)))
