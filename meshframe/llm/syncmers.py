@@ -1,6 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
-A text is cut into tokens of up to ``TOKEN`` characters without white space.  A run of ``K`` tokens
+A text is cut into tokens: words of up to ``TOKEN`` characters without white space, the two parts of a
+word of up to twice as many, and the single characters of a longer run, so that a passage of a text
+without white space has the same tokens wherever it stands.  A run of ``K`` tokens
 is a closed syncmer if the least hash of its inner runs of ``S`` tokens is that of its first or last
 one.  Whether a run is chosen depends on nothing outside it, so the same passage gives the same
 anchors wherever it stands, and the half of a text that an edit leaves alone keeps its own.
@@ -23,10 +25,12 @@ from meshframe.llm.common import needed, table
 
 TOKEN, K, S, SIZE = 8, 5, 2, 64
 ROWS_PER_RANGE, MOST_RANGES = 400, 8_192
+# the start of a run of at most two tokens, its second token, a character of a longer run
+_PATTERN = rf"(?<!\S)\S{{1,{TOKEN}}}(?=\S{{0,{TOKEN}}}(?!\S))|(?<=(?<!\S)\S{{{TOKEN}}})\S{{1,{TOKEN}}}(?!\S)|\S"
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PATTERN), F.lit(0))
 
 
 def _inner(t: Column) -> Column:

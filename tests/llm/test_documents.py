@@ -254,6 +254,19 @@ def test_short_texts_have_fingerprints_of_their_own(spark):
     assert len({tuple(s) for s in got.values()}) == len(set(texts.values())) - 1
 
 
+def test_passages_without_white_space_keep_their_anchors(spark):
+    r = random.Random(4)
+    passage = "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(400))
+    rows = [(0, passage)] + [(n, "x" * n + passage) for n in range(1, 8)] + [(8, passage[:200] + "x" + passage[200:])]
+    got = syncmers.with_sketch(documents(spark, rows), "text", "s").select("doc_id", "s")
+    one = got.where("doc_id = 0").select(F.col("s").alias("o"))
+    like = [x[0] for x in got.crossJoin(one).select(syncmers.likeness(F.col("s"), F.col("o"))).collect()]
+    assert len(like) == 9 and min(like) > 0.85
+    words = "short " + "a" * 8 + " " + "b" * 8 + "c" * 8 + " " + "d" * 8 + "e " + "🙂" * 17
+    cut = spark.createDataFrame([(words,)], "t string").select(syncmers.tokens(F.col("t"))).first()[0]
+    assert cut == ["short", "a" * 8, "b" * 8, "c" * 8, "d" * 8, "e", *["🙂"] * 17]
+
+
 # ---- scores
 
 
