@@ -22,9 +22,10 @@ class ByteBpe:
     """Ids equal to the tokenizers library's ``encode(text, add_special_tokens=False)``.
 
     Strings of special tokens inside a text are ordinary text, so no document can forge a separator.
+    With ``special`` they have the ids of these tokens, as in the library without further settings.
     """
 
-    def __init__(self, definition: str) -> None:
+    def __init__(self, definition: str, special: bool = False) -> None:
         import tiktoken
 
         self.definition = definition
@@ -32,13 +33,16 @@ class ByteBpe:
         pre = read["pre_tokenizer"]
         if read["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
             raise ValueError("not a plain byte-level definition")
+        if any(x["lstrip"] or x["rstrip"] or x["single_word"] or not x["special"] for x in read["added_tokens"]):
+            raise ValueError("added tokens that are not plain")
         self.special = {x["content"]: x["id"] for x in read["added_tokens"]}
+        self.found = list(self.special) if special else []
         hidden = (b for b in range(256) if b not in SHOWN)
         byte_of = {chr(b): b for b in SHOWN} | {chr(256 + i): b for i, b in enumerate(hidden)}
         vocab = read["model"]["vocab"]
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocab.items() if piece not in self.special}
-        self.engine = tiktoken.Encoding("from_definition", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.engine = tiktoken.Encoding("from_definition", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special if special else {})
         self.slow = None
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -46,6 +50,8 @@ class ByteBpe:
         if not text:
             return np.zeros(0, np.int32)
         try:
+            if any(x in text for x in self.found):
+                return np.array(self.engine.encode(text, allowed_special="all"), np.int32)
             return np.array(self.engine.encode_ordinary(text), np.int32)
         except BaseException as e:  # the engine's panics are no Exceptions
             if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
@@ -57,7 +63,7 @@ class ByteBpe:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_str(self.definition)
-            self.slow.encode_special_tokens = True
+            self.slow.encode_special_tokens = not self.found
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.int32)
 
 

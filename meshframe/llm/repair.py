@@ -119,12 +119,13 @@ class Grammar:
         return self._expand(self.seq[lo:hi])[start - before : start - before + n]
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int = SHARD_IDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int = SHARD_IDS, doc_id: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
     """Write ids of ``docs`` in ascending ``doc_id`` as compressed shards in the shared folder; gives the files.
 
     Ranges of ``doc_id`` are sorted each on its own; nulls come first, rows with equal ids lie in any
     order.  A row is a shard: ``part, shard, start`` (ids before it in its part), ``n_ids``,
-    ``doc_ids``, ``doc_lengths``, ``rules``, ``rule_lengths``, ``sequence``, ``base``.
+    ``doc_ids``, ``doc_lengths``, ``rules``, ``rule_lengths``, ``sequence``, ``base``.  With ``special``,
+    strings of special tokens have their ids.
     """
     source = needed(docs, doc_id, text)
     tie = free_name(source.columns, "tie")
@@ -135,7 +136,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int = SH
     schema = T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(x, long) for x in ("shard", "start", "n_ids")], T.StructField("doc_ids", T.ArrayType(source.schema[0].dataType)), T.StructField("doc_lengths", T.ArrayType(long, False)), *[T.StructField(x, binary) for x in ("rules", "rule_lengths", "sequence")], T.StructField("base", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        bpe = ByteBpe(model)
+        bpe = ByteBpe(model, special)
         part, shard, start = TaskContext.get().partitionId(), 0, 0
         names, parts, n = [], [], 0
         end = np.array([end_id], np.int32)
@@ -195,11 +196,12 @@ def read(files: DataFrame, with_ids: bool = True) -> DataFrame:
 def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text of ``documents``, written as Re-Pair shards and read back.
 
-    Null and empty texts: the end id alone.  Repeated rows give repeated rows, null ids come first.
+    Null and empty texts: the end id alone.  Strings of special tokens have their ids, as in the library
+    without further settings; documents are told apart by their lengths.  Repeated rows give repeated rows, null ids come first.
     """
     import public_tokenizers
 
-    files = write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    files = write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, special=True)
     return read(files, with_ids=False)
 
 

@@ -57,6 +57,17 @@ def test_bytes_equal_the_library():
     assert own.by_library("a b").tolist() == own.encode("a b").tolist()
 
 
+def test_special_strings_equal_the_plain_library(spark, odd):
+    library = Tokenizer.from_file(BPE)
+    own = bytebpe.ByteBpe(bytebpe.definition(BPE), special=True)
+    for x in [*noise(20_000), *(t or "" for _, t, *_ in odd_documents())]:
+        assert own.encode(x).tolist() == library.encode(x, add_special_tokens=False).ids
+    assert own.by_library("a<|endoftext|>").tolist() == own.encode("a<|endoftext|>").tolist()
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in repair.op10_repair(spark, odd).collect()}
+    ids = np.array([*library.encode(dict((i, t) for i, t, *_ in odd_documents())[12], add_special_tokens=False).ids, 2], "<u4")
+    assert 50256 in ids and got[12] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def brute(ids, sep):
     out, start = [], 0
     for i, x in enumerate(ids):
