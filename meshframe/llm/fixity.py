@@ -6,7 +6,8 @@ most ``FAN`` children, in order; the root stands for the file.  Replicas are com
 only below roots that differ are children compared, level by level, down to the damaged records.
 
 A level is one aggregation.  Files hold a bounded number of records, so no group is large, and only
-hashes cross the network: records are hashed where they are read.
+hashes cross the network: records are hashed where they are read.  Records are put in order by a range
+sort whose last key is unique, so one page id that holds a third of all rows is placed by many tasks.
 """
 
 from __future__ import annotations
@@ -19,34 +20,73 @@ from meshframe.llm.common import needed, store, table
 FAN, LEVELS = 8, 3
 FILE_RECORDS = FAN**LEVELS
 KEY = ["file", "part"]
+DATE = "1970-01-01T00:00:00Z"
+_LINE = "\r\n"
 
 
-def records(pages: DataFrame) -> DataFrame:
+def records(pages: DataFrame, date: str = DATE) -> DataFrame:
     """WARC records of ``pages`` (``page_id, url, html``): ``file, page_id, length, record``.
 
     File ``f`` takes the pages whose id divided by ``FILE_RECORDS`` is ``f``; pages without an id are
-    spread over about a million negative files by a checksum.  Null urls and pages are empty.
+    spread over about a million negative files by a checksum.  Null urls and pages are empty.  The
+    record id is made of the digest of url and page, so equal pages have equal records; the date is
+    that of all records, since pages have none.
     """
     page = needed(pages, "page_id", "url", "html").select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     body = F.col("html").cast("binary")
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    record = F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
+    name = F.sha2(F.concat(F.col("url"), F.lit("\n"), F.col("html")).cast("binary"), 256)
+    uuid = F.concat_ws("-", *[F.substring(name, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    lines = ["WARC/1.0", "WARC-Type: resource", F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), uuid, F.lit(">")), f"WARC-Date: {date}", F.concat(F.lit("WARC-Target-URI: "), F.col("url")), F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"))]
+    head = F.concat(F.concat_ws(_LINE, *[F.lit(x) if isinstance(x, str) else x for x in lines]), F.lit(2 * _LINE))
+    record = F.concat(head.cast("binary"), body, F.lit(2 * _LINE).cast("binary"))
     file = F.when(F.col("page_id").isNull(), -1 - F.pmod(F.crc32(body), F.lit(1 << 20))).otherwise(F.floor(F.col("page_id") / FILE_RECORDS))
     return page.select(file.cast("bigint").alias("file"), "page_id", record.alias("record")).withColumn("length", F.octet_length("record").cast("bigint"))
 
 
+def parsed(archive: DataFrame) -> DataFrame:
+    """``archive`` with ``record_id, uri, declared`` (the content length that the head states) and ``content`` of its records.
+
+    Columns are null where the record has no such line; ``content`` is null unless the record ends
+    just after as many bytes as it declares, so a record that was cut or run together does not parse.
+    """
+    # the head is text up to the first empty line; Latin-1 keeps bytes and characters in step
+    text = F.decode("record", "ISO-8859-1")
+    at = F.instr(text, 2 * _LINE)
+    head = F.decode(F.substring(F.col("record"), F.lit(1), F.greatest(at - 1, F.lit(0))), "UTF-8")
+    line = lambda name: F.nullif(F.regexp_extract(F.col("_head"), rf"(?i)(?:^|\r\n){name}: *([^\r\n]*)", 1), F.lit(""))
+    out = archive.withColumn("_at", at).withColumn("_head", head)
+    out = out.withColumn("record_id", line("WARC-Record-ID")).withColumn("uri", line("WARC-Target-URI")).withColumn("declared", line("Content-Length").try_cast("bigint"))
+    whole = (F.col("_at") > 0) & F.col("_head").startswith("WARC/") & (F.octet_length("record") == F.col("_at") + 3 + F.col("declared") + 4)
+    content = F.substring(F.col("record"), F.col("_at") + 4, F.col("declared").cast("int"))
+    return out.withColumn("content", F.when(whole, content)).drop("_at", "_head")
+
+
+def numbered(archive: DataFrame) -> DataFrame:
+    """``archive`` written to the shared folder with ``number``, by which its rows are told apart, equal ones too."""
+    return store(archive.withColumn("number", F.monotonically_increasing_id()), "warc-records")
+
+
 def placed(archive: DataFrame) -> DataFrame:
-    """Records with their place: ``file, part, seq, offset`` and ``digest`` in place of the content.
+    """Numbered records with their place: ``file, part, seq, offset, length, digest, page_id, number``, without the content.
 
-    The order in a file is that of ``page_id`` and then the digest; records that are alike lie side by
-    side.  What exceeds ``FILE_RECORDS`` in a file goes to further parts of it.
+    The order in a file is that of ``page_id`` (null first) and then the digest; records that are alike
+    lie side by side.  What exceeds ``FILE_RECORDS`` in a file goes to further parts of it.
     """
-    light = archive.select("file", "page_id", "length", F.sha2("record", 256).alias("digest"))
-    order = Window.partitionBy("file").orderBy("page_id", "digest")
-    n = F.row_number().over(order) - 1
-    rows = light.withColumn("_n", n).withColumn("part", F.floor(F.col("_n") / FILE_RECORDS).cast("int")).withColumn("seq", F.pmod(F.col("_n"), F.lit(FILE_RECORDS)).cast("int"))
-    before = Window.partitionBy("file", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("file", "part", "seq", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "digest", "page_id")
+    light = archive.select("file", "page_id", "number", "length", F.sha2("record", 256).alias("digest"))
+    by = ["file", "page_id", "digest", "number"]
+    # rows of a range are numbered by their place in it; the key is unique, so no range is large
+    place = F.monotonically_increasing_id()
+    low = F.lit((1 << 33) - 1).cast("bigint")
+    sorted_ = light.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.shiftright(place, 33).cast("int").alias("_range"), place.bitwiseAND(low).alias("_at"))
+    rows = store(sorted_, "warc-order")
+    # a row for each file of a range: how many rows of the file lie before the range
+    runs = rows.groupBy("file", "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("file", "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    rows = rows.join(runs, ["file", "_range"]).withColumn("_n", F.col("_at") + F.col("_shift"))
+    rows = rows.withColumn("part", F.expr(f"_n div {FILE_RECORDS}").cast("int")).withColumn("seq", F.pmod(F.col("_n"), F.lit(FILE_RECORDS)).cast("int"))
+    own = Window.partitionBy("file", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("file", "part", "seq", F.coalesce(F.sum("length").over(own), F.lit(0)).alias("offset"), "length", "digest", "page_id", "number")
 
 
 def _hash(start: Column, end: Column, content: Column) -> Column:
@@ -82,31 +122,50 @@ def audit(own: list[DataFrame], other: list[DataFrame]) -> DataFrame:
     return differing.withColumnRenamed("at", "seq")
 
 
+def replica_index(index: DataFrame, replica: DataFrame) -> DataFrame:
+    """The index of an archive with the lengths and digests that the records of a replica have.
+
+    ``replica`` has ``number, length, record``; records that it lacks are lacking here too, so that the
+    audit reports them.
+    """
+    read = replica.select("number", F.octet_length("record").cast("bigint").alias("_length"), F.sha2("record", 256).alias("_digest"))
+    return index.join(read, "number").select("file", "part", "seq", "offset", F.col("_length").alias("length"), F.col("_digest").alias("digest"), "page_id", "number")
+
+
 def damaged(archive: DataFrame) -> DataFrame:
     """A replica with planted damage, to show that the audit finds it: the last byte of each record whose digest starts with ``00`` is ``!``."""
     hurt = F.concat(F.expr("substring(record, 1, cast(length as int) - 1)"), F.lit("!").cast("binary"))
     return archive.withColumn("record", F.when(F.sha2("record", 256).startswith("00"), hurt).otherwise(F.col("record")))
 
 
-def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``pages`` as WARC records with their place, leaf hash and root, audited against a written replica with planted damage."""
-    archive = records(table(spark, sf_dir, "pages"))
-    rows = store(placed(archive), "warc-index")
-    # the replica keeps the index of the archive, and its records are read from its own copy
-    copy = store(damaged(archive), "warc-replica").select("file", "page_id", F.sha2("record", 256).alias("read"), "length", F.monotonically_increasing_id().alias("_tie"))
-    by = Window.partitionBy("file").orderBy("page_id", "_tie")
-    found = copy.withColumn("_n", F.row_number().over(by) - 1).select("file", "_n", "read", F.col("length").alias("read_length"))
-    here = rows.withColumn("_n", F.col("part") * FILE_RECORDS + F.col("seq"))
-    replica = here.join(found, ["file", "_n"]).select("file", "part", "seq", "offset", F.col("read_length").alias("length"), F.col("read").alias("digest"), "page_id")
-    own = [store(x, "warc-tree") for x in tree(rows)]
+def report(index: DataFrame, replica: DataFrame) -> DataFrame:
+    """Each record of the stored ``index`` with ``leaf, root, replica_root, damaged``, audited against the replica's index.
+
+    ``replica_root`` is null where the replica lacks all records of a file.
+    """
+    own = [store(x, "warc-tree") for x in tree(index)]
     other = [store(x, "warc-tree") for x in tree(store(replica, "warc-index"))]
     hits = audit(own, other).select("file", "part", "seq", F.lit(True).alias("hit"))
-    roots = own[-1].select(*KEY, F.col("hash").alias("root")).join(other[-1].select(*KEY, F.col("hash").alias("replica_root")), KEY)
+    roots = own[-1].select(*KEY, F.col("hash").alias("root")).join(other[-1].select(*KEY, F.col("hash").alias("replica_root")), KEY, "left")
     leaves = own[0].select(*KEY, F.col("at").alias("seq"), "hash")
-    out = rows.join(leaves, [*KEY, "seq"]).join(hits, [*KEY, "seq"], "left").join(roots, KEY)
+    out = index.join(leaves, [*KEY, "seq"]).join(hits, [*KEY, "seq"], "left").join(roots, KEY)
     return out.select("page_id", "file", "part", "seq", "offset", "length", F.col("hash").alias("leaf"), "root", "replica_root", F.coalesce("hit", F.lit(False)).alias("damaged"))
 
 
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` as WARC records with their place, leaf hash and root, audited against a written replica with planted damage.
+
+    Null urls and pages are empty.  Pages without an id lie in negative files; pages that share an id,
+    with equal or other content, are records of their own, each audited against its own copy.  Very
+    long pages are hashed where they are read.  Extra columns are left behind; without pages there are
+    no rows.
+    """
+    archive = numbered(records(table(spark, sf_dir, "pages")))
+    index = store(placed(archive), "warc-index")
+    replica = store(damaged(archive), "warc-replica")
+    return report(index, replica_index(index, replica))
+
+
 QUERIES = {"op9_merkle": op9_merkle}
 
 
@@ -119,10 +178,14 @@ def _levels(name: str) -> str:
 
 
 _CRLF = "chr(13) || chr(10)"
+_NAME = "sha256(coalesce(url, '') || chr(10) || coalesce(html, ''))"
 SQL = {
     "op9_merkle": f"""
-with p as (select page_id, page_id // {FILE_RECORDS} file, 'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Target-URI: ' || coalesce(url, '')
-    || {_CRLF} || 'Content-Length: ' || strlen(coalesce(html, '')) || {_CRLF} || {_CRLF} || coalesce(html, '') || {_CRLF} || {_CRLF} record from pages),
+with n as (select page_id, coalesce(url, '') url, coalesce(html, '') html, {_NAME} h from pages),
+p as (select page_id, page_id // {FILE_RECORDS} file, 'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF}
+    || 'WARC-Record-ID: <urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' || {_CRLF}
+    || 'WARC-Date: {DATE}' || {_CRLF} || 'WARC-Target-URI: ' || url
+    || {_CRLF} || 'Content-Length: ' || strlen(html) || {_CRLF} || {_CRLF} || html || {_CRLF} || {_CRLF} record from n),
 q as (select page_id, file, strlen(record) n, sha256(record) d, sha256(left(record, length(record) - 1) || '!') bad from p),
 r as (select *, (row_number() over (partition by file order by page_id, d) - 1)::int seq, coalesce(sum(n) over (partition by file order by page_id, d rows between unbounded preceding and 1 preceding), 0)::bigint s from q),
 a0 as (select page_id, file, seq k, s, s + n e, sha256(s::varchar || '-' || (s + n)::varchar || ':' || d) h, d from r),

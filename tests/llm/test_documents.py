@@ -345,7 +345,7 @@ def test_vocabulary_follows_the_corpus(spark):
 
 def test_audit_finds_what_is_damaged_lost_and_added(spark):
     pages = spark.createDataFrame([(i, f"u{i}", prose(i, 5)) for i in range(1200)], "page_id bigint, url string, html string")
-    rows = fixity.placed(fixity.records(pages)).cache()
+    rows = fixity.placed(fixity.numbered(fixity.records(pages))).cache()
     own = fixity.tree(rows)
     assert fixity.audit(own, fixity.tree(rows)).collect() == []
     hurt = rows.withColumn("digest", F.when(F.col("page_id").isin(7, 800), F.lit("x")).otherwise(F.col("digest"))).where("page_id <> 1199")
@@ -356,10 +356,46 @@ def test_audit_finds_what_is_damaged_lost_and_added(spark):
 
 def test_files_of_many_records_have_parts(spark):
     pages = spark.range(1100).select(F.lit(5).cast("bigint").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
-    sizes = {r["part"]: r["count"] for r in fixity.placed(fixity.records(pages)).groupBy("part").count().collect()}
+    sizes = {r["part"]: r["count"] for r in fixity.placed(fixity.numbered(fixity.records(pages))).groupBy("part").count().collect()}
     assert sizes == {0: 512, 1: 512, 2: 76}
 
 
+@pytest.mark.parametrize("repeats", [1, 2, 400])
+def test_repeated_page_ids_are_audited_each(spark, tmp_path, repeats):
+    pages = [(i // repeats, f"u{i}", prose(i, 3)) for i in range(800)] + [(None, "u", "same")] * 5 + [(5, "twice", "twice")] * 3
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(7)
+    archive = fixity.numbered(fixity.records(df))
+    index = fixity.store(fixity.placed(archive), "warc-index")
+    order = sorted(((r["file"], r["part"], r["seq"], r["page_id"], r["digest"], r["offset"], r["length"]) for r in index.collect()), key=lambda r: r[:3])
+    assert len(order) == len(pages) and len({r[:3] for r in order}) == len(pages)
+    for _, file in itertools.groupby(order, lambda r: r[0]):
+        file = list(file)
+        assert [(r[1], r[2]) for r in file] == [divmod(n, fixity.FILE_RECORDS) for n in range(len(file))]
+        assert [(r[3] or 0, r[4]) for r in file] == sorted((r[3] or 0, r[4]) for r in file)
+        for _, part in itertools.groupby(file, lambda r: r[1]):
+            part = list(part)
+            assert [r[5] for r in part] == [0, *itertools.accumulate(r[6] for r in part)][:-1]
+    assert fixity.report(index, fixity.replica_index(index, archive)).where("damaged or root <> replica_root").count() == 0
+    one = archive.where("page_id is not null").agg(F.max(F.struct("page_id", "number"))).first()[0]["number"]
+    bad = archive.withColumn("record", F.when(F.col("number") == one, F.encode(F.lit("x"), "utf-8")).otherwise(F.col("record")))
+    hit = fixity.report(index, fixity.replica_index(index, bad)).where("damaged").collect()
+    first = index.where(F.col("number") == one).first()
+    assert [(r["file"], r["part"], r["seq"]) for r in hit] == [(first["file"], first["part"], first["seq"])]
+    kept = archive.where("page_id is not null")
+    lost = fixity.report(index, fixity.replica_index(index, kept)).collect()
+    assert sum(r["damaged"] for r in lost) == 5 and {r["page_id"] for r in lost if r["replica_root"] is None} == {None}
+
+
+def test_records_parse(spark):
+    pages = [(1, "http://a/ü", "<p>ü\r\n\r\nx</p>"), (2, "", ""), (None, None, None), (3, "u", "y" * 100_000)]
+    archive = fixity.records(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    got = fixity.parsed(archive).collect()
+    assert sorted(((r["uri"], bytes(r["content"]).decode(), r["declared"]) for r in got), key=str) == sorted(((u or None, h or "", len((h or "").encode())) for _, u, h in pages), key=str)
+    assert len({r["record_id"] for r in got}) == 3 and all(re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", r["record_id"]) for r in got)
+    cut = archive.withColumn("record", F.expr("substring(record, 1, octet_length(record) - 1)"))
+    assert [r["content"] for r in fixity.parsed(cut).collect()] == [None] * 4
+
+
 # ---- pipeline
 
 
