@@ -23,6 +23,10 @@ known to be in one group already, or cannot be linked:
 
 Comparison is of whole shingle sets (64-bit hashes of shingles).  Groups are connected components,
 found by label propagation with pointer jumping; each round is a few joins.
+
+Rows that are equal in id and text are one row before anything is shuffled by them.  A class, bucket
+or group that holds more rows than ``HOT_ROWS``, or a share of ``1 / HOT_KEYS`` of all, is dealt to
+several tasks by salt; the pairs of a bucket are dealt as cells of ``CELL_ROWS`` by ``CELL_ROWS`` rows.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,15 +121,37 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
     return _mix((_mix(rows) * _BAND[:ROWS]).sum(1, dtype=np.uint64) + _BAND[ROWS:]).view(np.int64)
 
 
-def _text_key(text: str) -> Column:
-    return F.xxhash64(F.col(f"`{text}`"))
+HOT_ROWS, HOT_KEYS, CELL_ROWS = 512, 4096, 512
+
+
+def _row_key(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+
+
+def _salts(keyed: DataFrame, key: str, n: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """The few hot keys with their number of salts, and ``keyed`` (a row a key, ``n`` rows each) once a salt.
+
+    At most ``HOT_KEYS`` keys are hot, whatever the size of the table, so the first frame can be broadcast.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = keyed.where(F.col(n) > least).select(key, F.ceil(F.col(n) / least).cast("int").alias("_salts"))
+    some = F.when(F.col(n) > least, F.ceil(F.col(n) / least).cast("int")).otherwise(1)
+    return F.broadcast(hot), keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), some - 1)))
+
+
+def _salted(rows: DataFrame, hot: DataFrame, key: str, by: Column) -> DataFrame:
+    """``rows`` with the salt of each, from a hash of ``by`` where its key is hot."""
+    return rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
 
 
 def features(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_key, n_shingles, set_key, bands`` of every row; without words ``set_key`` and ``bands`` are null."""
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), _text_key(text).alias("text_key"), F.col(f"`{text}`").alias("text"))
+    """``doc_id, row_key, n_shingles, set_key, bands`` of every row; without words ``set_key`` and ``bands`` are null.
+
+    ``row_key`` is a hash of id and text: rows that share it are the same row again.
+    """
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), _row_key(doc_id, text).alias("row_key"), F.col(f"`{text}`").alias("text"))
     long = T.LongType()
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("text_key", long), T.StructField("n_shingles", long), T.StructField("set_key", long), T.StructField("bands", T.ArrayType(long, False))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("row_key", long), T.StructField("n_shingles", long), T.StructField("set_key", long), T.StructField("bands", T.ArrayType(long, False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         import xxhash
@@ -137,23 +163,22 @@ def features(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text"
                 n.append(len(a))
                 key.append(int(np.uint64(xxhash.xxh3_64_intdigest(a.tobytes())).view(np.int64)) if len(a) else None)
                 band.append(bands(sketch(a)) if len(a) else None)
-            yield {"doc_id": batch.column(0), "text_key": batch.column(1), "n_shingles": n, "set_key": key, "bands": band}
+            yield {"doc_id": batch.column(0), "row_key": batch.column(1), "n_shingles": n, "set_key": key, "bands": band}
 
     return map_batches(source, run, schema)
 
 
 def _sets(candidates: DataFrame, docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """``cid, pivot, shingles`` of the candidate classes, from the text of one document of each."""
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), _text_key(text).alias("text_key"), F.col(f"`{text}`").alias("text"))
-    one = candidates.select("cid", "pivot", F.col("doc.doc_id").alias("rep_id"), F.col("doc.text_key").alias("rep_key"))
-    joined = source.join(one, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key"))).select("cid", "pivot", "text")
+    """``cid, pivot, shingles`` of the candidate classes, from the text of one row of each."""
+    # one of the rows that repeat, before the shuffle
+    source = docs.select(_row_key(doc_id, text).alias("row_key"), F.col(f"`{text}`").alias("text")).dropDuplicates(["row_key"])
+    joined = source.join(candidates, "row_key").select("cid", "pivot", "text")
     schema = T.StructType([T.StructField("cid", T.LongType()), T.StructField("pivot", T.BooleanType()), T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             yield {"cid": batch.column(0), "pivot": batch.column(1), "shingles": [shingles(x.as_py(), k).tobytes() for x in batch.column(2)]}
 
-    # a row that is repeated with its id gives its set twice
     return map_batches(joined, run, schema)
 
 
@@ -222,26 +247,32 @@ def _sizes_allow(n: str, m: str) -> Column:
 
 
 def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_key, n_shingles, class, group, component_id`` of every row.
+    """``doc_id, row_key, n_shingles, class, group, component_id`` of every row.
 
     ``class`` stands for rows with equal sets, ``group`` for those that links connect, and
-    ``component_id`` is the least ``doc_id`` of the group.  Rows without words have null ``class``
-    and ``group`` and their own ``doc_id``.  Rows with a null id take part in groups; a group of
-    nothing but null ids has a null ``component_id``.  Repeated rows are in one class.
+    ``component_id`` is the least ``doc_id`` of the group.  Rows without words (null, empty or blank
+    texts) have null ``class`` and ``group`` and their own ``doc_id``.  Rows with a null id take part
+    in groups; a group of nothing but null ids has a null ``component_id``.  Repeated rows are in one
+    class, however often they repeat.  Texts of any length count whole; without rows there are none.
     """
     rows = store(features(docs, k, doc_id, text), "features")
     worded = rows.where("set_key is not null")
-    doc = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    classes = worded.groupBy(F.col("set_key").alias("cid")).agg(F.min("doc_id").alias("least_id"), F.min(doc).alias("doc"), F.first("n_shingles").alias("n"))
-    # a class has one row here, the row that stands for it, so that copies do not fill the buckets
-    rep = classes.select("cid", "n", F.col("doc.doc_id").alias("rep_id"), F.col("doc.text_key").alias("rep_key"))
-    placed = worded.join(rep, (worded.set_key == rep.cid) & worded.doc_id.eqNullSafe(rep.rep_id) & (worded.text_key == rep.rep_key)).select("cid", "n", F.explode("bands").alias("bucket"))
-    least = placed.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("low"), F.max("cid").alias("high")).where("low.cid <> high").select("bucket", F.col("low.cid").alias("pivot"), F.col("low.n").alias("pivot_n"))
-    members = store(placed.join(least, "bucket"), "buckets")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    # a class is one row here, combined before the shuffle, so that copies do not fill the buckets
+    found = worded.groupBy(F.col("set_key").alias("cid")).agg(F.min("doc_id").alias("least_id"), F.min(row).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
+    found = store(found, "classes")
+    classes = found.drop("bands")
+    n_rows, n_classes = found.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+
+    placed = found.select("cid", "n", F.explode("bands").alias("bucket"))
+    heads = placed.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("size")).where("low.cid <> high")
+    heads = store(heads.select("bucket", F.col("low.cid").alias("pivot"), F.col("low.n").alias("pivot_n"), "size"), "heads")
+    hot, spread = _salts(heads, "bucket", "size", n_classes * BANDS)
+    members = store(_salted(placed, hot, "bucket", F.col("cid")).join(spread, ["bucket", "_salt"]), "buckets")
 
     own = members.groupBy("cid").agg(F.first("n").alias("n"), F.min(F.struct("pivot", "pivot_n")).alias("low"), F.max((F.col("cid") == F.col("pivot")).cast("int")).alias("is_pivot"))
     own = store(own.select("cid", "n", F.col("low.pivot").alias("pivot"), F.col("low.pivot_n").alias("pivot_n"), (F.col("is_pivot") == 1).alias("is_pivot")), "candidates")
-    candidates = own.select("cid", F.col("is_pivot").alias("pivot")).join(classes.select("cid", "doc"), "cid")
+    candidates = own.select("cid", F.col("is_pivot").alias("pivot")).join(classes.select("cid", F.col("row.row_key").alias("row_key")), "cid")
     sets = store(_sets(candidates, docs, k, doc_id, text), "sets")
 
     first = own.where("cid <> pivot").where(_sizes_allow("n", "pivot_n")).select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
@@ -252,9 +283,13 @@ def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
         named = labels.select(F.col("node").alias(column), F.col("component").alias(out))
         return df.join(named, column, "left").withColumn(out, F.coalesce(out, column))
 
+    def grouped() -> DataFrame:
+        """Members with their group and that of their pivot, which is looked up once a bucket and not once a member."""
+        of_pivot = with_label(spread, "pivot", "pivot_group").select("bucket", "_salt", "pivot_group")
+        return with_label(members, "cid", "group").join(of_pivot, ["bucket", "_salt"])
+
     # other pivots of a class, where they are not in its group
-    pairs = members.where("cid <> pivot").where(_sizes_allow("n", "pivot_n")).select("cid", "pivot").distinct()
-    pairs = with_label(with_label(pairs, "cid", "group_a"), "pivot", "group_b").where("group_a <> group_b").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
+    pairs = grouped().where("cid <> pivot and group <> pivot_group").where(_sizes_allow("n", "pivot_n")).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = store(pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         second = store(_verify(pairs, sets, True), "verified")
@@ -264,32 +299,40 @@ def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
 
     # what is left in buckets that hold several groups
     likeness = verified.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), (F.col("common") / F.col("joint")).alias("like"))
-    grouped = with_label(with_label(members, "cid", "group"), "pivot", "pivot_group")
-    outside = grouped.where("group <> pivot_group")
-    mixed = outside.select("bucket").distinct()
-    inside = grouped.join(mixed, "bucket").where("cid <> pivot").join(likeness, ["cid", "pivot"], "left")
-    inside = store(inside.select("bucket", "cid", "n", "group", "pivot_group", "like"), "mixed")
+    left = grouped()
+    mixed = left.where("group <> pivot_group").select("bucket").distinct().join(spread.select("bucket", "_salt"), "bucket")
+    inside = left.join(mixed, ["bucket", "_salt"], "left_semi").where("cid <> pivot").join(likeness, ["cid", "pivot"], "left")
+    inside = store(inside.select("bucket", "size", "cid", "n", "group", "pivot_group", "like"), "mixed")
     wide = store(_with_bits(sets.join(inside.select("cid").distinct(), "cid", "left_semi")), "bits")
-    inside = inside.join(wide, "cid")
-    x = inside.where("group <> pivot_group").select("bucket", F.col("bits").alias("bits_a"), F.col("bands").alias("bands_a"), F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a"), F.col("like").alias("like_a"))
-    y = inside.select("bucket", F.col("bits").alias("bits_b"), F.col("bands").alias("bands_b"), F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"), F.col("like").alias("like_b"), (F.col("group") != F.col("pivot_group")).alias("out_b"))
+    # a pair of rows meets in one cell: the block of the one by the block of the other
+    blocks = F.ceil(F.col("size") / CELL_ROWS).cast("int")
+    inside = inside.join(wide, "cid").withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    x = inside.where("group <> pivot_group").select("bucket", F.col("_block").alias("_i"), every.alias("_j"), F.col("bits").alias("bits_a"), F.col("bands").alias("bands_a"), F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a"), F.col("like").alias("like_a"))
+    y = inside.select("bucket", F.col("_block").alias("_j"), every.alias("_i"), F.col("bits").alias("bits_b"), F.col("bands").alias("bands_b"), F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"), F.col("like").alias("like_b"), (F.col("group") != F.col("pivot_group")).alias("out_b"))
     near = F.abs(F.col("like_a") - F.col("like_b")) <= (100 - PERCENT) / 100 + 1e-9
     differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(WIDE // 64)), F.lit(0))
     # a pair is taken in the first of the buckets that it shares
     shared = F.zip_with("bands_a", "bands_b", lambda p, q: p == q)
     first_shared = F.array_position(shared, True) == F.array_position("bands_a", F.col("bucket"))
-    left = x.join(y, "bucket").where("group_a <> group_b and (not out_b or a < b)").where(_sizes_allow("n_a", "n_b")).where(F.coalesce(near, F.lit(True))).where(differ <= APART).where(first_shared)
+    left = x.join(y, ["bucket", "_i", "_j"]).where("group_a <> group_b and (not out_b or a < b)").where(_sizes_allow("n_a", "n_b")).where(F.coalesce(near, F.lit(True))).where(differ <= APART).where(first_shared)
     left = store(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     if not left.isEmpty():
         third = store(_verify(left, sets, False), "verified")
         if not _linked(third).isEmpty():
             labels = components(_linked(verified.unionByName(third)))
 
-    whole = classes.select("cid", "least_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("group", F.coalesce("component", "cid"))
-    low = whole.groupBy("group").agg(F.min("least_id").alias("component_id"))
-    of_class = whole.select("cid", "group").join(low, "group").select(F.col("cid").alias("class"), "group", "component_id")
-    named = rows.select("doc_id", "text_key", "n_shingles", F.col("set_key").alias("class")).join(of_class, "class", "left")
-    return named.select("doc_id", "text_key", "n_shingles", "class", "group", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    whole = classes.select("cid", "least_id", "rows").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("group", F.coalesce("component", "cid"))
+    low = whole.groupBy("group").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    hot, spread = _salts(low, "group", "_n", n_classes)
+    of_class = _salted(whole, hot, "group", F.col("cid")).join(spread, ["group", "_salt"]).select(F.col("cid").alias("class"), "group", "component_id", "rows")
+    of_class = store(of_class, "groups")
+    hot, spread = _salts(of_class, "class", "rows", n_rows)
+    light = rows.select("doc_id", "row_key", "n_shingles", F.col("set_key").alias("class"))
+    named = _salted(light.where("class is not null"), hot, "class", F.monotonically_increasing_id()).join(spread, ["class", "_salt"])
+    named = named.select("doc_id", "row_key", "n_shingles", "class", "group", "component_id")
+    wordless = light.where("class is null").select("doc_id", "row_key", "n_shingles", "class", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
+    return named.unionByName(wordless)
 
 
 def remove(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -299,20 +342,24 @@ def remove(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "tex
     """
     names = docs.columns
     found = groups(docs, k, doc_id, text).where("group is not null")
-    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best")).select("best.*")
-    id_, key_, number = free_name(names, "kept_id"), free_name(names, "kept_key"), free_name(names, "kept_row")
-    best = best.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_))
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("best"))
+    key = free_name(names, "kept_key")
+    best = best.select(F.col("best.row_key").alias(key))
     worded = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = docs.where(worded).join(best, F.col(f"`{doc_id}`").eqNullSafe(F.col(id_)) & (_text_key(text) == F.col(key_)))
-    # rows repeated with their id: one of them
-    kept = kept.withColumn(number, F.row_number().over(Window.partitionBy(id_, key_).orderBy(id_))).where(F.col(number) == 1)
+    # rows repeated with their id: one of them, before the shuffle
+    kept = docs.where(worded).withColumn(key, _row_key(doc_id, text)).dropDuplicates([key]).join(best, key)
     return kept.select(*[F.col(f"`{c}`") for c in names]).unionByName(docs.where(~worded))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of near-duplicate ``documents``: 4-word shingles of whole texts, links from a Jaccard similarity of 0.8."""
+    """Groups of near-duplicate ``documents``: 4-word shingles of whole texts, links from a Jaccard similarity of 0.8.
+
+    Null, empty and blank texts have no shingles and are kept.  A row without id is kept only where
+    no row of its group has an id; its ``component_id`` is the least id of the group, or null.  Repeated
+    rows are all kept if one is.
+    """
     found = groups(needed(table(spark, sf_dir, "documents"), "doc_id", "text"), 4)
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 QUERIES = {"op6_minhash": op6_minhash}
@@ -327,6 +374,6 @@ link as (select a, b from common join n x on x.r = a join n y on y.r = b where 1
 both_ways as (select a, b from link union select b, a from link),
 reach as (select r a, r b from d union select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a),
 least as (select reach.a r, min(d.doc_id) component_id from reach join d on reach.b = d.r group by reach.a)
-select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, component_id, d.doc_id = component_id kept
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, component_id, coalesce(d.doc_id = component_id, component_id is null) kept
 from d join least using (r) left join n using (r)"""
 }

@@ -166,6 +166,50 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(firsts)
 
 
+def test_rows_that_repeat_thousands_of_times(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 50)
+    monkeypatch.setattr(neardup, "CELL_ROWS", 30)
+    made = {}
+    monkeypatch.setattr(neardup, "store", lambda df, what: made.setdefault(what, []).append(x := fixity.store(df, what)) or x)
+    one = prose(1, 60).split()
+    near = [" ".join([*one[:59], "x"]), " ".join(["y", *one[1:]])]
+    rows = [(7, " ".join(one))] * 5000 + [(8, near[0])] * 5000 + [(None, near[1])] * 100 + clustered(6)[:60]
+    got = neardup.groups(documents(spark, rows), 4).groupBy("doc_id", "n_shingles", "component_id").count().collect()
+    once = list(dict.fromkeys(rows))
+    n = {r: rows.count(r) for r in once}
+    want = {}
+    for r, b in zip(once, brute_groups(once, 4), strict=True):
+        want[b] = want.get(b, 0) + n[r]
+    assert {tuple(r)[:3]: r["count"] for r in got} == want
+    n_classes = made["classes"][0].count()
+    assert n_classes <= len(once) and made["buckets"][0].count() <= 42 * n_classes
+    assert all(x.count() <= n_classes**2 for x in made["verified"]) and made["sets"][0].groupBy("cid").count().where("count > 1").isEmpty()
+    kept = neardup.remove(documents(spark, rows), 4).collect()
+    assert len(kept) == len({b[2] if b[1] else b for b in want}) and len([r for r in kept if r["doc_id"] == 7]) == 1
+
+
+@pytest.mark.parametrize("percent", [80, 82, 85])
+def test_recall_of_planted_pairs(spark, percent):
+    """Pairs of sets at a known similarity just over the threshold share a bucket, all of them here."""
+    r = np.random.default_rng(percent)
+    met = 0
+    for _ in range(400):
+        pool = np.unique(r.integers(0, 1 << 63, 400, dtype=np.uint64))
+        own = len(pool) * (100 - percent) // 200
+        a, b = np.sort(pool[own:]), np.sort(pool[: len(pool) - own])
+        met += bool(set(neardup.bands(neardup.sketch(a)).tolist()) & set(neardup.bands(neardup.sketch(b)).tolist()))
+        assert np.bitwise_count((neardup.one_bits(a) ^ neardup.one_bits(b)).view(np.uint64)).sum() <= neardup.APART
+    assert met == 400
+
+
+def test_kept_rows_without_ids(spark, write, tmp_path):
+    text = prose(1, 30)
+    rows = [(None, text), (4, text), (None, prose(2, 30)), (None, None), (9, "")]
+    path = write(tmp_path / "t", [(i, t, None, None, None) for i, t in rows])
+    got = registry.queries()["op6_minhash"](spark, path).select("doc_id", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 4, False), (4, 4, True), (None, None, True), (None, None, True), (9, 9, True)], key=str)
+
+
 @pytest.mark.parametrize("n_bins", [256, 2048])
 def test_sketches_estimate_similarity(n_bins):
     r = np.random.default_rng(1)
