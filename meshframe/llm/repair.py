@@ -6,16 +6,18 @@ right without overlap.  The file has the rules, the length that each rule expand
 sequence that is left.  With the lengths, any range of ids is decoded from the few symbols that
 cover it.
 
-The classic algorithm replaces one pair at a time.  Here a round takes ``PAIRS`` pairs at once, so
-that a round is a few passes of vector code; where two pairs of a round overlap, the left one wins.
-Pairs are counted exactly, and rounds go on until no pair stands ``LEAST`` times.
+The classic algorithm replaces one pair at a time.  Here a round takes all pairs that stand at least
+a ``SHARE``-th as often as the most frequent one did, so that a round is a few passes of vector code;
+where two pairs of a round overlap, the left one wins.  When no such pair is left, the bound falls
+to a ``SHARE``-th of the largest count, and so on until no pair stands ``LEAST`` times.  Counts are
+exact: places are first dropped whose pair falls into a hash bin with too few places for any pair to
+reach the bound, and the pairs of the others are sorted and counted.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -28,65 +30,86 @@ from meshframe.llm.bytebpe import ByteBpe, definition
 from meshframe.llm.common import free_name, map_batches, needed, store, table
 
 SHARD_IDS = 1 << 21
-PAIRS, LEAST = 1024, 16
+SHARE, LEAST, BIN_BITS = 16, 16, 18
+# Odd multipliers that spread the bits of a pair over the bins.
+_SPREAD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0x2C1B3C6D)]
 
 
-def compress(ids: np.ndarray, base: int, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def _bins(seq: np.ndarray) -> np.ndarray:
+    """A hash bin of the pair at each place but the last."""
+    u = seq.view(np.uint32)
+    h = u[:-1] * _SPREAD[0]
+    h += u[1:] * _SPREAD[1]
+    h ^= h >> np.uint32(15)
+    h *= _SPREAD[2]
+    h >>= np.uint32(32 - BIN_BITS)
+    return h.view(np.int32)
+
+
+def _pairs(seq: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return seq[places].astype(np.int64) << 32 | seq[places + 1]
+
+
+def compress(ids: np.ndarray, base: int, least: int = LEAST, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
     """The rules (two symbols each, the first rule is symbol ``base``) and the sequence that is left.
 
-    Without ``rounds``, no pair is left with a count of ``least``, which is 4 or more.
+    No pair is left that stands ``least`` times, overlaps counted; ``least`` is 4 or more.
     """
+    if least < 4:  # with fewer, all pairs of a round could lose their places to each other
+        raise ValueError("least")
     seq = np.ascontiguousarray(ids, np.int32)
-    rules = np.zeros((0, 2), np.int32)
-    at_once = pairs
-    for _ in count() if rounds is None else range(rounds):
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
+    rules, n_rules, bound = [np.zeros((0, 2), np.int32)], 0, None
+    while len(seq) > 1:
+        bins = _bins(seq)
+        in_bin = np.bincount(bins, minlength=1 << BIN_BITS)
+        if bound is None:
+            bound = max(least, int(in_bin.max()) // share)
+        places = np.flatnonzero((in_bin >= bound)[bins])
+        key = _pairs(seq, places)
         ordered = np.sort(key)
-        begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(key) else np.zeros(0, np.int64)
-        n = np.diff(begins, append=len(key))
-        frequent = np.flatnonzero(n >= least)
-        found, n = ordered[begins[frequent]], n[frequent]
-        best = np.lexsort((found, -n))[:at_once]
-        if not len(best):
-            break
-        best = np.sort(best)
-        found = found[best]
+        begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), ordered[1:] != ordered[:-1]]))
+        found = ordered[begins[np.diff(begins, append=len(key)) >= bound]]
+        if not len(found):
+            if bound == least:
+                break
+            bound = max(least, bound // share)
+            continue
         which = np.searchsorted(found, key)
-        which = np.where(found[np.minimum(which, len(found) - 1)] == key, which, -1)
-        places = np.flatnonzero(which >= 0)
-        which = which[places]
+        hit = found[np.minimum(which, len(found) - 1)] == key
+        places, which = places[hit], which[hit]
         opens = np.diff(places, prepend=-2) != 1  # the first place of each run of overlapping pairs
-        run_start = places[opens][np.cumsum(opens) - 1]
-        taken = (places - run_start) % 2 == 0
+        taken = (places - np.maximum.accumulate(np.where(opens, places, 0))) % 2 == 0
         places, which = places[taken], which[taken]
-        used = np.bincount(which, minlength=len(best))
-        kept = np.flatnonzero(used >= 2)
-        renumber = np.full(len(best), -1, np.int32)
-        renumber[kept] = np.arange(len(kept))
-        which = renumber[which]
-        places, which = places[which >= 0], which[which >= 0]
-        if not len(places):  # each pair lost its places to others
-            if at_once == 1:
-                break
-            at_once = 1
-            continue
-        at_once = pairs
+        # half of all places are taken, so some pair has two of them
+        kept = np.bincount(which, minlength=len(found)) >= 2
+        number = np.where(kept, np.cumsum(kept) - 1, -1)[which]
+        places, number = places[number >= 0], number[number >= 0]
         pair = found[kept]
-        new = np.stack([(pair >> np.uint64(32)).astype(np.int32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int32)], 1)
+        rules.append(np.stack([pair >> 32, pair & 0xFFFFFFFF], 1).astype(np.int32))
         seq = seq.copy()
-        seq[places] = base + len(rules) + which
+        seq[places] = base + n_rules + number
         stays = np.ones(len(seq), bool)
         stays[places + 1] = False
-        seq, rules = seq[stays], np.concatenate([rules, new])
-    return rules, seq
+        seq, n_rules = seq[stays], n_rules + len(pair)
+    return np.concatenate(rules), seq
+
+
+def _steps(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """Runs of rules that name no rule of their own run, in order."""
+    last, start = rules.max(1, initial=0) - base, 0
+    while start < len(rules):
+        inner = np.flatnonzero(last[start:] >= start)
+        end = start + int(inner[0]) if len(inner) else len(rules)
+        yield start, end
+        start = end
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule expands to."""
-    out = np.ones(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
-    return out
+    out = np.ones(base + len(rules), np.int64)
+    for start, end in _steps(rules, base):
+        out[base + start : base + end] = out[rules[start:end]].sum(1)
+    return out[base:]
 
 
 class Grammar:
@@ -96,12 +119,12 @@ class Grammar:
         self.seq, self.base = seq, base
         self.length = np.concatenate([np.ones(base, np.int64), expanded])
         self.ends = np.cumsum(self.length[seq])
-        expansions: list[list[int]] = []
-        for a, b in rules.tolist():
-            expansions.append((expansions[a - base] if a >= base else [a]) + (expansions[b - base] if b >= base else [b]))
-        at = base + np.concatenate([[0], np.cumsum(expanded)]).astype(np.int64)
-        self.flat = np.concatenate([np.arange(base, dtype=np.int32), np.fromiter(chain.from_iterable(expansions), np.int32, int(at[-1]) - base)])
-        self.first = np.concatenate([np.arange(base), at[:-1]])
+        ends = np.cumsum(self.length)
+        self.first = ends - self.length
+        self.flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        self.flat[:base] = np.arange(base)
+        for start, end in _steps(rules, base):
+            self.flat[self.first[base + start] : ends[base + end - 1]] = self._expand(rules[start:end].ravel())
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
         n = self.length[seq]

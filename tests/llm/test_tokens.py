@@ -1,7 +1,9 @@
 """Encodings against the libraries, separator scans against a loop, files against a round trip."""
 
+import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -111,7 +113,7 @@ def test_grammar_round_trip(seed):
     r = np.random.default_rng(seed)
     phrase = r.integers(0, 50, 40)
     ids = np.concatenate([[phrase, r.integers(0, 50, 7), np.full(9, 3)][r.integers(0, 3)] for _ in range(300)]).astype(np.int32)
-    rules, seq = repair.compress(ids, 50, rounds=6, pairs=20, least=4)
+    rules, seq = repair.compress(ids, 50, least=4, share=2 + seed)
     assert len(rules) and len(seq) < len(ids)
     g = repair.Grammar(rules, repair.lengths(rules, 50), seq, 50)
     assert (g.all() == ids).all()
@@ -130,6 +132,22 @@ def test_no_frequent_pair_is_left():
     assert repair.lengths(rules, 5000).max() > 500 and len(seq) < 5000
 
 
+def test_grammars_of_small_alphabets(monkeypatch):
+    monkeypatch.setattr(repair, "BIN_BITS", 3)  # bins that all pairs share drop nothing they should not
+    r = np.random.default_rng(2)
+    for n, kinds in itertools.product((0, 1, 2, 3, 5, 40, 3000), (1, 2, 3, 200)):
+        ids = r.integers(0, kinds, n).astype(np.int32)
+        rules, seq = repair.compress(ids, kinds, least=4)
+        assert all(max(a, b) < kinds + i for i, (a, b) in enumerate(rules.tolist()))
+        assert (repair.Grammar(rules, repair.lengths(rules, kinds), seq, kinds).all() == ids).all()
+        assert max(Counter(itertools.pairwise(seq.tolist())).values(), default=0) < 4
+        expanded = {i: [i] for i in range(kinds)}
+        for i, (a, b) in enumerate(rules.tolist()):
+            expanded[kinds + i] = expanded[a] + expanded[b]
+        assert [x for y in seq.tolist() for x in expanded[y]] == ids.tolist()
+        assert repair.lengths(rules, kinds).tolist() == [len(expanded[kinds + i]) for i in range(len(rules))]
+
+
 def test_files_equal_the_library(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     library = Tokenizer.from_file(BPE)
