@@ -1,7 +1,8 @@
 """Edge-stream kernels: degrees, message propagation and PageRank-Delta.
 
-An edge scan that scatters a source's value to targets is a join and a grouped aggregate.  The edge
-table is partitioned once by its source where a loop reads it again and again.
+An edge scan that scatters a source's value to targets is a join and a grouped aggregate.  A loop deals
+its edges once by their source and its vertices by their id, in tables that keep this; a round is
+then one exchange, that of the messages, which are combined by target before it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.plans.scratch import cut
+from meshframe.plans.scratch import keep
 
 BASE, DAMPING = 0.15, 0.85
 
@@ -53,8 +54,8 @@ def pagerank_delta(vertices: DataFrame, edges: DataFrame, rounds: int, mode: str
         raise ValueError(mode)
     state = initial_state(vertices, edges)
     if rounds > 1:
-        state = cut(state, "pagerank-state")
-        edges = cut(edges.select("src", "dst").repartition("src"), "pagerank-edges")
+        state = keep(state, "id")
+        edges = keep(edges.select("src", "dst"), "src")
     degrees = state.select("id", "degree")
     for n in range(rounds):
         sums = propagate(edges, state, F.col("delta"), F.sum, "total")
@@ -63,15 +64,5 @@ def pagerank_delta(vertices: DataFrame, edges: DataFrame, rounds: int, mode: str
         delta = F.col("total") if mode == "as_written" else F.try_divide(rank, F.col("degree"))
         state = state.select("id", "degree", rank.alias("rank"), delta.alias("delta"))
         if n + 1 < rounds and (n + 1) % cut_every == 0:
-            state = cut(state, "pagerank-state")
+            state = keep(state, "id")
     return state.select("id", "rank")
-
-
-def reach_within(vertices: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
-    """``id, size``: exactly how many vertices reach each in at most ``steps`` steps, itself included."""
-    pairs = vertices.select("id", F.col("id").alias("from_id"))
-    simple = edges.distinct()
-    for _ in range(steps):
-        more = simple.join(pairs, simple["src"] == pairs["id"]).select(F.col("dst").alias("id"), "from_id")
-        pairs = pairs.unionByName(more).distinct()
-    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("size"))

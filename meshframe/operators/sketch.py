@@ -1,7 +1,9 @@
 """HyperLogLog counters as sparse rows ``id, reg, rank``, and neighbourhood sizes by their union.
 
 An absent register is rank 0.  The union of counters is a grouped maximum, which combines before the
-shuffle; a counter never has more rows than registers.
+shuffle; a counter never has more rows than registers.  Loops hold a counter as one row with a column a
+register, ``id, r0, r1, ...``: a round is one join, where edges and counters lie by the same key, and one
+grouped maximum, which sends one row a target and task.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.functions.hashing import with_jenkins64
-from meshframe.plans.scratch import cut
+from meshframe.plans.scratch import keep
 
 # Bias constants by the number of registers.
 ALPHA = {16: 0.673, 32: 0.697, 64: 0.709}
@@ -71,14 +73,46 @@ def sent(edges: DataFrame, state: DataFrame) -> DataFrame:
     return edges.join(state, edges["src"] == state["id"]).groupBy(F.col("dst").alias("id"), "reg").agg(F.max("rank").alias("rank"))
 
 
-def estimate(state: DataFrame, p: Parameters) -> DataFrame:
-    """``id, estimate`` (A6): the harmonic estimate, or linear counting where zeros remain and the sum is above the threshold."""
-    used = state.where("rank > 0").groupBy("id").agg(F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("s"), F.count(F.lit(1)).alias("used"))
-    every = state.select("id").distinct().join(used, "id", "left")
-    zeros = p.m - F.coalesce("used", F.lit(0))
-    total = F.coalesce("s", F.lit(0.0)) + zeros
+def _harmonic(total: Column, zeros: Column, p: Parameters) -> Column:
+    """The harmonic estimate, or linear counting where zeros remain and the sum is above the threshold."""
     small = (zeros > 0) & (total > p.threshold)
-    return every.select("id", F.when(small, p.m * F.log(p.m / F.when(small, zeros))).otherwise(p.alpha_mm / total).alias("estimate"))
+    return F.when(small, p.m * F.log(p.m / F.when(small, zeros))).otherwise(p.alpha_mm / total)
+
+
+def estimate(state: DataFrame, p: Parameters) -> DataFrame:
+    """``id, estimate`` (A6) of counters in rows."""
+    used = F.col("rank") > 0
+    found = state.groupBy("id").agg(F.coalesce(F.sum(F.when(used, F.pow(F.lit(2.0), -F.col("rank")))), F.lit(0.0)).alias("s"), F.count_if(used).alias("used"))
+    zeros = p.m - F.col("used")
+    return found.select("id", _harmonic(F.col("s") + zeros, zeros, p).alias("estimate"))
+
+
+def _registers(p: Parameters) -> list[str]:
+    return [f"r{i}" for i in range(p.m)]
+
+
+def wide(vertices: DataFrame, p: Parameters) -> DataFrame:
+    """``id, r0, r1, ...``: the counter of each vertex that holds itself, a column a register."""
+    own = counters(vertices, p)
+    return own.select("id", *[F.when(F.col("reg") == i, F.col("rank")).otherwise(0).cast("tinyint").alias(r) for i, r in enumerate(_registers(p))])
+
+
+def wide_estimate(state: DataFrame, p: Parameters) -> DataFrame:
+    """``id, estimate`` of counters in columns."""
+    every = F.array(*_registers(p))
+    found = state.select("id", F.aggregate(every, F.lit(0.0), lambda t, r: t + F.pow(F.lit(2.0), -r)).alias("total"), F.size(F.filter(every, lambda r: r == 0)).alias("zeros"))
+    return found.select("id", _harmonic(F.col("total"), F.col("zeros"), p).alias("estimate"))
+
+
+def reach(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges of a round by source, each once, with one from every vertex to itself: what a counter had stays in it."""
+    every = edges.select("src", "dst").unionByName(vertices.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    return keep(every.distinct(), "src")  # the union is idempotent: repeated edges add nothing
+
+
+def spread(state: DataFrame, edges: DataFrame, p: Parameters) -> DataFrame:
+    """Counters in columns after a round over the edges of :func:`reach`."""
+    return edges.join(state, edges["src"] == state["id"]).groupBy(F.col("dst").alias("id")).agg(*[F.max(r).alias(r) for r in _registers(p)])
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -87,32 +121,27 @@ def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(before, ["id", "reg"], "left").groupBy("id").agg(F.bool_or(F.col("rank") > F.coalesce("_old", F.lit(0))).alias("changed"))
 
 
-def hyperanf(vertices: DataFrame, edges: DataFrame, rounds: int, rsd: float = 0.1, cut_every: int = 1) -> DataFrame:
-    """``id, estimate`` of how many vertices reach each in at most ``rounds`` steps, itself included.
-
-    A round reads the counters twice, for the vertices and for their edges, so each is written once.
-    """
+def hyperanf(vertices: DataFrame, edges: DataFrame, rounds: int, rsd: float = 0.1, cut_every: int = 4) -> DataFrame:
+    """``id, estimate`` of how many vertices reach each in at most ``rounds`` steps, itself included."""
     p = Parameters(rsd)
-    state = counters(vertices, p)
-    edges = edges.select("src", "dst").distinct()  # the union is idempotent: repeated edges add nothing
-    if rounds > 1:
-        edges = cut(edges.repartition("src"), "anf-edges")
+    state = wide(vertices, p)
+    edges = reach(vertices, edges) if rounds else edges
     for n in range(rounds):
-        state = union(state, sent(edges, state))
+        state = spread(state, edges, p)
         if n + 1 < rounds and (n + 1) % cut_every == 0:
-            state = cut(state, "anf-state")
-    return estimate(state, p)
+            state = keep(state, "id")
+    return wide_estimate(state, p)
 
 
 def neighbourhood_function(vertices: DataFrame, edges: DataFrame, rounds: int, rsd: float = 0.1) -> DataFrame:
     """``t, pairs``: the estimated number of pairs within ``t`` steps, for ``t`` from 0 to ``rounds``; estimates count to four digits."""
     p = Parameters(rsd)
-    edges = cut(edges.select("src", "dst").distinct(), "anf-edges")
-    state = cut(counters(vertices, p), "anf-state")
+    state = keep(wide(vertices, p), "id")
+    edges = reach(vertices, edges) if rounds else edges
     out = None
     for t in range(rounds + 1):
-        row = estimate(state, p).agg(F.lit(t).alias("t"), F.sum(F.round("estimate", 4)).alias("pairs"))
+        row = wide_estimate(state, p).agg(F.lit(t).alias("t"), F.sum(F.round("estimate", 4)).alias("pairs"))
         out = row if out is None else out.unionByName(row)
         if t < rounds:
-            state = cut(union(state, sent(edges, state)), "anf-state")
+            state = keep(spread(state, edges, p), "id")
     return out

@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder of this process where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder of this process where it is unset and all runs on this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="meshframe-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -32,17 +35,46 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm or spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 @atexit.register
 def _delete() -> None:
+    for spark, name in _tables:
+        with contextlib.suppress(Exception):
+            spark.sql(f"drop table if exists {name}")
     for spark, path in _made:
         with contextlib.suppress(Exception):  # the JVM may have gone first
-            jvm = spark.sparkContext._jvm or spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+            _remove(spark, path)
+
 
+def cut(df: DataFrame, what: str, codec: str = "zstd", instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` written and read again: its plan is a scan from here on, and lost executors do not matter.
 
-def cut(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written and read again: its plan is a scan from here on, and lost executors do not matter."""
+    ``instead_of`` is an older result of this function that nothing but ``df`` still reads; its files go.
+    """
     path = new_path(df.sparkSession, what)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if instead_of is not None:
+        _remove(df.sparkSession, instead_of._scratch_path)
+    return out
+
+
+def keep(df: DataFrame, key: str, what: str = "kept") -> DataFrame:
+    """``df`` as a table in the shared folder whose buckets are those of a shuffle by ``key``.
+
+    A join or an aggregation by ``key`` reads it where it lies, however many jobs follow.  The table's
+    entry in the catalog goes when this process ends, as its files do.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, what)
+    name = "meshframe_" + path.rsplit("-", 1)[-1]
+    _tables.append((spark, name))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
