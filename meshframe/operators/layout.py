@@ -48,6 +48,20 @@ def assign(grid: DataFrame, shape: tuple[int, int, int], layout: tuple[int, int,
     return grid.select("*", *[_part(a, n, p).alias(f"b{c}") for a, c, n, p in zip("ijk", "xyz", shape, layout, strict=True)])
 
 
+def assign_shell(grid: DataFrame, shape: tuple[int, int, int], layout: tuple[int, int]) -> DataFrame:
+    """``grid`` with ``bx, by``: the solver's blocks of the plane (L3); layers are not cut.
+
+    Each half of ``x`` is cut apart, into half of the blocks of equal width (the last takes what is
+    left), and blocks of ``y`` have one row more than a share, so the last may be smaller or empty.
+    """
+    (nx, ny, _), (px, py) = shape, layout
+    if px % 2 or px > nx:
+        raise ValueError("an even number of blocks along x, at most its cells")
+    half = F.when(F.col("i") >= nx // 2, 1).otherwise(0)
+    inside = F.expr(f"least({px // 2 - 1}L, (i - {nx // 2} * if(i >= {nx // 2}, 1, 0)) div {nx // 2 // (px // 2)}L)")
+    return grid.select("*", (half * (px // 2) + inside).cast("int").alias("bx"), F.expr(f"j div {ny // py + 1}L").cast("int").alias("by"))
+
+
 def blocks(assigned: DataFrame) -> DataFrame:
     """``bx, by, bz`` with the ends of each block, ``x0, x1, y0, y1, z0, z1`` (M9); ends are exclusive."""
     ends = [e for a, c in zip("ijk", "xyz", strict=True) for e in (F.min(a).alias(f"{c}0"), (F.max(a) + 1).alias(f"{c}1"))]

@@ -49,14 +49,18 @@ def from_coefficients(coef: DataFrame, shape: tuple[int, int, int]) -> DataFrame
 def row_pointers(matrix: DataFrame, rows_per_block: int = 4096) -> DataFrame:
     """``row, n, ptr``: entries of each row and of all rows before it.
 
-    Rows are summed in blocks of ``rows_per_block``; only the totals of blocks are summed in one task.
+    Rows are summed in blocks of ``rows_per_block`` and those in blocks of as many; only the totals of
+    the outer blocks, one for ``rows_per_block ** 2`` rows, are summed in one task.
     """
     counts = matrix.groupBy("row").agg(F.count(F.lit(1)).alias("n")).withColumn("_block", F.floor(F.col("row") / rows_per_block))
-    totals = counts.groupBy("_block").agg(F.sum("n").alias("_n"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_block", F.coalesce(F.sum("_n").over(before(Window.orderBy("_block"))), F.lit(0)).alias("_start"))
-    inside = F.coalesce(F.sum("n").over(before(Window.partitionBy("_block").orderBy("row"))), F.lit(0))
-    return counts.withColumn("_in", inside).join(starts, "_block").select("row", "n", (F.col("_start") + F.col("_in")).alias("ptr"))
+
+    def before(by: str, *within: str) -> Column:
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    inner = counts.groupBy("_block").agg(F.sum("n").alias("n")).withColumn("_outer", F.floor(F.col("_block") / rows_per_block))
+    outer = inner.groupBy("_outer").agg(F.sum("n").alias("n")).select("_outer", before("_outer").alias("_outer_start"))
+    starts = inner.withColumn("_inner_start", before("_block", "_outer")).join(outer, "_outer").select("_block", (F.col("_inner_start") + F.col("_outer_start")).alias("_start"))
+    return counts.withColumn("_in", before("row", "_block")).join(starts, "_block").select("row", "n", (F.col("_start") + F.col("_in")).alias("ptr"))
 
 
 def sorted_rows(matrix: DataFrame) -> DataFrame:

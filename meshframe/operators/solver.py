@@ -1,7 +1,7 @@
 """Restarted GCR with a block-wise incomplete LU preconditioner.
 
-Elimination and triangular solves go row by row and are no relational operators: they run as grouped
-Arrow functions, one group a block.  Blocks are runs of ``block_rows`` rows, a bounded number, and a
+Elimination and triangular solves go row after row and are no relational operators: they run as grouped
+Arrow functions, one group a block, on arrays, a level of rows that do not need each other at a time.  Blocks are runs of ``block_rows`` rows, a bounded number, and a
 part of the method: entries outside a row's block are left out of the factors, so the number of
 steps depends on the blocks and not on how Spark deals out rows.
 """
@@ -9,62 +9,131 @@ steps depends on the blocks and not on how Spark deals out rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.operators import linalg
-from meshframe.plans.scratch import cut
+from meshframe.plans.scratch import cut, keep
 
 TOLERANCE, MOST_STEPS, RESTART = 6.7247278541769e-05, 30, 5
 
 
-def _rows(pdf: pd.DataFrame) -> dict[int, dict[int, float]]:
-    out: dict[int, dict[int, float]] = {}
-    for r, c, v in zip(pdf["row"].tolist(), pdf["col"].tolist(), pdf["val"].tolist(), strict=True):
-        held = out.setdefault(r, {})
-        held[c] = held.get(c, 0.0) + v
-    return out
+class Block:
+    """The entries of a block by rows, with entries of equal places added up; rows and columns are numbered in it."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray) -> None:
+        self.names = np.unique(np.concatenate([row, col]))
+        self.n = len(self.names)
+        key = np.searchsorted(self.names, row) * self.n + np.searchsorted(self.names, col)
+        self.key, at = np.unique(key, return_inverse=True)
+        self.val = np.bincount(at, val, len(self.key))
+        self.row, self.col = self.key // self.n, self.key % self.n
+        self.ptr = np.searchsorted(self.row, np.arange(self.n + 1))
+        own = np.arange(self.n) * (self.n + 1)
+        self.diagonal = np.minimum(np.searchsorted(self.key, own), len(self.key) - 1)
+        self.lacking = self.key[self.diagonal] != own
+
+    def levels(self, upper: bool = False) -> np.ndarray:
+        """Rows of one level need only rows of lower levels: those left of the diagonal, or right of it."""
+        level = np.zeros(self.n, np.int64)
+        for i in reversed(range(self.n)) if upper else range(self.n):
+            near = self.col[self.ptr[i] : self.ptr[i + 1]]
+            near = near[near > i] if upper else near[near < i]
+            if len(near):
+                level[i] = level[near].max() + 1
+        return level
+
+    def need_pivots(self, rows: np.ndarray) -> None:
+        """Raise an error that names the first of ``rows`` whose diagonal entry is absent or zero."""
+        bad = rows[self.lacking[rows] | (self.val[self.diagonal[rows]] == 0)]
+        if len(bad):
+            raise ZeroDivisionError(f"row {self.names[bad.min()]} has no pivot")
+
+    def factor(self) -> None:
+        """Replace the values by those of the unit-lower and upper factors on the same places."""
+        lower = np.flatnonzero(self.col < self.row)
+        order = np.arange(len(lower)) - np.searchsorted(self.row[lower], self.row[lower])  # of an entry left of the diagonal in its row
+        level = self.levels()[self.row[lower]]
+        by = np.lexsort((order, level))
+        lower, group = lower[by], (level * (order.max(initial=0) + 1) + order)[by]
+        # what a step of elimination changes: entry t loses the product of p, left of it, and q, above it
+        first, last = self.diagonal[self.col[lower]] + 1, self.ptr[self.col[lower] + 1]
+        first = np.where(self.lacking[self.col[lower]], last, first)
+        n = np.maximum(last - first, 0)
+        p = np.repeat(np.arange(len(lower)), n)
+        q = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + first[p]
+        want = self.row[lower[p]] * self.n + self.col[q]
+        t = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        here = self.key[t] == want
+        p, q, t = p[here], q[here], t[here]
+        begins = np.flatnonzero(np.diff(group, prepend=-1))
+        for a, b in zip(begins, np.append(begins[1:], len(group))[: len(begins)], strict=True):
+            pivots = self.col[lower[a:b]]
+            self.need_pivots(pivots)
+            self.val[lower[a:b]] /= self.val[self.diagonal[pivots]]
+            x, y = np.searchsorted(p, (a, b))
+            self.val[t[x:y]] -= self.val[lower[p[x:y]]] * self.val[q[x:y]]
+
+    def solve(self, x: np.ndarray) -> np.ndarray:
+        """The vector through the lower and then the upper factor."""
+        x = x.astype(float)
+        self.need_pivots(np.arange(self.n))
+        for upper in (False, True):
+            side = np.flatnonzero(self.col > self.row if upper else self.col < self.row)
+            level = self.levels(upper)
+            side = side[np.argsort(level[self.row[side]], kind="stable")]
+            rows = np.argsort(level, kind="stable")
+            for k in range(int(level.max(initial=-1)) + 1):
+                a, b = np.searchsorted(level[self.row[side]], (k, k + 1))
+                at = side[a:b]
+                own = rows[slice(*np.searchsorted(level[rows], (k, k + 1)))]
+                x[own] -= np.bincount(self.row[at], self.val[at] * x[self.col[at]], self.n)[own]
+                if upper:
+                    x[own] /= self.val[self.diagonal[own]]
+        return x
+
+
+def _block(table: pa.Table) -> Block:
+    return Block(*[table.column(c).to_numpy() for c in ("row", "col", "val")])
 
 
 def ilu0(matrix: DataFrame, block_rows: int) -> DataFrame:
-    """``block, row, col, val``: unit-lower and upper factors on the pattern of each diagonal block."""
+    """``block, row, col, val``: unit-lower and upper factors on the pattern of each diagonal block.
+
+    Repeated entries add up.  A row that is eliminated with and whose diagonal entry is absent or
+    becomes zero is an error that names it.
+    """
     block = F.floor(F.col("row") / block_rows)
     own = matrix.where(block == F.floor(F.col("col") / block_rows)).select(block.alias("block"), "row", "col", "val")
 
-    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _rows(pdf)
-        for i in sorted(rows):
-            mine = rows[i]
-            for j in sorted(c for c in mine if c < i):
-                pivot = rows[j]
-                mine[j] /= pivot[j]
-                for c in pivot.keys() & mine.keys():
-                    if c > j:
-                        mine[c] -= mine[j] * pivot[c]
-        flat = [(i, c, v) for i, held in rows.items() for c, v in sorted(held.items())]
-        out = pd.DataFrame(flat, columns=["row", "col", "val"])
-        out.insert(0, "block", pdf["block"].iloc[0])
-        return out
+    def factor(table: pa.Table) -> pa.Table:
+        b = _block(table)
+        b.factor()
+        return pa.table({"block": pa.array(np.full(len(b.val), table.column("block")[0].as_py()), pa.int64()), "row": b.names[b.row], "col": b.names[b.col], "val": b.val})
 
-    return own.groupBy("block").applyInPandas(factor, "block bigint, row bigint, col bigint, val double")
+    return own.groupBy("block").applyInArrow(factor, "block bigint, row bigint, col bigint, val double")
 
 
 def ilu_solve(factors: DataFrame, vector: DataFrame, block_rows: int) -> DataFrame:
-    """``row, val``: the vector through the lower and then the upper factor of each block."""
+    """``row, val``: the vector through the lower and then the upper factor of each block.
+
+    Rows that the vector lacks are 0; rows that have no factors keep their value.  A row of the
+    factors without a pivot is an error that names it.
+    """
     r = vector.select(F.floor(F.col("row") / block_rows).alias("block"), "row", "val")
 
-    def solve(v: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        rows = _rows(m)
-        x = dict(zip(v["row"].tolist(), v["val"].tolist(), strict=True))
-        order = sorted(rows)
-        for i in order:
-            x[i] = x.get(i, 0.0) - sum(a * x.get(c, 0.0) for c, a in sorted(rows[i].items()) if c < i)
-        for i in reversed(order):
-            x[i] = (x[i] - sum(a * x.get(c, 0.0) for c, a in sorted(rows[i].items()) if c > i)) / rows[i][i]
-        return pd.DataFrame({"row": np.array(list(x), np.int64), "val": np.array(list(x.values()), float)})
+    def solve(v: pa.Table, m: pa.Table) -> pa.Table:
+        row, val = v.column("row").to_numpy(), v.column("val").to_numpy()
+        if not m.num_rows:
+            return pa.table({"row": row, "val": val})
+        b = _block(m)
+        at = np.minimum(np.searchsorted(b.names, row), b.n - 1)
+        inside = b.names[at] == row
+        solved = b.solve(np.bincount(at[inside], val[inside], b.n))
+        return pa.table({"row": np.concatenate([b.names, row[~inside]]), "val": np.concatenate([solved, val[~inside]])})
 
-    return r.groupBy("block").cogroup(factors.groupBy("block")).applyInPandas(solve, "row bigint, val double")
+    return r.groupBy("block").cogroup(factors.groupBy("block")).applyInArrow(solve, "row bigint, val double")
 
 
 def gcr(matrix: DataFrame, b: DataFrame, x0: DataFrame, block_rows: int | None = None, tolerance: float = TOLERANCE, most_steps: int = MOST_STEPS, restart: int = RESTART) -> tuple[DataFrame, list[float]]:
@@ -72,10 +141,13 @@ def gcr(matrix: DataFrame, b: DataFrame, x0: DataFrame, block_rows: int | None =
 
     Without ``block_rows`` there is no preconditioner.  The loop ends below ``tolerance`` or after
     ``most_steps``.  One frame has the vectors as columns: the solution, the residual, and at most
-    ``restart`` pairs of directions; a step writes it once and sends only scalars to the driver.
+    ``restart`` pairs of directions; a step writes it once, deletes that of the step before, and sends
+    only scalars to the driver.  Matrix and factors are dealt once, by column and by block, so a step
+    exchanges vectors and the products of entries.  Whether the loop ended below ``tolerance`` is told by
+    the last norm.
     """
-    matrix = cut(matrix.select("row", "col", "val").repartition("col"), "gcr-matrix")
-    factors = cut(ilu0(matrix, block_rows), "gcr-factors") if block_rows else None
+    matrix = keep(matrix.select("row", "col", "val"), "col", "gcr-matrix")
+    factors = keep(ilu0(matrix, block_rows), "block", "gcr-factors") if block_rows else None
 
     def precondition(frame: DataFrame, column: str) -> DataFrame:
         v = frame.select("row", F.col(column).alias("val"))
@@ -83,10 +155,10 @@ def gcr(matrix: DataFrame, b: DataFrame, x0: DataFrame, block_rows: int | None =
 
     first = cut(linalg.align({"x": x0, "r": linalg.residual(matrix, b, x0)}), "gcr-state")
     p = cut(precondition(first, "r"), "gcr-p")
-    frame = cut(linalg.align({"x": first.select("row", F.col("x").alias("val")), "r": first.select("row", F.col("r").alias("val")), "p0": p, "q0": linalg.spmv(matrix, p)}), "gcr-state")
+    frame = held_frame = cut(linalg.align({"x": first.select("row", F.col("x").alias("val")), "r": first.select("row", F.col("r").alias("val")), "p0": p, "q0": linalg.spmv(matrix, p)}), "gcr-state")
     norms = [float(np.sqrt(linalg.dots(frame, {"rr": ("r", "r")}).first()["rr"]))]
     qq: dict[int, float] = {}
-    held = [0]
+    held, held_z = [0], None
     for s in range(most_steps):
         if norms[-1] <= tolerance:
             break
@@ -95,10 +167,10 @@ def gcr(matrix: DataFrame, b: DataFrame, x0: DataFrame, block_rows: int | None =
         qq[now] = got["qq"]
         alpha = got["rq"] / got["qq"]
         frame = linalg.axpy(linalg.axpy(frame, "x", alpha, f"p{now}", "x"), "r", -alpha, f"q{now}", "r")
-        z = cut(precondition(frame, "r"), "gcr-z")
+        z = held_z = cut(precondition(frame, "r"), "gcr-z", instead_of=held_z)
         columns = [c for c in frame.columns if c != "row"]
         wide = frame.join(z.select("row", F.col("val").alias("z")), "row", "left").join(linalg.spmv(matrix, z).select("row", F.col("val").alias("az")), "row", "left")
-        wide = cut(wide.select("row", *columns, F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("az", F.lit(0.0)).alias("az")), "gcr-wide")
+        held_frame = wide = cut(wide.select("row", *columns, F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("az", F.lit(0.0)).alias("az")), "gcr-wide", instead_of=held_frame)
         got = linalg.dots(wide, {"rr": ("r", "r")} | {f"b{j}": ("az", f"q{j}") for j in held}).first()
         norms.append(float(np.sqrt(got["rr"])))
         beta = {j: -got[f"b{j}"] / qq[j] for j in held}

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.functions.hashing import GOLDEN, SEED, SHIFTS, with_jenkins64
 from meshframe.operators import cluster, graph, grid, image, layout, linalg, sketch, solver
 from meshframe.plans.scratch import cut, new_path
-from meshframe.sources import derive, errors, records
+from meshframe.sources import bmp, derive, errors, records
 from meshframe.streaming import degrees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,16 +208,12 @@ def hll_change_flag(spark: SparkSession, d: str) -> DataFrame:
     return sketch.changed(one, sketch.union(one, sketch.sent(edges, one)))
 
 
-@query(_with("user_edges", "user_vertices", "simple as (select distinct src, dst from user_edges)", "p1 as (select id, id f from user_vertices union select dst, src from simple)", "p2 as (select * from p1 union select dst, f from simple join p1 on src = id)", select="select id, count(*)::bigint size from p2 group by 1"))
-def exact_ball_size_2(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reach_within(derive.user_vertices(spark, d), derive.user_edges(spark, d), 2)
-
-
-@query()
+@query(_with("part_edges", select="select dst id, count(distinct src)::bigint exact, true sketch_near, true builtin_near from part_edges group by 1"))
 def approx_distinct_builtin(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct sources of each target by Spark's own sketches, as an alternative to the sparse counters."""
-    found = derive.part_edges(spark, d).groupBy(F.col("dst").alias("id")).agg(F.hll_sketch_agg("src").alias("s"), F.approx_count_distinct("src").alias("builtin"))
-    return found.select("id", F.hll_sketch_estimate("s").alias("estimate"), "builtin")
+    """Distinct sources of each target by Spark's own sketches, beside the exact number, which both must come near."""
+    found = derive.part_edges(spark, d).groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("exact"), F.hll_sketch_estimate(F.hll_sketch_agg("src")).alias("s"), F.approx_count_distinct("src").alias("b"))
+    near = lambda c, share: (F.abs(F.col(c) - F.col("exact")) <= share * F.col("exact"))
+    return found.select("id", "exact", near("s", 0.1).alias("sketch_near"), near("b", 0.3).alias("builtin_near"))
 
 
 @query("select rsd, m::int m, round(alpha * m * m, 6) alpha_mm, round(alpha * m * m / (5 * m / 2e0), 6) threshold from (select rsd, m, 0.7213e0 / (1 + 1.079e0 / m) alpha from (values (0.4e0, 8), (0.1e0, 128)) t(rsd, m) union all select 0.2e0, 32, 0.697e0)")
@@ -334,6 +331,12 @@ def block_assign(spark: SparkSession, d: str) -> DataFrame:
     return _assigned(spark, d)
 
 
+@query(_with("grid", _SHAPE, select='select i, j, k, v, ((i >= nx // 2)::int * 2 + least(1, (i - (i >= nx // 2)::int * (nx // 2)) // (nx // 2 // 2)))::int bx, (j // (ny // 2 + 1))::int "by" from grid, shape'))
+def block_assign_shell(spark: SparkSession, d: str) -> DataFrame:
+    """The solver's blocks of the plane, 4 by 2 (L3)."""
+    return layout.assign_shell(derive.grid(spark, d).select("i", "j", "k", "v"), derive.grid_shape(spark, d), (4, 2))
+
+
 @query(_with("grid", _SHAPE, _ASSIGNED, _BLOCKS, select="select * from blocks"))
 def block_table(spark: SparkSession, d: str) -> DataFrame:
     return layout.blocks(_assigned(spark, d))
@@ -351,7 +354,10 @@ def halo_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- sparse matrices
 
-_OFFSETS = "offsets as (select * from (values " + ", ".join(f"({m}, {x}, {y}, {z})" for m, (x, y, z) in enumerate(zip(linalg.OFFSETS_X, linalg.OFFSETS_Y, linalg.OFFSETS_Z, strict=True))) + ") t(m, dx, dy, dz))"
+# Number, x, y and z of the 19 neighbours, as the matrix files have them.
+_OFFSETS = """offsets as (select * from (values (0, 0, 0, 0), (1, -1, 0, 0), (2, 1, 0, 0), (3, 0, -1, 0), (4, 0, 1, 0), (5, 1, 1, 0), (6, 1, -1, 0),
+(7, -1, -1, 0), (8, -1, 1, 0), (9, 0, 0, -1), (10, -1, 0, -1), (11, 1, 0, -1), (12, 0, -1, -1), (13, 0, 1, -1),
+(14, 0, 0, 1), (15, -1, 0, 1), (16, 1, 0, 1), (17, 0, -1, 1), (18, 0, 1, 1)) t(m, dx, dy, dz))"""
 _COO = """near as (select cell r, i + dx + case when j + dy < 0 or j + dy >= ny then nx // 2 else 0 end x, greatest(0, least(ny - 1, j + dy)) y, k + dz z, m, nx, ny, nz from grid, shape, offsets),
 coo as (select r as "row", (((x % nx) + nx) % nx * ny + y) * nz + z as col, case when m = 0 then 20e0 else -(1e0 + (r * 19 + m) % 7) / 10e0 end val from near where z between 0 and nz - 1),
 vec as (select cell as "row", v val from grid)"""
@@ -448,21 +454,35 @@ def gcr_unpreconditioned_2(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(found, "val")
 
 
-@query()
+_OWN_BLOCK = f'a."row" // {BLOCK_ROWS} = a.col // {BLOCK_ROWS}'
+
+
+@query(_with(*_MATRIX, select=f'select "row", col, round(sum(val), 6) product from coo a where {_OWN_BLOCK} group by 1, 2'))
 def ilu0_factor(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(solver.ilu0(_matrix(spark, d), BLOCK_ROWS), "val")
+    """The product of the factors at the places of their pattern, which is the matrix there and nowhere else by other factors."""
+    f = solver.ilu0(_matrix(spark, d), BLOCK_ROWS)
+    lower = f.where("col <= row").select(F.col("row").alias("r"), F.col("col").alias("m"), F.when(F.col("col") == F.col("row"), 1.0).otherwise(F.col("val")).alias("l"))
+    upper = f.where("col >= row").select(F.col("row").alias("m"), F.col("col").alias("c"), F.col("val").alias("u"))
+    product = lower.join(upper, "m").groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("l") * F.col("u")).alias("product"))
+    return _rounded(f.select("row", "col").join(product, ["row", "col"]), "product")
 
 
-@query()
+@query(_with("grid", select='select cell as "row", round(v, 6) val from grid'))
 def ilu_apply(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(solver.ilu_solve(solver.ilu0(_matrix(spark, d), BLOCK_ROWS), _vector(spark, d), BLOCK_ROWS), "val")
+    """A vector through both factors and then multiplied by the upper and the lower one, which gives it back."""
+    f = solver.ilu0(_matrix(spark, d), BLOCK_ROWS)
+    solved = solver.ilu_solve(f, _vector(spark, d), BLOCK_ROWS)
+    upper = linalg.spmv(f.where("col >= row").select("row", "col", "val"), solved)
+    unit = F.when(F.col("col") == F.col("row"), 1.0).otherwise(F.col("val"))
+    return _rounded(linalg.spmv(f.where("col <= row").select("row", "col", unit.alias("val")), upper), "val")
 
 
-@query()
+@query(_with("grid", select='select cell as "row", round(v, 2) val, true converged from grid'))
 def gcr_solve(spark: SparkSession, d: str) -> DataFrame:
-    """The preconditioned solver to its tolerance, with the right side of the grid's values."""
-    found, _ = solver.gcr(_matrix(spark, d), _vector(spark, d), _zero(spark, d), BLOCK_ROWS)
-    return _rounded(found, "val")
+    """The preconditioned solver to its tolerance, over restarts: the right side is the matrix times the grid's values, which it must find (I4)."""
+    matrix = _matrix(spark, d)
+    found, norms = solver.gcr(matrix, linalg.spmv(matrix, _vector(spark, d)), _zero(spark, d), BLOCK_ROWS, most_steps=60)
+    return _rounded(found, "val", digits=2).withColumn("converged", F.lit(norms[-1] <= solver.TOLERANCE))
 
 
 # ---- clusters
@@ -472,14 +492,18 @@ _NUMBERS, _CATEGORIES = ["n0", "n1"], ["c0", "c1"]
 _SEEDS = f"k0 as (select (row_number() over (order by id) - 1)::int cluster, n0, n1, c0, c1 from points order by id limit {K})"
 
 
-def _assign_sql(centres: str, out: str) -> str:
-    dist = f"(p.n0 - c.n0) * (p.n0 - c.n0) + (p.n1 - c.n1) * (p.n1 - c.n1) + case when p.c0 <> c.c0 then {WEIGHT}e0 else 0e0 end + case when p.c1 <> c.c1 then {WEIGHT}e0 else 0e0 end"
-    return f"{out} as (select id, n0, n1, c0, c1, cluster, distance from (select p.*, cluster, {dist} distance, row_number() over (partition by id order by {dist}, cluster) rn from points p, {centres} c) where rn = 1)"
+def _assign_sql(centres: str, out: str, numbers: list[str] = _NUMBERS, categories: list[str] = _CATEGORIES) -> str:
+    squares = [f"(p.{n} - c.{n}) * (p.{n} - c.{n})" for n in numbers]
+    dist = " + ".join([*squares, *[f"case when p.{c} <> c.{c} then {WEIGHT}e0 else 0e0 end" for c in categories]])
+    return f"{out} as (select * from (select p.*, cluster, {dist} distance, row_number() over (partition by id order by {dist}, cluster) rn from points p, {centres} c) where rn = 1)"
 
 
-def _update_sql(assigned: str, old: str, out: str) -> str:
+def _update_sql(assigned: str, old: str, out: str, numbers: list[str] = _NUMBERS, categories: list[str] = _CATEGORIES) -> str:
     mode = lambda c: f"(select cluster, {c} from (select cluster, {c}, row_number() over (partition by cluster order by count(*) desc, {c}) rn from {assigned} group by cluster, {c}) where rn = 1)"
-    return f"{out} as (select o.cluster, coalesce(m.n0, o.n0) n0, coalesce(m.n1, o.n1) n1, coalesce(x.c0, o.c0) c0, coalesce(y.c1, o.c1) c1, m.n from {old} o left join (select cluster, count(*) n, round(avg(n0), 6) n0, round(avg(n1), 6) n1 from {assigned} group by 1) m using (cluster) left join {mode('c0')} x using (cluster) left join {mode('c1')} y using (cluster))"
+    means = ", ".join(f"round(avg({n}), 6) {n}" for n in numbers)
+    columns = ", ".join([f"coalesce(m.{n}, o.{n}) {n}" for n in numbers] + [f"coalesce(m_{c}.{c}, o.{c}) {c}" for c in categories])
+    joins = " ".join(f"left join {mode(c)} m_{c} using (cluster)" for c in categories)
+    return f"{out} as (select o.cluster, {columns}, m.n from {old} o left join (select cluster, count(*) n, {means} from {assigned} group by 1) m using (cluster) {joins})"
 
 
 def _points(spark: SparkSession, d: str) -> tuple[DataFrame, list]:
@@ -522,6 +546,47 @@ def kproto_assign_printed(spark: SparkSession, d: str) -> DataFrame:
     return cluster.assign(points, centres, _NUMBERS, _CATEGORIES, WEIGHT, "printed").select("id", "cluster")
 
 
+_KDD = [x.split(":") for x in records.KDD.split()]
+_KDD_NUMBERS = [n for n, kind in _KDD if kind != "s" and n not in records.KDD_CATEGORIES]
+
+
+def _kdd_value(n: int, name: str, kind: str, key: str, other: str) -> str:
+    """The same rule in Spark SQL and DuckDB."""
+    number = f"({key} * {n + 1} + {other}) % {2 if name in records.KDD_CATEGORIES else 50}"
+    return {"i": f"cast({number} as bigint)", "d": f"cast({number} as double) / 100", "s": f"concat('{name[:3]}', cast(({key} + {n}) % 5 as varchar(9)))"}[kind]
+
+
+_KDD_SQL = "points as (select o_orderkey id, " + ", ".join(f'{_kdd_value(n, name, kind, "o_orderkey", "o_custkey")} "{name}"' for n, (name, kind) in enumerate(_KDD)) + " from orders)"
+
+
+def _kdd(spark: SparkSession, d: str) -> DataFrame:
+    """Connection records of orders, written as a file of commas and read back."""
+    made = [F.expr(_kdd_value(n, name, kind, "o_orderkey", "o_custkey").replace("varchar(9)", "string")).alias(name) for n, (name, kind) in enumerate(_KDD)]
+    path = new_path(spark, "kdd")
+    derive.table(spark, d, "orders").select(*made).write.csv(path)
+    return records.kdd(spark, path)
+
+
+@query(_with(_KDD_SQL, select="select " + ", ".join(f'"{name}"' for name, _ in _KDD) + " from points"))
+def kdd_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _kdd(spark, d)
+
+
+_KDD_CENTRES = [{n: 12.0 * c for n in _KDD_NUMBERS} | {n: f"{n[:3]}{c}" if kind == "s" else c % 2 for n, kind in _KDD if n in records.KDD_CATEGORIES} for c in range(4)]
+_KDD_SEEDS = "k0 as (" + " union all ".join(f"select {i} cluster, " + ", ".join(f"""{repr(v) if not isinstance(v, float) else f'{v!r}::double'} "{n}\"""" for n, v in c.items()) for i, c in enumerate(_KDD_CENTRES)) + ")"
+_KDD_STEP = {"numbers": _KDD_NUMBERS, "categories": records.KDD_CATEGORIES}
+
+
+@query(_with(_KDD_SQL, _KDD_SEEDS, _assign_sql("k0", "a0", **_KDD_STEP), _update_sql("a0", "k0", "k1", **_KDD_STEP), _assign_sql("k1", "a1", **_KDD_STEP), _update_sql("a1", "k1", "k2", **_KDD_STEP), _assign_sql("k2", "a2", **_KDD_STEP), select="select cluster, label, count(*)::bigint n, round(sum(distance), 3) cost from a2 group by 1, 2"))
+def kdd_kproto_2(spark: SparkSession, d: str) -> DataFrame:
+    """Connection records from file to clusters in two rounds, and the labels in each."""
+    points = _kdd(spark, d)
+    numbered = points.withColumn("id", F.lit(0))  # seeds are given, so no key is needed
+    centres, _ = cluster.fit(numbered, 4, _KDD_NUMBERS, records.KDD_CATEGORIES, WEIGHT, most_rounds=2, initial=_KDD_CENTRES)
+    found = cluster.assign(points, centres, _KDD_NUMBERS, records.KDD_CATEGORIES, WEIGHT)
+    return _rounded(found.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("cost")), "cost", digits=3)
+
+
 @query("""with e as (select vec_id, embedding::double[] v from embeddings), s as (select (row_number() over (order by vec_id) - 1)::int cluster, v from e order by vec_id limit 10)
 select vec_id, cluster from (select e.vec_id, cluster, row_number() over (partition by e.vec_id order by list_distance(e.v, s.v), cluster) rn from e, s) where rn = 1""")
 def kmeans_embeddings_assign(spark: SparkSession, d: str) -> DataFrame:
@@ -599,10 +664,13 @@ def image_sink(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = "names as (select * from (values " + ", ".join(f"({c}, '{n}')" for c, n in errors.codes()) + ") t(code, name))"
 
 
-@query(_with(_NAMES, f"seen as (select {errors.BASE} + o_orderkey % 700 code from orders)", select="select coalesce(name, '???') name, count(*)::bigint n from seen left join names using (code) group by 1"))
+_CODES = "case o_orderkey % 7 when 0 then 2147500033 + 4 * (o_orderkey % 2) when 1 then 2147942487 when 2 then 2147942414 when 3 then 0 else 2289434624 + o_orderkey % 700 end"
+
+
+@query(_with(_NAMES, f"seen as (select {_CODES} code from orders)", select="select coalesce(name, '???') name, count(*)::bigint n from seen left join names using (code) group by 1"))
 def error_code_lookup(spark: SparkSession, d: str) -> DataFrame:
-    orders = derive.table(spark, d, "orders")
-    return errors.with_name(orders, F.pmod("o_orderkey", F.lit(700)) + errors.BASE).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    """Codes of the graphics facility and general ones."""
+    return errors.with_name(derive.table(spark, d, "orders"), F.expr(_CODES)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_with("grid", "m as (select unnest(range(19)) m)", "val as (select i, j, k, m, case when m = 0 then 20e0 else -(1e0 + (cell * 19 + m) % 7) / 10e0 end val from grid, m)", select="select i, j, k, count(*)::int n, round(sum(val), 6) total, round(max(val) filter (m = 18), 6) last from val group by 1, 2, 3"))
@@ -624,6 +692,51 @@ def vector_text_etl(spark: SparkSession, d: str) -> DataFrame:
     return records.vector_text(spark, path)
 
 
+@query(_with("grid", "m as (select unnest(range(19)) m)", "val as (select i, j, k, m, case when m = 0 then 20e0 else -(1e0 + (cell * 19 + m) % 7) / 10e0 end val from grid, m)", select="select i, j, k, count(*)::int n, round(sum(val), 6) total, round(max(val) filter (m = 18), 6) last from val group by 1, 2, 3"))
+def coefficient_records_etl(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients of all cells written as binary records and read back."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(18)), lambda m: linalg.coefficient(F.col("cell"), m.cast("bigint")))
+    path = new_path(spark, "coefficients")
+    records.write_coefficient_records(derive.grid(spark, d).select("i", "j", "k", each.alias("coef")), path)
+    coef = records.coefficient_records(spark, path)
+    total = F.aggregate("coef", F.lit(0.0), lambda a, x: a + x)
+    return coef.select(*[F.col(c).cast("bigint").alias(c) for c in "ijk"], F.size("coef").alias("n"), F.round(total, 6).alias("total"), F.round(F.element_at("coef", -1), 6).alias("last"))
+
+
+@query(_with("grid", select="select i, j, k, v val from grid"))
+def vector_records_etl(spark: SparkSession, d: str) -> DataFrame:
+    """A vector written as binary records and read back."""
+    path = new_path(spark, "vector")
+    records.write_vector_records(derive.grid(spark, d).select("i", "j", "k", F.col("v").alias("val")), path)
+    return records.vector_records(spark, path).select(*[F.col(c).cast("bigint").alias(c) for c in "ijk"], "val")
+
+
+TILE = 40
+
+
+@query(_with("pixels", select=f"select x, y, case when (x // {TILE}) % 2 = 0 then argb else argb % 16777216 end argb from pixels"))
+def bmp_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The image written as files of 32 and 24 bits a pixel by turns, and read again."""
+    path = new_path(spark, "image")
+    bmp.write(bmp.tiles(derive.pixels(spark, d), TILE, derive.IMAGE_HEIGHT, lambda t: 24 if t % 2 else 32), path)
+    tile = F.regexp_extract("path", r"(\d+)\.bmp$", 1).cast("bigint")
+    return bmp.scan(spark, path).select((tile * TILE + F.col("x")).alias("x"), "y", "argb")
+
+
+@query("""select * from (values ('bits', 4, 2, 16, 'bits a pixel'), ('compressed', 4, 2, 24, 'compressed'), ('good24', 4, 2, 24, null), ('good32', 4, 2, 32, null), ('information', 4, 2, 24, 'short information header'),
+('magic', 4, 2, 24, 'not a bitmap'), ('offset', 4, 2, 24, 'offset of pixels'), ('planes', 4, 2, 24, 'planes'), ('short', 0, 0, 0, 'short file'), ('size', 0, 2, 24, 'size')) t(name, width, height, bits, problem)""")
+def bmp_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Files that keep the rules of the format, and one that breaks each."""
+    good = {n: bmp.encode(np.arange(8, dtype=np.int64).reshape(2, 4), n) for n in (24, 32)}
+    # rule, place in the header, bytes
+    wrong = [("magic", 0, b"MB"), ("offset", 10, b"\x37"), ("information", 14, b"\x0c"), ("size", 18, b"\0"), ("planes", 26, b"\2"), ("bits", 28, b"\x10"), ("compressed", 30, b"\1")]
+    files = {"good24": good[24], "good32": good[32], "short": good[24][:30]} | {k: good[24][:at] + b + good[24][at + len(b) :] for k, at, b in wrong}
+    path = new_path(spark, "headers")
+    for name, content in files.items():
+        records.write_file(spark, f"{path}/{name}.bmp", [content])
+    return bmp.headers(spark, path).select(F.regexp_extract("path", r"(\w+)\.bmp$", 1).alias("name"), "width", "height", "bits", "problem")
+
+
 @query("select user_id, count(*)::bigint events, round(sum(value), 4) total from events group by 1")
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts kept over a stream of the events table."""
@@ -632,5 +745,6 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_with("grid", select="select i, j, k, v from grid where i between 2 and 5 and j between 1 and 3"))
 def block_read(spark: SparkSession, d: str) -> DataFrame:
-    """A block of the grid by ranges (S14): the range is the feature."""
-    return records.block(derive.grid(spark, d).select("i", "j", "k", "v"), (2, 6), (1, 4))
+    """A block of a stored grid by ranges (S14), which skip the parts of its files that hold none of it: the range is the feature."""
+    stored = cut(derive.grid(spark, d).select("i", "j", "k", "v").repartitionByRange("i", "j").sortWithinPartitions("i", "j"), "grid")
+    return records.block(stored, (2, 6), (1, 4))

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshframe.sources.records import write_file
+
 MAGIC, HEADERS = 0x4D42, 14 + 40
 STRIP_PIXELS = 1 << 18
 
@@ -73,3 +76,26 @@ def encode(argb: np.ndarray, bits: int = 32) -> bytes:
     body[:, : width * bits // 8] = channels.reshape(height, -1)
     head = struct.pack("<HIHHI", MAGIC, HEADERS + body.size, 0, 0, HEADERS) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, bits, 0, body.size, 0, 0, 0, 0)
     return head + body.tobytes()
+
+
+def tiles(pixels: DataFrame, tile_width: int, height: int, bits) -> DataFrame:  # noqa: ANN001
+    """``tile, content``: files of ``x, y, argb`` cut into tiles of ``tile_width`` columns; tile ``t`` has ``bits(t)`` bits a pixel.
+
+    Pixels that are lacking are 0.  A tile, and so a file, has a bounded size.
+    """
+
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        tile = key[0].as_py()
+        x, y = (rows.column(c).to_numpy() for c in "xy")
+        argb = np.zeros((height, int(x.max()) - tile * tile_width + 1), np.int64)
+        argb[y, x - tile * tile_width] = rows.column("argb").to_numpy()
+        return pa.table({"tile": pa.array([tile], pa.int64()), "content": pa.array([encode(argb, bits(tile))], pa.binary())})
+
+    cut = pixels.select(F.expr(f"x div {tile_width}L").alias("tile"), "x", "y", "argb")
+    return cut.groupBy("tile").applyInArrow(build, "tile bigint, content binary")
+
+
+def write(files: DataFrame, folder: str) -> None:
+    """A file ``<tile>.bmp`` in ``folder`` for each row."""
+    for r in files.toLocalIterator():
+        write_file(files.sparkSession, f"{folder}/{r['tile']}.bmp", [bytes(r["content"])])

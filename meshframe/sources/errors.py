@@ -28,14 +28,19 @@ NAMES = """
 """
 
 
+# Names that stand for general error codes.
+GENERAL = {0x80004001: "UNSUPPORTED", 0x80004005: "GENERIC", 0x80070057: "INVALIDPARAMS", 0x8007000E: "OUTOFMEMORY"}
+
+
 def codes() -> list[tuple[int, str]]:
     """All codes with their names; 0 is no error."""
     words = NAMES.split()
-    return [(0, "DD_OK"), *[(BASE + int(n), f"DDERR_{name}") for n, name in zip(words[::2], words[1::2], strict=True)]]
+    named = [(BASE + int(n), name) for n, name in zip(words[::2], words[1::2], strict=True)]
+    return [(0, "DD_OK"), *[(code, f"DDERR_{name}") for code, name in (*named, *GENERAL.items())]]
 
 
 def with_name(df: DataFrame, code: Column, out: str = "name", default: str = "???") -> DataFrame:
-    """``df`` with the name of each code, or ``default`` (S9).  The table has about a hundred rows and is broadcast."""
+    """``df`` with the name of each code (unsigned), or ``default`` (S9).  The table has about a hundred rows and is broadcast."""
     spark: SparkSession = df.sparkSession
     names = spark.createDataFrame(codes(), "_code bigint, _name string")
     keyed = df.withColumn("_code", code.cast("bigint"))
