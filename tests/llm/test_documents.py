@@ -4,11 +4,13 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from conftest_llm import DOCUMENTS, odd_documents, prose
 from pyspark.sql import functions as F
 
@@ -277,13 +279,80 @@ def test_next_wraps_and_crosses_ranges(spark):
     assert got == {a: str(b) for a, b in zip(ids, [*ids[1:], ids[0]], strict=True)}
 
 
+def spark_hash(values, seed=42):
+    """Spark's xxhash64 of strings or 64-bit numbers, signed."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_anchors(text):
+    t = []
+    for w in re.findall(r"\S+", text, re.ASCII):
+        t += [w] if len(w) <= 8 else [w[:8], w[8:]] if len(w) <= 16 else list(w)
+    inner = [spark_hash(p) for p in itertools.pairwise(t)] + ([spark_hash(t[-1:])] if t else [])
+    low = lambda h, at: (h & 0x3FFFFFFF) << 2 | at
+    out, last = [], -1
+    for i in range(len(t) - 4):
+        m = inner[i : i + 4]
+        if min(m) in (m[0], m[3]):
+            out.append(low(spark_hash([inner[i], inner[i + 2], inner[i + 3]]), i - last))
+            last = i
+    return out or ([low(spark_hash(t), 0)] if t else [])
+
+
+def signed(x):
+    return x - (1 << 32) if x >> 31 else x
+
+
+def test_anchors_equal_brute_force(spark):
+    r = random.Random(3)
+    texts = ["", " ", "a", "a b c d", "a b c d e", "same same same same same same same"] + [prose(i, r.randint(3, 40)) for i in range(60)] + ["x" * 20 + " " + prose(3, 10), "y" * 12 + " z " + "é" * 17]
+    got = {r["doc_id"]: r for r in syncmers.with_anchors(documents(spark, list(enumerate(texts))), "text", "a").withColumn("p", syncmers.positions(F.col("a"))).select("doc_id", "a", "p").collect()}
+    for i, t in enumerate(texts):
+        want = brute_anchors(t)
+        assert got[i]["a"] == [signed(x) for x in want], t
+        gaps = [x & 3 for x in want]
+        assert all(1 <= g <= 3 for g in gaps) or len(gaps) == 1
+        assert [p["position"] for p in got[i]["p"]] == [max(0, x - 1) for x in itertools.accumulate(gaps)]
+
+
+def test_fingerprints_equal_brute_force(spark, sf):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    order = sorted(docs, reverse=True)
+    after = dict(zip(order, [*order[1:], order[0]], strict=True))
+
+    def near(a, b):
+        a, b = ({x >> 2 for x in y} for y in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for r in registry.queries()["op4_syncmers"](spark, sf).collect():
+        text, other = docs[r["doc_id"]], docs[after[r["doc_id"]]]
+        half = len(text) // 2
+        own, edited, following = map(brute_anchors, (text, text[: len(text) - half] + other[:half], other))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == tuple("".join(f"{x:08x}" for x in y) for y in (own, edited))
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((near(own, edited), near(own, following)))
+
+
 def test_anchors_do_not_depend_on_what_surrounds_them(spark):
     middle = prose(8, 60)
-    rows = [(0, middle), (1, prose(9, 30) + " " + middle + " " + prose(10, 30))]
-    got = syncmers.anchors(documents(spark, rows), "text", "a").select("doc_id", "a").collect()
-    one, two = ([(x["position"], x["hash"]) for x in r["a"]] for r in sorted(got, key=lambda r: r["doc_id"]))
-    shift = {p2 - p1 for p1, h1 in one for p2, h2 in two if h1 == h2}
-    assert len(one) > 10 and {h for _, h in one} <= {h for _, h in two} and len(shift) == 1
+    rows = [(0, middle, prose(9, 30) + " " + middle + " " + prose(10, 30))]
+    df = spark.createDataFrame(rows, "id int, one string, two string")
+    both = syncmers.with_anchors(syncmers.with_anchors(df, "one", "a"), "two", "b")
+    found = syncmers.passages(both, ["id"], "a", "b").collect()
+    assert [(r["from_b"] - r["from_a"]) for r in found] == [30] and found[0]["tokens"] > 50
+
+
+def test_many_rows_of_one_id(spark):
+    rows = [(i, f"t{i}") for i in range(300)] + [(7, f"seven{i}") for i in range(400)] + [(None, f"none{i}") for i in range(400)] + [(-(10**17), "low"), (10**18, "high")]
+    got = syncmers.with_next(documents(spark, rows).select("doc_id", "text"), ["doc_id", "text"], rows_per_range=20).collect()
+    after = {r["text"]: (r["next_doc_id"], r["next_text"]) for r in got}
+    assert len(got) == len(rows) and sorted(t for _, t in after.values()) == sorted(t for _, t in rows)
+    walk, at = [], "high"
+    for _ in rows:
+        walk.append(dict((t, i) for i, t in rows)[at])
+        at = after[at][1]
+    assert at == "high" and walk == sorted([i for i, _ in rows if i is not None], reverse=True) + [None] * 400
 
 
 def test_likeness(spark, sf):
@@ -293,7 +362,7 @@ def test_likeness(spark, sf):
 
 def test_short_texts_have_fingerprints_of_their_own(spark):
     texts = {i: prose(i, 5 + i % 6, 10**6) for i in range(300)} | {300: ""}
-    got = {r["doc_id"]: r["s"] for r in syncmers.with_sketch(documents(spark, list(texts.items())), "text", "s").select("doc_id", "s").collect()}
+    got = {r["doc_id"]: r["s"] for r in syncmers.with_anchors(documents(spark, list(texts.items())), "text", "s").select("doc_id", "s").collect()}
     assert got.pop(300) == [] and all(got.values())
     assert len({tuple(s) for s in got.values()}) == len(set(texts.values())) - 1
 
@@ -302,10 +371,8 @@ def test_passages_without_white_space_keep_their_anchors(spark):
     r = random.Random(4)
     passage = "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(400))
     rows = [(0, passage)] + [(n, "x" * n + passage) for n in range(1, 8)] + [(8, passage[:200] + "x" + passage[200:])]
-    got = syncmers.with_sketch(documents(spark, rows), "text", "s").select("doc_id", "s")
-    one = got.where("doc_id = 0").select(F.col("s").alias("o"))
-    like = [x[0] for x in got.crossJoin(one).select(syncmers.likeness(F.col("s"), F.col("o"))).collect()]
-    assert len(like) == 9 and min(like) > 0.85
+    got = {r["doc_id"]: {x >> 2 for x in r["s"]} for r in syncmers.with_anchors(documents(spark, rows), "text", "s").select("doc_id", "s").collect()}
+    assert all(len(got[0] & s) / len(got[0] | s) > 0.85 for s in got.values())
     words = "short " + "a" * 8 + " " + "b" * 8 + "c" * 8 + " " + "d" * 8 + "e " + "🙂" * 17
     cut = spark.createDataFrame([(words,)], "t string").select(syncmers.tokens(F.col("t"))).first()[0]
     assert cut == ["short", "a" * 8, "b" * 8, "c" * 8, "d" * 8, "e", *["🙂"] * 17]
