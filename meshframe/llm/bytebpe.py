@@ -10,6 +10,7 @@ library itself.
 from __future__ import annotations
 
 import json
+import zlib
 
 import numpy as np
 
@@ -50,9 +51,8 @@ class ByteBpe:
         if not text:
             return np.zeros(0, np.int32)
         try:
-            if any(x in text for x in self.found):
-                return np.array(self.engine.encode(text, allowed_special="all"), np.int32)
-            return np.array(self.engine.encode_ordinary(text), np.int32)
+            special = "all" if any(x in text for x in self.found) else set()
+            return self.engine.encode_to_numpy(text, allowed_special=special, disallowed_special=()).view(np.int32)
         except BaseException as e:  # the engine's panics are no Exceptions
             if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
                 raise
@@ -67,6 +67,19 @@ class ByteBpe:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.int32)
 
 
+def in_worker(definition: str, special: bool = False) -> ByteBpe:
+    """The encoder of this process, built once for all of its tasks."""
+    import sys
+    import types
+
+    # functions are unpickled anew for each task, modules stay
+    kept = sys.modules.setdefault("_meshframe_encoders", types.ModuleType("_meshframe_encoders")).__dict__
+    key = f"{zlib.crc32(definition.encode())} {len(definition)} {special}"
+    if key not in kept:
+        kept[key] = ByteBpe(definition, special)
+    return kept[key]
+
+
 def definition(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()

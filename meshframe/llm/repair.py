@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshframe.llm.bytebpe import ByteBpe, definition
+from meshframe.llm.bytebpe import definition, in_worker
 from meshframe.llm.common import free_name, map_batches, needed, store, table
 
 SHARD_IDS = 1 << 21
-SHARE, LEAST, BIN_BITS = 16, 16, 18
+SHARE, LEAST, BIN_BITS = 64, 16, 18
 # Odd multipliers that spread the bits of a pair over the bins.
 _SPREAD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0x2C1B3C6D)]
 
@@ -159,7 +159,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int = SH
     schema = T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(x, long) for x in ("shard", "start", "n_ids")], T.StructField("doc_ids", T.ArrayType(source.schema[0].dataType)), T.StructField("doc_lengths", T.ArrayType(long, False)), *[T.StructField(x, binary) for x in ("rules", "rule_lengths", "sequence")], T.StructField("base", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        bpe = ByteBpe(model, special)
+        bpe = in_worker(model, special)
         part, shard, start = TaskContext.get().partitionId(), 0, 0
         names, parts, n = [], [], 0
         end = np.array([end_id], np.int32)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshframe.llm.bytebpe import ByteBpe, definition
+from meshframe.llm.bytebpe import ByteBpe, definition, in_worker
 from meshframe.llm.common import map_batches, needed, store, table
 
 BLOCK_IDS = 1 << 19
@@ -37,7 +37,7 @@ def write_streams(docs: DataFrame, tokenizer_path: str, block_ids: int = BLOCK_I
     schema = T.StructType([T.StructField("stream", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("first_ordinal", T.LongType()), T.StructField("doc_ids", T.ArrayType(source.schema[0].dataType))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        bpe = ByteBpe(model)
+        bpe = in_worker(model)
         end = bpe.special["<|endoftext|>"]
         width = np.uint16 if bpe.size <= 1 << 16 else np.uint32
         stream = TaskContext.get().partitionId()
