@@ -1,17 +1,19 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A bidirectional window network predicts each word of a text from the words around it: the vectors of
-``SPAN`` words on either side, each turned by the matrix of its place, are added and passed through a
-tanh layer.  Words are numbered from 1 by falling count; a softmax gives the bit length of the number,
-and a binary decision a bit gives the rest of it.  The sum of the conditional log-probabilities of all
-words is the score of a text.
-
-The vocabulary follows the corpus: an edge mark, every word that occurs ``LEAST`` times or more, and a
-bucket by checksum for each ``WORDS_PER_BUCKET`` of them (``BUCKETS`` at least) for the rarer words.
-The network is written in numpy.  Each task goes over all words of its rows once, in batches, from the
-same start.  It sends the vectors that it trained, in blocks, and a vector is averaged over the tasks
-that trained it, by how often each did.  The driver and each task hold the words and one set of
-parameters, so memory grows with the vocabulary.
+A bidirectional window network predicts the symbol of each word of a text from the symbols around it:
+the vectors of ``SPAN`` symbols on either side are added, passed through a tanh layer, and a two-level
+softmax gives the probability of the symbol's class and of the symbol in its class.  The sum of the
+conditional log-probabilities of all words is the score of a text.
+
+The vocabulary is every word of the corpus.  The ``FREQUENT`` most frequent words are symbols of their
+own, all others share ``BUCKETS`` symbols by checksum, and a word's probability given its symbol is its
+share of the symbol's words in the whole corpus.  So the network has one size, and what grows with the
+corpus is a table of counts that no task holds: counts of the ``HEAD`` most frequent words (of up to
+``WORD_BYTES`` bytes) are broadcast, and the words of a text beyond them are joined to the table.
+
+The network is written in numpy and trained on all texts once, in ``ROUNDS`` rounds.  A round takes the
+texts of one share by hash; each task goes over its own from the common parameters, in batches, and at
+the end of the round parameters and step sizes are averaged over tasks by their numbers of words.
 """
 
 from __future__ import annotations
@@ -22,17 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshframe.llm.common import map_batches, needed, table
+from meshframe.llm.common import map_batches, needed, store, table
 
-LEAST, BUCKETS, WORDS_PER_BUCKET = 5, 256, 4
-SPAN, WIDTH, BATCH, RATE = 2, 16, 16384, 0.1
-CHUNK_WORDS, TABLE_WORDS = 1 << 17, 400_000
-BLOCK_ROWS = 256
+CLASSES = 32
+SYMBOLS = CLASSES * CLASSES
+BUCKETS = 256
+FREQUENT = SYMBOLS - 1 - BUCKETS
+HEAD, WORD_BYTES = 1 << 17, 64
+SPAN, WIDTH, BATCH, RATE, ROUNDS = 2, 16, 16384, 0.1, 4
+CHUNK_WORDS, TABLE_WORDS, BLOCK = 1 << 17, 400_000, 4096
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -59,72 +64,91 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_batches(needed(docs, text), run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> tuple[bytes, np.ndarray]:
-    """All words with a count of ``LEAST`` or more, joined by blanks, and their counts, by falling count; ties in the order of words."""
-    found = counts.where(F.col("n") >= LEAST).toArrow()
-    found = found.take(pa.compute.sort_indices(found, [("n", "descending"), ("word", "ascending")]))
-    return b" ".join(x.as_py() for x in found.column("word").cast(pa.binary())), found.column("n").to_numpy()
+class Vocabulary:
+    """The head of the word counts and the words of each bucket; what a task needs of the corpus."""
+
+    def __init__(self, words: list[bytes], n: np.ndarray, in_bucket: np.ndarray) -> None:
+        self.words, self.n, self.in_bucket = words, n, in_bucket
+
+    @staticmethod
+    def of(counts: DataFrame, head: int = HEAD) -> Vocabulary:
+        """Words by falling count; ties in the order of words."""
+        found = counts.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(head).collect()
+        words, n = [r["word"].encode() for r in found], np.array([r["n"] for r in found], np.int64)
+        totals = counts.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.sum("n").alias("n")).collect()
+        in_bucket = np.zeros(BUCKETS, np.int64)
+        for r in totals:  # at most BUCKETS rows
+            in_bucket[r["b"]] = r["n"]
+        for w, k in zip(words[:FREQUENT], n, strict=False):
+            in_bucket[zlib.crc32(w) % BUCKETS] -= k
+        return Vocabulary(words, n, in_bucket)
+
+    def index(self) -> None:
+        """Make what look-ups need, in the process that looks up."""
+        self.at = {w: i for i, w in enumerate(self.words)}
+        bucket = np.array([zlib.crc32(w) % BUCKETS for w in self.words], np.int64)
+        place = np.arange(len(self.words))
+        own = place < FREQUENT
+        # the last element is for words beyond the head
+        self.symbol = np.append(np.where(own, place + 1, 1 + FREQUENT + bucket), 0).astype(np.int32)
+        self.bucket_log = np.log(np.maximum(self.in_bucket, 1))
+        self.log = np.append(np.where(own, 0.0, np.log(np.maximum(self.n, 1)) - self.bucket_log[bucket]) if len(place) else [], 0.0)
+        self.single = np.append(self.n == 1, False)
+
+    def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """The symbols of a text's words, their places in the head (-1 beyond it), the words beyond it and their buckets."""
+        get = self.at.get
+        words = (text or "").encode().split()
+        place = np.array([get(w, -1) for w in words], np.int32)
+        symbol = self.symbol[place]
+        far = np.flatnonzero(place < 0)
+        beyond = [words[i] for i in far.tolist()]
+        bucket = np.array([zlib.crc32(w) % BUCKETS for w in beyond], np.int64)
+        symbol[far] = 1 + FREQUENT + bucket
+        return symbol, place, beyond, bucket
 
 
 class WindowNetwork:
-    """The parameters and their training; the order of ``parts`` is fixed, so that they can be averaged.
+    """The parameters and their training; the order of ``parts`` is fixed, so that they can be averaged."""
 
-    The first two parts have a row a word and a row a decision; a step changes few of their rows.
-    """
+    def __init__(self, values: np.ndarray) -> None:
+        self.shapes = [(2 * SPAN, SYMBOLS, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,), (CLASSES, WIDTH, CLASSES), (CLASSES, CLASSES)]
+        self.values = np.array(values, np.float32)
+        self.parts = self.split(self.values)
+
+    @staticmethod
+    def start(vocabulary: Vocabulary) -> WindowNetwork:
+        """Small random parameters; the biases are at the frequencies of classes and of symbols in them."""
+        net = WindowNetwork(np.zeros(WindowNetwork.size(), np.float32))
+        rng = np.random.default_rng(7)
+        for p in net.parts:
+            if p.ndim > 1:
+                p[:] = rng.normal(0, 0.1, p.shape)
+        n = np.ones(SYMBOLS)
+        own = vocabulary.n[:FREQUENT]
+        n[1 : 1 + len(own)] += own
+        n[1 + FREQUENT :] += vocabulary.in_bucket
+        n = n.reshape(CLASSES, CLASSES)
+        net.parts[3][:] = np.log(n.sum(1) / n.sum())
+        net.parts[5][:] = np.log(n / n.sum(1, keepdims=True))
+        return net
+
+    @staticmethod
+    def size() -> int:
+        return 2 * SPAN * SYMBOLS * WIDTH + WIDTH + WIDTH * CLASSES + CLASSES + CLASSES * WIDTH * CLASSES + CLASSES * CLASSES
 
-    def __init__(self, words: list[tuple[str, int]] | tuple[bytes, np.ndarray], values: np.ndarray | None = None) -> None:
-        if isinstance(words, list):
-            words = b" ".join(w.encode() for w, _ in words), np.array([c for _, c in words], np.int64)
-        joined, counts = words
-        self.ids = {w: i for i, w in enumerate(joined.split(), 1)}
-        self.first = 1 + len(self.ids)
-        self.buckets = max(BUCKETS, len(self.ids) // WORDS_PER_BUCKET)
-        self.size = self.first + self.buckets
-        kinds = (self.size - 1).bit_length()
-        # the decisions of a bit length k + 1 are a heap from 2 ** k on
-        decisions = (1 << kinds - 1) + (self.size - 1 >> 1) + 1
-        self.shapes = [(self.size, WIDTH), (decisions, WIDTH + 1), (2 * SPAN, WIDTH, WIDTH), (WIDTH,), (WIDTH, kinds), (kinds,)]
-        self.kind = (np.frexp(np.arange(self.size, dtype=np.float64))[1] - 1).astype(np.int8)
-        self.set(np.zeros(sum(int(np.prod(s)) for s in self.shapes), np.float32) if values is None else values)
-        if values is None:
-            rng = np.random.default_rng(7)
-            for part, scale in zip(self.parts, (0.3, 0.1, 0.1, 0, 0.1, 0), strict=True):
-                if scale:
-                    rng.random(out=part, dtype=np.float32)
-                    part -= np.float32(0.5)
-                    part *= np.float32(scale * 12**0.5)
-            self.parts[1][:, WIDTH] = 0
-            self.parts[2] += np.eye(WIDTH, dtype=np.float32)
-            # the biases start at the frequencies of bit lengths and of words in them
-            n = np.full(self.size, 1.0)
-            n[1 : self.first] += counts
-            n[self.first :] = n[1 : self.first].mean() if len(counts) else 1.0
-            total = np.concatenate([[0.0, 0.0], np.cumsum(n[1:])])  # of numbers below a number
-            upto = lambda x: total[np.minimum(x, self.size)]
-            ends = upto(1 << np.arange(kinds + 1))
-            self.parts[5][:] = np.log(np.diff(ends) / ends[-1])
-            for k in range(1, kinds):
-                for i in range(1, k + 1):
-                    p = np.arange(1 << k - i, min(1 << k - i + 1, (self.size - 1 >> i) + 1))
-                    left, right = (upto(c + 1 << i - 1) - upto(c << i - 1) for c in (2 * p, 2 * p + 1))
-                    self.parts[1][(1 << k) + p, WIDTH] = np.log(np.maximum(right, 1e-9) / np.maximum(left, 1e-9))
-
-    def set(self, values: np.ndarray) -> None:
-        """Take ``values``; an array of 32-bit floats that can be written is used as it is."""
-        self.values = np.require(values, np.float32, ["W"])
-        self.parts, at = [], 0
+    def split(self, flat: np.ndarray) -> list[np.ndarray]:
+        """Views of a flat array in the shapes of the parts."""
+        parts, at = [], 0
         for s in self.shapes:
             n = int(np.prod(s))
-            self.parts.append(self.values[at : at + n].reshape(s))
+            parts.append(flat[at : at + n].reshape(s))
             at += n
+        return parts
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        """The word numbers of a text."""
-        get, first, buckets = self.ids.get, self.first, self.buckets
-        return np.array([get(w) or first + zlib.crc32(w) % buckets for w in (text or "").encode().split()], np.int32)
-
-    def contexts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of several texts in a row, and the words around each; beyond a text stands the edge mark 0."""
+    @staticmethod
+    def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of several texts in a row, and those around each; beyond a text stands the edge mark 0."""
         edge = np.zeros(SPAN, np.int32)
         row = np.concatenate([x for t in texts for x in (t, edge)] or [edge])
         row = np.concatenate([edge, row])
@@ -133,21 +157,10 @@ class WindowNetwork:
         return row[at], around
 
     def _hidden(self, around: np.ndarray) -> np.ndarray:
-        """The hidden layer, with a last column of ones for the biases of decisions."""
-        out = np.ones((around.shape[1], WIDTH + 1), np.float32)
-        total = self.parts[0][around[0]] @ self.parts[2][0]
-        for turn, a in zip(self.parts[2][1:], around[1:], strict=True):
-            total += self.parts[0][a] @ turn
-        np.tanh(total + self.parts[3], out=out[:, :WIDTH])
-        return out
-
-    def _decisions(self, word: np.ndarray, kind: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each bit below the first of ``word`` (ascending by ``kind``): the first word that has it, the
-        decisions, the bits, and where both bits have words."""
-        for i in range(1, int(kind[-1]) + 1 if len(kind) else 1):
-            lo = int(np.searchsorted(kind, i))
-            prefix = word[lo:] >> i
-            yield lo, (1 << kind[lo:].astype(np.int64)) + prefix, word[lo:] >> i - 1 & 1, (2 * prefix.astype(np.int64) + 1 << i - 1) < self.size
+        total = self.parts[0][0][around[0]]
+        for table_, a in zip(self.parts[0][1:], around[1:], strict=True):
+            total += table_[a]
+        return np.tanh(total + self.parts[1])
 
     @staticmethod
     def _softmax(x: np.ndarray) -> np.ndarray:
@@ -166,146 +179,133 @@ class WindowNetwork:
 
     def log_probabilities(self, word: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Of each word given those around it."""
-        by = np.argsort(self.kind[word], kind="stable")  # words of a bit length lie together
+        by = np.argsort((word // CLASSES).astype(np.int8), kind="stable")  # words of a class lie together
         word, around = word[by], around[:, by]
-        h, kind = self._hidden(around), self.kind[word]
-        found = self._log_softmax(self.parts[4].T @ h[:, :WIDTH].T + self.parts[5][:, None])[kind, np.arange(len(word))].astype(np.float64)
-        for lo, at, bit, free in self._decisions(word, kind):
-            x = np.einsum("ij,ij->i", self.parts[1][at], h[lo:])
-            found[lo:] -= np.where(free, np.logaddexp(0, np.where(bit == 1, -x, x)), 0)
+        h = self._hidden(around)
+        kind, inner = word // CLASSES, word % CLASSES
+        found = self._log_softmax(self.parts[2].T @ h.T + self.parts[3][:, None])[kind, np.arange(len(word))].astype(np.float64)
+        ends = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        for c, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+            if lo < hi:
+                logs = self._log_softmax(self.parts[4][c].T @ h[lo:hi].T + self.parts[5][c][:, None])
+                found[lo:hi] += logs[inner[lo:hi], np.arange(hi - lo)]
         out = np.empty(len(word))
         out[by] = found
         return out
 
-    def train(self, word: np.ndarray, around: np.ndarray, memory: list[np.ndarray], counts: list[np.ndarray] | None = None) -> None:
-        """One step of adaptive gradient descent; ``memory`` holds sums of squared gradients.
-
-        ``counts`` of the rows of the first two parts are raised by how often each is trained.
-        """
-        table_, decisions, turns, bias, u, c0 = self.parts
+    def train(self, word: np.ndarray, around: np.ndarray, memory: list[np.ndarray]) -> None:
+        """One step of adaptive gradient descent; ``memory`` holds sums of squared gradients."""
+        tables, bias, u, c0, v, c1 = self.parts
         n = len(word)
-        if not n:
-            return
-        by = np.argsort(self.kind[word], kind="stable")  # words of a bit length lie together
+        by = np.argsort((word // CLASSES).astype(np.int8), kind="stable")  # words of a class lie together
         word, around = word[by], around[:, by]
-        h1, kind = self._hidden(around), self.kind[word]
-        h = h1[:, :WIDTH]
+        kind, inner = word // CLASSES, word % CLASSES
+        h = self._hidden(around)
         d = self._softmax(u.T @ h.T + c0[:, None])
         d[kind, np.arange(n)] -= 1
-        dh = np.ascontiguousarray((u @ d).T)
-        places, steps = [], []
-        for lo, at, bit, free in self._decisions(word, kind):
-            w = decisions[at]
-            x = np.einsum("ij,ij->i", w, h1[lo:])
-            e = np.where(free, 1 / (1 + np.exp(-np.clip(x, -60, 60))) - bit, 0).astype(np.float32)[:, None]
-            dh[lo:] += e * w[:, :WIDTH]
-            places.append(at)
-            steps.append(e * h1[lo:])
+        dh = (u @ d).T
+        grads = [None, None, h.T @ d.T, d.sum(1), np.zeros_like(v), np.zeros_like(c1)]
+        ends = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        for c, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+            if lo < hi:
+                e = self._softmax(v[c].T @ h[lo:hi].T + c1[c][:, None])
+                e[inner[lo:hi], np.arange(hi - lo)] -= 1
+                grads[4][c], grads[5][c] = h[lo:hi].T @ e.T, e.sum(1)
+                dh[lo:hi] += (v[c] @ e).T
         dz = dh * (1 - h * h)
-        moved = [(around.ravel(), np.concatenate([dz @ t.T for t in turns]))]
-        if places:
-            moved.append((np.concatenate(places), np.concatenate(steps)))
-        shared = [np.stack([table_[a].T @ dz for a in around]), dz.sum(0), h.T @ d.T, d.sum(1)]
-        for k, (at, g) in enumerate(moved):
-            marks = np.zeros(self.shapes[k][0], bool)
-            marks[at] = True
-            rows = np.flatnonzero(marks)
-            slot = np.empty(len(marks), np.int32)
-            slot[rows] = np.arange(len(rows))
-            at = slot[at]
-            g = np.stack([np.bincount(at, column, len(rows)) for column in g.T], 1).astype(np.float32) / n
-            m = memory[k][rows] + (g * g).mean(1, keepdims=True) if memory[k].shape[1] == 1 else memory[k][rows] + g * g
-            memory[k][rows] = m
-            self.parts[k][rows] -= RATE * g / (np.sqrt(m) + 1e-8)
-            if counts is not None:
-                counts[k][rows] += np.bincount(at, minlength=len(rows))
-        for p, g, m in zip(self.parts[2:], shared, memory[2:], strict=True):
+        grads[1] = dz.sum(0)
+        grads[0] = np.empty_like(tables)
+        columns = dz.T.astype(np.float64)
+        for o, a in enumerate(around):
+            for j, column in enumerate(columns):
+                grads[0][o][:, j] = np.bincount(a, column, SYMBOLS)
+        for p, g, m in zip(self.parts, grads, memory, strict=True):
             g /= n
             m += g * g
-            p -= RATE * g / (np.sqrt(m) + 1e-8)
-
-    def memory(self) -> list[np.ndarray]:
-        """For ``train``; the rows of the first two parts have one sum each."""
-        return [np.full((s[0], 1) if i < 2 else s, 1e-12, np.float32) for i, s in enumerate(self.shapes)]
-
-
-_BLOCK = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("rows", T.BinaryType()), T.StructField("weights", T.BinaryType()), T.StructField("vectors", T.BinaryType())])
-
+            p -= RATE * g / (np.sqrt(m) + 1e-6)
+
+
+def _averaged(key: tuple, rows: pa.Table) -> pa.Table:
+    """A block of parameters and memory, averaged over tasks by their words."""
+    weight = rows.column("words").to_numpy()
+    total = np.zeros(0)
+    for w, v in zip(weight, rows.column("values"), strict=True):
+        x = np.frombuffer(v.as_buffer(), np.float64) * w
+        total = total + x if len(total) else x
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "words": [float(weight.sum())], "values": pa.array([(total / weight.sum()).tobytes()], pa.binary())})
+
+
+def fit(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> WindowNetwork:
+    """The network trained on all whole texts of ``docs``, each once; null texts are empty, and without words it stays at its start."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    network = WindowNetwork.start(vocabulary)
+    held_memory = np.full(network.size(), 1e-8)
+    block = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("words", T.DoubleType()), T.StructField("values", T.BinaryType())])
+    source = needed(docs, text)
+    for k in range(rounds):
+        values, memory_ = network.values, held_memory
+
+        def run(batches: Iterator[pa.RecordBatch], values: np.ndarray = values, memory_: np.ndarray = memory_) -> Iterator[dict]:
+            vocabulary, net = None, None
+            held, n, total = [], 0, 0
+
+            def learn() -> int:
+                word, around = net.contexts(held)
+                for i in range(0, len(word), BATCH):
+                    net.train(word[i : i + BATCH], around[:, i : i + BATCH], memory)
+                held.clear()
+                return len(word)
+
+            for batch in batches:
+                if net is None:
+                    vocabulary, net = sent.value, WindowNetwork(values)
+                    vocabulary.index()
+                    flat = memory_.astype(np.float32)
+                    memory = net.split(flat)
+                for x in batch.column(0):
+                    held.append(vocabulary.numbers(x.as_py())[0])
+                    n += len(held[-1])
+                    if n >= CHUNK_WORDS:
+                        total += learn()
+                        n = 0
+            if net is not None:
+                total += learn()
+            if total:
+                both = np.stack([net.values, flat]).astype(np.float64)
+                for at in range(0, both.shape[1], BLOCK):
+                    yield {"block": [at // BLOCK], "words": [float(total)], "values": [both[:, at : at + BLOCK].tobytes()]}
+
+        share = source.where(F.pmod(F.coalesce(F.xxhash64(f"`{text}`"), F.lit(0)), F.lit(rounds)) == k)
+        found = map_batches(share, run, block).groupBy("block").applyInArrow(_averaged, block).collect()
+        if found:  # one row for BLOCK parameters
+            both = np.concatenate([np.frombuffer(bytes(r["values"])).reshape(2, -1) for r in sorted(found, key=lambda r: r["block"])], 1)
+            network, held_memory = WindowNetwork(both[0]), both[1]
+    sent.destroy()
+    return network
 
-def _averaged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of one block, averaged over tasks by their weights; one batch of one row."""
-    part, block = (k.as_py() for k in key)
-    weights, vectors = None, None
-    for batch in batches:
-        for r, w, v in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-            rows, w = np.frombuffer(r, "<u2"), np.frombuffer(w, "<f4").astype(np.float64)
-            v = np.frombuffer(v, "<f4").reshape(len(rows), -1)
-            if weights is None:
-                weights, vectors = np.zeros(BLOCK_ROWS), np.zeros((BLOCK_ROWS, v.shape[1]))
-            weights[rows] += w
-            vectors[rows] += v * w[:, None]
-    rows = np.flatnonzero(weights)
-    out = (vectors[rows] / weights[rows, None]).astype("<f4")
-    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "rows": [rows.astype("<u2").tobytes()], "weights": [b""], "vectors": [out.tobytes()]})
 
+def score(docs: DataFrame, network: WindowNetwork, vocabulary: Vocabulary, counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_words, log_likelihood, per_word, n_single`` of every row.
 
-def fit(docs: DataFrame, text: str = "text") -> WindowNetwork:
-    """The network trained on all whole texts of ``docs``; null texts are empty, and without words it stays at its start."""
-    words = vocabulary(count_words(docs, text))
-    sent = docs.sparkSession.sparkContext.broadcast(words)
+    ``n_single`` is how many words of the text stand nowhere else in the corpus, that of ``counts``.  A
+    word that ``counts`` lacks counts as one that stands once.  Without words the sum is 0 and the mean
+    is null.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, network.values))  # HEAD words of bounded length and a fixed number of parameters
+    far = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("m", T.IntegerType())]))
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("single", T.LongType()), T.StructField("far", far)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        network = WindowNetwork(sent.value)
-        memory, total = network.memory(), 0
-        trained = [np.zeros(s[0], np.int64) for s in network.shapes[:2]]
+        import xxhash
 
-        def learn(texts: list[np.ndarray]) -> int:
-            word, around = network.contexts(texts)
-            for i in range(0, len(word), BATCH):
-                network.train(word[i : i + BATCH], around[:, i : i + BATCH], memory, trained)
-            return len(word)
-
-        held, n = [], 0
-        for batch in batches:
-            for x in batch.column(0):
-                held.append(network.numbers(x.as_py()))
-                n += len(held[-1])
-                if n >= CHUNK_WORDS:
-                    total += learn(held)
-                    held, n = [], 0
-        total += learn(held)
-        if total:
-            for k, part in enumerate(network.parts):
-                part = part if k < 2 else part.reshape(-1, 1)
-                weight = trained[k] if k < 2 else np.full(len(part), total)
-                for at in range(0, len(part), BLOCK_ROWS):
-                    rows = np.flatnonzero(weight[at : at + BLOCK_ROWS])
-                    if len(rows):
-                        yield {"part": [k], "block": [at // BLOCK_ROWS], "rows": [rows.astype("<u2").tobytes()], "weights": [weight[at + rows].astype("<f4").tobytes()], "vectors": [part[at + rows].astype("<f4").tobytes()]}
-
-    # each task sends most vectors of its rows' words, so a task goes over four partitions where there are many
-    few = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 4)
-    sums = map_batches(needed(docs, text).coalesce(few), run, _BLOCK).groupBy("part", "block").applyInArrow(_averaged, _BLOCK)
-    found = sums.toArrow()
-    network = WindowNetwork(words)
-    for k, block, rows, vectors in zip(*(found.column(c).to_pylist() for c in ("part", "block", "rows", "vectors")), strict=True):
-        part = network.parts[k] if k < 2 else network.parts[k].reshape(-1, 1)
-        rows = block * BLOCK_ROWS + np.frombuffer(rows, "<u2").astype(np.int64)
-        part[rows] = np.frombuffer(vectors, "<f4").reshape(len(rows), -1)
-    return network
-
-
-def score(docs: DataFrame, network: WindowNetwork, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_words, log_likelihood, per_word`` of every row; without words the sum is 0 and the mean is null."""
-    words = b" ".join(network.ids), np.zeros(0)
-    sent = docs.sparkSession.sparkContext.broadcast((words, network.values))  # words and parameters, which grow with the vocabulary
-    schema = T.StructType([docs.schema[doc_id], T.StructField("n_words", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("per_word", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        names, values = sent.value
-        model = WindowNetwork(names, values)
+        model = None
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            counts, sums = [], []
+            if model is None:
+                words, values = sent.value
+                words.index()
+                model = WindowNetwork(values)
+            sizes, sums, singles, beyond = [], [], [], []
             held, n = [], 0
 
             def flush() -> None:
@@ -315,29 +315,48 @@ def score(docs: DataFrame, network: WindowNetwork, doc_id: str = "doc_id", text:
                     found[i + 1 : i + 1 + BATCH] = model.log_probabilities(word[i : i + BATCH], around[:, i : i + BATCH])
                 ends = np.cumsum([len(t) for t in held], dtype=np.int64)
                 each = np.cumsum(found)[np.concatenate([[0], ends])]
-                counts.extend(len(t) for t in held)
                 sums.extend(np.diff(each).tolist())
                 held.clear()
 
+            given = []
             for x in batch.column(1):
-                held.append(model.numbers(x.as_py()))
-                n += len(held[-1])
+                symbol, place, others, bucket = words.numbers(x.as_py())
+                sizes.append(len(symbol))
+                given.append(float(words.log[place].sum() - words.bucket_log[bucket].sum()))
+                singles.append(int(words.single[place].sum()))
+                often = Counter(others)
+                beyond.append([{"h": (h := xxhash.xxh64_intdigest(w, 42)) - (h >> 63 << 64), "m": m} for w, m in often.items()])
+                held.append(symbol)
+                n += len(symbol)
                 if n >= CHUNK_WORDS:
                     flush()
                     n = 0
             flush()
-            yield {"doc_id": batch.column(0), "n_words": counts, "log_likelihood": sums, "per_word": [s / c if c else None for s, c in zip(sums, counts, strict=True)]}
+            yield {"doc_id": batch.column(0), "row": np.arange(row, row + batch.num_rows), "n_words": sizes, "logs": [a + b for a, b in zip(sums, given, strict=True)], "single": singles, "far": beyond}
+            row += batch.num_rows
 
-    return map_batches(needed(docs, doc_id, text), run, schema)
+    rows = store(map_batches(needed(docs, doc_id, text), run, schema), "scored")
+    # the words beyond the head, each of them rarer than those in it
+    each = rows.select("row", F.explode("far").alias("x")).select("row", "x.h", "x.m")
+    known = counts.select(F.xxhash64("word").alias("h"), "n")
+    n = F.coalesce("n", F.lit(1))
+    found = each.join(known, "h", "left").groupBy("row").agg(F.sum(F.col("m") * F.log(n)).alias("_logs"), F.sum(F.when(n == 1, F.col("m")).otherwise(0)).alias("_single"))
+    joined = rows.drop("far").join(found, "row", "left")
+    total = F.col("logs") + F.coalesce("_logs", F.lit(0.0))
+    return joined.select(F.col("doc_id").alias(doc_id), "n_words", total.alias("log_likelihood"), F.try_divide(total, F.col("n_words")).alias("per_word"), (F.col("single") + F.coalesce("_single", F.lit(0))).alias("n_single"))
 
 
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` scored by a network trained on all of them.
 
-    Null and empty texts: no words, sum 0, null mean.  Repeated rows are trained on and scored each.
+    Null, empty and blank texts: no words, sum 0, null mean.  Repeated rows are trained on and scored
+    each; texts of any length count whole.  Null ids stay null, extra columns are left behind, and an
+    empty table gives no rows.
     """
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs))
+    docs = needed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    counts = store(count_words(docs), "word-counts")
+    vocabulary = Vocabulary.of(counts)
+    return score(docs, fit(docs, vocabulary), vocabulary, counts)
 
 
 QUERIES = {"op7_pseudo_likelihood": op7_pseudo_likelihood}
