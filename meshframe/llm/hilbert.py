@@ -1,8 +1,8 @@
 """Sharding in Hilbert-curve order of several metadata dimensions.
 
-Each dimension is cut into ``2 ** bits`` classes of nearly equal counts at approximate quantiles of
-all rows; the classes are the coordinates of a cell, and the place of the cell on a Hilbert curve
-is its index.  Rows are put in the order of the index and cut into runs of equal counts.  Cells that
+Each dimension is cut into ``2 ** bits`` classes of nearly equal counts at quantiles of all rows,
+approximate ones of numbers and exact ones of whole strings; the classes are the coordinates of a cell,
+and the place of the cell on a Hilbert curve is its index.  Rows are put in the order of the index and cut into runs of equal counts.  Cells that
 are near on the curve are near in every dimension, so that each shard covers a small range of each
 and files can be skipped by their least and greatest values.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meshframe.llm.common import free_name, needed, store, table
 
@@ -25,9 +26,20 @@ ROWS_PER_SALT = 200
 _CUT_ACCURACY = 10_000
 
 
-def text_rank(c: Column) -> Column:
-    """The first six bytes of a string as a number: strings in the order of their numbers. Null stays null."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(c, "utf-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+def string_cuts(df: DataFrame, value: Column, bits: int) -> list[str]:
+    """The least strings that at least ``i / 2 ** bits`` of all rows reach up to, for each ``i``, without repeats; nulls are left out.
+
+    Distinct strings are counted, sorted by ranges, and their counts summed along the ranges.
+    """
+    counted = df.select(value.alias("s")).where("s is not null").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    ranged = store(counted.repartitionByRange("s").select("s", "n", F.spark_partition_id().alias("p")), "strings")
+    sums = ranged.groupBy("p").agg(F.sum("n").alias("n"))  # a row a range
+    along = lambda w: F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = sums.select("p", (along(Window.orderBy("p")) - F.col("n")).alias("before"))
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    reached = ranged.join(F.broadcast(upto), "p").select("s", (F.col("before") + along(Window.partitionBy("p").orderBy("s"))).alias("upto"))
+    found = reached.agg(*[F.min(F.when(F.col("upto") * (1 << bits) >= total * i, F.col("s"))).alias(f"c{i}") for i in range(1, 1 << bits)]).first()
+    return sorted({c for c in found if c is not None})
 
 
 def _let(value: Column, use) -> Column:  # noqa: ANN001
@@ -78,52 +90,66 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
 def shard(df: DataFrame, dimensions: dict[str, Column], keys: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """``df`` with ``hilbert`` (bigint), ``shard`` (int) and ``slot`` (bigint, from 0 in each shard).
 
-    ``dimensions`` are numeric columns; null is below all values.  ``keys`` tell rows apart and order
-    those of a cell; rows equal in all keys lie in any order among themselves.  Shards hold runs of
-    the curve, and their counts differ by at most one; with fewer rows than shards, later shards are
-    empty.  Older columns with the names of the results are replaced.
+    ``dimensions`` are numbers or strings; null is below all values.  ``keys`` tell rows apart and order
+    those of a cell; rows equal in all keys lie in any order among themselves, and in one shard or in
+    several, as counts want it.  Shards hold runs of the curve, and their counts differ by at most one;
+    with fewer rows than shards, later shards are empty.  Older columns with the names of the results
+    are replaced.
     """
     names = [c for c in df.columns if c.lower() not in ("hilbert", "shard", "slot")]
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns], *[d.cast("double").alias(f"_dimension_{i}") for i, d in enumerate(dimensions.values())]).drop("hilbert", "shard", "slot")
-    values = [f"_dimension_{i}" for i in range(len(dimensions))]
+    taken = [*df.columns, "hilbert", "shard", "slot"]
+    values = [free_name(taken, f"dimension_{i}") for i in range(len(dimensions))]
+    rows_, start_, salts_, salt_, number_, rank_ = (free_name(taken, x) for x in ("rows", "start", "salts", "salt", "number", "rank"))
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns], *[d.alias(v) for d, v in zip(dimensions.values(), values, strict=True)]).drop("hilbert", "shard", "slot")
+    kinds = {v: df.schema[v].dataType for v in values}
+    numeric = [v for v in values if kinds[v] != T.StringType()]
     at = F.array(*[F.lit(i / (1 << bits)) for i in range(1, 1 << bits)])
     # one row: the count and 2 ** bits - 1 cuts a dimension
-    found = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(v, at, _CUT_ACCURACY).alias(v) for v in values]).first()
+    found = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.col(v).cast("double"), at, _CUT_ACCURACY).alias(v) for v in numeric]).first()
     n = found["n"]
     cells = df
     for v in values:
-        reached = [F.when(F.col(v) >= float(c), 1).otherwise(0) for c in sorted(set(found[v] or []))]
+        cuts = sorted(set(found[v] or [])) if v in numeric else string_cuts(df, F.col(v), bits)
+        reached = [F.when((F.col(v).cast("double") if v in numeric else F.col(v)) >= F.lit(c), 1).otherwise(0) for c in cuts]
         cells = cells.withColumn(v, sum(reached, F.lit(0)))  # null reaches no cut
     # at most 2 ** (bits * dimensions) rows, whatever the size of df
     per_salt = max(ROWS_PER_SALT, int(n**0.5))
-    counts = cells.groupBy(*values).agg(F.count(F.lit(1)).alias("_rows")).withColumn("hilbert", hilbert_index([F.col(v) for v in values], bits))
+    counts = cells.groupBy(*values).agg(F.count(F.lit(1)).alias(rows_)).withColumn("hilbert", hilbert_index([F.col(v) for v in values], bits))
     before = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
-    curve = counts.select(*values, "hilbert", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_cell_start"), F.ceil(F.col("_rows") / per_salt).alias("_salts"))
-    salted = cells.join(F.broadcast(curve), values).drop(*values).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.col("_salts")))
-    parts = salted.groupBy("hilbert", "_salt").agg(F.count(F.lit(1)).alias("_rows"), F.first("_cell_start").alias("_cell_start"))
-    earlier = Window.partitionBy("hilbert").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("hilbert", "_salt", (F.col("_cell_start") + F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).alias("_start"))
-    own = Window.partitionBy("hilbert", "_salt").orderBy(*[F.col(f"`{k}`") for k in keys])
-    placed = salted.withColumn("_number", F.row_number().over(own)).join(parts, ["hilbert", "_salt"])
-    rank = F.col("_start") + F.col("_number") - 1
+    curve = counts.select(*values, "hilbert", F.coalesce(F.sum(rows_).over(before), F.lit(0)).alias(start_), F.ceil(F.col(rows_) / per_salt).alias(salts_))
+    salted = cells.join(F.broadcast(curve), values).drop(*values).withColumn(salt_, F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.col(salts_)))
+    parts = salted.groupBy("hilbert", salt_).agg(F.count(F.lit(1)).alias(rows_), F.first(start_).alias(start_))
+    earlier = Window.partitionBy("hilbert").orderBy(salt_).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("hilbert", salt_, (F.col(start_) + F.coalesce(F.sum(rows_).over(earlier), F.lit(0))).alias(start_))
+    own = Window.partitionBy("hilbert", salt_).orderBy(*[F.col(f"`{k}`") for k in keys])
+    placed = salted.drop(start_).withColumn(number_, F.row_number().over(own)).join(parts, ["hilbert", salt_])
     whole, more = divmod(n, shards)
     edge = more * (whole + 1)
-    number = F.expr(f"if(_rank < {edge}L, _rank div {whole + 1}L, {more}L + (_rank - {edge}L) div {max(1, whole)}L)")
-    placed = placed.withColumn("_rank", rank).withColumn("shard", number.cast("int"))
+    number = F.expr(f"if({rank_} < {edge}L, {rank_} div {whole + 1}L, {more}L + ({rank_} - {edge}L) div {max(1, whole)}L)")
+    placed = placed.withColumn(rank_, F.col(start_) + F.col(number_) - 1).withColumn("shard", number.cast("int"))
     first = F.when(F.col("shard") < more, F.col("shard").cast("bigint") * (whole + 1)).otherwise(edge + (F.col("shard").cast("bigint") - more) * whole)
-    return placed.withColumn("slot", F.col("_rank") - first).select(*[F.col(f"`{c}`") for c in names], "hilbert", "shard", "slot")
+    return placed.withColumn("slot", F.col(rank_) - first).select(*[F.col(f"`{c}`") for c in names], "hilbert", "shard", "slot")
+
+
+def statistics(placed: DataFrame, columns: list[str]) -> DataFrame:
+    """``shard, n`` and ``least_<column>, greatest_<column>`` of each: what lets a reader skip shards; null where a shard has nulls alone."""
+    ends = [e for c in columns for e in (F.min(f"`{c}`").alias(f"least_{c}"), F.max(f"`{c}`").alias(f"greatest_{c}"))]
+    return placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), *ends)
 
 
 def op3_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in 24 shards along a Hilbert curve of source, language and size; law ``rows``.
 
-    Null and empty texts have size 8 and checksum 0.  Repeated rows each get a slot.
+    Null and empty texts have size 8 and checksum 0, and null sources, languages and ids lie below all
+    others.  Equal texts, as all rows, are dealt by place on the curve, so a group of copies may span
+    shards where the law ``rows`` wants it; repeated rows each get a slot.  Texts of any length count
+    whole, extra columns are left behind, and an empty table gives no rows.
     """
     docs = needed(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang")
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(data).cast("bigint") + 8).alias("size"), F.crc32(data).alias("text_crc32"), "source", "lang")
     rows = store(rows, "shard-rows")
-    placed = shard(rows, {"source": text_rank(F.col("source")), "lang": text_rank(F.col("lang")), "size": F.col("size")}, ["doc_id", "text_crc32", "size"])
+    placed = shard(rows, {"source": F.col("source"), "lang": F.col("lang"), "size": F.col("size")}, ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
