@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshframe.llm.common import free_name, map_batches, needed, table
+from meshframe.llm.common import free_name, map_batches, needed, store, table
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -158,17 +158,32 @@ def _search_shard(bench: Benchmark, pieces: list[tuple[int, int, list[bytes]]],
     for i, m, p in zip(at.tolist(), best[at].tolist(), (ends[own] - begins[at]).tolist(), strict=True):
         row, first, _ = pieces[i]
         longest[row] = max(longest.get(row, (0, 0)), (m, first + p), key=lambda x: (x[0], -x[1]))
-    n = whi - wlo
-    which = np.repeat(np.arange(len(n)), n)
-    if not len(which):
+    # suffixes of one window have one range of places, which is read once
+    live = np.flatnonzero(whi > wlo)
+    if not len(live):
         return
-    places = order[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + wlo[which]]
+    ranges, own = np.unique(np.stack([wlo[live], whi[live], bench.window[live]], 1), axis=0, return_inverse=True)
+    own = own.ravel()
+    by = np.argsort(own, kind="stable")
+    of_range = np.split(bench.item[live][by], np.searchsorted(own[by], np.arange(1, len(ranges))))
+    n = ranges[:, 1] - ranges[:, 0]
+    which = np.repeat(np.arange(len(n)), n)
+    places = order[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + ranges[which, 0]]
     at = np.searchsorted(begins, places, "right") - 1
-    inside = places - begins[at]
-    for i, p, w, item in zip(at.tolist(), inside.tolist(), bench.window[which].tolist(), bench.item[which].tolist(), strict=True):
-        row, first, _ = pieces[i]
-        hits.setdefault(row, []).append((first + p, first + p + w))
-        items.setdefault(row, set()).add(item)
+    row = np.array([p[0] for p in pieces], np.int64)[at]
+    start = places - begins[at] + np.array([p[1] for p in pieces], np.int64)[at]
+    for r, k in np.unique(np.stack([row, which], 1), axis=0).tolist():
+        items.setdefault(r, set()).update(of_range[k].tolist())
+    # hits of a row that touch become one
+    end = start + ranges[which, 2]
+    span = int(end.max()) + 1
+    a, b = row * span + start, row * span + end
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], np.maximum.accumulate(b[by])
+    opens = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    for first, last in zip(a[opens].tolist(), b[np.append(opens[1:], len(a)) - 1].tolist(), strict=True):
+        r = first // span
+        hits.setdefault(r, []).append((first - r * span, last - r * span))
 
 
 def _merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -206,7 +221,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     A window is ``window`` words; an item of fewer words is one window, an item without words none.
     Null and empty texts have no words.  Repeated rows are found each; an item without id counts in
     ``n_items`` and has no name in ``items``.  The benchmark is sent to executors in slices of
-    ``slice_bytes``, and the texts are searched for one slice after the other, however many.
+    ``slice_bytes``, one at a time, and the texts are searched for one slice after the other, however
+    many.  Texts of any length are searched whole, and without rows there are none.
     """
     items = needed(benchmark, "item_id", "text")
     keep = [c for c in docs.columns if c.lower() != out.lower()]
@@ -216,9 +232,13 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_items", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("longest_from", T.LongType())])
     base = frame.withColumn(out, F.lit(None).cast(kind))
     schema, names = base.schema, base.columns
-    found = base
+    found, sent, stored = base, None, None
     for one in _slices(items, slice_bytes):
-        found = map_batches(found, _find_fn(docs.sparkSession.sparkContext.broadcast(one), window, shard_words, names, spare, out), schema)
+        if sent is not None:  # the slice before is done with: its results are stored and it leaves the executors
+            found = stored = store(found, "matches", instead_of=stored)
+            sent.destroy()
+        sent = docs.sparkSession.sparkContext.broadcast(one)
+        found = map_batches(found, _find_fn(sent, window, shard_words, names, spare, out), schema)
     return found.drop(spare)
 
 
@@ -289,13 +309,18 @@ def _find_fn(sent, window: int, shard_words: int, names: list[str], spare: str,
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows in which a window of an item occurs; all columns and clean rows stay."""
+    """``docs`` without the rows in which a window of an item occurs; all columns and clean rows stay, null and empty texts too."""
     out = free_name(docs.columns, "matches")
     return find(docs, benchmark, window, out=out).where(F.size(F.col(out)["hits"]) == 0).drop(out)
 
 
 def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every whole text of ``documents`` that stand inside an occurrence of a window of ``benchmark``."""
+    """Words of every whole text of ``documents`` that stand inside an occurrence of a window of ``benchmark``.
+
+    Null and empty texts have no words and no hits; an empty benchmark hits nothing.  Repeated rows and
+    null ids stay as they are, each with its own hits; an item of the benchmark without id counts in
+    ``n_items`` and not in ``items_sha256``.  Extra columns are left behind.
+    """
     found = find(needed(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.col("matches.hits"), F.lit(0).cast("long"), lambda a, h: a + h["to"] - h["from"])
     return found.select(

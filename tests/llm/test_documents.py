@@ -86,6 +86,17 @@ def test_longest_match_of_every_copy(spark, shard_words, slice_bytes):
         assert (r["matches"]["longest"], r["matches"]["longest_from"]) == (n, -p if n else None)
 
 
+def test_many_rows_of_a_window_and_many_items(spark):
+    items = [(i, "the") for i in range(50)] + [(100 + i, prose(1, 12)) for i in range(30)]
+    texts = ["the " * 200 + prose(1, 12)] * 40 + ["other words", "THE end"]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = suffixes.find(documents(spark, list(enumerate(texts))), bench).select("doc_id", "matches").collect()
+    for r in got:
+        m, t = r["matches"], texts[r["doc_id"]]
+        want = ([(0, 212)], 80) if "end" not in t and "other" not in t else ([(0, 1)], 50) if "end" in t else ([], 0)
+        assert ([(h["from"], h["to"]) for h in m["hits"]], m["n_items"]) == want
+
+
 def test_longest_match_and_order():
     x = np.array([3, 1, 2, 1, 2, 4, 1, 2, 1, 5])
     order = suffixes.suffix_array(x, 10, np.arange(len(x)))
@@ -250,6 +261,28 @@ def test_law_of_rows(spark, request, which):
     assert walk == sorted(walk)
 
 
+def test_cuts_of_whole_strings(spark):
+    names = [None] * 9 + ["https://example.org/" + x for x in "a" * 50 + "bcdefgh" * 3 + "z" * 30] + ["", "ü"]
+    df = spark.createDataFrame([(x,) for x in names], "s string").repartition(5)
+    known = sorted((x for x in names if x is not None), key=str.encode)
+    want = sorted({known[-(-len(known) * i // 8) - 1] for i in range(1, 8)}, key=str.encode)
+    assert hilbert.string_cuts(df, F.col("s"), 3) == want
+    assert hilbert.string_cuts(df.where("false"), F.col("s"), 3) == []
+
+
+def test_shards_can_be_skipped(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.lit("https://one.prefix/"), F.col("source")).alias("source"), F.octet_length("text").alias("size"), F.lit("x").alias("rank"), F.lit("y").alias("_salt"))
+    placed = hilbert.shard(docs, {"source": F.col("source"), "size": F.col("size")}, ["doc_id"], 12)
+    assert placed.columns == [*docs.columns, "hilbert", "shard", "slot"] and placed.count() == docs.count()
+    stats = hilbert.statistics(placed, ["source", "size"]).collect()
+    one = docs.groupBy("source").count().orderBy("count", "source").first()["source"]
+    small = docs.approxQuantile("size", [0.1], 0)[0]
+    for keeps in (lambda r: r["least_source"] <= one <= r["greatest_source"], lambda r: r["least_size"] <= small):
+        kept = {r["shard"] for r in stats if keeps(r)}
+        assert len(stats) == 12 and 0 < len(kept) <= 8
+    assert {r["shard"] for r in placed.where(F.col("source") == one).collect()} <= {r["shard"] for r in stats if r["least_source"] <= one <= r["greatest_source"]}
+
+
 # ---- fingerprints
 
 
