@@ -121,8 +121,8 @@ def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PE
     ``doc_id`` is an integer.  Ids are cut into ranges of nearly equal counts; the next row lies in the
     same range, or is the first of the range below, which is joined to it.  An id that many rows share
     has a range of its own, which is dealt to several by salt, as null ids are.  There are
-    ``MOST_RANGES`` ranges at most, so that their first rows can be broadcast.  ``derive`` adds columns,
-    for those rows anew.
+    ``MOST_RANGES`` ranges at most, so that their first rows can be broadcast.  ``derive`` adds columns
+    after rows are dealt, and for those first rows anew.
     """
     n, low, top = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     ranges = min(MOST_RANGES, max(1, math.ceil(n / rows_per_range)))
@@ -163,7 +163,8 @@ def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PE
     heads = derive(heads).select(F.col("_for._range").alias("_range"), F.col("_for._salt").alias("_salt"), *[F.col(c).alias(f"_head_{c}") for c in columns])
 
     window = Window.partitionBy(*key).orderBy(F.col("doc_id").desc_nulls_last(), F.col("_row").desc())
-    derived = derive(ranged)
+    # dealt before columns are derived, so that texts alone are sent; window and join find their rows in place
+    derived = derive(ranged.repartition(*key))
     led = derived.withColumn("_lead", F.lead(F.struct(*columns)).over(window))
     joined = led.join(heads, key, "left")
     nexts = [F.when(F.col("_lead").isNotNull(), F.col("_lead")[c]).otherwise(F.col(f"_head_{c}")).alias(f"next_{c}") for c in columns]
