@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +56,41 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
     return df.mapInArrow(run, schema)
 
 
+SUM_VALUES, SUM_PARTS = 2048, 64
+_SUMS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("weight", T.DoubleType()), T.StructField("values", T.BinaryType())])
+
+
+def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the sums of a group, whose rows are held a batch at a time."""
+    weight, total = 0.0, None
+    for batch in batches:
+        for w, v in zip(batch.column(2), batch.column(3), strict=True):
+            x = np.frombuffer(v.as_buffer(), np.float64)
+            weight, total = weight + w.as_py(), x.copy() if total is None else total + x
+    yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "weight": [weight], "values": pa.array([total.tobytes()], pa.binary())})
+
+
+def sum_over_tasks(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], tuple[float, np.ndarray] | None]) -> tuple[float, np.ndarray] | None:
+    """The sums of the weights and arrays of numbers that ``fn`` gives for each partition; nothing where it gives nothing.
+
+    Arrays go in blocks, and a block is summed over ``SUM_PARTS`` shares of the tasks and then over the
+    shares, so that however many tasks there are, none adds up all of them and the driver gets one array.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        if (found := fn(batches)) is not None:
+            weight, values = found
+            part = TaskContext.get().partitionId() % SUM_PARTS
+            for at in range(0, len(values), SUM_VALUES):
+                yield {"block": [at // SUM_VALUES], "part": [part], "weight": [float(weight)], "values": [values[at : at + SUM_VALUES].astype(np.float64).tobytes()]}
+
+    sums = map_batches(df, run, _SUMS)
+    for by in (["block", "part"], ["block"]):
+        sums = sums.groupBy(*by).applyInArrow(_summed, _SUMS)
+    rows = sorted(sums.collect(), key=lambda r: r["block"])  # a row for SUM_VALUES numbers
+    return (rows[0]["weight"], np.concatenate([np.frombuffer(bytes(r["values"])) for r in rows])) if rows else None
+
+
 def free_name(taken: Iterable[str], base: str) -> str:
     """A column name that is not in ``taken``, whatever the letter case."""
     low = {x.lower() for x in taken}

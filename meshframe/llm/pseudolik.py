@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshframe.llm.common import map_batches, needed, store, table
+from meshframe.llm.common import map_batches, needed, store, sum_over_tasks, table
 
 CLASSES = 32
 SYMBOLS = CLASSES * CLASSES
@@ -37,7 +37,7 @@ BUCKETS = 256
 FREQUENT = SYMBOLS - 1 - BUCKETS
 HEAD, WORD_BYTES = 1 << 17, 64
 SPAN, WIDTH, BATCH, RATE, ROUNDS = 2, 16, 16384, 0.1, 4
-CHUNK_WORDS, TABLE_WORDS, BLOCK = 1 << 17, 400_000, 4096
+CHUNK_WORDS, TABLE_WORDS = 1 << 17, 400_000
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -225,27 +225,16 @@ class WindowNetwork:
             p -= RATE * g / (np.sqrt(m) + 1e-6)
 
 
-def _averaged(key: tuple, rows: pa.Table) -> pa.Table:
-    """A block of parameters and memory, averaged over tasks by their words."""
-    weight = rows.column("words").to_numpy()
-    total = np.zeros(0)
-    for w, v in zip(weight, rows.column("values"), strict=True):
-        x = np.frombuffer(v.as_buffer(), np.float64) * w
-        total = total + x if len(total) else x
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "words": [float(weight.sum())], "values": pa.array([(total / weight.sum()).tobytes()], pa.binary())})
-
-
 def fit(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> WindowNetwork:
     """The network trained on all whole texts of ``docs``, each once; null texts are empty, and without words it stays at its start."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     network = WindowNetwork.start(vocabulary)
     held_memory = np.full(network.size(), 1e-8)
-    block = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("words", T.DoubleType()), T.StructField("values", T.BinaryType())])
     source = needed(docs, text)
     for k in range(rounds):
         values, memory_ = network.values, held_memory
 
-        def run(batches: Iterator[pa.RecordBatch], values: np.ndarray = values, memory_: np.ndarray = memory_) -> Iterator[dict]:
+        def run(batches: Iterator[pa.RecordBatch], values: np.ndarray = values, memory_: np.ndarray = memory_) -> tuple[float, np.ndarray] | None:
             vocabulary, net = None, None
             held, n, total = [], 0, 0
 
@@ -270,16 +259,11 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int
                         n = 0
             if net is not None:
                 total += learn()
-            if total:
-                both = np.stack([net.values, flat]).astype(np.float64)
-                for at in range(0, both.shape[1], BLOCK):
-                    yield {"block": [at // BLOCK], "words": [float(total)], "values": [both[:, at : at + BLOCK].tobytes()]}
+            return (total, np.concatenate([net.values, flat]).astype(np.float64) * total) if total else None
 
         share = source.where(F.pmod(F.coalesce(F.xxhash64(f"`{text}`"), F.lit(0)), F.lit(rounds)) == k)
-        found = map_batches(share, run, block).groupBy("block").applyInArrow(_averaged, block).collect()
-        if found:  # one row for BLOCK parameters
-            both = np.concatenate([np.frombuffer(bytes(r["values"])).reshape(2, -1) for r in sorted(found, key=lambda r: r["block"])], 1)
-            network, held_memory = WindowNetwork(both[0]), both[1]
+        if found := sum_over_tasks(share, run):
+            network, held_memory = WindowNetwork(found[1][: network.size()] / found[0]), found[1][network.size() :] / found[0]
     sent.destroy()
     return network
 

@@ -9,13 +9,16 @@ Known negatives are used for one number only: the prior is estimated as the shar
 the labelled rows of the training folds.
 
 The model is a network with one hidden layer over counts of characters, words and lines of the whole
-text.  It is fitted on the driver from bounded samples (``POSITIVES`` and ``UNLABELLED`` rows, the
-least by a hash of the id).  All documents are scored.
+text and over its runs of four bytes and its words, hashed to ``GRAMS`` classes each.  Positives are a
+sample of at most ``POSITIVES`` labelled rows, the least by a hash of the id.  The network starts from a
+fit on the driver to them and ``START`` unlabelled rows, and then takes ``STEPS_OVER_ALL`` steps whose
+risk and gradient are summed over all documents of the training folds, whether labelled or not.
 """
 
 from __future__ import annotations
 
 import operator
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshframe.llm.common import fold_of, free_name, map_batches, needed, store, table
+from meshframe.llm.common import fold_of, free_name, map_batches, needed, store, sum_over_tasks, table
 
-POSITIVES, UNLABELLED = 10_000, 20_000
-HIDDEN, STEPS, RATE, DECAY = 16, 600, 0.02, 1e-4
+POSITIVES, START, GRAMS = 10_000, 20_000, 128
+GRAM_WEIGHT = 0.05  # of hashed classes beside the other features: they are many, and few labels would fit them by chance
+HIDDEN, STEPS, STEPS_OVER_ALL, RATE, RATE_OVER_ALL, DECAY = 16, 600, 12, 0.02, 0.002, 1e-4
 THRESHOLD = 0.3
 
 _SIGNS = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -46,47 +50,103 @@ def describe(text: str | None) -> list[float]:
     shares = np.array([*[counts[b] for b in _SIGNS], *kinds]) / n
     rest = [np.log1p(len(data)), np.log1p(len(words)), len(set(words)) / w, len(set(lines)) / m, len(data) / w, len(words) / m]
     rest[4:] = np.log1p(rest[4:]).tolist()
-    return [*np.log1p(200 * shares).tolist(), *rest, np.log1p(100 * again / w)]
+    return [*np.log1p(200 * shares).tolist(), *rest, np.log1p(100 * again / w), *_hashed(data.lower())]
 
 
-N_FEATURES = len(_SIGNS) + 7 + 7
+def _hashed(data: bytes) -> list[float]:
+    """Shares of the classes of runs of four bytes, and of the classes of words."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint32)
+    out = np.zeros(2 * GRAMS)
+    if len(x) > 3:
+        h = x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)
+        h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+        out[:GRAMS] = np.bincount(((h ^ h >> np.uint32(12)) % np.uint32(GRAMS)).view(np.int32), minlength=GRAMS) / len(h)
+    if words := data.split():
+        out[GRAMS:] = np.bincount(np.array([zlib.crc32(w) for w in words], np.int64) % GRAMS, minlength=GRAMS) / len(words)
+    return np.log1p(50 * out).tolist()
+
+
+N_FEATURES = len(_SIGNS) + 7 + 7 + 2 * GRAMS
 
 
 class Network:
     """One hidden layer; fitted with the non-negative positive-unlabelled risk."""
 
-    def fit(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
-        x = np.concatenate([positives, unlabelled])
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+    def _sums(self, x: np.ndarray, by_row) -> tuple[float, np.ndarray]:  # noqa: ANN001
+        """The loss of calling rows negative, and the gradient for the slopes ``by_row(p)`` of outputs, both summed over rows."""
+        h = np.tanh(x @ self.w[0] + self.w[1])
+        p = 1 / (1 + np.exp(-(h @ self.w[2] + self.w[3][0]).clip(-30, 30)))
+        d = by_row(p)
+        back = np.outer(d, self.w[2]) * (1 - h * h)
+        return -np.log1p(-p.clip(0, 1 - 1e-12)).sum(), np.concatenate([(x.T @ back).ravel(), back.sum(0), h.T @ d, [d.sum()]])
+
+    def unlabelled(self, x: np.ndarray) -> np.ndarray:
+        """Sums over scaled rows without labels: the loss of calling them negative, and its gradient."""
+        loss, gradient = self._sums(x, lambda p: p)
+        return np.concatenate([[loss], gradient])
+
+    def gradient(self, positives: np.ndarray, prior: float, n: float, sums: np.ndarray) -> tuple[float, np.ndarray]:
+        """The estimate of the risk on negatives, and the gradient of the training rule.
+
+        ``sums`` are those of :meth:`unlabelled` over ``n`` rows.  The loss of calling a row negative is
+        ``-log(1 - p)``, that of calling it positive ``-log(p)``.  Where the estimate is below zero, its
+        own gradient is turned round.
+        """
+        loss, as_negative = self._sums(positives, lambda p: p)
+        m = len(positives)
+        hidden_risk = sums[0] / n - prior * loss / m
+        if hidden_risk < 0:
+            return hidden_risk, prior * as_negative / m - sums[1:] / n
+        _, as_positive = self._sums(positives, lambda p: p - 1)
+        return hidden_risk, sums[1:] / n + prior * (as_positive - as_negative) / m
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
         x = ((x - self.mean) / self.scale).clip(-20, 20)
-        n, total = len(positives), len(x)
+        x[:, -2 * GRAMS :] *= GRAM_WEIGHT
+        return x
+
+    def _descend(self, gradient: np.ndarray, step: int, rate: float) -> None:
+        """One step of Adam, with decay of the weights."""
+        at = 0
+        for i, (v, a, b) in enumerate(zip(self.w, self.first, self.second, strict=True)):
+            g = gradient[at : at + v.size].reshape(v.shape) + (DECAY * v if i in (0, 2) else 0)
+            at += v.size
+            a += 0.1 * (g - a)
+            b += 0.001 * (g * g - b)
+            v -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+
+    def fit(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
+        """From small random weights, ``STEPS`` steps over both samples."""
+        both = np.concatenate([positives, unlabelled])
+        self.mean, self.scale = both.mean(0), both.std(0) + 1e-3
+        p, u = self.scaled(positives), self.scaled(unlabelled)
         rng = np.random.default_rng(1)
-        w = [rng.normal(0, 0.3, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.array([np.log(prior / (1 - prior))])]
-        first, second = [np.zeros_like(v) for v in w], [np.zeros_like(v) for v in w]
+        self.w = [rng.normal(0, 0.3, (p.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.array([np.log(prior / (1 - prior))])]
+        self.first, self.second = [np.zeros_like(v) for v in self.w], [np.zeros_like(v) for v in self.w]
         for step in range(1, STEPS + 1):
-            h = np.tanh(x @ w[0] + w[1])
-            p = 1 / (1 + np.exp(-(h @ w[2] + w[3][0]).clip(-30, 30)))
-            # the loss of calling a row negative is -log(1 - p), that of calling it positive -log(p)
-            negative = -np.log1p(-p.clip(0, 1 - 1e-12))
-            hidden_risk = negative[n:].mean() - prior * negative[:n].mean()
-            d = np.empty(total)
-            if hidden_risk >= 0:
-                d[n:] = p[n:] / (total - n)
-                d[:n] = prior * (p[:n] - 1) / n - prior * p[:n] / n
-            else:
-                d[n:] = -p[n:] / (total - n)
-                d[:n] = prior * p[:n] / n
-            back = np.outer(d, w[2]) * (1 - h * h)
-            grads = [x.T @ back + DECAY * w[0], back.sum(0), h.T @ d + DECAY * w[2], np.array([d.sum()])]
-            for v, g, a, b in zip(w, grads, first, second, strict=True):
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                v -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-        self.w = w
+            self._descend(self.gradient(p, prior, len(u), self.unlabelled(u))[1], step, RATE)
+        return self
+
+    def go_on(self, positives: np.ndarray, rows: DataFrame, prior: float, steps: int = STEPS_OVER_ALL) -> Network:
+        """``steps`` steps over the positives and all of ``rows`` (``features``)."""
+        p = self.scaled(positives)
+        for step in range(STEPS + 1, STEPS + 1 + steps):
+            model = self
+
+            def run(batches: Iterator[pa.RecordBatch], model: Network = model) -> tuple[float, np.ndarray] | None:
+                n, total = 0, 0.0
+                for batch in batches:
+                    if batch.num_rows:
+                        x = np.array(batch.column(0).flatten(), np.float64).reshape(-1, N_FEATURES)
+                        n, total = n + len(x), total + model.unlabelled(model.scaled(x))
+                return (n, total) if n else None
+
+            if found := sum_over_tasks(rows.select("features"), run):
+                self._descend(self.gradient(p, prior, *found)[1], step, RATE_OVER_ALL)
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        h = np.tanh(((x - self.mean) / self.scale).clip(-20, 20) @ self.w[0] + self.w[1])
+        h = np.tanh(self.scaled(x) @ self.w[0] + self.w[1])
         return 1 / (1 + np.exp(-(h @ self.w[2] + self.w[3][0]).clip(-30, 30)))
 
 
@@ -116,10 +176,12 @@ def described(docs: DataFrame, text: str = "text", out: str = "features") -> Dat
     return map_batches(source, run, schema)
 
 
-def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Network | Constant:
+def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, start: int = START) -> Network | Constant:
     """A model from ``rows`` (``doc_id, features``) and ``labels`` (``doc_id, quality``), training folds alone.
 
-    A document with several labels is positive if all are 1; null labels and null ids are left out.
+    A document with several labels is positive if all are 1; null labels and null ids are left out, as
+    are documents without an id.  ``positives`` bounds the labelled rows that are used, ``start`` the
+    unlabelled ones of the first fit alone.  Documents that repeat count each.
     """
     train = fold_of(F.col("doc_id")) != 0
     known = needed(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").where(train)
@@ -132,13 +194,14 @@ def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         held = df.select("features").toArrow().column(0).combine_chunks()
         return np.array(held.flatten(), np.float64).reshape(-1, N_FEATURES)
 
-    # the sample is taken before the join, from the labels alone
+    # sampled from the labels alone, which are lighter, and again after the join, where ids can repeat
     wanted = known.where("good").select("doc_id").orderBy(by, "doc_id").limit(positives)
-    p = matrix(candidates.join(wanted, "doc_id"))
-    u = matrix(candidates.orderBy(by, "doc_id").limit(unlabelled))
+    p = matrix(candidates.join(wanted, "doc_id").orderBy(by, "doc_id").limit(positives))
+    u = matrix(candidates.orderBy(by, "doc_id").limit(start))
     if share is None or not len(p) or not len(u) or share == 1:
         return Constant(1.0 if share is None else share)
-    return Network().fit(p, u, min(share, 0.99))
+    prior = min(share, 0.99)
+    return Network().fit(p, u, prior).go_on(p, candidates, prior)
 
 
 def score(rows: DataFrame, model: Network | Constant, out: str = "score") -> DataFrame:
@@ -157,7 +220,11 @@ def score(rows: DataFrame, model: Network | Constant, out: str = "score") -> Dat
 
 
 def remove(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """``docs`` whose score reaches ``threshold``, all columns as they are; repeated rows are scored each."""
+    """``docs`` whose score reaches ``threshold``, all columns as they are.
+
+    Null and empty texts have the score of the empty text, texts of any length are described whole, and
+    repeated rows are scored each.  Without labels every row stays.
+    """
     rows = store(described(docs.select(F.col("`doc_id`"), F.col(f"`{text}`")), text), "described")
     model = fit(rows, labels)
     scored = free_name(docs.columns, "score")
@@ -175,7 +242,9 @@ def remove(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, tex
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` scored; null and empty texts get the score of the empty text.
 
-    Rows with a null id are held out (the id counts as the empty text), repeated rows are scored each.
+    Rows with a null id never train (their remainder is that of the empty text), repeated rows are scored
+    each and alike, texts of any length count whole.  Extra columns are left behind; without labels every
+    score is 1, and an empty table gives no rows.
     """
     rows = store(described(needed(table(spark, sf_dir, "documents"), "doc_id", "text")), "described")
     model = fit(rows, table(spark, sf_dir, "labels"))

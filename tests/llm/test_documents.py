@@ -431,7 +431,65 @@ def test_labels_of_held_out_rows_do_not_matter(spark, sf):
     rows = quality.described(docs.select("doc_id", "text"))
     turned = labels.withColumn("quality", F.when(quality.fold_of(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality.fit(rows, x) for x in (labels, turned))
-    assert all((p == q).all() for p, q in zip(a.w, b.w, strict=True))
+    assert all(np.allclose(p, q) for p, q in zip(a.w, b.w, strict=True))
+
+
+def test_risk_and_gradient_equal_brute_force(spark):
+    r = np.random.default_rng(4)
+    p, u = r.normal(0.5, 1, (30, quality.N_FEATURES)), r.normal(0, 1, (200, quality.N_FEATURES))
+    net = quality.Network()
+    net.mean, net.scale = np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES)
+    shapes = [(quality.N_FEATURES, quality.HIDDEN), (quality.HIDDEN,), (quality.HIDDEN,), (1,)]
+    start = np.concatenate([r.normal(0, 0.2, int(np.prod(s))) for s in shapes])
+
+    def set_to(flat):
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])
+        net.w = [x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+
+    def risks(flat, prior):
+        set_to(flat)
+        out = [(quality.Network.score(net, x)) for x in (p, u)]
+        positive = prior * np.mean([-np.log(x) for x in out[0]])
+        negative = np.mean([-np.log(1 - x) for x in out[1]]) - prior * np.mean([-np.log(1 - x) for x in out[0]])
+        return positive, negative
+
+    for prior in (0.3, 0.99):  # the second makes the estimate of the risk on negatives fall below zero
+        u = u * (1 if prior < 0.9 else 0) - (0 if prior < 0.9 else 0.5) * np.sign(start[-quality.HIDDEN - 1 : -1] @ start[: quality.N_FEATURES * quality.HIDDEN].reshape(shapes[0]).T)
+        set_to(start)
+        hidden, gradient = net.gradient(net.scaled(p), prior, len(u), net.unlabelled(net.scaled(u)))
+        positive, negative = risks(start, prior)
+        assert hidden == pytest.approx(negative) and (negative < 0) == (prior == 0.99)
+        for i in [*r.choice(len(start), 25), len(start) - 1]:
+            up, down = start.copy(), start.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            (p1, n1), (p0, n0) = risks(up, prior), risks(down, prior)
+            want = (p1 + n1 - p0 - n0) / 2e-5 if negative >= 0 else (n0 - n1) / 2e-5
+            assert gradient[i] == pytest.approx(want, abs=1e-6, rel=1e-4)
+
+
+def test_steps_over_all_rows_do_not_depend_on_their_deal(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = quality.described(docs).cache()
+    p = np.array([r["features"] for r in rows.limit(20).collect()], np.float64)
+    u = np.array([r["features"] for r in rows.collect()], np.float64)
+    a, b = (quality.Network().fit(p, u[:50], 0.4).go_on(p, x, 0.4, 3) for x in (rows.coalesce(1), rows.repartition(9)))
+    c = quality.Network().fit(p, u[:50], 0.4)
+    for step in range(quality.STEPS + 1, quality.STEPS + 4):
+        c._descend(c.gradient(c.scaled(p), 0.4, len(u), c.unlabelled(c.scaled(u)))[1], step, quality.RATE_OVER_ALL)
+    for x in (a, b):
+        assert all(np.allclose(v, w) for v, w in zip(x.w, c.w, strict=True))
+
+
+def test_a_repeated_label_does_not_grow_the_sample(spark):
+    rows = quality.described(documents(spark, [(1, "good text")] * 500 + [(i, "bad " * i) for i in range(2, 40)]).select("doc_id", "text"))
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(1, 40)], "doc_id bigint, quality int")
+    seen = []
+    fit = quality.Network.fit
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality.Network, "fit", lambda self, p, u, prior: seen.append((len(p), len(u))) or fit(self, p, u, prior))
+        quality.fit(rows, labels, positives=3, start=50)
+    assert seen[0][0] <= 3 and seen[0][1] <= 50
 
 
 def test_few_labels(spark, sf):
