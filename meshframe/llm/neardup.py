@@ -227,14 +227,15 @@ def components(links: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """
     both = store(links.select(F.col(src).alias("x"), F.col(dst).alias("y")).unionByName(links.select(F.col(dst).alias("x"), F.col(src).alias("y"))), "links")
     files = -(-both.count() // ROWS_PER_FILE) or 1
-    labels = store(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")).coalesce(files), "labels")
+    labels = stored = store(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")).coalesce(files), "labels")
     while True:
         near = both.join(labels, both.y == labels.node).groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
         stepped = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = stepped.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-        moved = store(stepped.join(up, "component").select("node", "old", F.least("component", "higher").alias("component")).coalesce(files), "labels")
-        labels = moved.select("node", "component")
-        if moved.where("old <> component").isEmpty():
+        # the labels of a round replace those of the round before, also on disk
+        stored = store(stepped.join(up, "component").select("node", "old", F.least("component", "higher").alias("component")).coalesce(files), "labels", instead_of=stored)
+        labels = stored.select("node", "component")
+        if stored.where("old <> component").isEmpty():
             return labels
 
 

@@ -7,8 +7,9 @@ from few distinct chunks, so each is segmented once by the library and its ids a
 place where it stands.
 
 The table lives in a task and is emptied when it holds ``TABLE_CHUNKS`` chunks or ``TABLE_CHARS``
-characters, so memory does not grow with the vocabulary of the corpus.  No row is shuffled: a table
-of the whole corpus would need every word of every text to cross the network twice.
+characters, so memory does not grow with the vocabulary of the corpus.  No row is shuffled: for a table
+of the whole corpus, the distinct chunks of every task would cross the network to be made one, and
+again with their ids to reach the texts, which would cross it too to meet them.
 """
 
 from __future__ import annotations
@@ -168,6 +169,7 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` as ids with an end id, and decoded again.
 
     Null and empty texts: one id, and the empty text.  Repeated rows give repeated rows, null ids stay.
+    Texts of any length are encoded whole, extra columns are left behind, and an empty table gives no rows.
     """
     import public_tokenizers
 

@@ -220,7 +220,9 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text of ``documents``, written as Re-Pair shards and read back.
 
     Null and empty texts: the end id alone.  Strings of special tokens have their ids, as in the library
-    without further settings; documents are told apart by their lengths.  Repeated rows give repeated rows, null ids come first.
+    without further settings; documents are told apart by their lengths.  Repeated rows give repeated
+    rows, null ids come first.  A text of any length lies in one shard, extra columns are left behind, and
+    an empty table gives no rows.
     """
     import public_tokenizers
 

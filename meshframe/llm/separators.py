@@ -72,15 +72,38 @@ def write_streams(docs: DataFrame, tokenizer_path: str, block_ids: int = BLOCK_I
 
 
 def flat_file_blocks(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks of flat files that another program wrote; a file is one stream, and must fit in a row.
+    """Blocks ``stream, block, payload`` of flat files of any size that another program wrote; a file is one stream.
 
-    The streams are numbered by file name.
+    ``path`` is a file, or a folder whose files are taken, on a file system that pyarrow and all executors
+    can open.  The streams are numbered by path, and empty files have no blocks.  The driver lists the
+    files; a task reads the byte ranges of its blocks and nothing else.  A file whose size is no multiple
+    of ``width`` is an error.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    numbers = files.select("path").withColumn("stream", F.row_number().over(Window.orderBy("path")) - 1)
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    found = system.get_file_info(at)
+    files = [found] if found.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at))
+    files = sorted((f.path, f.size) for f in files if f.type == fs.FileType.File)
+    if bad := [p for p, n in files if n % width]:
+        raise ValueError(f"{bad[0]}: its size is no multiple of {width}")
+    scheme = path.split("://")[0] if "://" in path else "file"
     step = block_ids * width
-    cut = files.join(numbers, "path").select("stream", "content", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(length(content) - 1) div {step}")))).alias("at"))
-    return cut.select("stream", F.col("at").cast("long").alias("block"), F.expr(f"substring(content, cast(at * {step} + 1 as int), {step})").alias("payload")).where(F.length("payload") > 0)
+    listed = spark.createDataFrame([(i, p, n) for i, (p, n) in enumerate(files) if n], "stream int, path string, size long")
+    blocks = listed.select("stream", "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {step}L"))).alias("block"))
+    blocks = blocks.repartition("path", "block")
+    schema = T.StructType([T.StructField("stream", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("payload", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for stream, name, size, block in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                system, at = fs.FileSystem.from_uri(f"{scheme}://{name}")
+                with system.open_input_file(at) as f:
+                    yield {"stream": [stream], "block": [block], "payload": [f.read_at(min(step, size - block * step), block * step)]}
+
+    return map_batches(blocks, run, schema)
 
 
 def scan(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
@@ -124,8 +147,10 @@ def scan(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text of ``documents``, counted from flat streams.
 
-    ``n_tokens`` is without the end id.  Null and empty texts have 0 tokens; repeated rows and null
-    ids stay as they are, since a document is known by its place in a stream.
+    ``n_tokens`` is without the end id.  Null and empty texts have 0 tokens, and strings of special
+    tokens are ordinary text, so that no text can forge a boundary.  Repeated rows and null ids stay as
+    they are, since a document is known by its place in a stream.  Texts of any length go over as many
+    blocks as they need; extra columns are left behind, and an empty table gives no rows.
     """
     import public_tokenizers
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASHES = ["n_tokens", "ids", "decoded", "score", "predicted", "shard", "slot", "hilbert", "matches", "features", "sketch", "edited", "text_key", "set_key", "best", "kept_id", "cid", "group", "stream", "block", "tie", "_range", "_tie", "words", "encoded_text", "searched_text"]
+CLASHES = ["n_tokens", "ids", "decoded", "score", "predicted", "shard", "slot", "hilbert", "matches", "features", "sketch", "edited", "text_key", "set_key", "best", "kept_id", "cid", "group", "stream", "block", "tie", "_range", "_tie", "words", "encoded_text", "searched_text", "file", "part", "seq", "record", "number", "digest", "length", "root", "row", "word", "n", "h", "good", "tokens", "inner", "anchors", "_row", "_salt", "kept_key", "row_key"]
 
 
 def prose(seed: int, n: int, words: int = 300) -> str:
@@ -32,11 +32,10 @@ def write(spark):
 
     def to(path, documents, benchmark=(), labels=(), pages=(), clashes=False):
         df = spark.createDataFrame(documents, DOCUMENTS)
-        if clashes:
-            for n, c in enumerate(CLASHES):
-                df = df.selectExpr("*", f"cast({n} as string) as `{c}`")
         tables = {"documents": df, "benchmark": spark.createDataFrame(list(benchmark), "item_id bigint, text string"), "labels": spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int"), "pages": spark.createDataFrame(list(pages), "page_id bigint, url string, html string")}
         for name, x in tables.items():
+            for n, c in enumerate(CLASHES if clashes else []):
+                x = x.selectExpr("*", f"cast({n} as string) as `{c}`")
             x.coalesce(2).write.parquet(f"{path}/{name}.parquet")
         return str(path)
 

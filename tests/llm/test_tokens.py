@@ -1,5 +1,6 @@
 """Encodings against the libraries, separator scans against a loop, files against a round trip."""
 
+import hashlib
 import itertools
 import random
 import zlib
@@ -90,12 +91,30 @@ def test_scan(spark, block):
         assert own == [(n, *x) for n, x in enumerate(brute(ids.tolist(), 0))]
 
 
-def test_flat_files(spark, tmp_path):
+@pytest.mark.parametrize("block", [1, 8, 1 << 19])
+def test_flat_files(spark, tmp_path, block):
     ids = np.array([5, 6, 0, 7, 0, 0, 8] * 50, "<u2")
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
-    got = separators.scan(separators.flat_file_blocks(spark, str(tmp_path), 2, 8), 0).orderBy("ordinal").collect()
-    assert [(g["start"], g["n_tokens"], g["terminated"]) for g in got] == brute(ids.tolist(), 0)
+    (tmp_path / "c.bin").write_bytes(ids[:3].tobytes())
+    got = separators.scan(separators.flat_file_blocks(spark, str(tmp_path), 2, block), 0).orderBy("stream", "ordinal").collect()
+    assert [(g["start"], g["n_tokens"], g["terminated"]) for g in got if g["stream"] == 0] == brute(ids.tolist(), 0)
+    assert [(g["stream"], g["start"], g["n_tokens"]) for g in got if g["stream"]] == [(2, 0, 2)]
+    one = separators.flat_file_blocks(spark, f"file://{tmp_path}/c.bin", 2, block)
+    assert separators.scan(one, 0).select("n_tokens").collect() == [(2,)]
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(ValueError, match="odd.bin"):
+        separators.flat_file_blocks(spark, str(tmp_path))
+
+
+def test_digests_of_pieces_equal_the_library(spark, odd):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = []
+    for i, t, *_ in odd_documents():
+        ids = [*sp.encode(t or ""), sp.eos_id()]
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+    got = pieces.op2_pieces(spark, odd).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 def test_counts_equal_the_library(spark, odd, monkeypatch):
