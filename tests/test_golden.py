@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from meshframe.functions.hashing import with_jenkins64
 from meshframe.operators import cluster, graph, grid, image, layout, linalg, sketch, solver
-from meshframe.sources import bmp, records
+from meshframe.plans import catalog, scratch
+from meshframe.sources import bmp, errors, records
 
 EDGES = [(0, 1), (0, 2), (1, 2), (2, 0), (3, 2)]
 
@@ -194,3 +195,96 @@ def test_records(spark, tmp_path):
     (tmp_path / "k.csv").write_text(line + "\n")
     row = records.kdd(spark, f"{tmp_path}/k.csv").first()
     assert len(row) == 42 and (row["service"], row["same_srv_rate"], row["label"]) == ("http", 1.0, "normal.")
+
+
+def test_steps_by_blocks_equal_single_steps(spark):
+    shape = (9, 7, 5)
+    cells = grid.generate(spark, shape).where("pmod(i * 3 + j + k, 4) > 0")  # with holes, which neighbours fill
+    one = cells
+    for _ in range(3):
+        one = grid.step(one, shape)
+    key = lambda r: (r["i"], r["j"], r["k"])
+    want = {key(r): r["v"] for r in one.collect()}
+    for block in (2, 3, 64):
+        got = {key(r): r["v"] for r in grid.run(cells, shape, 3, block=block).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def exchanges_over(plan: str, leaf: str) -> bool:
+    """Whether an exchange stands between a scan named ``leaf`` and the join or aggregate above it."""
+    lines = plan.split("Initial Plan")[0].split("\n")
+    depth = lambda s: len(s) - len(s.lstrip(" :+-*"))
+    for i, line in enumerate(lines):
+        if leaf in line and "FileScan" in line:
+            at = depth(line)
+            for above in reversed(lines[:i]):
+                if depth(above) < at:
+                    at = depth(above)
+                    if "Exchange" in above:
+                        return True
+                    if "Join" in above or "Aggregate" in above:
+                        break
+    return False
+
+
+@pytest.mark.parametrize("which", ["pagerank", "hyperanf"])
+def test_loops_do_not_exchange_their_edges_again(spark, which):
+    edges = spark.createDataFrame([(i % 50, i * 7 % 50) for i in range(400)], "src bigint, dst bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = graph.pagerank_delta(spark.range(50), edges, 3) if which == "pagerank" else sketch.hyperanf(spark.range(50), edges, 3, 0.4)
+        assert found.count() == 50
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    final = plan.split("Initial Plan")[0]
+    assert final.count("Bucketed: true") >= 3 and not exchanges_over(plan, "src#")
+    assert final.count("Exchange hashpartitioning") <= 4  # one a round, and the first counters by vertex
+
+
+def test_codes_of_errors(spark):
+    known = {0: "DD_OK", 0x887601C2: "DDERR_SURFACELOST", 0x8876021C: "DDERR_WASSTILLDRAWING", 0x8876000A: "DDERR_CANNOTATTACHSURFACE", 0x80070057: "DDERR_INVALIDPARAMS", 0x8007000E: "DDERR_OUTOFMEMORY", 0x80004001: "DDERR_UNSUPPORTED", 0x80004005: "DDERR_GENERIC", 1: "???"}
+    df = spark.createDataFrame([(c,) for c in known], "code bigint")
+    assert {r["code"]: r["name"] for r in errors.with_name(df, F.col("code")).collect()} == known
+
+
+def test_ranges_of_a_block_reach_the_scan(spark, sf):
+    plan = catalog.QUERIES["block_read"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert all(x in plan for x in ("PushedFilters", "GreaterThanOrEqual(i,2)", "LessThanOrEqual(i,5)", "GreaterThanOrEqual(j,"))
+
+
+@pytest.mark.parametrize("entries", [[(0, 0, 4.0), (1, 0, 1.0)], [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 1.0)]])
+def test_rows_without_a_pivot_are_named(spark, entries):
+    matrix = spark.createDataFrame(entries, "row bigint, col bigint, val double")
+    vector = spark.createDataFrame([(0, 1.0), (1, 1.0)], "row bigint, val double")
+    with pytest.raises(Exception, match="row 1 has no pivot"):
+        solver.ilu_solve(solver.ilu0(matrix, 10), vector, 10).collect()
+
+
+def test_blocks_of_the_shell(spark):
+    got = {(r["i"], r["j"]): (r["bx"], r["by"]) for r in layout.assign_shell(shell(spark, 10), (10, 5, 5), (4, 2)).collect()}
+    assert [got[i, 0][0] for i in range(10)] == [0, 0, 1, 1, 1, 2, 2, 3, 3, 3]
+    assert [got[0, j][1] for j in range(5)] == [0, 0, 0, 1, 1]
+    with pytest.raises(ValueError):
+        layout.assign_shell(shell(spark, 10), (10, 5, 5), (3, 2))
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Session:
+        class sparkContext:
+            master = "yarn"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(RuntimeError):
+        scratch.folder(Session)
+
+
+def test_row_pointers_over_blocks(spark):
+    matrix = spark.range(300).select((F.col("id") * 2 % 101).alias("row"), F.col("id").alias("col"), F.lit(1.0).alias("val"))
+    rows = linalg.row_pointers(matrix, 3).orderBy("row").collect()
+    assert [r["ptr"] for r in rows] == [sum(x["n"] for x in rows[:i]) for i in range(len(rows))]
