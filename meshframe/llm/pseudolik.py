@@ -72,8 +72,17 @@ class Vocabulary:
 
     @staticmethod
     def of(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-        """Words by falling count; ties in the order of words."""
-        found = counts.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(head).collect()
+        """Words by falling count; ties in the order of words.
+
+        At most ``head`` of them: where more words share the last count, none of these is in the head.
+        """
+        short = counts.where(F.octet_length("word") <= WORD_BYTES)
+        # how many words there are of each count, with few steps between large ones: a bounded number of rows
+        kind = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(F.log2(F.col("n") / 4096) * 256))
+        steps = sorted(((r["low"], r["words"]) for r in short.groupBy(kind).agg(F.min("n").alias("low"), F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+        inside = [low for (low, _), upto in zip(steps, np.cumsum([w for _, w in steps]), strict=True) if upto <= head]
+        found = short.where(F.col("n") >= inside[-1]).collect() if inside else []
+        found.sort(key=lambda r: (-r["n"], r["word"].encode()))
         words, n = [r["word"].encode() for r in found], np.array([r["n"] for r in found], np.int64)
         totals = counts.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.sum("n").alias("n")).collect()
         in_bucket = np.zeros(BUCKETS, np.int64)
@@ -86,6 +95,7 @@ class Vocabulary:
     def index(self) -> None:
         """Make what look-ups need, in the process that looks up."""
         self.at = {w: i for i, w in enumerate(self.words)}
+        self.own = {w: i + 1 for i, w in enumerate(self.words[:FREQUENT])}
         bucket = np.array([zlib.crc32(w) % BUCKETS for w in self.words], np.int64)
         place = np.arange(len(self.words))
         own = place < FREQUENT
@@ -95,6 +105,11 @@ class Vocabulary:
         self.log = np.append(np.where(own, 0.0, np.log(np.maximum(self.n, 1)) - self.bucket_log[bucket]) if len(place) else [], 0.0)
         self.single = np.append(self.n == 1, False)
 
+    def symbols(self, text: str | None) -> np.ndarray:
+        """The symbols of a text's words alone."""
+        get, first = self.own.get, 1 + FREQUENT
+        return np.array([get(w) or first + zlib.crc32(w) % BUCKETS for w in (text or "").encode().split()], np.int32)
+
     def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """The symbols of a text's words, their places in the head (-1 beyond it), the words beyond it and their buckets."""
         get = self.at.get
@@ -252,7 +267,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int
                     flat = memory_.astype(np.float32)
                     memory = net.split(flat)
                 for x in batch.column(0):
-                    held.append(vocabulary.numbers(x.as_py())[0])
+                    held.append(vocabulary.symbols(x.as_py()))
                     n += len(held[-1])
                     if n >= CHUNK_WORDS:
                         total += learn()

@@ -514,6 +514,7 @@ def test_gradients_of_the_window_network():
     net = pseudolik.WindowNetwork.start(words)
     word, around = net.contexts([words.numbers(t)[0] for t in ("a b c z d e a b", "", "h g f")])
     assert len(word) == 11 and (around[:, 0] == [0, 0, 2, 3]).all()
+    assert all((words.symbols(t) == words.numbers(t)[0]).all() for t in ("a b c z d e a b", "", None, "zz y"))
     loss = lambda values: -pseudolik.WindowNetwork(values).log_probabilities(word, around).mean()
     before = net.values.astype(np.float64)
     memory = [np.full(s, 1e4, np.float32) for s in net.shapes]  # a step is then the gradient over a known number
@@ -528,19 +529,21 @@ def test_gradients_of_the_window_network():
             assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(moved[i], abs=0.02, rel=0.2)
 
 
-@pytest.mark.parametrize("head", [5, 1 << 17])
+@pytest.mark.parametrize("head", [5, 900, 1 << 17])
 def test_scores_equal_brute_force(spark, sf, head):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     counts = pseudolik.count_words(docs).cache()
     texts = {r["doc_id"]: (r["text"] or "").encode().split() for r in docs.collect()}
     n = Counter(w for t in texts.values() for w in t)
     assert {r["word"].encode(): r["n"] for r in counts.collect()} == n
-    words = pseudolik.Vocabulary.of(counts, max(head, pseudolik.FREQUENT))
+    words = pseudolik.Vocabulary.of(counts, head)
+    rest = set(n) - set(words.words)
+    assert len(words.words) <= head and min((n[w] for w in words.words), default=10**9) > max((n[w] for w in rest), default=0)
     net = pseudolik.fit(docs, words, rounds=2)
     got = {r["doc_id"]: r for r in pseudolik.score(docs, net, words, counts).collect()}
     assert set(got) == set(texts)
     order = sorted(n, key=lambda w: (-n[w], w))
-    symbol = {w: i + 1 if i < pseudolik.FREQUENT else 1 + pseudolik.FREQUENT + zlib.crc32(w) % pseudolik.BUCKETS for i, w in enumerate(order)}
+    symbol = {w: i + 1 if i < min(head, len(words.words), pseudolik.FREQUENT) else 1 + pseudolik.FREQUENT + zlib.crc32(w) % pseudolik.BUCKETS for i, w in enumerate(order)}
     of_symbol = Counter()
     for w, k in n.items():
         of_symbol[symbol[w]] += k
