@@ -3,11 +3,12 @@
 In a vocabulary whose pieces hold the whitespace marker only at their start, no merge crosses from a
 letter to a marker.  A text therefore falls apart into chunks, each a run of markers and the letters
 up to the next marker, and the ids of a text are the ids of its chunks in order.  Text is invented
-from few distinct chunks, so each is segmented once by the library and its ids are put at every
-place where it stands.
+from few distinct chunks: those of a batch of texts are numbered, each distinct one is looked up in a
+table or else segmented by the library, and the ids are joined back to all places by their numbers.
 
-The table lives in a task and is emptied when it holds ``TABLE_CHUNKS`` chunks or ``TABLE_CHARS``
-characters, so memory does not grow with the vocabulary of the corpus.  No row is shuffled: for a table
+The table lives in a task and has two generations; when the young one holds ``TABLE_CHUNKS`` chunks or
+``TABLE_CHARS`` new characters, it takes the place of the old one, so memory does not grow with the
+vocabulary of the corpus and frequent chunks stay.  No row is shuffled: for a table
 of the whole corpus, the distinct chunks of every task would cross the network to be made one, and
 again with their ids to reach the texts, which would cross it too to meet them.
 """
@@ -17,9 +18,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +48,7 @@ class ChunkEncoder:
         if self.sp.decode(self.sp.encode(probe)) != probe.replace(MARK, " "):
             raise ValueError("this model changes texts before it segments them")
         self.table: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
         self.chars = 0
 
     def chunks(self, text: str) -> list[str]:
@@ -54,27 +58,58 @@ class ChunkEncoder:
             return _CHUNK.findall(text)
         return text.split(" ")[1:]
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        chunks, found = self.chunks(text), self.table
-        missing = [c for c in dict.fromkeys(chunks) if c not in found]
-        if missing:
-            self.chars += sum(map(len, missing))
-            if len(found) + len(missing) > TABLE_CHUNKS or self.chars > TABLE_CHARS:
-                found.clear()
-                missing = list(dict.fromkeys(chunks))
-                self.chars = sum(map(len, missing))
+    def look_up(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of distinct chunks; those that the table lacks are segmented.
+
+        A full table becomes the old one, from which chunks that are met again are taken back.
+        """
+        found, old = self.table, self.old
+        found.update((c, old[c]) for c in chunks if c not in found and c in old)
+        if missing := [c for c in chunks if c not in found]:
             # the library puts one marker in front of each chunk, so one is left out here
             bare = [c[1:] if c[0] == " " else c for c in missing]
             found.update(zip(missing, self.sp.encode(bare, num_threads=1), strict=True))
-            for c in missing:
-                if c == " ":  # a lone marker: the library gives nothing for an empty text
-                    found[c] = [self.sp.piece_to_id(MARK)]
-        out: list[int] = []
-        for c in chunks:
-            out += found[c]
-        return out
+            if " " in found:  # a lone marker: the library gives nothing for an empty text
+                found[" "] = [self.sp.piece_to_id(MARK)]
+            self.chars += sum(map(len, missing))
+        ids = [found[c] for c in chunks]
+        if len(found) > TABLE_CHUNKS or self.chars > TABLE_CHARS:
+            self.table, self.old, self.chars = {}, found, 0
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all(pa.array([text]))[0].tolist()
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is the empty text."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        plain = pc.and_not(pc.greater(pc.binary_length(texts), 0), odd)
+        # texts with single blanks between words fall apart without a look at each word
+        words = pc.split_pattern(texts.filter(plain).cast(pa.large_string()), " ")
+        numbered = words.flatten().dictionary_encode()
+        chunks, number = [" " + w for w in numbered.dictionary.to_pylist()], numbered.indices.to_numpy()
+        sizes = [np.diff(words.offsets.to_numpy())]
+        numbers = [number]
+        # in the others, runs of blanks belong to chunks
+        place = {c: i for i, c in enumerate(chunks)}
+        for t in texts.filter(odd).to_pylist():
+            own = self.chunks(t)
+            numbers.append(np.array([place.setdefault(c, len(place)) for c in own], number.dtype))
+            sizes.append(np.array([len(own)]))
+        ids = self.look_up(list(place))
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
+        first, at = np.cumsum(n) - n, np.concatenate(numbers)
+        ends = np.cumsum(n[at])
+        out = flat[np.repeat(first[at] - ends + n[at], n[at]) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.cumsum(np.concatenate([[0], *sizes]))]
+        found = [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        kinds = [plain.to_numpy(zero_copy_only=False), odd.to_numpy(zero_copy_only=False)]
+        each = [np.zeros(0, np.int32)] * len(texts)
+        for i, x in zip(np.concatenate([np.flatnonzero(k) for k in kinds]).tolist(), found, strict=True):
+            each[i] = x
+        return each
 
 
 def model_bytes(path: str) -> bytes:
@@ -88,14 +123,10 @@ def _encode_fn(model: bytes, end_id: int | None, end_from_model: bool):  # noqa:
         end = encoder.sp.eos_id() if end_from_model else end_id
         for batch in batches:
             columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            texts = batch.column(batch.num_columns - 1)
-            values, offsets = [], [0]
-            for x in texts:
-                ids = encoder.encode(x.as_py() or "")
-                values.append(np.array(ids if end is None else [*ids, end], dtype=np.int32))
-                offsets.append(offsets[-1] + len(values[-1]))
-            flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(flat))
+            last = np.array([] if end is None else [end], np.int32)
+            values = [np.append(ids, last) for ids in encoder.encode_all(batch.column(batch.num_columns - 1))]
+            offsets = np.cumsum([0, *map(len, values)])
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *values])))
             yield columns
 
     return run
@@ -150,16 +181,16 @@ def encoded(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         encoder = ChunkEncoder(model)
         end = encoder.sp.eos_id()
+        decimal = [str(i) for i in range(encoder.sp.get_piece_size())]
         for batch in batches:
             n, ids_sha, decoded_sha, all_ids = [], [], [], []
-            for x in batch.column(1):
-                ids = encoder.encode(x.as_py() or "")
-                ids.append(end)
+            for values in encoder.encode_all(batch.column(1)):
+                ids = [*values.tolist(), end]
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(encoder.sp.decode(ids).encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(np.array(ids, np.int32))
+                    all_ids.append(np.append(values, np.int32(end)))
             yield {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha} | ({"ids": all_ids} if with_ids else {})
 
     return map_batches(needed(docs, "doc_id", "text"), run, schema)
