@@ -23,13 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshframe.llm.common import fold_of, free_name, map_batches, needed, store, sum_over_tasks, table
 
-POSITIVES, START, GRAMS = 10_000, 20_000, 128
+POSITIVES, START, GRAMS = 10_000, 10_000, 128
 GRAM_WEIGHT = 0.05  # of hashed classes beside the other features: they are many, and few labels would fit them by chance
 HIDDEN, STEPS, STEPS_OVER_ALL, RATE, RATE_OVER_ALL, DECAY = 16, 600, 12, 0.02, 0.002, 1e-4
 THRESHOLD = 0.3
@@ -181,23 +181,30 @@ def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, start: i
 
     A document with several labels is positive if all are 1; null labels and null ids are left out, as
     are documents without an id.  ``positives`` bounds the labelled rows that are used, ``start`` the
-    unlabelled ones of the first fit alone.  Documents that repeat count each.
+    unlabelled ones of the first fit alone.  Unlabelled documents that repeat count each, positives once.
     """
     train = fold_of(F.col("doc_id")) != 0
     known = needed(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").where(train)
     known = known.groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     share = known.agg(F.avg(F.col("good").cast("double"))).first()[0]
-    by = F.xxhash64("doc_id")
     candidates = rows.where("doc_id is not null").where(train)
 
+    def some(df: DataFrame, by: Column, most: int) -> DataFrame:
+        """The ``most`` rows of the least hash ``by``; what is sorted has about half as many more, whatever the size of the table."""
+        share = min(1.0, 1.5 * most / max(1, df.count()))
+        hashed = free_name(df.columns, "hash")
+        below = df.withColumn(hashed, by)
+        below = below if share == 1 else below.where(F.col(hashed) < int(share * 2**64) - 2**63)
+        return below.orderBy(hashed).limit(most).drop(hashed)
+
     def matrix(df: DataFrame) -> np.ndarray:
         held = df.select("features").toArrow().column(0).combine_chunks()
-        return np.array(held.flatten(), np.float64).reshape(-1, N_FEATURES)
+        return np.array(held.flatten(), np.float32).reshape(-1, N_FEATURES)
 
-    # sampled from the labels alone, which are lighter, and again after the join, where ids can repeat
-    wanted = known.where("good").select("doc_id").orderBy(by, "doc_id").limit(positives)
-    p = matrix(candidates.join(wanted, "doc_id").orderBy(by, "doc_id").limit(positives))
-    u = matrix(candidates.orderBy(by, "doc_id").limit(start))
+    # documents are sampled from the labels alone, which are lighter, and each is one row, however often it repeats
+    wanted = some(known.where("good").select("doc_id"), F.xxhash64("doc_id"), positives)
+    p = matrix(candidates.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]))
+    u = matrix(some(candidates, F.xxhash64("doc_id", F.monotonically_increasing_id()), start))
     if share is None or not len(p) or not len(u) or share == 1:
         return Constant(1.0 if share is None else share)
     prior = min(share, 0.99)
