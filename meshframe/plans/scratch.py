@@ -60,11 +60,17 @@ def cut(df: DataFrame, what: str, codec: str = "zstd", instead_of: DataFrame | N
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    if instead_of is not None:
-        _remove(df.sparkSession, instead_of._scratch_path)
+    release(instead_of)
     return out
 
 
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of results of :func:`cut` that nothing reads any more."""
+    for x in tables:
+        if x is not None:
+            _remove(x.sparkSession, x._scratch_path)
+
+
 def keep(df: DataFrame, key: str, what: str = "kept") -> DataFrame:
     """``df`` as a table in the shared folder whose buckets are those of a shuffle by ``key``.
 
