@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from meshframe.plans.scratch import cut
+from meshframe.plans.scratch import cut, release  # noqa: F401
 
 #: Write a frame to the shared folder and read it back: cuts lineage and survives lost executors.
 store = cut

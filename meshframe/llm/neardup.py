@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshframe.llm.common import free_name, map_batches, needed, store, table
+from meshframe.llm.common import free_name, map_batches, needed, release, store, table
 
 BINS, BANDS, ROWS = 256, 42, 6
 PERCENT = 80
@@ -236,6 +236,8 @@ def components(links: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         stored = store(stepped.join(up, "component").select("node", "old", F.least("component", "higher").alias("component")).coalesce(files), "labels", instead_of=stored)
         labels = stored.select("node", "component")
         if stored.where("old <> component").isEmpty():
+            release(both)
+            labels._scratch_path = stored._scratch_path
             return labels
 
 
@@ -256,29 +258,39 @@ def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
     in groups; a group of nothing but null ids has a null ``component_id``.  Repeated rows are in one
     class, however often they repeat.  Texts of any length count whole; without rows there are none.
     """
+    made: list[DataFrame] = []
+
+    def put(df: DataFrame, what: str) -> DataFrame:
+        made.append(store(df, what))
+        return made[-1]
+
+    def linked(links: DataFrame) -> DataFrame:
+        made.append(components(links))
+        return made[-1]
+
     rows = store(features(docs, k, doc_id, text), "features")
     worded = rows.where("set_key is not null")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     # a class is one row here, combined before the shuffle, so that copies do not fill the buckets
     found = worded.groupBy(F.col("set_key").alias("cid")).agg(F.min("doc_id").alias("least_id"), F.min(row).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
-    found = store(found, "classes")
+    found = put(found, "classes")
     classes = found.drop("bands")
     n_rows, n_classes = found.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
 
     placed = found.select("cid", "n", F.explode("bands").alias("bucket"))
     heads = placed.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("size")).where("low.cid <> high")
-    heads = store(heads.select("bucket", F.col("low.cid").alias("pivot"), F.col("low.n").alias("pivot_n"), "size"), "heads")
-    hot, spread = _salts(heads, "bucket", "size", n_classes * BANDS)
-    members = store(_salted(placed, hot, "bucket", F.col("cid")).join(spread, ["bucket", "_salt"]), "buckets")
+    heads = put(heads.select("bucket", F.col("low.cid").alias("pivot"), F.col("low.n").alias("pivot_n"), "size"), "heads")
+    hot, by_salt = _salts(heads, "bucket", "size", n_classes * BANDS)
+    members = put(_salted(placed, hot, "bucket", F.col("cid")).join(by_salt, ["bucket", "_salt"]), "buckets")
 
     own = members.groupBy("cid").agg(F.first("n").alias("n"), F.min(F.struct("pivot", "pivot_n")).alias("low"), F.max((F.col("cid") == F.col("pivot")).cast("int")).alias("is_pivot"))
-    own = store(own.select("cid", "n", F.col("low.pivot").alias("pivot"), F.col("low.pivot_n").alias("pivot_n"), (F.col("is_pivot") == 1).alias("is_pivot")), "candidates")
+    own = put(own.select("cid", "n", F.col("low.pivot").alias("pivot"), F.col("low.pivot_n").alias("pivot_n"), (F.col("is_pivot") == 1).alias("is_pivot")), "candidates")
     candidates = own.select("cid", F.col("is_pivot").alias("pivot")).join(classes.select("cid", F.col("row.row_key").alias("row_key")), "cid")
-    sets = store(_sets(candidates, docs, k, doc_id, text), "sets")
+    sets = put(_sets(candidates, docs, k, doc_id, text), "sets")
 
     first = own.where("cid <> pivot").where(_sizes_allow("n", "pivot_n")).select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
-    verified = store(_verify(first, sets, True), "verified")
-    labels = components(_linked(verified))
+    verified = put(_verify(first, sets, True), "verified")
+    labels = linked(_linked(verified))
 
     def with_label(df: DataFrame, column: str, out: str) -> DataFrame:
         named = labels.select(F.col("node").alias(column), F.col("component").alias(out))
@@ -286,25 +298,25 @@ def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
 
     def grouped() -> DataFrame:
         """Members with their group and that of their pivot, which is looked up once a bucket and not once a member."""
-        of_pivot = with_label(spread, "pivot", "pivot_group").select("bucket", "_salt", "pivot_group")
+        of_pivot = with_label(by_salt, "pivot", "pivot_group").select("bucket", "_salt", "pivot_group")
         return with_label(members, "cid", "group").join(of_pivot, ["bucket", "_salt"])
 
     # other pivots of a class, where they are not in its group
     pairs = grouped().where("cid <> pivot and group <> pivot_group").where(_sizes_allow("n", "pivot_n")).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = store(pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    pairs = put(pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        second = store(_verify(pairs, sets, True), "verified")
+        second = put(_verify(pairs, sets, True), "verified")
         verified = verified.unionByName(second)
         if not _linked(second).isEmpty():
-            labels = components(_linked(verified))
+            labels = linked(_linked(verified))
 
     # what is left in buckets that hold several groups
     likeness = verified.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), (F.col("common") / F.col("joint")).alias("like"))
     left = grouped()
-    mixed = left.where("group <> pivot_group").select("bucket").distinct().join(spread.select("bucket", "_salt"), "bucket")
+    mixed = left.where("group <> pivot_group").select("bucket").distinct().join(by_salt.select("bucket", "_salt"), "bucket")
     inside = left.join(mixed, ["bucket", "_salt"], "left_semi").where("cid <> pivot").join(likeness, ["cid", "pivot"], "left")
-    inside = store(inside.select("bucket", "size", "cid", "n", "group", "pivot_group", "like"), "mixed")
-    wide = store(_with_bits(sets.join(inside.select("cid").distinct(), "cid", "left_semi")), "bits")
+    inside = put(inside.select("bucket", "size", "cid", "n", "group", "pivot_group", "like"), "mixed")
+    wide = put(_with_bits(sets.join(inside.select("cid").distinct(), "cid", "left_semi")), "bits")
     # a pair of rows meets in one cell: the block of the one by the block of the other
     blocks = F.ceil(F.col("size") / CELL_ROWS).cast("int")
     inside = inside.join(wide, "cid").withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int"))
@@ -317,17 +329,18 @@ def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
     shared = F.zip_with("bands_a", "bands_b", lambda p, q: p == q)
     first_shared = F.array_position(shared, True) == F.array_position("bands_a", F.col("bucket"))
     left = x.join(y, ["bucket", "_i", "_j"]).where("group_a <> group_b and (not out_b or a < b)").where(_sizes_allow("n_a", "n_b")).where(F.coalesce(near, F.lit(True))).where(differ <= APART).where(first_shared)
-    left = store(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    left = put(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     if not left.isEmpty():
-        third = store(_verify(left, sets, False), "verified")
+        third = put(_verify(left, sets, False), "verified")
         if not _linked(third).isEmpty():
-            labels = components(_linked(verified.unionByName(third)))
+            labels = linked(_linked(verified.unionByName(third)))
 
     whole = classes.select("cid", "least_id", "rows").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("group", F.coalesce("component", "cid"))
     low = whole.groupBy("group").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
     hot, spread = _salts(low, "group", "_n", n_classes)
     of_class = _salted(whole, hot, "group", F.col("cid")).join(spread, ["group", "_salt"]).select(F.col("cid").alias("class"), "group", "component_id", "rows")
     of_class = store(of_class, "groups")
+    release(*made)
     hot, spread = _salts(of_class, "class", "rows", n_rows)
     light = rows.select("doc_id", "row_key", "n_shingles", F.col("set_key").alias("class"))
     named = _salted(light.where("class is not null"), hot, "class", F.monotonically_increasing_id()).join(spread, ["class", "_salt"])

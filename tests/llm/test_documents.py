@@ -184,7 +184,8 @@ def test_rows_that_repeat_thousands_of_times(spark, monkeypatch):
     monkeypatch.setattr(neardup, "HOT_ROWS", 50)
     monkeypatch.setattr(neardup, "CELL_ROWS", 30)
     made = {}
-    monkeypatch.setattr(neardup, "store", lambda df, what: made.setdefault(what, []).append(x := fixity.store(df, what)) or x)
+    monkeypatch.setattr(neardup, "store", lambda df, what, **_: made.setdefault(what, []).append(x := fixity.store(df, what)) or x)
+    monkeypatch.setattr(neardup, "release", lambda *_: None)
     one = prose(1, 60).split()
     near = [" ".join([*one[:59], "x"]), " ".join(["y", *one[1:]])]
     rows = [(7, " ".join(one))] * 5000 + [(8, near[0])] * 5000 + [(None, near[1])] * 100 + clustered(6)[:60]
