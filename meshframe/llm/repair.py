@@ -112,6 +112,21 @@ def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out[base:]
 
 
+def narrow(symbols: np.ndarray, top: int) -> bytes:
+    """Numbers up to ``top``: the low 16 bits of all, then a plane of one bit each for every higher bit that ``top`` needs."""
+    planes = [np.packbits(symbols >> k & 1, bitorder="little").tobytes() for k in range(16, top.bit_length())]
+    return b"".join([(symbols & 0xFFFF).astype("<u2").tobytes(), *planes])
+
+
+def widen(data: bytes, n: int, top: int) -> np.ndarray:
+    """The ``n`` numbers that :func:`narrow` wrote."""
+    out, at = np.frombuffer(data, "<u2", n).astype(np.int32), 2 * n
+    for k in range(16, top.bit_length()):
+        out |= np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n, bitorder="little").astype(np.int32) << k
+        at += -(-n // 8)
+    return out
+
+
 class Grammar:
     """Reads ids of a shard: all of them, or a range."""
 
@@ -147,7 +162,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int = SH
 
     Ranges of ``doc_id`` are sorted each on its own; nulls come first, rows with equal ids lie in any
     order.  A row is a shard: ``part, shard, start`` (ids before it in its part), ``n_ids``,
-    ``doc_ids``, ``doc_lengths``, ``rules``, ``rule_lengths``, ``sequence``, ``base``.  With ``special``,
+    ``doc_ids``, ``doc_lengths``, ``rules``, ``rule_lengths``, ``sequence``, ``n_symbols`` in it, ``base``.  With ``special``,
     strings of special tokens have their ids.
     """
     source = needed(docs, doc_id, text)
@@ -156,7 +171,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int = SH
     source = source.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(F.col(f"`{doc_id}`"), F.col(tie)).sortWithinPartitions(F.col(f"`{doc_id}`"), F.col(tie)).drop(tie)
     model = definition(tokenizer_path)
     long, binary = T.LongType(), T.BinaryType()
-    schema = T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(x, long) for x in ("shard", "start", "n_ids")], T.StructField("doc_ids", T.ArrayType(source.schema[0].dataType)), T.StructField("doc_lengths", T.ArrayType(long, False)), *[T.StructField(x, binary) for x in ("rules", "rule_lengths", "sequence")], T.StructField("base", T.IntegerType())])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(x, long) for x in ("shard", "start", "n_ids")], T.StructField("doc_ids", T.ArrayType(source.schema[0].dataType)), T.StructField("doc_lengths", T.ArrayType(long, False)), *[T.StructField(x, binary) for x in ("rules", "rule_lengths", "sequence")], T.StructField("n_symbols", long), T.StructField("base", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         bpe = in_worker(model, special)
@@ -167,8 +182,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int = SH
         def row() -> dict:
             ids = np.concatenate([x for p in parts for x in (p, end)])
             rules, seq = compress(ids, bpe.size)
-            kind = "<u2" if bpe.size + len(rules) <= 1 << 16 else "<u4"
-            return {"part": [part], "shard": [shard], "start": [start], "n_ids": [len(ids)], "doc_ids": [names], "doc_lengths": [[len(p) + 1 for p in parts]], "rules": [rules.astype(kind).tobytes()], "rule_lengths": [lengths(rules, bpe.size).astype("<u4").tobytes()], "sequence": [seq.astype(kind).tobytes()], "base": [bpe.size]}
+            top = bpe.size + len(rules) - 1
+            return {"part": [part], "shard": [shard], "start": [start], "n_ids": [len(ids)], "doc_ids": [names], "doc_lengths": [[len(p) + 1 for p in parts]], "rules": [narrow(rules.ravel(), top)], "rule_lengths": [lengths(rules, bpe.size).astype("<u4").tobytes()], "sequence": [narrow(seq, top)], "n_symbols": [len(seq)], "base": [bpe.size]}
 
         for batch in batches:
             for name, ids in zip(batch.column(0).to_pylist(), map(bpe.encode, batch.column(1).to_pylist()), strict=True):
@@ -187,9 +202,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int = SH
 def shard_of(row) -> Grammar:  # noqa: ANN001
     """The reader of a row of the files."""
     n = len(row["rule_lengths"]) // 4
-    kind = "<u2" if row["base"] + n <= 1 << 16 else "<u4"
-    rules = np.frombuffer(row["rules"], kind).reshape(-1, 2).astype(np.int32)
-    return Grammar(rules, np.frombuffer(row["rule_lengths"], "<u4").astype(np.int64), np.frombuffer(row["sequence"], kind).astype(np.int32), row["base"])
+    top = row["base"] + n - 1
+    rules = widen(row["rules"], 2 * n, top).reshape(-1, 2)
+    return Grammar(rules, np.frombuffer(row["rule_lengths"], "<u4").astype(np.int64), widen(row["sequence"], row["n_symbols"], top), row["base"])
 
 
 def read(files: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -199,7 +214,7 @@ def read(files: DataFrame, with_ids: bool = True) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     placed = files.join(F.broadcast(sums), "part").withColumn("start", F.col("start") + F.col("before"))
-    names = ["start", "doc_ids", "doc_lengths", "rules", "rule_lengths", "sequence", "base"]
+    names = ["start", "doc_ids", "doc_lengths", "rules", "rule_lengths", "sequence", "n_symbols", "base"]
     kind = files.schema["doc_ids"].dataType.elementType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType())][: 4 + with_ids])
 

@@ -170,6 +170,15 @@ def test_grammars_of_small_alphabets(monkeypatch):
         assert repair.lengths(rules, kinds).tolist() == [len(expanded[kinds + i]) for i in range(len(rules))]
 
 
+@pytest.mark.parametrize("top", [0, 255, 65535, 65536, 70000, (1 << 20) - 1])
+def test_narrow_numbers(top):
+    r = np.random.default_rng(top)
+    for n in (0, 1, 7, 8, 1000):
+        x = r.integers(0, top + 1, n).astype(np.int32)
+        data = repair.narrow(x, top)
+        assert (repair.widen(data, n, top) == x).all() and len(data) <= n * (2 + max(0, top.bit_length() - 16) / 8) + 4
+
+
 def test_files_equal_the_library(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     library = Tokenizer.from_file(BPE)
