@@ -12,15 +12,22 @@ sort whose last key is unique, so one page id that holds a third of all rows is
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meshframe.llm.common import needed, store, table
+from meshframe.llm.common import map_batches, needed, store, table
 
 FAN, LEVELS = 8, 3
 FILE_RECORDS = FAN**LEVELS
 KEY = ["file", "part"]
 DATE = "1970-01-01T00:00:00Z"
+HEAD_BYTES = 1 << 20  # where a record starts, its head ends within them
 _LINE = "\r\n"
 
 
@@ -89,6 +96,73 @@ def placed(archive: DataFrame) -> DataFrame:
     return rows.select("file", "part", "seq", F.coalesce(F.sum("length").over(own), F.lit(0)).alias("offset"), "length", "digest", "page_id", "number")
 
 
+def write_files(records_: DataFrame, index: DataFrame, folder: str) -> None:
+    """The numbered records as plain WARC files ``<file>-<part>.warc`` in ``folder``, which pyarrow and all executors can open."""
+    rows = records_.select("number", "record").join(index.select("number", "file", "part", "seq"), "number")
+
+    def write(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, part = (k.as_py() for k in key)
+        table_ = pa.Table.from_batches(list(batches)).sort_by("seq")  # at most FILE_RECORDS records
+        with _opened(f"{folder}/{file}-{part}.warc", "open_output_stream") as f:
+            for x in table_.column("record"):
+                f.write(x.as_py())
+        yield pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int64())})
+
+    rows.groupBy("file", "part").applyInArrow(write, "file bigint").count()
+
+
+def _opened(path: str, how: str):  # noqa: ANN202
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    return getattr(system, how)(at)
+
+
+def _read_records(f, size: int) -> Iterator[tuple[int, bytes]]:  # noqa: ANN001
+    """Offsets and bytes of the records of an open file; where no record starts, all that is left is one."""
+    at, held = 0, b""
+    while at < size:
+        end = -1
+        while (end := held.find(b"\r\n\r\n")) < 0 and len(held) < HEAD_BYTES and (more := f.read(1 << 16)):
+            held += more
+        head = held[: max(end, 0)]
+        length = re.search(rb"(?i)\r\ncontent-length: *(\d+)", head) if head.startswith(b"WARC/") else None
+        n = end + 4 + int(length.group(1)) + 4 if length else size - at
+        n = min(n, size - at)
+        while len(held) < n and (more := f.read(max(1 << 16, n - len(held)))):
+            held += more
+        yield at, held[:n]
+        at, held = at + n, held[n:]
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``file`` (its name), ``part, seq, offset, length, digest`` of the records of all plain WARC files of ``folder``.
+
+    A file is read as a stream by one task, record by record; what does not parse as a record is one
+    with all that follows it in its file.  Empty files have no records.
+    """
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    files = sorted((f.base_name, f.size) for f in system.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.File)
+    listed = spark.createDataFrame(files, "file string, size long").repartition(max(1, len(files)), "file")
+    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("digest", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with _opened(f"{folder}/{name}", "open_input_stream") as f:
+                    for n, (offset, record) in enumerate(_read_records(f, size)):
+                        yield {"file": [name], "part": [n // FILE_RECORDS], "seq": [n % FILE_RECORDS], "offset": [offset], "length": [len(record)], "digest": [hashlib.sha256(record).hexdigest()]}
+
+    return map_batches(listed, run, schema)
+
+
+def audit_files(spark: SparkSession, own: str, other: str) -> DataFrame:
+    """Records that differ between two folders of WARC files, as :func:`audit` gives them."""
+    return audit(*[[store(x, "warc-tree") for x in tree(store(read_files(spark, folder), "warc-index"))] for folder in (own, other)])
+
+
 def _hash(start: Column, end: Column, content: Column) -> Column:
     return F.sha2(F.concat(start.cast("string"), F.lit("-"), end.cast("string"), F.lit(":"), content).cast("binary"), 256)
 

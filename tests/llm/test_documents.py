@@ -643,6 +643,33 @@ def test_records_parse(spark):
     assert [r["content"] for r in fixity.parsed(cut).collect()] == [None] * 4
 
 
+def test_audit_of_files(spark, tmp_path):
+    pages = [(i % 600, f"u{i}", prose(i, 3) * (i % 3)) for i in range(1300)] + [(700, "long", "y" * 300_000)]
+    archive = fixity.numbered(fixity.records(spark.createDataFrame(pages, "page_id bigint, url string, html string")))
+    index = fixity.store(fixity.placed(archive), "warc-index")
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        fixity.write_files(archive, index, str(tmp_path / name))
+    read = fixity.read_files(spark, str(tmp_path / "a")).collect()
+    place = lambda r: (r["file"], r["part"] * fixity.FILE_RECORDS + r["seq"])
+    want = {(f"{r['file']}-{r['part']}.warc", r["seq"]): (r["offset"], r["length"], r["digest"]) for r in index.collect()}
+    assert {place(r): (r["offset"], r["length"], r["digest"]) for r in read} == want
+    assert fixity.audit_files(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect() == []
+    (key, (offset, length, _)), *_ = [x for x in want.items() if x[0][1] == 40]
+    changed = tmp_path / "b" / key[0]
+    data = bytearray(changed.read_bytes())
+    data[offset + length - 5] ^= 1
+    changed.write_bytes(data)
+    hit = fixity.audit_files(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()
+    assert [place(r) for r in hit] == [key]
+    data[offset] ^= 1  # no record starts here any more: the rest of the file is one
+    changed.write_bytes(data)
+    hit = {place(r): (r["hash"] is None, r["other_hash"] is None) for r in fixity.audit_files(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()}
+    assert hit == {k: (False, k[1] > 40) for k in want if k[0] == key[0] and k[1] >= 40}
+    (tmp_path / "b" / "new.warc").write_bytes(b"no record")
+    assert ("new.warc", 0) in [place(r) for r in fixity.audit_files(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()]
+
+
 # ---- pipeline
 
 
