@@ -1,7 +1,7 @@
 """A quality classifier learnt from trusted positives and unlabelled text.
 
 Positive-unlabelled learning with the non-negative risk estimator: for a class prior ``p``, a model
-``g`` and the logistic loss, the risk is ``p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives))``.
+``g`` and the sigmoid loss, the risk is ``p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives))``.
 The part in the maximum estimates the risk on negatives that nobody labelled; where it falls below
 zero the model overfits, and its gradient is turned round, as in the published training rule.
 
@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 
 from meshframe.llm.common import fold_of, free_name, map_batches, needed, store, sum_over_tasks, table
 
-POSITIVES, START, GRAMS = 10_000, 10_000, 128
+POSITIVES, START, GRAMS = 10_000, 20_000, 128
 GRAM_WEIGHT = 0.05  # of hashed classes beside the other features: they are many, and few labels would fit them by chance
-HIDDEN, STEPS, STEPS_OVER_ALL, RATE, RATE_OVER_ALL, DECAY = 16, 600, 12, 0.02, 0.002, 1e-4
+HIDDEN, STEPS, STEPS_OVER_ALL, RATE, RATE_OVER_ALL, DECAY = 16, 600, 16, 0.02, 0.005, 1e-5
 THRESHOLD = 0.3
 
 _SIGNS = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -72,33 +72,27 @@ N_FEATURES = len(_SIGNS) + 7 + 7 + 2 * GRAMS
 class Network:
     """One hidden layer; fitted with the non-negative positive-unlabelled risk."""
 
-    def _sums(self, x: np.ndarray, by_row) -> tuple[float, np.ndarray]:  # noqa: ANN001
-        """The loss of calling rows negative, and the gradient for the slopes ``by_row(p)`` of outputs, both summed over rows."""
+    def _sums(self, x: np.ndarray) -> np.ndarray:
+        """The loss of calling rows negative, and its gradient, both summed over scaled rows.
+
+        That loss is the score ``p`` itself, and that of calling a row positive is ``1 - p``: both are
+        bounded, so an error in the prior costs little however sure the model is of positives.
+        """
         h = np.tanh(x @ self.w[0] + self.w[1])
         p = 1 / (1 + np.exp(-(h @ self.w[2] + self.w[3][0]).clip(-30, 30)))
-        d = by_row(p)
+        d = p * (1 - p)
         back = np.outer(d, self.w[2]) * (1 - h * h)
-        return -np.log1p(-p.clip(0, 1 - 1e-12)).sum(), np.concatenate([(x.T @ back).ravel(), back.sum(0), h.T @ d, [d.sum()]])
-
-    def unlabelled(self, x: np.ndarray) -> np.ndarray:
-        """Sums over scaled rows without labels: the loss of calling them negative, and its gradient."""
-        loss, gradient = self._sums(x, lambda p: p)
-        return np.concatenate([[loss], gradient])
+        return np.concatenate([[p.sum()], (x.T @ back).ravel(), back.sum(0), h.T @ d, [d.sum()]]).astype(np.float64)
 
     def gradient(self, positives: np.ndarray, prior: float, n: float, sums: np.ndarray) -> tuple[float, np.ndarray]:
         """The estimate of the risk on negatives, and the gradient of the training rule.
 
-        ``sums`` are those of :meth:`unlabelled` over ``n`` rows.  The loss of calling a row negative is
-        ``-log(1 - p)``, that of calling it positive ``-log(p)``.  Where the estimate is below zero, its
-        own gradient is turned round.
+        ``sums`` are those of :meth:`_sums` over the ``n`` rows without labels.  Where the estimate is
+        below zero, its own gradient is turned round.
         """
-        loss, as_negative = self._sums(positives, lambda p: p)
-        m = len(positives)
-        hidden_risk = sums[0] / n - prior * loss / m
-        if hidden_risk < 0:
-            return hidden_risk, prior * as_negative / m - sums[1:] / n
-        _, as_positive = self._sums(positives, lambda p: p - 1)
-        return hidden_risk, sums[1:] / n + prior * (as_positive - as_negative) / m
+        known = prior * self._sums(positives) / len(positives)
+        hidden = sums / n - known
+        return hidden[0], (hidden[1:] if hidden[0] >= 0 else -hidden[1:]) - (known[1:] if hidden[0] >= 0 else 0)
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
         x = ((x - self.mean) / self.scale).clip(-20, 20)
@@ -124,7 +118,7 @@ class Network:
         self.w = [rng.normal(0, 0.3, (p.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.array([np.log(prior / (1 - prior))])]
         self.first, self.second = [np.zeros_like(v) for v in self.w], [np.zeros_like(v) for v in self.w]
         for step in range(1, STEPS + 1):
-            self._descend(self.gradient(p, prior, len(u), self.unlabelled(u))[1], step, RATE)
+            self._descend(self.gradient(p, prior, len(u), self._sums(u))[1], step, RATE)
         return self
 
     def go_on(self, positives: np.ndarray, rows: DataFrame, prior: float, steps: int = STEPS_OVER_ALL) -> Network:
@@ -138,7 +132,7 @@ class Network:
                 for batch in batches:
                     if batch.num_rows:
                         x = np.array(batch.column(0).flatten(), np.float64).reshape(-1, N_FEATURES)
-                        n, total = n + len(x), total + model.unlabelled(model.scaled(x))
+                        n, total = n + len(x), total + model._sums(model.scaled(x))
                 return (n, total) if n else None
 
             if found := sum_over_tasks(rows.select("features"), run):

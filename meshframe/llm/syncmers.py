@@ -115,7 +115,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PER_RANGE, derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """``derive(docs)`` with ``next_<column>`` for ``columns``: those of the next document in descending ``doc_id``.
+    """``derive`` of ``doc_id, text`` with ``next_<column>`` for ``columns``: those of the next document in descending ``doc_id``.
 
     The next of the last is the first.  Null ids come last; rows of one id have some order among them.
     ``doc_id`` is an integer.  Ids are cut into ranges of nearly equal counts; the next row lies in the
@@ -124,6 +124,7 @@ def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PE
     ``MOST_RANGES`` ranges at most, so that their first rows can be broadcast.  ``derive`` adds columns
     after rows are dealt, and for those first rows anew.
     """
+    docs = needed(docs, "doc_id", "text")
     n, low, top = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     ranges = min(MOST_RANGES, max(1, math.ceil(n / rows_per_range)))
     rough = min(MOST_CUTS, ranges)
