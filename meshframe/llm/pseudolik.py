@@ -295,7 +295,7 @@ def score(docs: DataFrame, network: WindowNetwork, vocabulary: Vocabulary, count
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("single", T.LongType()), T.StructField("far", far)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        import xxhash
+        from xxhash import xxh64_intdigest as digest
 
         model = None
         row = TaskContext.get().partitionId() << 33
@@ -323,15 +323,17 @@ def score(docs: DataFrame, network: WindowNetwork, vocabulary: Vocabulary, count
                 sizes.append(len(symbol))
                 given.append(float(words.log[place].sum() - words.bucket_log[bucket].sum()))
                 singles.append(int(words.single[place].sum()))
-                often = Counter(others)
-                beyond.append([{"h": (h := xxhash.xxh64_intdigest(w, 42)) - (h >> 63 << 64), "m": m} for w, m in often.items()])
+                beyond.append(np.unique(np.array([digest(w, 42) for w in others], np.uint64).view(np.int64), return_counts=True))
                 held.append(symbol)
                 n += len(symbol)
                 if n >= CHUNK_WORDS:
                     flush()
                     n = 0
             flush()
-            yield {"doc_id": batch.column(0), "row": np.arange(row, row + batch.num_rows), "n_words": sizes, "logs": [a + b for a, b in zip(sums, given, strict=True)], "single": singles, "far": beyond}
+            each = [np.concatenate([np.zeros(0, np.int64), *[b[k] for b in beyond]]) for k in (0, 1)]
+            pairs = pa.StructArray.from_arrays([pa.array(each[0]), pa.array(each[1].astype(np.int32))], ["h", "m"])
+            rest = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(b[0]) for b in beyond]]), pa.int32()), pairs)
+            yield {"doc_id": batch.column(0), "row": np.arange(row, row + batch.num_rows), "n_words": sizes, "logs": [a + b for a, b in zip(sums, given, strict=True)], "single": singles, "far": rest}
             row += batch.num_rows
 
     rows = store(map_batches(needed(docs, doc_id, text), run, schema), "scored")
