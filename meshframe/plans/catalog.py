@@ -222,11 +222,11 @@ def hll_parameters(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(spark.createDataFrame(rows, "rsd double, m int, alpha_mm double, threshold double"), "alpha_mm", "threshold")
 
 
-@query(_with(*_anf_sql("user_vertices", "user_edges", 2), *[f"e{t} as ({_estimate_sql(f'r{t}')})" for t in range(3)], select=" union all ".join(f"select {t} t, round(sum(estimate), 2) pairs from e{t}" for t in range(3))))
+@query(_with(*_anf_sql("user_vertices", "user_edges", 2), *[f"e{t} as ({_estimate_sql(f'r{t}')})" for t in range(3)], select=" union all ".join(f"select {t} t, round(sum(estimate), 4) pairs from e{t}" for t in range(3))))
 def neighbourhood_function(spark: SparkSession, d: str) -> DataFrame:
     """Pairs within 0, 1 and 2 steps."""
     found = sketch.neighbourhood_function(derive.user_vertices(spark, d), derive.user_edges(spark, d), 2)
-    return _rounded(found, "pairs", digits=2)
+    return _rounded(found, "pairs", digits=4)
 
 
 # ---- grids
