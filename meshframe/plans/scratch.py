@@ -51,11 +51,14 @@ def _delete() -> None:
             _remove(spark, path)
 
 
-def cut(df: DataFrame, what: str, codec: str = "zstd", instead_of: DataFrame | None = None) -> DataFrame:
+def cut(df: DataFrame, what: str, codec: str = "zstd", instead_of: DataFrame | None = None, light: bool = False) -> DataFrame:
     """``df`` written and read again: its plan is a scan from here on, and lost executors do not matter.
 
     ``instead_of`` is an older result of this function that nothing but ``df`` still reads; its files go.
+    ``light`` tables are dealt anew before they are written, into as few files as their size wants.
     """
+    if light:
+        df = df.hint("rebalance")
     path = new_path(df.sparkSession, what)
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
