@@ -225,7 +225,7 @@ def components(links: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     of rounds grows with the logarithm of the longest path.  A round is written as files of about
     ``ROWS_PER_FILE`` rows, so that small graphs are not spread over as many files as tasks.
     """
-    both = store(links.select(F.col(src).alias("x"), F.col(dst).alias("y")).unionByName(links.select(F.col(dst).alias("x"), F.col(src).alias("y"))), "links")
+    both = store(links.select(F.col(src).alias("x"), F.col(dst).alias("y")).unionByName(links.select(F.col(dst).alias("x"), F.col(src).alias("y"))), "links", light=True)
     files = -(-both.count() // ROWS_PER_FILE) or 1
     labels = stored = store(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")).coalesce(files), "labels")
     while True:
@@ -260,8 +260,8 @@ def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
     """
     made: list[DataFrame] = []
 
-    def put(df: DataFrame, what: str) -> DataFrame:
-        made.append(store(df, what))
+    def put(df: DataFrame, what: str, light: bool = True) -> DataFrame:
+        made.append(store(df, what, light=light))
         return made[-1]
 
     def linked(links: DataFrame) -> DataFrame:
@@ -281,12 +281,12 @@ def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
     heads = placed.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("size")).where("low.cid <> high")
     heads = put(heads.select("bucket", F.col("low.cid").alias("pivot"), F.col("low.n").alias("pivot_n"), "size"), "heads")
     hot, by_salt = _salts(heads, "bucket", "size", n_classes * BANDS)
-    members = put(_salted(placed, hot, "bucket", F.col("cid")).join(by_salt, ["bucket", "_salt"]), "buckets")
+    members = put(_salted(placed, hot, "bucket", F.col("cid")).join(by_salt, ["bucket", "_salt"]), "buckets", light=False)
 
     own = members.groupBy("cid").agg(F.first("n").alias("n"), F.min(F.struct("pivot", "pivot_n")).alias("low"), F.max((F.col("cid") == F.col("pivot")).cast("int")).alias("is_pivot"))
     own = put(own.select("cid", "n", F.col("low.pivot").alias("pivot"), F.col("low.pivot_n").alias("pivot_n"), (F.col("is_pivot") == 1).alias("is_pivot")), "candidates")
     candidates = own.select("cid", F.col("is_pivot").alias("pivot")).join(classes.select("cid", F.col("row.row_key").alias("row_key")), "cid")
-    sets = put(_sets(candidates, docs, k, doc_id, text), "sets")
+    sets = put(_sets(candidates, docs, k, doc_id, text), "sets", light=False)
 
     first = own.where("cid <> pivot").where(_sizes_allow("n", "pivot_n")).select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
     verified = put(_verify(first, sets, True), "verified")
@@ -339,7 +339,7 @@ def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
     low = whole.groupBy("group").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
     hot, spread = _salts(low, "group", "_n", n_classes)
     of_class = _salted(whole, hot, "group", F.col("cid")).join(spread, ["group", "_salt"]).select(F.col("cid").alias("class"), "group", "component_id", "rows")
-    of_class = store(of_class, "groups")
+    of_class = store(of_class, "groups", light=True)
     release(*made)
     hot, spread = _salts(of_class, "class", "rows", n_rows)
     light = rows.select("doc_id", "row_key", "n_shingles", F.col("set_key").alias("class"))
