@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from meshframe.llm import fixity, hilbert, neardup, pieces, pseudolik, quality, repair, separators, suffixes, syncmers
+from meshframe.llm import fixity, hilbert, langid, neardup, phrases, pieces, pseudolik, quality, repair, separators, suffixes, syncmers
 
-MODULES = [separators, pieces, hilbert, syncmers, suffixes, neardup, pseudolik, quality, fixity, repair]
+MODULES = [separators, pieces, hilbert, syncmers, suffixes, neardup, pseudolik, quality, fixity, repair, langid, phrases]
 
 
 def queries() -> dict[str, Callable]:

@@ -9,7 +9,7 @@ from conftest_llm import odd_documents
 
 from meshframe.llm import registry
 
-DOCUMENT_QUERIES = [q for q in registry.queries() if q not in ("op9_merkle", "pipeline")]
+DOCUMENT_QUERIES = [q for q in registry.queries() if q not in ("op9_merkle", "op12_phrases", "pipeline")]
 
 
 @pytest.mark.parametrize("name", DOCUMENT_QUERIES)
