@@ -306,7 +306,9 @@ _CUT = "(1000000::hugeint * a * a // ({l}::hugeint * {r}))::bigint"
 SQL = {
     "op12_phrases": f"""with texts as (select coalesce(lang, 'und') lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) piece from documents),
 pieces as (select lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') w from texts),
-each as ({" union all ".join(f"select lang, {m} size, unnest(list_transform(range(1, len(w) - {m - 2}), lambda i: w[i:i + {m - 1}])) p from pieces" for m in (1, 2, 3))}),
+each as (select lang, 1 size, unnest(list_transform(w, lambda x: [x])) p from pieces
+  union all select lang, 2, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda x: [x[1], x[2]])) from pieces where len(w) > 1
+  union all select lang, 3, unnest(list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda x: [x[1], x[2], x[3]])) from pieces where len(w) > 2),
 f as (select lang, size, p, count(*)::bigint a from each group by all),
 totals as (select lang, sum(a)::bigint n from f where size = 1 group by 1),
 c as (select * from f where size > 1 and a >= {LEAST}),
