@@ -92,6 +92,10 @@ class Vocabulary:
             in_bucket[zlib.crc32(w) % BUCKETS] -= k
         return Vocabulary(words, n, in_bucket)
 
+    def plain(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """What a broadcast holds: lists and arrays alone, which a worker that lacks this package can read."""
+        return self.words, self.n, self.in_bucket
+
     def index(self) -> None:
         """Make what look-ups need, in the process that looks up."""
         self.at = {w: i for i, w in enumerate(self.words)}
@@ -242,7 +246,7 @@ class WindowNetwork:
 
 def fit(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> WindowNetwork:
     """The network trained on all whole texts of ``docs``, each once; null texts are empty, and without words it stays at its start."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary.plain())
     network = WindowNetwork.start(vocabulary)
     held_memory = np.full(network.size(), 1e-8)
     source = needed(docs, text)
@@ -262,7 +266,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int
 
             for batch in batches:
                 if net is None:
-                    vocabulary, net = sent.value, WindowNetwork(values)
+                    vocabulary, net = Vocabulary(*sent.value), WindowNetwork(values)
                     vocabulary.index()
                     flat = memory_.astype(np.float32)
                     memory = net.split(flat)
@@ -290,7 +294,7 @@ def score(docs: DataFrame, network: WindowNetwork, vocabulary: Vocabulary, count
     word that ``counts`` lacks counts as one that stands once.  Without words the sum is 0 and the mean
     is null.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, network.values))  # HEAD words of bounded length and a fixed number of parameters
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary.plain(), network.values))  # HEAD words of bounded length and a fixed number of parameters
     far = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("m", T.IntegerType())]))
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("single", T.LongType()), T.StructField("far", far)])
 
@@ -301,7 +305,8 @@ def score(docs: DataFrame, network: WindowNetwork, vocabulary: Vocabulary, count
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             if model is None:
-                words, values = sent.value
+                plain, values = sent.value
+                words = Vocabulary(*plain)
                 words.index()
                 model = WindowNetwork(values)
             sizes, sums, singles, beyond = [], [], [], []
@@ -337,6 +342,7 @@ def score(docs: DataFrame, network: WindowNetwork, vocabulary: Vocabulary, count
             row += batch.num_rows
 
     rows = store(map_batches(needed(docs, doc_id, text), run, schema), "scored")
+    sent.destroy()
     # the words beyond the head, each of them rarer than those in it
     each = rows.select("row", F.explode("far").alias("x")).select("row", "x.h", "x.m")
     known = counts.select(F.xxhash64("word").alias("h"), "n")
