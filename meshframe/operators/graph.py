@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from meshframe.plans.scratch import keep
+from meshframe.plans.scratch import drop, keep, observed
 
 BASE, DAMPING = 0.15, 0.85
 
@@ -66,3 +68,44 @@ def pagerank_delta(vertices: DataFrame, edges: DataFrame, rounds: int, mode: str
         if n + 1 < rounds and (n + 1) % cut_every == 0:
             state = keep(state, "id")
     return state.select("id", "rank")
+
+
+@dataclass
+class Frontier:
+    """What a loop over an active set gives: the last state, and the active vertices and their messages of each round."""
+
+    state: DataFrame
+    rounds: list[tuple[int, int]] = field(default_factory=list)
+
+
+def pagerank_frontier(vertices: DataFrame, edges: DataFrame, bound: float = 1e-3, most_rounds: int = 100) -> Frontier:
+    """PageRank of the normalized mode by what is still to be passed on (I1, P2, U3); the state is ``id, degree, rank, pending``.
+
+    A vertex begins with the rank 0.15 and the same amount pending.  In a round the vertices with more than
+    ``bound`` pending are active: only they send, 0.85 of it in equal shares, and what arrives adds to rank
+    and pending.  Counts of active vertices and of their messages are observed while a round is
+    written, and no active vertex ends the loop; vertices without out-edges never are.  A rank then lacks
+    what is pending anywhere: all ranks together less than ``bound / 0.15`` a vertex.
+    """
+    degrees = degree(vertices, edges)
+    edges = keep(edges.select("src", "dst"), "src", "frontier-edges")
+    active = (F.col("pending") > bound) & (F.col("degree") > 0)
+
+    def stored(df: DataFrame, old: DataFrame | None) -> tuple[DataFrame, tuple[int, int]]:
+        seen = Observation()
+        counts = [F.count_if(active).alias("vertices"), F.sum(F.when(active, F.col("degree"))).alias("messages")]
+        out = keep(df.observe(seen, *counts), "id", "frontier", instead_of=old)
+        counted = observed(seen)
+        return out, (counted.get("vertices", 0), counted.get("messages", 0))
+
+    state, now = stored(degrees.select("id", "degree", F.lit(BASE).alias("rank"), F.lit(BASE).alias("pending")), None)
+    found = Frontier(state)
+    while now[0] and len(found.rounds) < most_rounds:
+        found.rounds.append(now)
+        arrived = propagate(edges, found.state.where(active), DAMPING * F.col("pending") / F.col("degree"), F.sum, "arrived")
+        got = F.coalesce("arrived", F.lit(0.0))
+        left = F.when(active, F.lit(0.0)).otherwise(F.col("pending")) + got
+        new = found.state.join(arrived, "id", "left").select("id", "degree", (F.col("rank") + got).alias("rank"), left.alias("pending"))
+        found.state, now = stored(new, found.state)
+    drop(edges)
+    return found

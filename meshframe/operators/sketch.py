@@ -1,21 +1,21 @@
 """HyperLogLog counters as sparse rows ``id, reg, rank``, and neighbourhood sizes by their union.
 
 An absent register is rank 0.  The union of counters is a grouped maximum, which combines before the
-shuffle; a counter never has more rows than registers.  Loops hold a counter as one row with a column a
-register, ``id, r0, r1, ...``: a round is one join, where edges and counters lie by the same key, and one
-grouped maximum, which sends one row a target and task.
+shuffle; a counter never has more rows than registers.  Loops hold a counter in rows of 16 registers, and
+send of it what grew in the round before.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meshframe.functions.hashing import with_jenkins64
-from meshframe.plans.scratch import keep
+from meshframe.plans.scratch import drop, keep, observed
 
 # Bias constants by the number of registers.
 ALPHA = {16: 0.673, 32: 0.697, 64: 0.709}
@@ -87,32 +87,82 @@ def estimate(state: DataFrame, p: Parameters) -> DataFrame:
     return found.select("id", _harmonic(F.col("s") + zeros, zeros, p).alias("estimate"))
 
 
+PART = 16  # registers of a row: few enough columns that aggregates over them are compiled
+
+
 def _registers(p: Parameters) -> list[str]:
-    return [f"r{i}" for i in range(p.m)]
+    return [f"r{i}" for i in range(min(PART, p.m))]
 
 
-def wide(vertices: DataFrame, p: Parameters) -> DataFrame:
-    """``id, r0, r1, ...``: the counter of each vertex that holds itself, a column a register."""
+def parted(vertices: DataFrame, p: Parameters) -> DataFrame:
+    """``id, part, r0, r1, ...``: the counter of each vertex that holds itself, in rows of ``PART`` registers; rows of zeros alone are left out but for the one that was set."""
     own = counters(vertices, p)
-    return own.select("id", *[F.when(F.col("reg") == i, F.col("rank")).otherwise(0).cast("tinyint").alias(r) for i, r in enumerate(_registers(p))])
+    wide = _registers(p)
+    at = F.pmod(F.col("reg"), F.lit(len(wide)))
+    return own.select("id", F.floor(F.col("reg") / len(wide)).cast("int").alias("part"), *[F.when(at == i, F.col("rank")).otherwise(0).cast("tinyint").alias(r) for i, r in enumerate(wide)])
 
 
-def wide_estimate(state: DataFrame, p: Parameters) -> DataFrame:
-    """``id, estimate`` of counters in columns."""
-    every = F.array(*_registers(p))
-    found = state.select("id", F.aggregate(every, F.lit(0.0), lambda t, r: t + F.pow(F.lit(2.0), -r)).alias("total"), F.size(F.filter(every, lambda r: r == 0)).alias("zeros"))
-    return found.select("id", _harmonic(F.col("total"), F.col("zeros"), p).alias("estimate"))
+def parted_estimate(state: DataFrame, p: Parameters) -> DataFrame:
+    """``id, estimate`` of counters in parts."""
+    used = sum((F.when(F.col(r) > 0, 1).otherwise(0) for r in _registers(p)), F.lit(0))
+    total = sum((F.when(F.col(r) > 0, F.pow(F.lit(2.0), -F.col(r))).otherwise(0.0) for r in _registers(p)), F.lit(0.0))
+    found = state.groupBy("id").agg(F.sum(total).alias("total"), F.sum(used).alias("used"))
+    zeros = p.m - F.col("used")
+    return found.select("id", _harmonic(F.col("total") + zeros, zeros, p).alias("estimate"))
+
 
+@dataclass
+class Balls:
+    """Counters of what reaches each vertex, in parts with ``grew``, and of each round how many parts grew before it and how many messages they made."""
 
-def reach(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """The edges of a round by source, each once, with one from every vertex to itself: what a counter had stays in it."""
-    every = edges.select("src", "dst").unionByName(vertices.select(F.col("id").alias("src"), F.col("id").alias("dst")))
-    return keep(every.distinct(), "src")  # the union is idempotent: repeated edges add nothing
+    state: DataFrame
+    rounds: list[tuple[int, int]] = field(default_factory=list)
 
 
 def spread(state: DataFrame, edges: DataFrame, p: Parameters) -> DataFrame:
-    """Counters in columns after a round over the edges of :func:`reach`."""
-    return edges.join(state, edges["src"] == state["id"]).groupBy(F.col("dst").alias("id")).agg(*[F.max(r).alias(r) for r in _registers(p)])
+    """Counters in parts after a round in which only parts that grew in the last one are sent.
+
+    A union never shrinks a register, so a part grew if its registers have a larger sum.
+    """
+    wide = _registers(p)
+    sent = edges.join(state.where("grew"), edges["src"] == state["id"]).select(F.col("dst").alias("id"), "part", *wide, F.lit(None).cast("int").alias("before"))
+    level = sum((F.col(r).cast("int") for r in wide), F.lit(0))
+    both = state.select("id", "part", *wide, level.alias("before")).unionByName(sent)
+    new = both.groupBy("id", "part").agg(*[F.max(r).alias(r) for r in wide], F.max("before").alias("before"))
+    return new.select("id", "part", *wide, (level > F.coalesce("before", F.lit(0))).alias("grew"))
+
+
+def balls(vertices: DataFrame, edges: DataFrame, p: Parameters, most_rounds: int | None = None, each_round: Callable[[int, DataFrame], None] | None = None) -> Balls:
+    """Rounds of :func:`spread` until no counter grows, or ``most_rounds``; ``each_round`` gets the state of every round, the first too.
+
+    What grew, and how often it will be sent, is observed while a round is written.
+    """
+    simple = edges.select("src", "dst").distinct()  # the union is idempotent: repeated edges add nothing
+    edges = keep(simple, "src", "ball-edges")
+    out_degree = keep(edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src", "ball-degrees")
+    wide = _registers(p)
+
+    def stored(df: DataFrame, old: DataFrame | None) -> tuple[DataFrame, tuple[int, int]]:
+        seen = Observation()
+        with_out = df.join(out_degree, df["id"] == out_degree["src"], "left").select(*df.columns, F.coalesce("out", F.lit(0)).alias("out"))
+        goes = F.col("grew") & (F.col("out") > 0)
+        seen_of = with_out.observe(seen, F.count_if(goes).alias("parts"), F.sum(F.when(goes, F.col("out"))).alias("messages"))
+        kept = keep(seen_of, "id", "balls", instead_of=old)
+        counted = observed(seen)
+        return kept, (counted.get("parts", 0), counted.get("messages", 0))
+
+    first = parted(vertices, p)
+    state, now = stored(first.withColumn("grew", sum((F.col(r).cast("int") for r in wide), F.lit(0)) > 0), None)
+    found = Balls(state)
+    if each_round:
+        each_round(0, found.state)
+    while now[0] and (most_rounds is None or len(found.rounds) < most_rounds):
+        found.rounds.append(now)
+        found.state, now = stored(spread(found.state.drop("out"), edges, p), found.state)
+        if each_round:
+            each_round(len(found.rounds), found.state)
+    drop(edges, out_degree)
+    return found
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -121,27 +171,26 @@ def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(before, ["id", "reg"], "left").groupBy("id").agg(F.bool_or(F.col("rank") > F.coalesce("_old", F.lit(0))).alias("changed"))
 
 
-def hyperanf(vertices: DataFrame, edges: DataFrame, rounds: int, rsd: float = 0.1, cut_every: int = 4) -> DataFrame:
-    """``id, estimate`` of how many vertices reach each in at most ``rounds`` steps, itself included."""
+def hyperanf(vertices: DataFrame, edges: DataFrame, rounds: int | None, rsd: float = 0.1) -> DataFrame:
+    """``id, estimate`` of how many vertices reach each in at most ``rounds`` steps, itself included (I2, P6); without a number, in any.
+
+    A round sends only what grew in the last one, and the loop ends when nothing did.
+    """
     p = Parameters(rsd)
-    state = wide(vertices, p)
-    edges = reach(vertices, edges) if rounds else edges
-    for n in range(rounds):
-        state = spread(state, edges, p)
-        if n + 1 < rounds and (n + 1) % cut_every == 0:
-            state = keep(state, "id")
-    return wide_estimate(state, p)
+    return parted_estimate(balls(vertices, edges, p, rounds).state, p)
 
 
 def neighbourhood_function(vertices: DataFrame, edges: DataFrame, rounds: int, rsd: float = 0.1) -> DataFrame:
-    """``t, pairs``: the estimated number of pairs within ``t`` steps, for ``t`` from 0 to ``rounds``; estimates count to four digits."""
+    """``t, pairs``: the estimated number of pairs within ``t`` steps, for ``t`` from 0 to ``rounds``; estimates count to four digits.
+
+    Rounds after the last in which a counter grew repeat its number.
+    """
     p = Parameters(rsd)
-    state = keep(wide(vertices, p), "id")
-    edges = reach(vertices, edges) if rounds else edges
-    out = None
-    for t in range(rounds + 1):
-        row = wide_estimate(state, p).agg(F.lit(t).alias("t"), F.sum(F.round("estimate", 4)).alias("pairs"))
-        out = row if out is None else out.unionByName(row)
-        if t < rounds:
-            state = keep(spread(state, edges, p), "id")
-    return out
+    pairs: list[float | None] = []
+
+    def add(t: int, state: DataFrame) -> None:
+        pairs.append(parted_estimate(state, p).agg(F.sum(F.round("estimate", 4))).first()[0])
+
+    balls(vertices, edges, p, rounds, add)
+    pairs += pairs[-1:] * (rounds + 1 - len(pairs))
+    return vertices.sparkSession.createDataFrame(list(enumerate(pairs)), "t int, pairs double")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.functions.hashing import GOLDEN, SEED, SHIFTS, with_jenkins64
-from meshframe.operators import cluster, graph, grid, image, layout, linalg, sketch, solver
+from meshframe.operators import cluster, edgegrid, graph, grid, image, layout, linalg, sketch, solver
 from meshframe.plans.scratch import cut, new_path
 from meshframe.sources import bmp, derive, errors, records
 from meshframe.streaming import degrees
@@ -123,13 +123,57 @@ def vertex_persist(spark: SparkSession, d: str) -> DataFrame:
     return cut(graph_out_degree(spark, d), "vertex-vector")
 
 
+@query(_with("part_edges", select="select src id, count(*)::bigint edges, true even from part_edges group by 1"))
+def edge_grid_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of each source as the blocks of the grid hold them, and whether no block has over twice the edges of the middle one."""
+    g = edgegrid.grid(derive.part_edges(spark, d), 16)
+    even = edgegrid.block_table(g).agg((F.max("edges") <= 2 * F.median("edges")).alias("even"))
+    return g.edges.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("edges")).crossJoin(F.broadcast(even))  # one row
+
+
+@query(_pagerank_sql("part_vertices", "part_edges", 3, "normalized", _RANKS))
+def pagerank_grid_3(spark: SparkSession, d: str) -> DataFrame:
+    """PageRank over the blocks of the grid."""
+    return _rounded(edgegrid.pagerank(derive.part_vertices(spark, d), derive.part_edges(spark, d), 3, 16), "rank")
+
+
+FRONTIER_BOUND, FRONTIER_ROUNDS = 0.1, 6
+
+
+def _frontier_sql() -> list[str]:
+    v, e = "part_vertices", "part_edges"
+    active = f"pending > {FRONTIER_BOUND!r}::double and degree > 0"
+    out = [e, v, _DEGREE.format(v=v, e=e, side="src"), "s0 as (select id, degree, 0.15e0 rank, 0.15e0 pending from degree)"]
+    for n in range(1, FRONTIER_ROUNDS + 1):
+        out.append(f"a{n} as (select * from s{n - 1} where {active})")
+        out.append(f"m{n} as (select dst id, sum(0.85e0 * pending / degree) got from {e} join a{n} on src = id group by 1)")
+        out.append(f"s{n} as (select id, degree, rank + coalesce(got, 0) rank, case when {active} then 0 else pending end + coalesce(got, 0) pending from s{n - 1} left join m{n} using (id))")
+    return out
+
+
+def _frontier(spark: SparkSession, d: str) -> graph.Frontier:
+    return graph.pagerank_frontier(derive.part_vertices(spark, d), derive.part_edges(spark, d), FRONTIER_BOUND, FRONTIER_ROUNDS)
+
+
+@query(_with(*_frontier_sql(), select=f"select id, round(rank, 6) rank, round(pending, 6) pending from s{FRONTIER_ROUNDS}"))
+def pagerank_frontier(spark: SparkSession, d: str) -> DataFrame:
+    """Only vertices with enough to pass on send."""
+    return _rounded(_frontier(spark, d).state.select("id", "rank", "pending"), "rank", "pending")
+
+
+@query(_with(*_frontier_sql(), select=" union all ".join(f"select {n} round, count(*)::bigint vertices, sum(degree)::bigint messages from a{n}" for n in range(1, FRONTIER_ROUNDS + 1))))
+def frontier_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """What is observed of the rounds: active vertices and their messages."""
+    return spark.createDataFrame([(n, *x) for n, x in enumerate(_frontier(spark, d).rounds, 1)], "round int, vertices bigint, messages bigint")
+
+
 # ---- sketches
 
 _M = 1 << 64
 PARAMETERS = sketch.Parameters(0.1)
 
 
-def _mix_sql(source: str, column: str = "id") -> list[str]:
+def mix_sql(source: str, column: str = "id") -> list[str]:
     """CTEs that end in ``mixed`` with ``id, h`` (unsigned)."""
     out = [f"mix0 as (select {column} id, ({SEED}::hugeint + {column}) % {_M}::hugeint a, {SEED}::hugeint b, {GOLDEN}::hugeint c from {source})"]
     for n, by in enumerate(SHIFTS):
@@ -159,19 +203,19 @@ def _estimate_sql(state: str) -> str:
 
 
 def _anf_sql(v: str, e: str, rounds: int) -> list[str]:
-    out = [e, v, *_mix_sql(v), *_COUNTERS, f"simple as (select distinct src, dst from {e})"]
+    out = [e, v, *mix_sql(v), *_COUNTERS, f"simple as (select distinct src, dst from {e})"]
     for n in range(1, rounds + 1):
         out.append(f"r{n} as (select id, reg, max(rank) rank from (select * from r{n - 1} union all select dst, reg, rank from simple join r{n - 1} on src = id) group by 1, 2)")
     return out
 
 
-@query(_with("part_vertices", *_mix_sql("part_vertices"), *_COUNTERS, select=f"select id, {_SIGNED} h, reg, rank from low join r0 using (id, reg)"))
+@query(_with("part_vertices", *mix_sql("part_vertices"), *_COUNTERS, select=f"select id, {_SIGNED} h, reg, rank from low join r0 using (id, reg)"))
 def jenkins_hash(spark: SparkSession, d: str) -> DataFrame:
     hashed = with_jenkins64(derive.part_vertices(spark, d), "id", "h")
     return hashed.select("id", "h", sketch.register(F.col("h"), PARAMETERS).alias("reg"), sketch.first_set(F.col("h"), PARAMETERS).alias("rank"))
 
 
-@query(_with("part_vertices", *_mix_sql("part_vertices"), *_COUNTERS, select="select id, reg, rank from r0"))
+@query(_with("part_vertices", *mix_sql("part_vertices"), *_COUNTERS, select="select id, reg, rank from r0"))
 def hll_register_init(spark: SparkSession, d: str) -> DataFrame:
     return sketch.counters(derive.part_vertices(spark, d), PARAMETERS)
 
@@ -182,7 +226,7 @@ def hll_union_by_source(spark: SparkSession, d: str) -> DataFrame:
     return sketch.union(state, sketch.sent(derive.part_edges(spark, d), state))
 
 
-@query(_with("part_vertices", *_mix_sql("part_vertices"), *_COUNTERS, "whole as (select 0::bigint id, reg, max(rank) rank from r0 group by reg)", select=_estimate_sql("whole")))
+@query(_with("part_vertices", *mix_sql("part_vertices"), *_COUNTERS, "whole as (select 0::bigint id, reg, max(rank) rank from r0 group by reg)", select=_estimate_sql("whole")))
 def hll_estimate(spark: SparkSession, d: str) -> DataFrame:
     """All parts in one counter."""
     state = sketch.counters(derive.part_vertices(spark, d), PARAMETERS).withColumn("id", F.lit(0).cast("bigint"))
@@ -199,6 +243,28 @@ def hyperanf_2(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(sketch.hyperanf(derive.part_vertices(spark, d), derive.part_edges(spark, d), 2), "estimate", digits=4)
 
 
+_FIXED_AFTER = 8
+
+
+@query(_with(*_anf_sql("user_vertices", "user_edges", _FIXED_AFTER), select=_estimate_sql(f"r{_FIXED_AFTER}")))
+def hyperanf_fixpoint(spark: SparkSession, d: str) -> DataFrame:
+    """Rounds until no counter grows; on these tables that is before the rounds of the SQL end."""
+    return _rounded(sketch.hyperanf(derive.user_vertices(spark, d), derive.user_edges(spark, d), None), "estimate", digits=4)
+
+
+def _grown_sql(n: int) -> str:
+    part = f"select id, reg // {sketch.PART} part from r{n}"
+    grown = part + " where rank > 0" if n == 0 else f"{part} left join (select id, reg, rank old from r{n - 1}) using (id, reg) where rank > coalesce(old, 0)"
+    return f"select {n + 1} round, count(*)::bigint parts, coalesce(sum(n), 0)::bigint messages from (select distinct id, part from ({grown})) join (select src id, count(*) n from simple group by 1) using (id)"
+
+
+@query(_with(*_anf_sql("part_vertices", "part_edges", 2), select=" union all ".join(map(_grown_sql, range(2)))))
+def hyperanf_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of counters that are sent in each of two rounds, and the messages they make."""
+    found = sketch.balls(derive.part_vertices(spark, d), derive.part_edges(spark, d), PARAMETERS, 2)
+    return spark.createDataFrame([(n, *x) for n, x in enumerate(found.rounds, 1)], "round int, parts bigint, messages bigint")
+
+
 @query(_with(*_anf_sql("user_vertices", "user_edges", 2), select="select id, bool_or(r2.rank > coalesce(r1.rank, 0)) changed from r2 left join r1 using (id, reg) group by 1"))
 def hll_change_flag(spark: SparkSession, d: str) -> DataFrame:
     """Which counters grew in the second round."""

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 _own: list[str] = []
 _made: list[tuple[SparkSession, str]] = []
@@ -35,6 +36,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def job_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder that stays."""
+    return f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm or spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -74,16 +80,40 @@ def release(*tables: DataFrame | None) -> None:
             _remove(x.sparkSession, x._scratch_path)
 
 
-def keep(df: DataFrame, key: str, what: str = "kept") -> DataFrame:
-    """``df`` as a table in the shared folder whose buckets are those of a shuffle by ``key``.
+def keep(df: DataFrame, key: str | list[str], what: str = "kept", instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder whose buckets are those of a shuffle by ``key``, a column or several.
 
-    A join or an aggregation by ``key`` reads it where it lies, however many jobs follow.  The table's
-    entry in the catalog goes when this process ends, as its files do.
+    A join or an aggregation by ``key`` reads it where it lies, however many jobs follow.  ``instead_of``
+    is an older result of this function that nothing but ``df`` still reads; it goes, entry and files.  The
+    entries of others go when this process ends, as their files do.
     """
     spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else key
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = new_path(spark, what)
     name = "meshframe_" + path.rsplit("-", 1)[-1]
     _tables.append((spark, name))
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out._scratch_path, out._scratch_table = path, name
+    drop(instead_of)
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete results of :func:`keep` that nothing reads any more."""
+    for x in tables:
+        if x is not None:
+            x.sparkSession.sql(f"drop table if exists {x._scratch_table}")
+            release(x)
+
+
+def observed(seen: Observation) -> dict[str, int]:
+    """The counts of an observation whose frame was written; a sum over no rows is 0.
+
+    A frame that is empty by plan has no counters, for which there is no other sign than a failing read.
+    """
+    try:
+        return {k: v or 0 for k, v in seen.get.items()}
+    except Py4JJavaError:
+        return {}
