@@ -44,6 +44,15 @@ class Parameters:
         return self.alpha_mm / (5 * self.m / 2)
 
 
+def with_parameters(df: DataFrame, rsd: str = "rsd") -> DataFrame:
+    """``df`` with ``m, alpha_mm, threshold`` for a column of deviations, as :class:`Parameters` has them (P25)."""
+    m = F.pow(F.lit(2), F.ceil(F.log2(F.pow(1.106 / F.col(rsd), F.lit(2))))).cast("int")
+    alpha = 0.7213 / (1 + 1.079 / F.col("m"))
+    for size, fixed in ALPHA.items():
+        alpha = F.when(F.col("m") == size, F.lit(fixed)).otherwise(alpha)
+    return df.withColumn("m", m).withColumn("alpha_mm", alpha * F.col("m") * F.col("m")).withColumn("threshold", F.col("alpha_mm") / (5 * F.col("m") / 2))
+
+
 def register(h: Column, p: Parameters) -> Column:
     return h.bitwiseAND(F.lit(p.m - 1).cast("bigint")).cast("int")
 

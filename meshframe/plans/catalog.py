@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.functions.hashing import GOLDEN, SEED, SHIFTS, with_jenkins64
 from meshframe.operators import cluster, edgegrid, graph, grid, image, layout, linalg, sketch, solver
 from meshframe.plans.scratch import cut, new_path
-from meshframe.sources import bmp, derive, errors, records
+from meshframe.sources import bmp, cells, derive, errors, records
 from meshframe.streaming import degrees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -282,10 +281,15 @@ def approx_distinct_builtin(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "exact", near("s", 0.1).alias("sketch_near"), near("b", 0.3).alias("builtin_near"))
 
 
-@query("select rsd, m::int m, round(alpha * m * m, 6) alpha_mm, round(alpha * m * m / (5 * m / 2e0), 6) threshold from (select rsd, m, 0.7213e0 / (1 + 1.079e0 / m) alpha from (values (0.4e0, 8), (0.1e0, 128)) t(rsd, m) union all select 0.2e0, 32, 0.697e0)")
+@query(
+    "with r as (select s_suppkey id, 0.04e0 + (s_suppkey % 37) / 100e0 rsd from supplier), p as (select id, rsd, pow(2, ceil(log2(pow(1.106e0 / rsd, 2))))::int m from r), "
+    "a as (select *, case m when 16 then 0.673e0 when 32 then 0.697e0 when 64 then 0.709e0 else 0.7213e0 / (1 + 1.079e0 / m) end * m * m alpha_mm from p) "
+    "select id, round(rsd, 6) rsd, m, round(alpha_mm, 6) alpha_mm, round(alpha_mm / (5 * m / 2e0), 6) threshold from a"
+)
 def hll_parameters(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(p.rsd, p.m, p.alpha_mm, p.threshold) for p in map(sketch.Parameters, (0.4, 0.2, 0.1))]
-    return _rounded(spark.createDataFrame(rows, "rsd double, m int, alpha_mm double, threshold double"), "alpha_mm", "threshold")
+    """The sketch that each supplier's deviation asks for."""
+    asked = derive.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (0.04 + F.col("s_suppkey") % 37 / 100.0).alias("rsd"))
+    return _rounded(sketch.with_parameters(asked), "rsd", "alpha_mm", "threshold")
 
 
 @query(_with(*_anf_sql("user_vertices", "user_edges", 2), *[f"e{t} as ({_estimate_sql(f'r{t}')})" for t in range(3)], select=" union all ".join(f"select {t} t, round(sum(estimate), 4) pairs from e{t}" for t in range(3))))
@@ -315,9 +319,10 @@ def grid_build(spark: SparkSession, d: str) -> DataFrame:
     return derive.grid(spark, d).select("i", "j", "k", "v")
 
 
-@query("select i, j, k, ((31 * i + 7 * j + k) % 100)::double v from range(20) x(i), range(10) y(j), range(10) z(k)")
+@query(_with("grid", _SHAPE, select="select x.i, j, k, ((31 * x.i + 7 * j + k) % 100)::double v from (select unnest(range(nx)) i from shape) x, range(5) y(j), range(5) z(k)"))
 def grid_generate(spark: SparkSession, d: str) -> DataFrame:
-    return grid.generate(spark, (20, 10, 10))
+    """A grid of the shape of that of the table."""
+    return grid.generate(spark, derive.grid_shape(spark, d))
 
 
 def _stencil(name: str, steps: int) -> None:
@@ -375,12 +380,16 @@ def layout_choose(spark: SparkSession, d: str) -> DataFrame:
     return layout.choose(_requests(spark, d))
 
 
-@query("select * from (values (1200, 60, 60, 8, 1, 1), (1200, 1200, 1200, 2, 2, 2), (1200, 1200, 100, 2, 4, 1)) t(nx, ny, nz, xp, yp, zp)")
+_CUSTOMER_GRIDS = "requests as (select c_nationkey::int request, (20 * count(*))::bigint nx, (60 * count(distinct c_mktsegment))::bigint ny, greatest(1, max(c_acctbal)::bigint // 100)::bigint nz, 8::bigint nodes, 100::bigint steps from customer group by 1)"
+
+
+@query(_with(_CUSTOMER_GRIDS, _LAYOUTS, "best as (select *, row_number() over (partition by request order by used desc, cost, xp, yp) rn from layouts where feasible)", select="select r.nx, r.ny, r.nz, coalesce(xp, 1)::int xp, coalesce(yp, 1)::int yp, coalesce(zp, 1)::int zp, request from requests r left join (select request, xp, yp, zp from best where rn = 1) using (request)"))
 def layout_published(spark: SparkSession, d: str) -> DataFrame:
-    """The three layouts that are published for 8 nodes."""
-    rows = [(n, *shape, 8, 100) for n, shape in enumerate([(1200, 60, 60), (1200, 1200, 1200), (1200, 1200, 100)])]
-    asked = spark.createDataFrame(rows, "request int, nx int, ny int, nz int, nodes int, steps int")
-    return layout.choose(asked).join(asked, "request").select("nx", "ny", "nz", *[F.col(c).cast("int").alias(c) for c in ("xp", "yp", "zp")])
+    """Layouts of grids as large as the customers of each nation, for the 8 nodes of the published layouts."""
+    c = derive.table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("int").alias("request"))
+    asked = c.agg((20 * F.count(F.lit(1))).alias("nx"), (60 * F.count_distinct("c_mktsegment")).alias("ny"), F.greatest(F.lit(1), F.floor(F.round(F.max("c_acctbal")) / 100)).cast("bigint").alias("nz"))
+    asked = asked.withColumns({"nodes": F.lit(8), "steps": F.lit(100)})
+    return layout.choose(asked).join(asked, "request").select("nx", "ny", "nz", *[F.col(c).cast("int").alias(c) for c in ("xp", "yp", "zp")], "request")
 
 
 LAYOUT = (4, 2, 1)
@@ -777,6 +786,14 @@ def vector_records_etl(spark: SparkSession, d: str) -> DataFrame:
     return records.vector_records(spark, path).select(*[F.col(c).cast("bigint").alias(c) for c in "ijk"], "val")
 
 
+@query(_with("grid", select="select i, j, k, v val from grid where i between 2 and 5 and j between 1 and 3"))
+def cell_block_read(spark: SparkSession, d: str) -> DataFrame:
+    """A block of headerless files of doubles by seeks (S14): the range is the feature."""
+    path, shape = new_path(spark, "cells"), derive.grid_shape(spark, d)
+    cells.write(derive.grid(spark, d).select("i", "j", "k", F.col("v").alias("val")), path, shape=shape)
+    return cells.read(spark, path, shape=shape, i=(2, 6), j=(1, 4)).select(*[F.col(c).cast("bigint").alias(c) for c in "ijk"], "val")
+
+
 TILE = 40
 
 
@@ -789,18 +806,29 @@ def bmp_scan(spark: SparkSession, d: str) -> DataFrame:
     return bmp.scan(spark, path).select((tile * TILE + F.col("x")).alias("x"), "y", "argb")
 
 
-@query("""select * from (values ('bits', 4, 2, 16, 'bits a pixel'), ('compressed', 4, 2, 24, 'compressed'), ('good24', 4, 2, 24, null), ('good32', 4, 2, 32, null), ('information', 4, 2, 24, 'short information header'),
-('magic', 4, 2, 24, 'not a bitmap'), ('offset', 4, 2, 24, 'offset of pixels'), ('planes', 4, 2, 24, 'planes'), ('short', 0, 0, 0, 'short file'), ('size', 0, 2, 24, 'size')) t(name, width, height, bits, problem)""")
+# rule, place in the header, bytes that break it; the first two tiles of ten are whole
+_BROKEN = [("not a bitmap", 0, b"MB"), ("offset of pixels", 10, b"\x37"), ("short information header", 14, b"\x0c"), ("size", 18, b"\0"), ("planes", 26, b"\2"), ("bits a pixel", 28, b"\x10"), ("compressed", 30, b"\1")]
+_HEADER_TILE = 5
+_PROBLEM = " ".join(f"when {n} then '{rule}'" for n, (rule, *_) in enumerate(_BROKEN, 2))
+
+
+@query(
+    _with(
+        "pixels",
+        f"t as (select x // {_HEADER_TILE} tile, max(x) - (x // {_HEADER_TILE}) * {_HEADER_TILE} + 1 w from pixels group by 1)",
+        select=f"select tile, case when tile % 10 in (5, 9) then 0 else w end::int width, case when tile % 10 = 9 then 0 else {derive.IMAGE_HEIGHT} end::int height, case tile % 10 when 7 then 16 when 9 then 0 else 24 + 8 * (tile % 2) end::int bits, case tile % 10 {_PROBLEM} when 9 then 'short file' end problem from t",
+    )
+)
 def bmp_headers(spark: SparkSession, d: str) -> DataFrame:
-    """Files that keep the rules of the format, and one that breaks each."""
-    good = {n: bmp.encode(np.arange(8, dtype=np.int64).reshape(2, 4), n) for n in (24, 32)}
-    # rule, place in the header, bytes
-    wrong = [("magic", 0, b"MB"), ("offset", 10, b"\x37"), ("information", 14, b"\x0c"), ("size", 18, b"\0"), ("planes", 26, b"\2"), ("bits", 28, b"\x10"), ("compressed", 30, b"\1")]
-    files = {"good24": good[24], "good32": good[32], "short": good[24][:30]} | {k: good[24][:at] + b + good[24][at + len(b) :] for k, at, b in wrong}
-    path = new_path(spark, "headers")
-    for name, content in files.items():
-        records.write_file(spark, f"{path}/{name}.bmp", [content])
-    return bmp.headers(spark, path).select(F.regexp_extract("path", r"(\w+)\.bmp$", 1).alias("name"), "width", "height", "bits", "problem")
+    """Tiles of the image as files; of ten, two keep the rules of the format, one is cut short, and each other breaks one rule."""
+    path, content = new_path(spark, "headers"), F.col("content")
+    damaged = F.when(F.col("tile") % 10 == 9, F.substring(content, 1, 30))
+    for n, (_, at, wrong) in enumerate(_BROKEN, 2):
+        damaged = damaged.when(F.col("tile") % 10 == n, F.concat(F.substring(content, 1, at), F.lit(wrong), F.substring(content, at + len(wrong) + 1, 1 << 30)))
+    tiles = bmp.tiles(derive.pixels(spark, d), _HEADER_TILE, derive.IMAGE_HEIGHT, lambda t: 32 if t % 2 else 24)
+    bmp.write(tiles.select("tile", damaged.otherwise(content).alias("content")), path)
+    tile = F.regexp_extract("path", r"(\d+)\.bmp$", 1).cast("bigint")
+    return bmp.headers(spark, path).select(tile.alias("tile"), "width", "height", "bits", "problem")
 
 
 @query("select user_id, count(*)::bigint events, round(sum(value), 4) total from events group by 1")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.sources.records import write_file
+from meshframe.sources.cells import write_named
 
 MAGIC, HEADERS = 0x4D42, 14 + 40
 STRIP_PIXELS = 1 << 18
@@ -96,6 +96,5 @@ def tiles(pixels: DataFrame, tile_width: int, height: int, bits) -> DataFrame:
 
 
 def write(files: DataFrame, folder: str) -> None:
-    """A file ``<tile>.bmp`` in ``folder`` for each row."""
-    for r in files.toLocalIterator():
-        write_file(files.sparkSession, f"{folder}/{r['tile']}.bmp", [bytes(r["content"])])
+    """A file ``<tile>.bmp`` in ``folder`` for each row, written by tasks."""
+    write_named(files.select(F.concat(F.col("tile").cast("string"), F.lit(".bmp")).alias("name"), "content"), folder)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COEFFICIENTS = 19
+from meshframe.sources import cells
+from meshframe.sources.cells import COEFFICIENTS
 
 
 def coefficient_text(spark: SparkSession, path: str) -> DataFrame:
@@ -33,54 +31,24 @@ def write_vector_text(vector: DataFrame, path: str) -> None:
     vector.select(F.concat_ws(" ", "i", "j", "k", "val")).write.text(path)
 
 
-def _records(spark: SparkSession, path: str, form: str, schema: str, build) -> DataFrame:  # noqa: ANN001
-    # Spark has no DataFrame reader for records without a header: fixed-length splits are an RDD source
-    rows = spark.sparkContext.binaryRecords(path, struct.calcsize(form)).map(lambda b: build(struct.unpack(form, b)))
-    return spark.createDataFrame(rows, schema)
-
-
-CHUNK = 1 << 20
-
-
-def write_file(spark: SparkSession, path: str, pieces: Iterable[bytes]) -> None:
-    """One file of any file system that Spark knows, streamed through the driver in pieces of about ``CHUNK``."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
-    held = bytearray()
-    try:
-        for x in pieces:
-            held += x
-            if len(held) >= CHUNK:
-                out.write(bytes(held))
-                held.clear()
-        out.write(bytes(held))
-    finally:
-        out.close()
-
-
-COEFFICIENT_RECORD, VECTOR_RECORD = f"<iii4x{COEFFICIENTS}d", "<iii4xd"
-
-
 def write_coefficient_records(coef: DataFrame, path: str) -> None:
-    """``i, j, k, coef`` as records in the order of the frame, as a program that dumps its array does."""
-    rows = coef.select("i", "j", "k", "coef").toLocalIterator(prefetchPartitions=True)
-    write_file(coef.sparkSession, path, (struct.pack(COEFFICIENT_RECORD, *r[:3], *r[3]) for r in rows))
+    """``i, j, k, coef`` as a folder of files of records, in any order."""
+    cells.write(coef, path, COEFFICIENTS, headed=True)
 
 
 def write_vector_records(vector: DataFrame, path: str) -> None:
-    """``i, j, k, val`` as records in the order of the frame."""
-    rows = vector.select("i", "j", "k", "val").toLocalIterator(prefetchPartitions=True)
-    write_file(vector.sparkSession, path, (struct.pack(VECTOR_RECORD, *r) for r in rows))
+    """``i, j, k, val`` as a folder of files of records."""
+    cells.write(vector, path, headed=True)
 
 
 def coefficient_records(spark: SparkSession, path: str) -> DataFrame:
     """``i, j, k, coef`` of 168-byte records: three ints, padding, 19 doubles."""
-    return _records(spark, path, COEFFICIENT_RECORD, "i int, j int, k int, coef array<double>", lambda t: (*t[:3], list(t[3:])))
+    return cells.read(spark, path, COEFFICIENTS, headed=True)
 
 
 def vector_records(spark: SparkSession, path: str) -> DataFrame:
     """``i, j, k, val`` of 24-byte records: three ints, padding, a double."""
-    return _records(spark, path, VECTOR_RECORD, "i int, j int, k int, val double", tuple)
+    return cells.read(spark, path, headed=True)
 
 
 def block(df: DataFrame, i: tuple[int, int], j: tuple[int, int]) -> DataFrame:
