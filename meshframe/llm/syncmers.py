@@ -114,7 +114,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(joint == 0, F.lit(1.0)).otherwise(common / joint).cast("double")
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PER_RANGE, derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PER_RANGE, derive: Callable[[DataFrame], DataFrame] = lambda df: df, row: Column | None = None) -> DataFrame:
     """``derive`` of ``doc_id, text`` with ``next_<column>`` for ``columns``: those of the next document in descending ``doc_id``.
 
     The next of the last is the first.  Null ids come last; rows of one id have some order among them.
@@ -123,7 +123,11 @@ def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PE
     has a range of its own, which is dealt to several by salt, as null ids are.  There are
     ``MOST_RANGES`` ranges at most, so that their first rows can be broadcast.  ``derive`` adds columns
     after rows are dealt, and for those first rows anew.
+
+    The table is read twice, and ``row`` is a number that a row has in both, whatever tasks read it; without
+    it, rows are numbered by task, which takes a source that is split alike each time.
     """
+    numbered = docs.select("doc_id", "text", (F.monotonically_increasing_id() if row is None else row).alias("_row"))
     docs = needed(docs, "doc_id", "text")
     n, low, top = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     ranges = min(MOST_RANGES, max(1, math.ceil(n / rows_per_range)))
@@ -140,7 +144,7 @@ def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PE
     # binary search of the id among the cuts, from the largest step down
     steps = F.array(*[F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)]) if cuts else F.array().cast("array<int>")
     place = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= len(cuts)) & (F.get(held, p + s - 1) <= F.col("doc_id")), p + s).otherwise(p))
-    ranged = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_cut", place)
+    ranged = numbered.withColumn("_cut", place)
     # equal shares of the way from cut to cut, which keep the order whatever ids there are
     least = F.coalesce(F.get(held, F.col("_cut") - 1), F.lit(low)).cast("double")
     most = F.coalesce(F.get(held, F.col("_cut")), F.lit(top)).cast("double")
@@ -160,7 +164,7 @@ def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PE
     ends = first.agg(F.min(F.struct(*key)).alias("e")).first()["e"]
     last = F.struct(F.lit(ends["_range"] if ends else None).cast("bigint").alias("_range"), F.lit(ends["_salt"] if ends else None).cast("bigint").alias("_salt"))
     bounds = first.select(F.coalesce(F.lead(F.struct(*[F.col(k).cast("bigint").alias(k) for k in key])).over(below), last).alias("_for"), "_row")
-    heads = docs.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(bounds), "_row").drop("_row")
+    heads = numbered.join(F.broadcast(bounds), "_row").drop("_row")
     heads = derive(heads).select(F.col("_for._range").alias("_range"), F.col("_for._salt").alias("_salt"), *[F.col(c).alias(f"_head_{c}") for c in columns])
 
     window = Window.partitionBy(*key).orderBy(F.col("doc_id").desc_nulls_last(), F.col("_row").desc())
@@ -180,8 +184,10 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     other in some order.  One row alone is its own next.  Extra columns are left behind; an empty table
     gives no rows.
     """
-    docs = needed(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    both = with_next(docs, ["text", "anchors"], derive=lambda df: with_anchors(df, "text", "anchors"))
+    docs = table(spark, sf_dir, "documents")
+    file = docs.metadataColumn("_metadata")  # also where a column of the table has that name
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(file["file_path"], file["row_index"]).alias("place"))
+    both = with_next(docs, ["text", "anchors"], derive=lambda df: with_anchors(df, "text", "anchors"), row=F.col("place"))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     both = both.withColumn("n_chars", n.cast("bigint")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     both = with_anchors(both, "edited", "edited_anchors")

@@ -26,3 +26,18 @@ def test_bare_workers(sf, tmp_path):
     ran = [x.split()[1] for x in done.stdout.splitlines() if x.startswith("ran ")]
     assert done.returncode == 0, f"after {ran}: {done.stderr[-2000:]}"
     assert len(ran) == 12
+
+
+def test_next_texts_over_other_splits(spark, sf, odd):
+    """op4 numbers rows by their place in files, so a table that is split otherwise gives the same."""
+    from meshframe.llm import syncmers
+
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    rows = lambda path: sorted(map(repr, syncmers.op4_syncmers(spark, path).collect()))
+    whole = [rows(p) for p in (sf, odd)]
+    spark.conf.set(key, "20k")
+    try:
+        assert [rows(p) for p in (sf, odd)] == whole
+    finally:
+        spark.conf.set(key, before)
