@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meshframe.operators import linalg
-from meshframe.plans.scratch import cut, keep
+from meshframe.plans.scratch import cut, drop, keep, observed, release
 
 TOLERANCE, MOST_STEPS, RESTART = 6.7247278541769e-05, 30, 5
+CANCELLED = 1e-4  # share of a product beyond which its sum of parts is not trusted
 
 
 class Block:
@@ -35,13 +36,15 @@ class Block:
         self.lacking = self.key[self.diagonal] != own
 
     def levels(self, upper: bool = False) -> np.ndarray:
-        """Rows of one level need only rows of lower levels: those left of the diagonal, or right of it."""
+        """Rows of one level need only rows of lower levels: those left of the diagonal, or right of it.
+
+        All entries push their rows up at once until none moves, as often as there are levels.
+        """
+        side = self.col > self.row if upper else self.col < self.row
+        row, col = self.row[side], self.col[side]
         level = np.zeros(self.n, np.int64)
-        for i in reversed(range(self.n)) if upper else range(self.n):
-            near = self.col[self.ptr[i] : self.ptr[i + 1]]
-            near = near[near > i] if upper else near[near < i]
-            if len(near):
-                level[i] = level[near].max() + 1
+        while len(low := np.flatnonzero(level[row] <= level[col])):
+            np.maximum.at(level, row[low], level[col[low]] + 1)
         return level
 
     def need_pivots(self, rows: np.ndarray) -> None:
@@ -75,13 +78,12 @@ class Block:
             x, y = np.searchsorted(p, (a, b))
             self.val[t[x:y]] -= self.val[lower[p[x:y]]] * self.val[q[x:y]]
 
-    def solve(self, x: np.ndarray) -> np.ndarray:
-        """The vector through the lower and then the upper factor."""
+    def solve(self, x: np.ndarray, levels: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The vector through the lower and then the upper factor, by the levels of the rows in each."""
         x = x.astype(float)
         self.need_pivots(np.arange(self.n))
-        for upper in (False, True):
+        for upper, level in zip((False, True), levels, strict=True):
             side = np.flatnonzero(self.col > self.row if upper else self.col < self.row)
-            level = self.levels(upper)
             side = side[np.argsort(level[self.row[side]], kind="stable")]
             rows = np.argsort(level, kind="stable")
             for k in range(int(level.max(initial=-1)) + 1):
@@ -99,9 +101,10 @@ def _block(table: pa.Table) -> Block:
 
 
 def ilu0(matrix: DataFrame, block_rows: int) -> DataFrame:
-    """``block, row, col, val``: unit-lower and upper factors on the pattern of each diagonal block.
+    """``block, row, col, val, low, up``: unit-lower and upper factors on the pattern of each diagonal block.
 
-    Repeated entries add up.  A row that is eliminated with and whose diagonal entry is absent or
+    ``low`` and ``up`` are the levels of an entry's row in the solves with the lower and the upper factor,
+    found once here.  Repeated entries add up.  A row that is eliminated with and whose diagonal entry is absent or
     becomes zero is an error that names it.
     """
     block = F.floor(F.col("row") / block_rows)
@@ -110,9 +113,10 @@ def ilu0(matrix: DataFrame, block_rows: int) -> DataFrame:
     def factor(table: pa.Table) -> pa.Table:
         b = _block(table)
         b.factor()
-        return pa.table({"block": pa.array(np.full(len(b.val), table.column("block")[0].as_py()), pa.int64()), "row": b.names[b.row], "col": b.names[b.col], "val": b.val})
+        place = {"block": pa.array(np.full(len(b.val), table.column("block")[0].as_py()), pa.int64()), "row": b.names[b.row], "col": b.names[b.col]}
+        return pa.table(place | {"val": b.val, "low": pa.array(b.levels()[b.row], pa.int32()), "up": pa.array(b.levels(True)[b.row], pa.int32())})
 
-    return own.groupBy("block").applyInArrow(factor, "block bigint, row bigint, col bigint, val double")
+    return own.groupBy("block").applyInArrow(factor, "block bigint, row bigint, col bigint, val double, low int, up int")
 
 
 def ilu_solve(factors: DataFrame, vector: DataFrame, block_rows: int) -> DataFrame:
@@ -128,9 +132,12 @@ def ilu_solve(factors: DataFrame, vector: DataFrame, block_rows: int) -> DataFra
         if not m.num_rows:
             return pa.table({"row": row, "val": val})
         b = _block(m)
+        levels = (np.zeros(b.n, np.int64), np.zeros(b.n, np.int64))
+        for level, c in zip(levels, ("low", "up"), strict=True):
+            level[np.searchsorted(b.names, m.column("row").to_numpy())] = m.column(c).to_numpy()
         at = np.minimum(np.searchsorted(b.names, row), b.n - 1)
         inside = b.names[at] == row
-        solved = b.solve(np.bincount(at[inside], val[inside], b.n))
+        solved = b.solve(np.bincount(at[inside], val[inside], b.n), levels)
         return pa.table({"row": np.concatenate([b.names, row[~inside]]), "val": np.concatenate([solved, val[~inside]])})
 
     return r.groupBy("block").cogroup(factors.groupBy("block")).applyInArrow(solve, "row bigint, val double")
@@ -140,11 +147,13 @@ def gcr(matrix: DataFrame, b: DataFrame, x0: DataFrame, block_rows: int | None =
     """``row, val`` of the solution, and the residual norm before the first and after each step (I4).
 
     Without ``block_rows`` there is no preconditioner.  The loop ends below ``tolerance`` or after
-    ``most_steps``.  One frame has the vectors as columns: the solution, the residual, and at most
-    ``restart`` pairs of directions; a step writes it once, deletes that of the step before, and sends
-    only scalars to the driver.  Matrix and factors are dealt once, by column and by block, so a step
-    exchanges vectors and the products of entries.  Whether the loop ended below ``tolerance`` is told by
-    the last norm.
+    ``most_steps``, which the last norm tells apart, or where a direction's product with the matrix is 0 while the
+    residual is not: no step along it helps.  One frame has the vectors as columns: the solution, the
+    residual, and at most ``restart`` pairs of directions.  A step writes two tables, the preconditioned
+    residual and this frame; all dot products that it needs are observed while the frame is written, those of
+    the next direction by way of its parts.  Only where these nearly cancel is one taken by a pass of
+    its own.  Matrix and factors are dealt once, by column and by block, so a step exchanges vectors
+    and the products of entries.
     """
     matrix = keep(matrix.select("row", "col", "val"), "col", "gcr-matrix")
     factors = keep(ilu0(matrix, block_rows), "block", "gcr-factors") if block_rows else None
@@ -153,31 +162,51 @@ def gcr(matrix: DataFrame, b: DataFrame, x0: DataFrame, block_rows: int | None =
         v = frame.select("row", F.col(column).alias("val"))
         return ilu_solve(factors, v, block_rows) if factors is not None else v
 
+    def stored(df: DataFrame, held: list[int], old: DataFrame | None) -> tuple[DataFrame, dict[str, float]]:
+        """The frame, written, and its dot products: of residual and ``az``, and of each with the held directions."""
+        pairs = {"rr": ("r", "r"), "ra": ("r", "az"), "aa": ("az", "az")}
+        for j in held:
+            pairs |= {f"a{j}": ("az", f"q{j}"), f"r{j}": ("r", f"q{j}")} | {f"q{i}{j}": (f"q{i}", f"q{j}") for i in held if i <= j}
+        seen = Observation()
+        sums = [F.sum(F.col(a) * F.col(b)).alias(n) for n, (a, b) in pairs.items()]
+        out = cut(df.observe(seen, *sums), "gcr-frame", instead_of=old)
+        found = observed(seen)
+        return out, {n: float(found.get(n, 0.0)) for n in pairs}
+
+    def step_of(dot: dict[str, float], held: list[int], frame: DataFrame, new: int) -> tuple[float, float]:
+        """``r q`` and ``q q`` of a new direction ``q = az + sum of beta q``."""
+        beta = {j: -dot[f"a{j}"] / dot[f"q{j}{j}"] for j in held}
+        rq = dot["ra"] + sum(beta[j] * dot[f"r{j}"] for j in held)
+        qq = dot["aa"] + sum(2 * beta[j] * dot[f"a{j}"] for j in held) + sum((1 if i == j else 2) * beta[i] * beta[j] * dot[f"q{i}{j}"] for i in held for j in held if i <= j)
+        if held and qq < CANCELLED * dot["aa"]:
+            got = linalg.dots(frame, {"rq": ("r", f"q{new}"), "qq": (f"q{new}", f"q{new}")}).first()
+            return got["rq"], got["qq"]
+        return rq, qq
+
     first = cut(linalg.align({"x": x0, "r": linalg.residual(matrix, b, x0)}), "gcr-state")
-    p = cut(precondition(first, "r"), "gcr-p")
-    frame = held_frame = cut(linalg.align({"x": first.select("row", F.col("x").alias("val")), "r": first.select("row", F.col("r").alias("val")), "p0": p, "q0": linalg.spmv(matrix, p)}), "gcr-state")
-    norms = [float(np.sqrt(linalg.dots(frame, {"rr": ("r", "r")}).first()["rr"]))]
-    qq: dict[int, float] = {}
-    held, held_z = [0], None
-    for s in range(most_steps):
-        if norms[-1] <= tolerance:
+    wide, held, new = first, [], 0
+    z = cut(precondition(wide, "r"), "gcr-z")
+    norms: list[float] = []
+    held_frame = first
+    for s in range(most_steps + 1):
+        columns = [c for c in wide.columns if c != "row"]
+        both = wide.join(z.select("row", F.col("val").alias("z")), "row", "left").join(linalg.spmv(matrix, z).select("row", F.col("val").alias("az")), "row", "left")
+        held_frame, dot = stored(both.select("row", *columns, F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("az", F.lit(0.0)).alias("az")), held, held_frame)
+        norms.append(float(np.sqrt(dot["rr"])))
+        if norms[-1] <= tolerance or s == most_steps:
+            break
+        beta = {j: -dot[f"a{j}"] / dot[f"q{j}{j}"] for j in held}
+        turned = linalg.combine(held_frame, "z", {f"p{j}": v for j, v in beta.items()}, "_p")
+        turned = linalg.combine(turned, "az", {f"q{j}": v for j, v in beta.items()}, "_q")
+        new = s % restart
+        kept = [j for j in held if j != new] if new else []
+        frame = turned.select("row", "x", "r", *[F.col(f"{c}{j}") for j in kept for c in "pq"], F.col("_p").alias(f"p{new}"), F.col("_q").alias(f"q{new}"))
+        rq, qq = step_of(dot, held, frame, new)
+        if qq == 0:
             break
-        now = s % restart
-        got = linalg.dots(frame, {"rq": ("r", f"q{now}"), "qq": (f"q{now}", f"q{now}")}).first()
-        qq[now] = got["qq"]
-        alpha = got["rq"] / got["qq"]
-        frame = linalg.axpy(linalg.axpy(frame, "x", alpha, f"p{now}", "x"), "r", -alpha, f"q{now}", "r")
-        z = held_z = cut(precondition(frame, "r"), "gcr-z", instead_of=held_z)
-        columns = [c for c in frame.columns if c != "row"]
-        wide = frame.join(z.select("row", F.col("val").alias("z")), "row", "left").join(linalg.spmv(matrix, z).select("row", F.col("val").alias("az")), "row", "left")
-        held_frame = wide = cut(wide.select("row", *columns, F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("az", F.lit(0.0)).alias("az")), "gcr-wide", instead_of=held_frame)
-        got = linalg.dots(wide, {"rr": ("r", "r")} | {f"b{j}": ("az", f"q{j}") for j in held}).first()
-        norms.append(float(np.sqrt(got["rr"])))
-        beta = {j: -got[f"b{j}"] / qq[j] for j in held}
-        new = (s + 1) % restart
-        wide = linalg.combine(wide, "z", {f"p{j}": v for j, v in beta.items()}, "_p")
-        wide = linalg.combine(wide, "az", {f"q{j}": v for j, v in beta.items()}, "_q")
-        held = [0] if new == 0 else [*held, new]
-        kept = [j for j in held if j != new]
-        frame = wide.select("row", "x", "r", *[F.col(f"{c}{j}") for j in kept for c in "pq"], F.col("_p").alias(f"p{new}"), F.col("_q").alias(f"q{new}"))
-    return frame.select("row", F.col("x").alias("val")), norms
+        held = [*kept, new]
+        wide = linalg.axpy(linalg.axpy(frame, "x", rq / qq, f"p{new}", "x"), "r", -rq / qq, f"q{new}", "r")
+        z = cut(precondition(wide, "r"), "gcr-z", instead_of=z)
+    drop(matrix, factors)
+    release(z)
+    return held_frame.select("row", F.col("x").alias("val")), norms

@@ -509,26 +509,33 @@ def linear_combination(spark: SparkSession, d: str) -> DataFrame:
 BLOCK_ROWS = 250
 
 
-@query(
-    _with(
-        *_MATRIX,
-        f'q0 as {_SPMV.format(v="vec")}',
-        'd0 as (select sum(v.val * q0.val) rq, sum(q0.val * q0.val) qq from vec v join q0 using ("row"))',
-        'f1 as (select v."row", rq / qq * v.val x, v.val - rq / qq * q0.val r, v.val p, q0.val q from vec v join q0 using ("row"), d0)',
-        'r1 as (select "row", r val from f1)',
-        f'a1 as {_SPMV.format(v="r1")}',
-        'b1 as (select -sum(a1.val * f1.q) / max(qq) b from a1 join f1 using ("row"), d0)',
-        'f2 as (select "row", x, r, r + b * p p, a1.val + b * q q from f1 join a1 using ("row"), b1)',
-        "d1 as (select sum(r * q) rq, sum(q * q) qq from f2)",
-        select='select "row", round(x + rq / qq * p, 6) val from f2, d1',
-    )
-)
+_TWO_STEPS = [
+    *_MATRIX,
+    f'q0 as {_SPMV.format(v="vec")}',
+    'd0 as (select sum(v.val * q0.val) rq, sum(q0.val * q0.val) qq from vec v join q0 using ("row"))',
+    'f1 as (select v."row", rq / qq * v.val x, v.val - rq / qq * q0.val r, v.val p, q0.val q from vec v join q0 using ("row"), d0)',
+    'r1 as (select "row", r val from f1)',
+    f'a1 as {_SPMV.format(v="r1")}',
+    'b1 as (select -sum(a1.val * f1.q) / max(qq) b from a1 join f1 using ("row"), d0)',
+    'f2 as (select "row", x, r, r + b * p p, a1.val + b * q q from f1 join a1 using ("row"), b1)',
+    "d1 as (select sum(r * q) rq, sum(q * q) qq from f2)",
+]
+
+
+@query(_with(*_TWO_STEPS, select='select "row", round(x + rq / qq * p, 6) val from f2, d1'))
 def gcr_unpreconditioned_2(spark: SparkSession, d: str) -> DataFrame:
     """Two steps of the solver without a preconditioner (I4)."""
     found, _ = solver.gcr(_matrix(spark, d), _vector(spark, d), _zero(spark, d), most_steps=2)
     return _rounded(found, "val")
 
 
+@query(_with(*_TWO_STEPS, select="select 2 steps, false reached, round(sqrt(sum(pow(r - rq / qq * q, 2))), 4) norm from f2, d1"))
+def gcr_step_limit(spark: SparkSession, d: str) -> DataFrame:
+    """What the solver tells of a run that its limit of steps ends: steps, whether the tolerance was reached, the last norm."""
+    _, norms = solver.gcr(_matrix(spark, d), _vector(spark, d), _zero(spark, d), most_steps=2)
+    return spark.createDataFrame([(len(norms) - 1, norms[-1] <= solver.TOLERANCE, round(norms[-1], 4))], "steps int, reached boolean, norm double")
+
+
 _OWN_BLOCK = f'a."row" // {BLOCK_ROWS} = a.col // {BLOCK_ROWS}'
 
 
