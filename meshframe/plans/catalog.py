@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.functions.hashing import GOLDEN, SEED, SHIFTS, with_jenkins64
-from meshframe.operators import cluster, edgegrid, graph, grid, image, layout, linalg, sketch, solver
+from meshframe.operators import cluster, edgegrid, graph, grid, halo, image, layout, linalg, sketch, solver
 from meshframe.plans.scratch import cut, new_path
 from meshframe.sources import bmp, cells, derive, errors, records
 from meshframe.streaming import degrees
@@ -427,6 +427,28 @@ def halo_sizes(spark: SparkSession, d: str) -> DataFrame:
     return layout.halo_sizes(layout.blocks(_assigned(spark, d)), LAYOUT)
 
 
+@query(_with(*_stencil_sql(3), select="select i, j, k, round(v, 6) v from s3"))
+def stencil_layout_3(spark: SparkSession, d: str) -> DataFrame:
+    """The stencil over the blocks that the planner chooses for the grid."""
+    return _rounded(halo.planned(derive.grid(spark, d), derive.grid_shape(spark, d), 8, 3).cells, "v")
+
+
+@query(
+    _with(
+        "grid",
+        _SHAPE,
+        _ASSIGNED,
+        _BLOCKS,
+        'h as (select ((bx > 0)::int + (bx < 3)::int) * (y1 - y0) * (z1 - z0) + (("by" > 0)::int + ("by" < 1)::int) * (x1 - x0) * (z1 - z0) halo from blocks)',
+        select="select step, sum(halo)::bigint cells from h, range(1, 4) t(step) group by 1",
+    )
+)
+def halo_exchange(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that travel in each of three steps over a layout: those on inner faces, and no others."""
+    sent = halo.run(derive.grid(spark, d), derive.grid_shape(spark, d), LAYOUT, 3).sent
+    return spark.createDataFrame(list(enumerate(sent, 1)), "step bigint, cells bigint")
+
+
 # ---- sparse matrices
 
 # Number, x, y and z of the 19 neighbours, as the matrix files have them.
