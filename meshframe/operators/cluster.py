@@ -6,10 +6,11 @@ a projection without a join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from meshframe.plans.scratch import cut
+from meshframe.plans.scratch import cut, observed, release
 
 Centre = dict[str, object]
 
@@ -54,6 +55,69 @@ def seeds(points: DataFrame, k: int, key: str = "id") -> list[Centre]:
     return [r.asDict() for r in points.orderBy(key).limit(k).collect()]
 
 
+def draw(key: str, turn: int) -> Column:
+    """A number from 0 to 1 that follows from a row's key and the turn alone, however rows are dealt."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{turn}"))), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
+
+
+def candidates(points: DataFrame, numbers: list[str], categories: list[str], weight: float, each: float, rounds: int = 4, key: str = "id") -> list[Centre]:
+    """Oversampled seeds (I5): the point of the least draw, then in each round about ``each`` more.
+
+    A point is drawn with a probability in proportion to its distance from the nearest candidate so far, all
+    points at once.  The distances are kept in a table, against which a round computes those to its new
+    candidates alone; their sum is observed while the table is written.  Candidates come in the order of
+    rounds and keys, with ``round`` and ``weight``, the number of points that are nearest to each (the
+    first among equals).  About ``1 + rounds * each`` rows reach the driver.
+    """
+    first = points.orderBy(draw(key, 0), key).limit(1).collect()
+    if not first:
+        return []
+    found = [first[0].asDict() | {"round": 0}]
+    new, state = found, points.select(key, *numbers, *categories, F.lit(None).cast("double").alias("_near"), F.lit(-1).alias("_who"))
+    held = None
+    for turn in range(1, rounds + 2):
+        base = len(found) - len(new)
+        nearer = F.array_min(F.array(F.struct(F.coalesce("_near", F.lit(float("inf"))).alias("d"), F.col("_who").alias("who")), *[F.struct(distance(c, numbers, categories, weight).alias("d"), F.lit(base + n).alias("who")) for n, c in enumerate(new)]))
+        state = state.withColumn("_best", nearer).select(key, *numbers, *categories, F.col("_best.d").alias("_near"), F.col("_best.who").alias("_who"))
+        if turn > rounds:
+            break
+        seen = Observation()
+        state = held = cut(state.observe(seen, F.sum("_near").alias("total")), "seeds", instead_of=held)
+        total = observed(seen).get("total", 0)
+        if not total:
+            break
+        drawn = state.where(draw(key, turn) < each * F.col("_near") / float(total)).select(key, *numbers, *categories).orderBy(key).collect()
+        new = [r.asDict() | {"round": turn} for r in drawn]
+        found = found + new
+    nearest = {r["_who"]: r["count"] for r in state.groupBy("_who").count().collect()}
+    release(held)
+    return [c | {"weight": nearest.get(n, 0)} for n, c in enumerate(found)]
+
+
+def oversampled_seeds(points: DataFrame, k: int, numbers: list[str], categories: list[str], weight: float, rounds: int = 4, key: str = "id", seed: int = 0) -> list[Centre]:
+    """``k`` centres of the :func:`candidates`, each drawn by weight times distance from those before it (fewer where there are no more distinct ones)."""
+    given = candidates(points, numbers, categories, weight, 2.0 * k, rounds, key)
+    if not given:
+        return []
+    x = np.array([[float(c[n]) for n in numbers] for c in given]).reshape(len(given), len(numbers))
+    kinds = np.array([[repr(c[n]) for n in categories] for c in given], object).reshape(len(given), len(categories))
+    mass = np.array([float(c["weight"]) for c in given])
+    random, near, chosen = np.random.default_rng(seed), np.full(len(given), np.inf), []
+    while len(chosen) < k:
+        share = mass * (near if chosen else 1.0)
+        if not share.sum():
+            break
+        chosen.append(int(random.choice(len(given), p=share / share.sum())))
+        own = ((x - x[chosen[-1]]) ** 2).sum(1) + weight * (kinds != kinds[chosen[-1]]).sum(1)
+        near = np.minimum(near, own)
+    return [{c: given[n][c] for c in (*numbers, *categories)} for n in chosen]
+
+
+def costs_by_k(points: DataFrame, ks: list[int], numbers: list[str], categories: list[str], weight: float, most_rounds: int = 10, key: str = "id") -> dict[int, float]:
+    """The cost of the last round of :func:`fit` for each number of clusters, from oversampled seeds."""
+    return {k: fit(points, k, numbers, categories, weight, most_rounds, key=key, initial=oversampled_seeds(points, k, numbers, categories, weight, key=key))[1][-1] for k in ks}
+
+
 def fit(points: DataFrame, k: int, numbers: list[str], categories: list[str], weight: float, most_rounds: int = 20, delta: str = "mismatch", key: str = "id", initial: list[Centre] | None = None) -> tuple[list[Centre], list[float]]:
     """Centres after ``most_rounds`` rounds, or when they stay, and the cost of each round.
 

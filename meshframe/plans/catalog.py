@@ -700,6 +700,32 @@ def kmeans_embeddings_assign(spark: SparkSession, d: str) -> DataFrame:
     return cluster.assign_vectors(e, "v", centres).select("vec_id", "cluster")
 
 
+_SEED_EACH, _SEED_ROUNDS = 8.0, 3
+
+
+def _draw_sql(turn: int) -> str:
+    return f"(('0x' || substr(md5(id::varchar || ':{turn}'), 1, 13))::bigint / 4503599627370496e0)"
+
+
+def _candidates_sql() -> list[str]:
+    far = "(p.n0 - c.n0) * (p.n0 - c.n0) + (p.n1 - c.n1) * (p.n1 - c.n1)" + "".join(f" + case when p.{c} <> c.{c} then {WEIGHT}e0 else 0e0 end" for c in _CATEGORIES)
+    out = ["points", f"c0 as (select *, 0 round from points order by {_draw_sql(0)}, id limit 1)"]
+    for t in range(1, _SEED_ROUNDS + 1):
+        every = " union all ".join(f"select * from c{n}" for n in range(t))
+        out.append(f"near{t} as (select p.id, min({far}) d from points p, ({every}) c group by 1)")
+        out.append(f"c{t} as (select p.*, {t} round from points p join near{t} using (id), (select sum(d) total from near{t}) where {_draw_sql(t)} < {_SEED_EACH} * d / total)")
+    out.append("chosen as (select *, row_number() over (order by round, id) n from (" + " union all ".join(f"select * from c{n}" for n in range(_SEED_ROUNDS + 1)) + "))")
+    out.append(f"own as (select * from (select p.id point, c.n, row_number() over (partition by p.id order by {far}, c.n) rn from points p, chosen c) where rn = 1)")
+    return out
+
+
+@query(_with(*_candidates_sql(), select="select id, round, count(point)::bigint weight from chosen left join own using (n) group by 1, 2"))
+def kproto_seed_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Oversampled seeds of the mixed points, with the points that are nearest to each."""
+    found = cluster.candidates(derive.mixed_points(spark, d), _NUMBERS, _CATEGORIES, WEIGHT, _SEED_EACH, _SEED_ROUNDS)
+    return spark.createDataFrame([(c["id"], c["round"], c["weight"]) for c in found], "id bigint, round int, weight bigint")
+
+
 # ---- images
 
 ANGLE, ANGLES = 0.5, [0.0, 0.7, 2.0]
