@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHANNELS = {"a": 24, "r": 16, "g": 8, "b": 0}
+TILE = 64
 
 
 def unpack(df: DataFrame, argb: str = "argb") -> DataFrame:
@@ -74,3 +78,72 @@ def sample(pixels: DataFrame, mapped: DataFrame, keys: list[str]) -> DataFrame:
     sums = joined.agg(*[F.sum(F.col("w") * F.coalesce(c, F.lit(0))).alias(c) for c in CHANNELS])
     rounded = [F.floor(F.round(F.col(c), 9) + 0.5) for c in CHANNELS]
     return sums.select(*[F.col(f"_{k}").alias(k) for k in keys], pack(*rounded).alias("argb"))
+
+
+def packed(pixels: DataFrame, tile: int = TILE) -> DataFrame:
+    """``tx, ty, place, argb``: the pixels of a tile that a batch of a task has, as one row of arrays; ``place`` counts along the rows of the tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, argb = (b.column(c).to_numpy() for c in ("x", "y", "argb"))
+            order = np.lexsort((x // tile, y // tile))
+            x, y, argb = x[order], y[order], argb[order].astype(np.uint32)
+            place = (y % tile * tile + x % tile).astype(np.int32)
+            new = np.flatnonzero(np.diff(x // tile, prepend=np.nan).astype(bool) | np.diff(y // tile, prepend=np.nan).astype(bool))
+            ends = [*new[1:].tolist(), len(x)]
+            parts = [[v[lo:hi].tobytes() for lo, hi in zip(new.tolist(), ends, strict=False)] for v in (place, argb)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[new] // tile, pa.int64()), pa.array(y[new] // tile, pa.int64()), *[pa.array(p, pa.binary()) for p in parts]], ["tx", "ty", "place", "argb"])
+
+    return pixels.select("x", "y", "argb").mapInArrow(run, "tx bigint, ty bigint, place binary, argb binary")
+
+
+def tile_pairs(spark_range: DataFrame, width: int, height: int, angle: float, tile: int = TILE) -> DataFrame:
+    """``gx, gy, tx, ty``: for each target tile (``id`` of a range) the source tiles that its turned rectangle touches; null where there are none."""
+    across, down = -(-width // tile), -(-height // tile)
+    t = spark_range.select((F.col("id") % across).alias("gx"), F.expr(f"id div {across}L").alias("gy"))
+    xs = [F.col("gx") * tile, F.least(F.lit(width - 1), F.col("gx") * tile + (tile - 1))]
+    ys = [F.col("gy") * tile, F.least(F.lit(height - 1), F.col("gy") * tile + (tile - 1))]
+    corners = t.select("gx", "gy", F.explode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x in xs for y in ys])).alias("c")).select("gx", "gy", "c.x", "c.y")
+    box = rotation_map(corners, width, height, angle).groupBy("gx", "gy").agg(*[f(c).alias(f"{n}{c}") for c in ("sx", "sy") for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def touched(c: str, n: int) -> Column:
+        low = F.greatest(F.lit(0), F.floor((F.col(f"lo{c}") - 1e-6) / tile)).cast("bigint")
+        high = F.least(F.lit(n - 1), F.floor((F.col(f"hi{c}") + 1 + 1e-6) / tile)).cast("bigint")
+        return F.when(low <= high, F.sequence(low, high))
+
+    return box.select("gx", "gy", F.explode_outer(touched("sx", across)).alias("tx"), touched("sy", down).alias("_y")).select("gx", "gy", "tx", F.explode_outer("_y").alias("ty"))
+
+
+def rotate_by_tiles(pixels: DataFrame, width: int, height: int, angle: float, tile: int = TILE) -> DataFrame:
+    """As :func:`rotate`, by tiles: what travels are rows of arrays, a few a tile, and a task gathers the four pixels around each place from an array.
+
+    A pixel stands once; those outside of the image count as 0.
+    """
+    across, down = -(-width // tile), -(-height // tile)
+    cos, sin = math.cos(angle), math.sin(angle)
+
+    def gather(key: tuple, parts: pa.Table) -> pa.Table:
+        x0, y0 = (k.as_py() * tile for k in key)
+        y, x = np.mgrid[y0 : min(height, y0 + tile), x0 : min(width, x0 + tile)]
+        dx, dy = x - width // 2, y - height // 2
+        sx, sy = width // 2 + (dx * cos - dy * sin), height // 2 + (dx * sin + dy * cos)
+        left, top = int(np.floor(sx.min())), int(np.floor(sy.min()))
+        canvas = np.zeros((int(np.floor(sy.max())) + 2 - top, int(np.floor(sx.max())) + 2 - left), np.int64)
+        for row in range(parts.num_rows):
+            if parts.column("place")[row].is_valid:
+                place, argb = (np.frombuffer(parts.column(c)[row].as_buffer(), kind) for c, kind in (("place", np.int32), ("argb", np.uint32)))
+                px, py = parts.column("tx")[row].as_py() * tile + place % tile, parts.column("ty")[row].as_py() * tile + place // tile
+                inside = (px < width) & (py < height) & (px >= left) & (px < left + canvas.shape[1]) & (py >= top) & (py < top + canvas.shape[0])
+                canvas[py[inside] - top, px[inside] - left] = argb[inside]
+        cx, cy = np.floor(sx).astype(int) - left, np.floor(sy).astype(int) - top
+        fx, fy = sx - np.floor(sx), sy - np.floor(sy)
+        both = fx * fy
+        taps = [(canvas[cy + b, cx + a], w) for (a, b), w in (((0, 0), 1 - fx - fy + both), ((1, 0), fx - both), ((0, 1), fy - both), ((1, 1), both))]
+        out = np.zeros(x.shape, np.int64)
+        for shift in CHANNELS.values():
+            total = sum(w * (v >> shift & 255) for v, w in taps)
+            out |= np.floor(np.round(total, 9) + 0.5).astype(np.int64) << shift
+        return pa.table({"x": x.ravel(), "y": y.ravel(), "argb": out.ravel()})
+
+    pairs = tile_pairs(pixels.sparkSession.range(across * down), width, height, angle, tile)
+    return pairs.join(packed(pixels, tile), ["tx", "ty"], "left").groupBy("gx", "gy").applyInArrow(gather, "x bigint, y bigint, argb bigint")

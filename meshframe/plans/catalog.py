@@ -772,6 +772,12 @@ def rotate_bilinear(spark: SparkSession, d: str) -> DataFrame:
     return image.rotate(derive.pixels(spark, d), derive.image_width(spark, d), derive.IMAGE_HEIGHT, ANGLE)
 
 
+@query(_rotate_sql([ANGLE], False))
+def rotate_by_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The rotation with tiles of arrays in place of four rows a pixel."""
+    return image.rotate_by_tiles(derive.pixels(spark, d), derive.image_width(spark, d), derive.IMAGE_HEIGHT, ANGLE)
+
+
 @query(_rotate_sql(ANGLES, True))
 def rotate_frames(spark: SparkSession, d: str) -> DataFrame:
     return image.frames(derive.pixels(spark, d), derive.image_width(spark, d), derive.IMAGE_HEIGHT, ANGLES)
