@@ -119,6 +119,44 @@ def ilu0(matrix: DataFrame, block_rows: int) -> DataFrame:
     return own.groupBy("block").applyInArrow(factor, "block bigint, row bigint, col bigint, val double, low int, up int")
 
 
+def ilu0_by_sweeps(matrix: DataFrame, tolerance: float = 1e-13, most_sweeps: int = 100) -> tuple[DataFrame, list[float]]:
+    """``row, col, val`` of the factors of a whole matrix as one block, by joins, and the largest change of each sweep.
+
+    A published fixed point: each entry of the pattern is what its own equation gives with the others of the
+    sweep before, ``l = (a - sum l u) / d`` left of the diagonal and ``u = a - sum l u`` elsewhere.  The
+    equations depend on each other in no circle, so as many sweeps as they are deep give the factors of
+    the elimination, and in practice far fewer.  Entries lie by row and no task holds the matrix.  It ends when
+    the largest change, in proportion to the entry, is at most ``tolerance``, and raises an error where
+    that is not so after ``most_sweeps``.  A row whose diagonal entry is absent or becomes zero is an error that names it.
+    """
+    entries = matrix.groupBy("row", "col").agg(F.sum("val").alias("a"))
+    state = keep(entries.withColumn("val", F.col("a")), "row", "ilu-sweep")
+    lacking = state.groupBy("row").agg(F.max(F.col("row") == F.col("col")).alias("whole")).where("not whole").agg(F.min("row")).first()[0]
+    if lacking is not None:
+        raise ZeroDivisionError(f"row {lacking} has no pivot")
+    changes: list[float] = []
+    while True:
+        lower = state.where("col < row").select("row", F.col("col").alias("k"), F.col("val").alias("l"))
+        upper = state.where("col > row").select(F.col("row").alias("k"), "col", F.col("val").alias("u"))
+        sums = lower.join(upper, "k").groupBy("row", "col").agg(F.sum(F.col("l") * F.col("u")).alias("s"))
+        pivots = state.where("row = col").select(F.col("row").alias("col"), F.col("val").alias("d"))
+        left = F.col("a") - F.coalesce("s", F.lit(0.0))
+        new = F.when(F.col("col") < F.col("row"), F.try_divide(left, F.col("d"))).otherwise(left)
+        swept = state.join(sums, ["row", "col"], "left").join(pivots, "col").select("row", "col", "a", new.alias("new"), "val", (F.col("d") == 0).alias("flat"))
+        seen = Observation()
+        change = F.abs(F.col("new") - F.col("val")) / F.greatest(F.abs(F.col("new")), F.lit(1e-300))
+        counted = swept.observe(seen, F.max(F.when(F.col("new") != F.col("val"), change).otherwise(0.0)).alias("change"), F.min(F.when(F.col("flat"), F.col("col"))).alias("no_pivot"))
+        state = keep(counted.select("row", "col", "a", F.coalesce("new", "val").alias("val")), "row", "ilu-sweep", instead_of=state)
+        told = observed(seen)
+        if told and seen.get["no_pivot"] is not None:
+            raise ZeroDivisionError(f"row {told['no_pivot']} has no pivot")
+        changes.append(float(told.get("change", 0.0)))
+        if changes[-1] <= tolerance:
+            return state.select("row", "col", "val"), changes
+        if len(changes) == most_sweeps:
+            raise ArithmeticError(f"after {most_sweeps} sweeps an entry still changes by {changes[-1]} of itself")
+
+
 def ilu_solve(factors: DataFrame, vector: DataFrame, block_rows: int) -> DataFrame:
     """``row, val``: the vector through the lower and then the upper factor of each block.
 

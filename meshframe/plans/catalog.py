@@ -564,13 +564,23 @@ _OWN_BLOCK = f'a."row" // {BLOCK_ROWS} = a.col // {BLOCK_ROWS}'
 @query(_with(*_MATRIX, select=f'select "row", col, round(sum(val), 6) product from coo a where {_OWN_BLOCK} group by 1, 2'))
 def ilu0_factor(spark: SparkSession, d: str) -> DataFrame:
     """The product of the factors at the places of their pattern, which is the matrix there and nowhere else by other factors."""
-    f = solver.ilu0(_matrix(spark, d), BLOCK_ROWS)
+    return _product(solver.ilu0(_matrix(spark, d), BLOCK_ROWS))
+
+
+def _product(f: DataFrame) -> DataFrame:
+    """The product of factors at the places of their pattern."""
     lower = f.where("col <= row").select(F.col("row").alias("r"), F.col("col").alias("m"), F.when(F.col("col") == F.col("row"), 1.0).otherwise(F.col("val")).alias("l"))
     upper = f.where("col >= row").select(F.col("row").alias("m"), F.col("col").alias("c"), F.col("val").alias("u"))
     product = lower.join(upper, "m").groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("l") * F.col("u")).alias("product"))
     return _rounded(f.select("row", "col").join(product, ["row", "col"]), "product")
 
 
+@query(_with(*_MATRIX, select='select "row", col, round(sum(val), 6) product from coo group by 1, 2'))
+def ilu0_by_sweeps(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the factors of the whole matrix, found by joins."""
+    return _product(solver.ilu0_by_sweeps(_matrix(spark, d))[0])
+
+
 @query(_with("grid", select='select cell as "row", round(v, 6) val from grid'))
 def ilu_apply(spark: SparkSession, d: str) -> DataFrame:
     """A vector through both factors and then multiplied by the upper and the lower one, which gives it back."""
