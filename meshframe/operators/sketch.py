@@ -167,6 +167,9 @@ def balls(vertices: DataFrame, edges: DataFrame, p: Parameters, most_rounds: int
         each_round(0, found.state)
     while now[0] and (most_rounds is None or len(found.rounds) < most_rounds):
         found.rounds.append(now)
+        if len(found.rounds) == most_rounds and each_round is None:
+            found.state = spread(found.state.drop("out"), edges, p)  # the last of a given number is not written
+            return found
         found.state, now = stored(spread(found.state.drop("out"), edges, p), found.state)
         if each_round:
             each_round(len(found.rounds), found.state)
