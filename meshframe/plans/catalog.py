@@ -12,7 +12,7 @@ from meshframe.functions.hashing import GOLDEN, SEED, SHIFTS, with_jenkins64
 from meshframe.operators import cluster, edgegrid, graph, grid, halo, image, layout, linalg, sketch, solver
 from meshframe.plans.scratch import cut, new_path
 from meshframe.sources import bmp, cells, derive, errors, records
-from meshframe.streaming import degrees
+from meshframe.streaming import degrees, sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -908,6 +908,25 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(degrees.run_available(spark, d, "events.parquet"), "total", digits=4)
 
 
+_STREAMED = [*mix_sql("(select distinct user_id from events where user_id is not null)", "user_id"), *_COUNTERS, "streamed as (select e.event_type id, reg, max(rank) rank from events e join r0 on e.user_id = r0.id where event_type is not null group by all)"]
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    return sketches.run_available(spark, f"{d}/events.parquet", "event_type", "user_id", PARAMETERS, new_path(spark, "stream-registers"))
+
+
+@query(_with(*_STREAMED, select="select id, reg, rank from streamed"))
+def stream_registers(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of the users of each type of event, kept over a stream of the events table (A5)."""
+    return _streamed(spark, d)
+
+
+@query(_with(*_STREAMED, select=_estimate_sql("streamed")))
+def stream_distinct_users(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates of those counters."""
+    return _rounded(sketch.estimate(_streamed(spark, d), PARAMETERS), "estimate", digits=4)
+
+
 @query(_with("grid", select="select i, j, k, v from grid where i between 2 and 5 and j between 1 and 3"))
 def block_read(spark: SparkSession, d: str) -> DataFrame:
     """A block of a stored grid by ranges (S14), which skip the parts of its files that hold none of it: the range is the feature."""
