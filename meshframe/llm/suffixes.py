@@ -214,13 +214,13 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
 
     Its fields: ``n_words``; ``hits``, the disjoint word ranges ``[from, to)`` inside occurrences of
     item windows, ascending; ``items``, the ``item_id`` of the items that occur, as distinct sorted
-    strings; ``n_items``, their count over rows of the benchmark; ``longest``, words of the longest
+    strings; ``n_items``, how many they are, and rows of the benchmark without id besides; ``longest``, words of the longest
     passage of the text that stands in an item (0 without any), and ``longest_from``, the first word
     of the first such passage (null without any).
 
     A window is ``window`` words; an item of fewer words is one window, an item without words none.
-    Null and empty texts have no words.  Repeated rows are found each; an item without id counts in
-    ``n_items`` and has no name in ``items``.  The benchmark is sent to executors in slices of
+    Null and empty texts have no words.  Repeated rows are found each; rows of the benchmark
+    that share an id are one item, and a row without id is one of its own without a name in ``items``.  The benchmark is sent to executors in slices of
     ``slice_bytes``, one at a time, and the texts are searched for one slice after the other, however
     many.  Texts of any length are searched whole, and without rows there are none.
     """
@@ -267,13 +267,15 @@ def _find_fn(sent, window: int, shard_words: int, names: list[str], spare: str,
                 columns = {n: batch.column(i) for i, n in enumerate(names)}
                 values = []
                 for old in batch.column(names.index(out)).to_pylist():
-                    new = {"n_words": counts[row], "hits": _merged(hits.get(row, [])), "items": {str(bench.names[i]) for i in items.get(row, ()) if bench.names[i] is not None}, "n_items": len(items.get(row, ())), "longest": longest.get(row, (0, None))[0], "longest_from": longest.get(row, (0, None))[1]}
+                    names_found = [bench.names[i] for i in items.get(row, ())]
+                    new = {"n_words": counts[row], "hits": _merged(hits.get(row, [])), "items": {str(x) for x in names_found if x is not None}, "n_items": names_found.count(None), "longest": longest.get(row, (0, None))[0], "longest_from": longest.get(row, (0, None))[1]}
                     if old:
                         new["hits"] = _merged([*new["hits"], *[(h["from"], h["to"]) for h in old["hits"]]])
                         new["items"] |= set(old["items"])
-                        new["n_items"] += old["n_items"]
+                        new["n_items"] += old["n_items"] - len(old["items"])
                         if old["longest"] and (-old["longest"], old["longest_from"]) < (-new["longest"], new["longest_from"] or 0):
                             new["longest"], new["longest_from"] = old["longest"], old["longest_from"]
+                    new["n_items"] += len(new["items"])
                     new["items"] = sorted(new["items"])
                     new["hits"] = [{"from": a, "to": b} for a, b in new["hits"]]
                     values.append(new)
@@ -318,8 +320,8 @@ def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every whole text of ``documents`` that stand inside an occurrence of a window of ``benchmark``.
 
     Null and empty texts have no words and no hits; an empty benchmark hits nothing.  Repeated rows and
-    null ids stay as they are, each with its own hits; an item of the benchmark without id counts in
-    ``n_items`` and not in ``items_sha256``.  Extra columns are left behind.
+    null ids stay as they are, each with its own hits; rows of the benchmark that share an id are
+    one item, and one without id counts in ``n_items`` and not in ``items_sha256``.  Extra columns are left behind.
     """
     found = find(needed(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.col("matches.hits"), F.lit(0).cast("long"), lambda a, h: a + h["to"] - h["from"])
@@ -344,7 +346,7 @@ sizes as (select distinct len(v) n from windows),
 places as (select r, k, n, w[k:k+n-1] v from (select r, w, n, unnest(range(1, len(w) - n + 2)) k from d, sizes)),
 found as (select r, k, n, item_id, i from places join windows using (v)),
 hit as (select r, count(distinct p) n_hit from (select r, unnest(range(k, k + n)) p from found) group by r),
-named as (select r, count(distinct i) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) names from found group by r)
+named as (select r, count(distinct item_id) + count(distinct i) filter (item_id is null) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) names from found group by r)
 select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
   sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join hit using (r) left join named using (r)"""
