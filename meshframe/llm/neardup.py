@@ -249,7 +249,7 @@ def _sizes_allow(n: str, m: str) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
 
-def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text", apart: int = APART) -> DataFrame:
     """``doc_id, row_key, n_shingles, class, group, component_id`` of every row.
 
     ``class`` stands for rows with equal sets, ``group`` for those that links connect, and
@@ -257,6 +257,8 @@ def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
     texts) have null ``class`` and ``group`` and their own ``doc_id``.  Rows with a null id take part
     in groups; a group of nothing but null ids has a null ``component_id``.  Repeated rows are in one
     class, however often they repeat.  Texts of any length count whole; without rows there are none.
+    With ``apart=WIDE`` no pair of a bucket is left out by its one-bit sketches, only by sizes and distances,
+    which exclude no link.
     """
     made: list[DataFrame] = []
 
@@ -328,7 +330,7 @@ def groups(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
     # a pair is taken in the first of the buckets that it shares
     shared = F.zip_with("bands_a", "bands_b", lambda p, q: p == q)
     first_shared = F.array_position(shared, True) == F.array_position("bands_a", F.col("bucket"))
-    left = x.join(y, ["bucket", "_i", "_j"]).where("group_a <> group_b and (not out_b or a < b)").where(_sizes_allow("n_a", "n_b")).where(F.coalesce(near, F.lit(True))).where(differ <= APART).where(first_shared)
+    left = x.join(y, ["bucket", "_i", "_j"]).where("group_a <> group_b and (not out_b or a < b)").where(_sizes_allow("n_a", "n_b")).where(F.coalesce(near, F.lit(True))).where(differ <= apart).where(first_shared)
     left = put(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     if not left.isEmpty():
         third = put(_verify(left, sets, False), "verified")
