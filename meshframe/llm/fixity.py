@@ -12,21 +12,25 @@ sort whose last key is unique, so one page id that holds a third of all rows is
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshframe.llm.common import map_batches, needed, store, table
+from meshframe.llm.common import free_name, map_batches, needed, store, table
 
 FAN, LEVELS = 8, 3
 FILE_RECORDS = FAN**LEVELS
 KEY = ["file", "part"]
 DATE = "1970-01-01T00:00:00Z"
+PACKED_BYTES = 1 << 14  # read of a gzip file at once: unpacked, they are a thousand times as many at most
 HEAD_BYTES = 1 << 20  # where a record starts, its head ends within them
 _LINE = "\r\n"
 
@@ -60,12 +64,13 @@ def parsed(archive: DataFrame) -> DataFrame:
     text = F.decode("record", "ISO-8859-1")
     at = F.instr(text, 2 * _LINE)
     head = F.decode(F.substring(F.col("record"), F.lit(1), F.greatest(at - 1, F.lit(0))), "UTF-8")
-    line = lambda name: F.nullif(F.regexp_extract(F.col("_head"), rf"(?i)(?:^|\r\n){name}: *([^\r\n]*)", 1), F.lit(""))
-    out = archive.withColumn("_at", at).withColumn("_head", head)
+    at_, head_ = (free_name(archive.columns, x) for x in ("head_end", "head_text"))
+    line = lambda name: F.nullif(F.regexp_extract(F.col(head_), rf"(?i)(?:^|\r\n){name}: *([^\r\n]*)", 1), F.lit(""))
+    out = archive.withColumn(at_, at).withColumn(head_, head)
     out = out.withColumn("record_id", line("WARC-Record-ID")).withColumn("uri", line("WARC-Target-URI")).withColumn("declared", line("Content-Length").try_cast("bigint"))
-    whole = (F.col("_at") > 0) & F.col("_head").startswith("WARC/") & (F.octet_length("record") == F.col("_at") + 3 + F.col("declared") + 4)
-    content = F.substring(F.col("record"), F.col("_at") + 4, F.col("declared").cast("int"))
-    return out.withColumn("content", F.when(whole, content)).drop("_at", "_head")
+    whole = (F.col(at_) > 0) & F.col(head_).startswith("WARC/") & (F.octet_length("record") == F.col(at_) + 3 + F.col("declared") + 4)
+    content = F.substring(F.col("record"), F.col(at_) + 4, F.col("declared").cast("int"))
+    return out.withColumn("content", F.when(whole, content)).drop(at_, head_)
 
 
 def numbered(archive: DataFrame) -> DataFrame:
@@ -96,16 +101,20 @@ def placed(archive: DataFrame) -> DataFrame:
     return rows.select("file", "part", "seq", F.coalesce(F.sum("length").over(own), F.lit(0)).alias("offset"), "length", "digest", "page_id", "number")
 
 
-def write_files(records_: DataFrame, index: DataFrame, folder: str) -> None:
-    """The numbered records as plain WARC files ``<file>-<part>.warc`` in ``folder``, which pyarrow and all executors can open."""
+def write_files(records_: DataFrame, index: DataFrame, folder: str, packed: bool = False) -> None:
+    """The numbered records as WARC files ``<file>-<part>.warc`` in ``folder``, which pyarrow and all executors can open.
+
+    ``packed`` files are ``<file>-<part>.warc.gz``, a gzip member a record.
+    """
     rows = records_.select("number", "record").join(index.select("number", "file", "part", "seq"), "number")
+    suffix = "warc.gz" if packed else "warc"
 
     def write(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, part = (k.as_py() for k in key)
         table_ = pa.Table.from_batches(list(batches)).sort_by("seq")  # at most FILE_RECORDS records
-        with _opened(f"{folder}/{file}-{part}.warc", "open_output_stream") as f:
+        with _opened(f"{folder}/{file}-{part}.{suffix}", "open_output_stream") as f:
             for x in table_.column("record"):
-                f.write(x.as_py())
+                f.write(gzip.compress(x.as_py(), mtime=0) if packed else x.as_py())
         yield pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int64())})
 
     rows.groupBy("file", "part").applyInArrow(write, "file bigint").count()
@@ -115,11 +124,11 @@ def _opened(path: str, how: str):  # noqa: ANN202
     from pyarrow import fs
 
     system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return getattr(system, how)(at)
+    return getattr(system, how)(at, compression=None)  # bytes as they lie, whatever the name
 
 
-def _read_records(f, size: int) -> Iterator[tuple[int, bytes]]:  # noqa: ANN001
-    """Offsets and bytes of the records of an open file; where no record starts, all that is left is one."""
+def _read_records(f, size: int) -> Iterator[tuple[int, int, str]]:  # noqa: ANN001
+    """Offsets, lengths and digests of the records of an open file; where no record starts, all that is left is one."""
     at, held = 0, b""
     while at < size:
         end = -1
@@ -129,17 +138,48 @@ def _read_records(f, size: int) -> Iterator[tuple[int, bytes]]:  # noqa: ANN001
         length = re.search(rb"(?i)\r\ncontent-length: *(\d+)", head) if head.startswith(b"WARC/") else None
         n = end + 4 + int(length.group(1)) + 4 if length else size - at
         n = min(n, size - at)
-        while len(held) < n and (more := f.read(max(1 << 16, n - len(held)))):
-            held += more
-        yield at, held[:n]
+        digest, left = hashlib.sha256(held[:n]), n - len(held)
+        while left > 0 and (more := f.read(min(left, 1 << 20))):
+            digest.update(more)
+            left -= len(more)
+        yield at, n, digest.hexdigest()
         at, held = at + n, held[n:]
 
 
+def _read_members(f, size: int) -> Iterator[tuple[int, int, str]]:  # noqa: ANN001
+    """Offsets, lengths and digests of the members of an open gzip file; the digest is that of the unpacked record.
+
+    What cannot be unpacked, or ends early, is one with all that follows, by the digest of its bytes as they lie.
+    """
+    at, held = 0, b""
+    while at < size:
+        unpack, plain, raw, n = zlib.decompressobj(31), hashlib.sha256(), hashlib.sha256(), 0
+        while not unpack.eof and (piece := held or f.read(PACKED_BYTES)):
+            try:
+                plain.update(unpack.decompress(piece))
+            except zlib.error:
+                raw.update(piece)
+                while more := f.read(1 << 20):
+                    raw.update(more)
+                yield at, size - at, raw.hexdigest()
+                return
+            held = unpack.unused_data
+            raw.update(piece[: len(piece) - len(held)])
+            n += len(piece) - len(held)
+        if n == 0:  # the file is shorter than it was when it was listed
+            return
+        yield at, n, (plain if unpack.eof else raw).hexdigest()
+        at += n
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``file`` (its name), ``part, seq, offset, length, digest`` of the records of all plain WARC files of ``folder``.
+    """``file`` (its name), ``part, seq, offset, length, digest`` of the records of all WARC files of ``folder``.
 
-    A file is read as a stream by one task, record by record; what does not parse as a record is one
-    with all that follows it in its file.  Empty files have no records.
+    A file is read as a stream by one task, record by record, and hashed as it is read, so that records
+    of any length are never held whole.  A name that ends in ``.gz`` is a file of gzip members, a record
+    each: ``offset`` and ``length`` are those of the member in the file, and ``digest`` that of the record.
+    What does not parse as a record, or as a member, is one with all that follows it in its file.  Empty
+    files have no records.
     """
     from pyarrow import fs
 
@@ -152,8 +192,10 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with _opened(f"{folder}/{name}", "open_input_stream") as f:
-                    for n, (offset, record) in enumerate(_read_records(f, size)):
-                        yield {"file": [name], "part": [n // FILE_RECORDS], "seq": [n % FILE_RECORDS], "offset": [offset], "length": [len(record)], "digest": [hashlib.sha256(record).hexdigest()]}
+                    read = _read_members if name.lower().endswith(".gz") else _read_records
+                    for part, found in enumerate(batched(read(f, size), FILE_RECORDS)):
+                        offsets, lengths, digests = zip(*found, strict=True)
+                        yield {"file": [name] * len(found), "part": [part] * len(found), "seq": list(range(len(found))), "offset": offsets, "length": lengths, "digest": digests}
 
     return map_batches(listed, run, schema)
 

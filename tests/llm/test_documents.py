@@ -670,6 +670,63 @@ def test_audit_of_files(spark, tmp_path):
     assert ("new.warc", 0) in [place(r) for r in fixity.audit_files(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()]
 
 
+def test_packed_files(spark, tmp_path):
+    """A gzip member a record: the members' ranges, the records' digests, and damage that unpacks, does not, or ends early."""
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "word " * (i * 50)) for i in range(30)], "page_id long, url string, html string")
+    archive = fixity.numbered(fixity.records(pages))
+    index = fixity.store(fixity.placed(archive), "warc-index")
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        fixity.write_files(archive, index, str(tmp_path / name), packed=True)
+    read = sorted(fixity.read_files(spark, str(tmp_path / "a")).collect(), key=lambda r: r["seq"])
+    plain = sorted(index.collect(), key=lambda r: r["seq"])
+    file = tmp_path / "a" / "0-0.warc.gz"
+    data = file.read_bytes()
+    assert [r["digest"] for r in read] == [r["digest"] for r in plain]
+    assert [len(gzip.decompress(data[r["offset"] : r["offset"] + r["length"]])) for r in read] == [r["length"] for r in plain]
+    assert sum(r["length"] for r in read) == len(data)
+    differing = lambda: {r["seq"] for r in fixity.audit_files(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()}
+    assert differing() == set()
+    other, at = tmp_path / "b" / "0-0.warc.gz", read[12]["offset"]
+    end = at + read[12]["length"]
+    other.write_bytes(data[: at + 20] + b"\xff\xff" + data[at + 22 :])  # cannot be unpacked: the rest of the file is one
+    assert differing() == set(range(12, 30))
+    other.write_bytes(data[: end - 3])  # cut within a member
+    assert differing() == set(range(12, 30))
+    changed = gzip.compress(gzip.decompress(data[at:end])[:-1] + b"!", mtime=0)
+    other.write_bytes(data[:at] + changed + data[end:])
+    assert min(differing()) == 12 and (len(changed) != end - at or differing() == {12})
+    (tmp_path / "b" / "empty.warc.gz").write_bytes(b"")
+    assert "empty.warc.gz" not in {r["file"] for r in fixity.read_files(spark, str(tmp_path / "b")).collect()}
+
+
+def test_columns_of_an_archive_may_have_any_name(spark):
+    archive = fixity.records(spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")).withColumn("head_end", F.lit(7)).withColumn("_head", F.lit("x"))
+    row = fixity.parsed(archive).first()
+    assert (row["head_end"], row["_head"], row["uri"], bytes(row["content"])) == (7, "x", "u", b"h")
+
+
+def test_items_that_share_an_id(spark):
+    """They are one item, in the count as in the names, in one slice or several; rows without id are one each."""
+    passages = [" ".join(f"{w}{i}" for i in range(10)) for w in "abcd"]
+    docs = spark.createDataFrame([(1, " ".join(passages))], "doc_id long, text string")
+    bench = spark.createDataFrame([("x", passages[0]), ("x", passages[1]), (None, passages[2]), (None, passages[3])], "item_id string, text string")
+    for size in (1, 1 << 20):
+        m = suffixes.find(docs, bench, slice_bytes=size).first()["matches"]
+        assert (m["items"], m["n_items"]) == (["x"], 3)
+
+
+def test_exact_pairs_of_buckets(spark):
+    """Pairs are left out by one-bit sketches where ``apart`` says so; with ``WIDE`` none are."""
+    base = [f"w{i}" for i in range(120)]
+    rows = [(n, " ".join(base[:at] + [f"x{n}"] + base[at + 1 :])) for n, at in enumerate(range(5, 115, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.groups(docs, 4, apart=neardup.WIDE).collect()}
+    assert found == {i: c for i, _, c in brute_groups(rows, 4)}
+
+
 # ---- pipeline
 
 
