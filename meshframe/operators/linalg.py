@@ -3,6 +3,9 @@
 The matrix of a sphere shell has 19 entries a cell: itself, its neighbours in the plane, and five
 cells above and below.  ``x`` is periodic, beyond a pole lies the cell half way round, and beyond the
 first and last layer lies nothing.
+
+A vector or a matrix is as long as the grid, so none is ever broadcast: joins by row or column are merges
+(``long``), since the size of the files that rows are made from says little about these rows.
 """
 
 from __future__ import annotations
@@ -18,6 +21,11 @@ OFFSETS_Y = [0, 0, 0, -1, 1, 1, -1, -1, 1, 0, 0, 0, -1, 1, 0, 0, 0, -1, 1]
 OFFSETS_Z = [0, 0, 0, 0, 0, 0, 0, 0, 0, -1, -1, -1, -1, -1, 1, 1, 1, 1, 1]
 
 
+def long(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted and merged, whatever its size is thought to be."""
+    return df.hint("merge")
+
+
 def coefficient(row: Column, m: Column) -> Column:
     """A diagonally dominant stand-in for measured coefficients."""
     return F.when(m == 0, F.lit(20.0)).otherwise(-(1.0 + F.pmod(row * 19 + m, F.lit(7))) / F.lit(10.0))
@@ -43,7 +51,7 @@ def from_coefficients(coef: DataFrame, shape: tuple[int, int, int]) -> DataFrame
     ny, nz = shape[1:]
     built = build(coef.select("i", "j", "k"), shape, lambda row, m: m)
     row = (F.col("i") * ny + F.col("j")) * nz + F.col("k")
-    return built.join(coef.select(row.alias("row"), "coef"), "row").select("row", "col", F.get("coef", F.col("val").cast("int")).alias("val"))
+    return built.join(long(coef.select(row.alias("row"), "coef")), "row").select("row", "col", F.get("coef", F.col("val").cast("int")).alias("val"))
 
 
 def row_pointers(matrix: DataFrame, rows_per_block: int = 4096) -> DataFrame:
@@ -72,13 +80,13 @@ def sorted_rows(matrix: DataFrame) -> DataFrame:
 def spmv(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     """``row, val``: matrix times vector (J5, A7); repeated entries add up."""
     v = vector.select(F.col("row").alias("_at"), F.col("val").alias("_x"))
-    return matrix.join(v, matrix["col"] == F.col("_at")).groupBy("row").agg(F.sum(F.col("val") * F.col("_x")).alias("val"))
+    return matrix.join(long(v), matrix["col"] == F.col("_at")).groupBy("row").agg(F.sum(F.col("val") * F.col("_x")).alias("val"))
 
 
 def align(vectors: dict[str, DataFrame]) -> DataFrame:
     """Vectors as columns of one frame (J9); a row that one lacks is 0 there."""
     named = [v.select("row", F.col("val").alias(n)) for n, v in vectors.items()]
-    joined = reduce(lambda a, b: a.join(b, "row", "full"), named)
+    joined = reduce(lambda a, b: a.join(long(b), "row", "full"), named)
     return joined.select("row", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in vectors])
 
 
