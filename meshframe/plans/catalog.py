@@ -571,8 +571,8 @@ def _product(f: DataFrame) -> DataFrame:
     """The product of factors at the places of their pattern."""
     lower = f.where("col <= row").select(F.col("row").alias("r"), F.col("col").alias("m"), F.when(F.col("col") == F.col("row"), 1.0).otherwise(F.col("val")).alias("l"))
     upper = f.where("col >= row").select(F.col("row").alias("m"), F.col("col").alias("c"), F.col("val").alias("u"))
-    product = lower.join(upper, "m").groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("l") * F.col("u")).alias("product"))
-    return _rounded(f.select("row", "col").join(product, ["row", "col"]), "product")
+    product = lower.join(linalg.long(upper), "m").groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("l") * F.col("u")).alias("product"))
+    return _rounded(f.select("row", "col").join(linalg.long(product), ["row", "col"]), "product")
 
 
 @query(_with(*_MATRIX, select='select "row", col, round(sum(val), 6) product from coo group by 1, 2'))

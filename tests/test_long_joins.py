@@ -4,7 +4,7 @@ import pytest
 
 from meshframe.plans import catalog
 
-QUERIES = ["spmv", "residual_init", "residual_norm", "vector_dot", "axpy", "linear_combination", "ilu_apply"]
+QUERIES = ["spmv", "residual_init", "residual_norm", "vector_dot", "axpy", "linear_combination", "ilu0_factor", "ilu_apply"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
