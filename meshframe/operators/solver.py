@@ -228,7 +228,7 @@ def gcr(matrix: DataFrame, b: DataFrame, x0: DataFrame, block_rows: int | None =
     held_frame = first
     for s in range(most_steps + 1):
         columns = [c for c in wide.columns if c != "row"]
-        both = wide.join(z.select("row", F.col("val").alias("z")), "row", "left").join(linalg.spmv(matrix, z).select("row", F.col("val").alias("az")), "row", "left")
+        both = wide.join(linalg.long(z.select("row", F.col("val").alias("z"))), "row", "left").join(linalg.long(linalg.spmv(matrix, z).select("row", F.col("val").alias("az"))), "row", "left")
         held_frame, dot = stored(both.select("row", *columns, F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("az", F.lit(0.0)).alias("az")), held, held_frame)
         norms.append(float(np.sqrt(dot["rr"])))
         if norms[-1] <= tolerance or s == most_steps:
