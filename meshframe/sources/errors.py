@@ -33,6 +33,7 @@ CODES = """
 0x887600D4 DDERR_NOCOOPERATIVELEVELSET
 0x887600D7 DDERR_NOCOLORKEY
 0x887600DC DDERR_NOCOLORKEYHW
+0x887600DE DDERR_NODIRECTDRAWSUPPORT
 0x887600E1 DDERR_NOEXCLUSIVEMODE
 0x887600E6 DDERR_NOFLIPHW
 0x887600F0 DDERR_NOGDI
