@@ -35,15 +35,20 @@ SHARE, LEAST, BIN_BITS = 64, 16, 18
 _SPREAD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0x2C1B3C6D)]
 
 
-def _bins(seq: np.ndarray) -> np.ndarray:
-    """A hash bin of the pair at each place but the last."""
-    u = seq.view(np.uint32)
-    h = u[:-1] * _SPREAD[0]
-    h += u[1:] * _SPREAD[1]
+def _bin_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash bin of each pair of unsigned symbols."""
+    h = first * _SPREAD[0]
+    h += second * _SPREAD[1]
     h ^= h >> np.uint32(15)
     h *= _SPREAD[2]
     h >>= np.uint32(32 - BIN_BITS)
-    return h.view(np.int32)
+    return h.astype(np.intp)  # as places are, so that neither counts nor look-ups convert it
+
+
+def _bins(seq: np.ndarray) -> np.ndarray:
+    """A hash bin of the pair at each place but the last."""
+    u = seq.view(np.uint32)
+    return _bin_of(u[:-1], u[1:])
 
 
 def _pairs(seq: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -74,8 +79,15 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST, share: int = SHARE)
                 break
             bound = max(least, bound // share)
             continue
-        which = np.searchsorted(found, key)
-        hit = found[np.minimum(which, len(found) - 1)] == key
+        # the bin of a place tells its found pair, but where several pairs share the bin
+        slot = np.full(1 << BIN_BITS, -1, np.int32)
+        slot[_bin_of((found >> 32).astype(np.uint32), (found & 0xFFFFFFFF).astype(np.uint32))] = np.arange(len(found))
+        which = slot[bins[places]]
+        near = which >= 0
+        places, key, which = places[near], key[near], which[near]
+        other = np.flatnonzero(found[which] != key)
+        which[other] = np.minimum(np.searchsorted(found, key[other]), len(found) - 1)
+        hit = found[which] == key
         places, which = places[hit], which[hit]
         opens = np.diff(places, prepend=-2) != 1  # the first place of each run of overlapping pairs
         taken = (places - np.maximum.accumulate(np.where(opens, places, 0))) % 2 == 0
