@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -119,40 +120,128 @@ def ilu0(matrix: DataFrame, block_rows: int) -> DataFrame:
     return own.groupBy("block").applyInArrow(factor, "block bigint, row bigint, col bigint, val double, low int, up int")
 
 
-def ilu0_by_sweeps(matrix: DataFrame, tolerance: float = 1e-13, most_sweeps: int = 100) -> tuple[DataFrame, list[float]]:
-    """``row, col, val`` of the factors of a whole matrix as one block, by joins, and the largest change of each sweep.
+SWEEP_ROWS = 4096  # of a block that a task sweeps at once; the factors do not depend on it
+_SWEPT = "block bigint, own boolean, row array<bigint>, col array<bigint>, val array<double>, change double, flat bigint"
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and for each the number of its range."""
+    n = last - first
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) - (np.cumsum(n) - n)[which] + first[which], which
+
+
+def _array(table: pa.Table, column: str) -> np.ndarray:
+    value = table.column(column)[0]
+    return value.values.to_numpy() if value.is_valid else np.zeros(0, np.int64)
+
+
+def _swept(row: np.ndarray, col: np.ndarray, a: np.ndarray, val: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The entries of a block, by row and column, after a sweep; ``others`` are row, column and value of entries on and right of the diagonal of rows elsewhere."""
+    own = col >= row
+    r, c, v = (np.concatenate([x[own], y]) for x, y in zip((row, col, val), others, strict=True))
+    pivot = r == c
+    by = np.argsort(r[pivot])
+    pivot_row, d = r[pivot][by], v[pivot][by]
+    by = np.lexsort((c[~pivot], r[~pivot]))
+    r, c, v = r[~pivot][by], c[~pivot][by], v[~pivot][by]
+    lower = np.flatnonzero(~own)
+    q, p = _ranges(np.searchsorted(r, col[lower]), np.searchsorted(r, col[lower], "right"))
+    names = np.unique(np.concatenate([row, col]))
+    key = np.searchsorted(names, row) * len(names) + np.searchsorted(names, col)
+    at = np.minimum(np.searchsorted(names, c), max(0, len(names) - 1))
+    q, p = (x[names[at[q]] == c[q]] for x in (q, p))
+    want = np.searchsorted(names, row[lower[p]]) * len(names) + at[q]
+    t = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
+    here = key[t] == want
+    new = a - np.bincount(t[here], val[lower[p[here]]] * v[q[here]], len(row))
+    at = np.minimum(np.searchsorted(pivot_row, col[lower]), max(0, len(pivot_row) - 1))
+    lacking = np.flatnonzero(pivot_row[at] != col[lower])
+    if len(lacking):
+        raise ZeroDivisionError(f"row {col[lower[lacking]].min()} has no pivot")
+    divided = d[at] != 0
+    new[lower] = np.where(divided, new[lower] / np.where(divided, d[at], 1.0), val[lower])
+    return new
+
+
+def ilu0_by_sweeps(matrix: DataFrame, tolerance: float = 1e-13, most_sweeps: int = 100, block_rows: int = SWEEP_ROWS) -> tuple[DataFrame, list[float]]:
+    """``row, col, val`` of the factors of a whole matrix as one block, by sweeps, and the largest change of each sweep.
 
     A published fixed point: each entry of the pattern is what its own equation gives with the others of the
     sweep before, ``l = (a - sum l u) / d`` left of the diagonal and ``u = a - sum l u`` elsewhere.  The
     equations depend on each other in no circle, so as many sweeps as they are deep give the factors of
-    the elimination, and in practice far fewer.  Entries lie by row and no task holds the matrix.  It ends when
+    the elimination, and in practice far fewer.  Runs of ``block_rows`` rows lie together as arrays, and no task
+    holds the matrix: a sweep moves the values of a block to where its places lie, and to other blocks those rows
+    from the diagonal on that they eliminate with.  It ends when
     the largest change, in proportion to the entry, is at most ``tolerance``, and raises an error where
     that is not so after ``most_sweeps``.  A row whose diagonal entry is absent or becomes zero is an error that names it.
     """
-    entries = matrix.groupBy("row", "col").agg(F.sum("val").alias("a"))
-    state = keep(entries.withColumn("val", F.col("a")), "row", "ilu-sweep")
-    lacking = state.groupBy("row").agg(F.max(F.col("row") == F.col("col")).alias("whole")).where("not whole").agg(F.min("row")).first()[0]
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        row, col, val = (table.column(c).to_numpy() for c in ("row", "col", "val"))
+        by = np.lexsort((col, row))
+        row, col, val = row[by], col[by], val[by]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (col[1:] != col[:-1])])
+        row, col, a = row[new], col[new], np.bincount(np.cumsum(new) - 1, val)
+        lacking = np.setdiff1d(row, row[row == col])
+        block = key[0].as_py()
+        wanted = np.unique(col[(col < row) & (col // block_rows != block)])
+        return pa.table({"block": [block], "row": [row], "col": [col], "a": [a], "wanted": [wanted], "lacking": pa.array(lacking[:1].tolist() or [None], pa.int64())})
+
+    def told(block: int, places: pa.Table, val: np.ndarray, change: float) -> pa.Table:
+        """The values of a block, and of the rows that others want of it."""
+        row, col = _array(places, "row"), _array(places, "col")
+        flat = row[(row == col) & (val == 0)]
+        out = [(block, True, None, None, val, change, int(flat.min()) if len(flat) else None)]
+        to, want = _array(places, "to"), _array(places, "want")
+        right = np.flatnonzero(col >= row)
+        for block in np.unique(to):
+            asked = want[to == block]
+            at, _ = _ranges(np.searchsorted(row[right], asked), np.searchsorted(row[right], asked, "right"))
+            out.append((int(block), False, row[right[at]], col[right[at]], val[right[at]], 0.0, None))
+        kinds = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.int64()]
+        names = [x.split()[0] for x in _SWEPT.split(", ")]
+        return pa.table({n: pa.array(list(x), k) for n, x, k in zip(names, zip(*out, strict=True), kinds, strict=True)})
+
+    def first(key: tuple, places: pa.Table) -> pa.Table:
+        return told(key[0].as_py(), places, _array(places, "a"), 0.0)
+
+    def sweep(key: tuple, places: pa.Table, values: pa.Table) -> pa.Table:
+        if not places.num_rows:
+            return values.slice(0, 0)  # rows that only others name
+        own = values.filter(values.column("own"))
+        sent = values.filter(pc.invert(values.column("own")))
+        others = [np.concatenate([np.zeros(0, k), *[x.values.to_numpy() for x in sent.column(c)]]) for c, k in (("row", np.int64), ("col", np.int64), ("val", float))]
+        old = _array(own, "val")
+        new = _swept(_array(places, "row"), _array(places, "col"), _array(places, "a"), old, others)
+        moved = new != old
+        change = np.abs(new[moved] - old[moved]) / np.maximum(np.abs(new[moved]), 1e-300)
+        return told(key[0].as_py(), places, new, float(change.max(initial=0.0)))
+
+    block = F.floor(F.col("row") / block_rows).cast("bigint")
+    entries = matrix.select(block.alias("block"), "row", "col", "val")
+    packed = cut(entries.groupBy("block").applyInArrow(pack, "block bigint, row array<bigint>, col array<bigint>, a array<double>, wanted array<bigint>, lacking bigint"), "ilu-packed")
+    lacking = packed.agg(F.min("lacking")).first()[0]
     if lacking is not None:
         raise ZeroDivisionError(f"row {lacking} has no pivot")
+    asked = packed.select(F.col("block").alias("to"), F.explode("wanted").alias("row"))
+    asked = asked.groupBy(block.alias("block")).agg(F.collect_list(F.struct("to", "row")).alias("w")).select("block", F.col("w.to").alias("to"), F.col("w.row").alias("want"))
+    places = keep(packed.drop("wanted", "lacking").join(linalg.long(asked), "block", "left"), "block", "ilu-places")
+    release(packed)
+    state = keep(places.groupBy("block").applyInArrow(first, _SWEPT), "block", "ilu-sweep")
     changes: list[float] = []
     while True:
-        lower = state.where("col < row").select("row", F.col("col").alias("k"), F.col("val").alias("l"))
-        upper = state.where("col > row").select(F.col("row").alias("k"), "col", F.col("val").alias("u"))
-        sums = lower.join(upper, "k").groupBy("row", "col").agg(F.sum(F.col("l") * F.col("u")).alias("s"))
-        pivots = state.where("row = col").select(F.col("row").alias("col"), F.col("val").alias("d"))
-        left = F.col("a") - F.coalesce("s", F.lit(0.0))
-        new = F.when(F.col("col") < F.col("row"), F.try_divide(left, F.col("d"))).otherwise(left)
-        swept = state.join(sums, ["row", "col"], "left").join(pivots, "col").select("row", "col", "a", new.alias("new"), "val", (F.col("d") == 0).alias("flat"))
+        no_pivot = state.agg(F.min("flat")).first()[0]
+        if no_pivot is not None:
+            raise ZeroDivisionError(f"row {no_pivot} has no pivot")
+        swept = places.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(sweep, _SWEPT)
         seen = Observation()
-        change = F.abs(F.col("new") - F.col("val")) / F.greatest(F.abs(F.col("new")), F.lit(1e-300))
-        counted = swept.observe(seen, F.max(F.when(F.col("new") != F.col("val"), change).otherwise(0.0)).alias("change"), F.min(F.when(F.col("flat"), F.col("col"))).alias("no_pivot"))
-        state = keep(counted.select("row", "col", "a", F.coalesce("new", "val").alias("val")), "row", "ilu-sweep", instead_of=state)
-        told = observed(seen)
-        if told and seen.get["no_pivot"] is not None:
-            raise ZeroDivisionError(f"row {told['no_pivot']} has no pivot")
-        changes.append(float(told.get("change", 0.0)))
+        state = keep(swept.observe(seen, F.max("change").alias("change")), "block", "ilu-sweep", instead_of=state)
+        changes.append(float(observed(seen).get("change", 0.0)))
         if changes[-1] <= tolerance:
-            return state.select("row", "col", "val"), changes
+            own = state.where("own").select("block", "val")
+            each = places.select("block", "row", "col").join(linalg.long(own), "block").select(F.explode(F.arrays_zip("row", "col", "val")).alias("e"))
+            return each.select("e.row", "e.col", "e.val"), changes
         if len(changes) == most_sweeps:
             raise ArithmeticError(f"after {most_sweeps} sweeps an entry still changes by {changes[-1]} of itself")
 

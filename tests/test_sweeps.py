@@ -42,3 +42,21 @@ def test_rows_without_a_pivot(spark, rows, named):
 def test_nothing(spark):
     found, changes = solver.ilu0_by_sweeps(spark.createDataFrame([], "row bigint, col bigint, val double"))
     assert found.collect() == [] and changes == [0.0] and np.isfinite(changes).all()
+
+
+@pytest.mark.parametrize("block_rows", [5, 7, 64])
+def test_blocks_of_a_sweep_do_not_matter(spark, matrix, block_rows):
+    found, changes = solver.ilu0_by_sweeps(matrix, block_rows=block_rows)
+    assert entries(found) == pytest.approx(entries(solver.ilu0(matrix, 1000)), rel=1e-10) and len(changes) < 40
+
+
+def test_a_sweep_moves_rows_of_other_blocks_alone(spark, matrix, monkeypatch):
+    kept, keep = [], solver.keep
+    monkeypatch.setattr(solver, "keep", lambda df, *a, **k: kept.append(keep(df, *a, **k)) or kept[-1])
+    solver.ilu0_by_sweeps(matrix)
+    assert kept[-1].count() == 1  # one block, so nothing but its values
+
+
+def test_a_pivot_row_that_is_absent(spark):
+    with pytest.raises(Exception, match="row 3 has no pivot"):
+        solver.ilu0_by_sweeps(spark.createDataFrame([(9, 3, 1.0), (9, 9, 1.0)], "row bigint, col bigint, val double"), block_rows=4)[0].collect()
