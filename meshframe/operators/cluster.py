@@ -1,18 +1,22 @@
 """k-prototypes: k-means for rows of numbers and categories.
 
 The centres are few and bounded by ``k``; they go into the plan as literals, so that an assignment is
-a projection without a join.
+a projection without a join.  Where centres times columns are many, the generated code would be too long
+for the JVM to compile and would be interpreted; batches of columns are compared in numpy then.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meshframe.plans.scratch import cut, observed, release
 
 Centre = dict[str, object]
+TERMS = 32  # of all centres in one projection: the JVM compiles no method of over 8,000 bytes
 
 
 def distance(centre: Centre, numbers: list[str], categories: list[str], weight: float, delta: str = "mismatch") -> Column:
@@ -29,10 +33,56 @@ def distance(centre: Centre, numbers: list[str], categories: list[str], weight:
     return total
 
 
+def distances(centres: list[Centre], numbers: list[str], categories: list[str], weight: float, delta: str = "mismatch", base: int = 0) -> list[Column]:
+    """``distance, cluster`` of centres numbered from ``base``, the least of which is the nearest: of each, or of the nearest alone where there are many terms."""
+    if len(centres) * (len(numbers) + len(categories)) <= TERMS:
+        return [F.struct(distance(c, numbers, categories, weight, delta).alias("distance"), F.lit(base + i).alias("cluster")) for i, c in enumerate(centres)]
+    return [_nearest(centres, numbers, categories, weight, delta, base)]
+
+
+def _nearest(centres: list[Centre], numbers: list[str], categories: list[str], weight: float, delta: str, base: int) -> Column:
+    """The least of :func:`distances` by batches of columns: the same sums in the same order, and the same place for nulls (first) and NaN (last)."""
+    far = [[float(c[n]) for n in numbers] for c in centres]
+    kinds = [[c[n] for n in categories] for c in centres]
+
+    def same(column: pa.Array, value: object) -> np.ndarray:
+        if value is None:
+            found = pc.is_null(column)
+        elif value != value:
+            found = pc.fill_null(pc.is_nan(column), False)
+        else:
+            found = pc.fill_null(pc.equal(column, pa.scalar(value, column.type)), False)
+        return found.to_numpy(zero_copy_only=False)
+
+    @F.arrow_udf("distance double, cluster int")
+    def nearest(*columns: pa.Array) -> pa.Array:
+        n = len(columns[0])
+        x = [c.to_numpy(zero_copy_only=False) for c in columns[: len(numbers)]]
+        best, who = np.zeros(0), np.full(n, base, np.int32)
+        with np.errstate(all="ignore"):
+            for i in range(len(far)):
+                total = np.zeros(n)
+                for column, at in zip(x, far[i], strict=True):
+                    total += (column - at) * (column - at)
+                for column, value in zip(columns[len(numbers) :], kinds[i], strict=True):
+                    total += np.where(same(column, value) == (delta == "printed"), float(weight), 0.0)
+                if i:
+                    nearer = (total < best) | (np.isnan(best) & ~np.isnan(total))
+                    best, who = np.where(nearer, total, best), np.where(nearer, np.int32(base + i), who)
+                else:
+                    best = total
+        absent = np.zeros(n, bool)
+        for c in columns[: len(numbers)]:
+            if c.null_count:
+                absent |= c.is_null().to_numpy(zero_copy_only=False)
+        return pa.StructArray.from_arrays([pa.array(best, mask=absent), pa.array(np.where(absent, np.int32(base), who))], ["distance", "cluster"])
+
+    return nearest(*[F.col(n).cast("double") for n in numbers], *[F.col(c) for c in categories])
+
+
 def assign(points: DataFrame, centres: list[Centre], numbers: list[str], categories: list[str], weight: float, delta: str = "mismatch") -> DataFrame:
     """``points`` with ``cluster`` and ``distance``: the nearest centre, the least number among ties."""
-    each = [F.struct(distance(c, numbers, categories, weight, delta).alias("distance"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]
-    best = F.array_min(F.array(*each))
+    best = F.array_min(F.array(*distances(centres, numbers, categories, weight, delta)))
     return points.withColumn("_best", best).select(*points.columns, F.col("_best.cluster").alias("cluster"), F.col("_best.distance").alias("distance"))
 
 
@@ -77,8 +127,9 @@ def candidates(points: DataFrame, numbers: list[str], categories: list[str], wei
     held = None
     for turn in range(1, rounds + 2):
         base = len(found) - len(new)
-        nearer = F.array_min(F.array(F.struct(F.coalesce("_near", F.lit(float("inf"))).alias("d"), F.col("_who").alias("who")), *[F.struct(distance(c, numbers, categories, weight).alias("d"), F.lit(base + n).alias("who")) for n, c in enumerate(new)]))
-        state = state.withColumn("_best", nearer).select(key, *numbers, *categories, F.col("_best.d").alias("_near"), F.col("_best.who").alias("_who"))
+        before = F.struct(F.coalesce("_near", F.lit(float("inf"))).alias("distance"), F.col("_who").alias("cluster"))
+        nearer = F.array_min(F.array(before, *distances(new, numbers, categories, weight, base=base)))
+        state = state.withColumn("_best", nearer).select(key, *numbers, *categories, F.col("_best.distance").alias("_near"), F.col("_best.cluster").alias("_who"))
         if turn > rounds:
             break
         seen = Observation()
