@@ -1,8 +1,8 @@
 """HyperLogLog counters as sparse rows ``id, reg, rank``, and neighbourhood sizes by their union.
 
 An absent register is rank 0.  The union of counters is a grouped maximum, which combines before the
-shuffle; a counter never has more rows than registers.  Loops hold a counter in rows of 16 registers, and
-send of it what grew in the round before.
+shuffle; a counter never has more rows than registers.  Loops hold a counter as bits by rank, most of
+whose upper ranks are empty and have no rows, and send of it what the round before added.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.functions.hashing import with_jenkins64
-from meshframe.plans.scratch import drop, keep, observed
+from meshframe.plans.scratch import drop, keep
 
 # Bias constants by the number of registers.
 ALPHA = {16: 0.673, 32: 0.697, 64: 0.709}
@@ -96,83 +96,130 @@ def estimate(state: DataFrame, p: Parameters) -> DataFrame:
     return found.select("id", _harmonic(F.col("s") + zeros, zeros, p).alias("estimate"))
 
 
-PART = 16  # registers of a row: few enough columns that aggregates over them are compiled
+PART = 16  # registers whose growth is counted as one
+WORDS = 8  # of 64 bits in a row: few enough columns that aggregates over them are compiled
+_W, _D = [f"w{i}" for i in range(WORDS)], [f"d{i}" for i in range(WORDS)]
 
 
-def _registers(p: Parameters) -> list[str]:
-    return [f"r{i}" for i in range(min(PART, p.m))]
+def _any(columns: list[str]) -> Column:
+    found = F.col(columns[0])
+    for c in columns[1:]:
+        found = found.bitwiseOR(F.col(c))
+    return found != 0
 
 
-def parted(vertices: DataFrame, p: Parameters) -> DataFrame:
-    """``id, part, r0, r1, ...``: the counter of each vertex that holds itself, in rows of ``PART`` registers; rows of zeros alone are left out but for the one that was set."""
-    own = counters(vertices, p)
-    wide = _registers(p)
-    at = F.pmod(F.col("reg"), F.lit(len(wide)))
-    return own.select("id", F.floor(F.col("reg") / len(wide)).cast("int").alias("part"), *[F.when(at == i, F.col("rank")).otherwise(0).cast("tinyint").alias(r) for i, r in enumerate(wide)])
+def _a_level(p: Parameters) -> int:
+    """Words that hold a bit of each register."""
+    return max(1, p.m // 64)
 
 
-def parted_estimate(state: DataFrame, p: Parameters) -> DataFrame:
-    """``id, estimate`` of counters in parts."""
-    used = sum((F.when(F.col(r) > 0, 1).otherwise(0) for r in _registers(p)), F.lit(0))
-    total = sum((F.when(F.col(r) > 0, F.pow(F.lit(2.0), -F.col(r))).otherwise(0.0) for r in _registers(p)), F.lit(0.0))
-    found = state.groupBy("id").agg(F.sum(total).alias("total"), F.sum(used).alias("used"))
-    zeros = p.m - F.col("used")
-    return found.select("id", _harmonic(F.col("total") + zeros, zeros, p).alias("estimate"))
+def _lanes(p: Parameters, columns: list[str]) -> list[tuple[Column, list[Column]]]:
+    """For each part of ``PART`` registers that a row has bits of, its number and these bits, a column a level."""
+    a_level = _a_level(p)
+    period = min(a_level, WORDS)  # words are numbered by level and register, so a row has whole levels or a share of one
+    share = F.pmod(F.col("row"), F.lit(max(1, a_level // WORDS)))
+    mask = F.lit((1 << PART) - 1).cast("bigint")
+    out = []
+    for k in range(period):
+        for lane in range(max(1, min(64, p.m) // PART)):
+            part = ((share * WORDS + k) * (64 // PART) + lane).cast("int")
+            out.append((part, [F.shiftrightunsigned(c, PART * lane).bitwiseAND(mask) for c in columns[k::period]]))
+    return out
+
+
+def packed(vertices: DataFrame, p: Parameters) -> DataFrame:
+    """``id, row, w0, w1, ...``: the counter of each vertex that holds itself, as bits in rows of ``WORDS`` words.
+
+    A register of rank r has its bit set in the levels 1 to r, so a union is a bitwise or, and what it adds to
+    a counter are the bits that it sets.  Rows of zeros are left out but for the first.
+    """
+    a_level = _a_level(p)
+    at, bit = F.floor(F.col("reg") / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("reg"), F.lit(64)))
+    last = F.when(F.col("rank") > 0, F.floor(((F.col("rank") - 1) * a_level + at) / WORDS)).otherwise(0).cast("int")
+    rows = counters(vertices, p).select("id", "rank", at.alias("at"), bit.alias("bit"), F.explode(F.sequence(F.lit(0), last)).alias("row"))
+    word = [F.col("row") * WORDS + c for c in range(WORDS)]
+    held = [F.when((F.pmod(x, F.lit(a_level)) == F.col("at")) & (F.floor(x / a_level) < F.col("rank")), F.col("bit")).otherwise(F.lit(0).cast("bigint")) for x in word]
+    return rows.select("id", "row", *[x.alias(w) for w, x in zip(_W, held, strict=True)]).where((F.col("row") == 0) | _any(_W))
+
+
+def packed_estimate(state: DataFrame, p: Parameters) -> DataFrame:
+    """``id, estimate`` of counters in bits; the sums of powers of two are exact."""
+    a_level = _a_level(p)
+    level = [F.floor((F.col("row") * WORDS + c) / a_level) + 1 for c in range(WORDS)]
+    less = sum((F.bit_count(w) * F.pow(F.lit(2.0), -at) for w, at in zip(_W, level, strict=True)), F.lit(0.0))
+    used = sum((F.when(at == 1, F.bit_count(w)).otherwise(0) for w, at in zip(_W, level, strict=True)), F.lit(0))
+    found = state.groupBy("id").agg(F.sum(less).alias("less"), F.sum(used).alias("used"))
+    return found.select("id", _harmonic(p.m - F.col("less"), p.m - F.col("used"), p).alias("estimate"))
+
+
+def parted(state: DataFrame, p: Parameters) -> DataFrame:
+    """``id, part, r0, r1, ...``: counters in bits as ranks, in rows of ``PART`` registers."""
+    each = [F.struct(part.alias("part"), F.array(*bits).alias("bits")) for part, bits in _lanes(p, _W)]
+    rows = state.select("id", F.explode(F.array(*each)).alias("e")).select("id", "e.part", F.explode("e.bits").alias("bits"))
+    ranks = [F.sum(F.shiftright("bits", i).bitwiseAND(F.lit(1).cast("bigint"))).cast("tinyint").alias(f"r{i}") for i in range(min(PART, p.m))]
+    return rows.groupBy("id", "part").agg(*ranks)
 
 
 @dataclass
 class Balls:
-    """Counters of what reaches each vertex, in parts with ``grew``, and of each round how many parts grew before it and how many messages they made."""
+    """Counters of what reaches each vertex, in bits, and of each round how many parts of counters grew before it and how many copies of them went along edges."""
 
-    state: DataFrame
+    packed: DataFrame
+    p: Parameters
     rounds: list[tuple[int, int]] = field(default_factory=list)
 
+    @property
+    def state(self) -> DataFrame:
+        """The counters as ranks, in parts."""
+        return parted(self.packed, self.p)
 
-def spread(state: DataFrame, edges: DataFrame, p: Parameters) -> DataFrame:
-    """Counters in parts after a round in which only parts that grew in the last one are sent.
 
-    A union never shrinks a register, so a part grew if its registers have a larger sum.
-    """
-    wide = _registers(p)
-    sent = edges.join(state.where("grew"), edges["src"] == state["id"]).select(F.col("dst").alias("id"), "part", *wide, F.lit(None).cast("int").alias("before"))
-    level = sum((F.col(r).cast("int") for r in wide), F.lit(0))
-    both = state.select("id", "part", *wide, level.alias("before")).unionByName(sent)
-    new = both.groupBy("id", "part").agg(*[F.max(r).alias(r) for r in wide], F.max("before").alias("before"))
-    return new.select("id", "part", *wide, (level > F.coalesce("before", F.lit(0))).alias("grew"))
+def _united(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.groupBy("id", "row").agg(*[F.bit_or(c).alias(c) for c in (*_W, *more)])
 
 
-def balls(vertices: DataFrame, edges: DataFrame, p: Parameters, most_rounds: int | None = None, each_round: Callable[[int, DataFrame], None] | None = None) -> Balls:
-    """Rounds of :func:`spread` until no counter grows, or ``most_rounds``; ``each_round`` gets the state of every round, the first too.
+def spread(state: DataFrame, edges: DataFrame, last: bool = False) -> DataFrame:
+    """Counters in bits after a round in which only bits that the last one set are sent (J1, A3, A4, P6), and in ``d0, d1, ...`` those that this one set.
 
-    What grew, and how often it will be sent, is observed while a round is written.
+    All a vertex sends along an edge is one row or a few.  ``last`` leaves out what the next round would need.
     """
-    simple = edges.select("src", "dst").distinct()  # the union is idempotent: repeated edges add nothing
+    sent = edges.join(state.where(_any(_D)), edges["src"] == state["id"]).select(F.col("dst").alias("id"), "row", *[F.col(d).alias(w) for w, d in zip(_W, _D, strict=True)])
+    own = state.select("id", "row", *_W)
+    if last:
+        return _united(own.unionByName(sent))
+    n = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = own.select("*", *[F.col(w).alias(d) for w, d in zip(_W, _D, strict=True)]).unionByName(_united(sent).select("*", *[F.lit(0).cast("bigint").alias(d) for d in _D]))
+    new = _united(both.repartition(n, "id"), *_D)
+    return new.select("id", "row", *_W, *[F.col(w).bitwiseAND(F.bitwise_not(d)).alias(d) for w, d in zip(_W, _D, strict=True)])
+
+
+def _grown(state: DataFrame, out_degree: DataFrame, p: Parameters) -> tuple[int, int]:
+    """How many parts with edges to go along grew, and how often they go."""
+    kind = [F.struct(part.alias("part"), (sum((F.when(b != 0, 1).otherwise(0) for b in bits), F.lit(0)) > 0).alias("grew")) for part, bits in _lanes(p, _D)]
+    parts = state.where(_any(_D)).select("id", F.explode(F.array(*kind)).alias("e")).where("e.grew").select("id", "e.part").distinct()
+    each = parts.groupBy("id").agg(F.count(F.lit(1)).alias("parts"))
+    row = each.join(out_degree, each["id"] == out_degree["src"]).agg(F.sum("parts"), F.sum(F.col("parts") * F.col("out"))).first()
+    return row[0] or 0, row[1] or 0
+
+
+def balls(vertices: DataFrame, edges: DataFrame, p: Parameters, most_rounds: int | None = None, each_round: Callable[[int, DataFrame], None] | None = None) -> Balls:
+    """Rounds of :func:`spread` until no counter grows, or ``most_rounds``; ``each_round`` gets the state of every round in bits, the first too."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    simple = edges.select("src", "dst").repartition(n, "src").distinct()  # the union is idempotent: repeated edges add nothing
     edges = keep(simple, "src", "ball-edges")
     out_degree = keep(edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src", "ball-degrees")
-    wide = _registers(p)
-
-    def stored(df: DataFrame, old: DataFrame | None) -> tuple[DataFrame, tuple[int, int]]:
-        seen = Observation()
-        with_out = df.join(out_degree, df["id"] == out_degree["src"], "left").select(*df.columns, F.coalesce("out", F.lit(0)).alias("out"))
-        goes = F.col("grew") & (F.col("out") > 0)
-        seen_of = with_out.observe(seen, F.count_if(goes).alias("parts"), F.sum(F.when(goes, F.col("out"))).alias("messages"))
-        kept = keep(seen_of, "id", "balls", instead_of=old)
-        counted = observed(seen)
-        return kept, (counted.get("parts", 0), counted.get("messages", 0))
-
-    first = parted(vertices, p)
-    state, now = stored(first.withColumn("grew", sum((F.col(r).cast("int") for r in wide), F.lit(0)) > 0), None)
-    found = Balls(state)
+    dealt = vertices.select("id").repartition(n, "id")  # hashing costs more than reading: it is not left to the few tasks of a small file
+    found = Balls(keep(packed(dealt, p).select("*", *[F.col(w).alias(d) for w, d in zip(_W, _D, strict=True)]), "id", "balls"), p)
     if each_round:
-        each_round(0, found.state)
-    while now[0] and (most_rounds is None or len(found.rounds) < most_rounds):
+        each_round(0, found.packed)
+    while (most_rounds is None or len(found.rounds) < most_rounds) and (now := _grown(found.packed, out_degree, p))[0]:
         found.rounds.append(now)
         if len(found.rounds) == most_rounds and each_round is None:
-            found.state = spread(found.state.drop("out"), edges, p)  # the last of a given number is not written
+            found.packed = spread(found.packed, edges, last=True)  # the last of a given number is not written
             return found
-        found.state, now = stored(spread(found.state.drop("out"), edges, p), found.state)
+        found.packed = keep(spread(found.packed, edges), "id", "balls", instead_of=found.packed)
         if each_round:
-            each_round(len(found.rounds), found.state)
+            each_round(len(found.rounds), found.packed)
     drop(edges, out_degree)
     return found
 
@@ -189,7 +236,7 @@ def hyperanf(vertices: DataFrame, edges: DataFrame, rounds: int | None, rsd: flo
     A round sends only what grew in the last one, and the loop ends when nothing did.
     """
     p = Parameters(rsd)
-    return parted_estimate(balls(vertices, edges, p, rounds).state, p)
+    return packed_estimate(balls(vertices, edges, p, rounds).packed, p)
 
 
 def neighbourhood_function(vertices: DataFrame, edges: DataFrame, rounds: int, rsd: float = 0.1) -> DataFrame:
@@ -201,7 +248,7 @@ def neighbourhood_function(vertices: DataFrame, edges: DataFrame, rounds: int, r
     pairs: list[float | None] = []
 
     def add(t: int, state: DataFrame) -> None:
-        pairs.append(parted_estimate(state, p).agg(F.sum(F.round("estimate", 4))).first()[0])
+        pairs.append(packed_estimate(state, p).agg(F.sum(F.round("estimate", 4))).first()[0])
 
     balls(vertices, edges, p, rounds, add)
     pairs += pairs[-1:] * (rounds + 1 - len(pairs))
